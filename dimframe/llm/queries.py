@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dups import near_duplicates
 from .secrets import secret_scan
 from .token_counts import token_counts
 
@@ -16,9 +17,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_secret_scan)}
 ORACLES: dict[str, str] = {}
