@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dups import near_duplicates
+from .packing import packed
+from .quality import fit_quality, graded
 from .secrets import secret_scan
 from .token_counts import token_counts
 
@@ -21,9 +23,19 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected, with their grades."""
+    docs = table(spark, sf_dir, "documents")
+    return graded(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).where("kept")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_secret_scan)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op4_quality, op5_secret_scan, op9_packing)}
 ORACLES: dict[str, str] = {}
