@@ -18,7 +18,7 @@ import regex
 
 #: Fixed value: the byte-level pre-tokeniser's pattern, as published with the vocabulary.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_SPACE_AT_SPACE = re.compile(r"\s \s|\s  |  \s|  ")
+_SPACE_AT_SPACE = re.compile(r"[^\S ] [^\S ]")
 
 
 def byte_letters() -> list[str]:
@@ -46,7 +46,7 @@ def chunks(text: str) -> tuple[list[str], list[str]]:
     """(chunks as they stand, chunks that have one space in front), together the whole text in order."""
     if not text:
         return [], []
-    if _SPACE_AT_SPACE.search(text):
+    if "  " in text or _SPACE_AT_SPACE.search(text):
         return PATTERN.findall(text), []
     first, *rest = text.split(" ")
     if rest and not rest[-1]:  # a space at the very end

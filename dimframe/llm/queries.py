@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
+from .line_dedup import line_dedup_digest
 from .near_dups import near_duplicates
 from .packing import packed
 from .quality import fit_quality, graded
+from .repeats import without_repeats
 from .secrets import secret_scan
 from .token_counts import token_counts
 
@@ -23,6 +27,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents selected, with their grades."""
     docs = table(spark, sf_dir, "documents")
@@ -33,9 +41,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op4_quality, op5_secret_scan, op9_packing)}
+OPERATORS = (op1_token_counts, op2_near_duplicates, op3_nearest, op4_quality, op5_secret_scan, op7_repeats, op8_line_dedup, op9_packing)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {}
