@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Distinct vectors that centroids and codebooks are fitted on, at most about so many.
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 CENTRES = 16  # four bits
 #: Inner products above this share of the norm matter: sets the price of the parallel error.
 SCORE_SHARE = 0.2
 #: Vectors and queries that one task scans at a time.
-CHUNK, QUERY_CHUNK = 4096, 1024
+CHUNK, QUERY_CHUNK = 16384, 512
+#: Lists, at most: centroids go to every task.
+LISTS = 256
 #: Vectors of a scan that are reranked for each query.
-RERANK = 200
+RERANK = 512
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -131,7 +133,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("vector") == (common["d"] if common else 0))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 0.34, fit_rows: int = FIT_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 1.0, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The ``k`` vectors of largest inner product for every row of ``vectors`` (vec_id, embedding) with ``is_query``.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product in double
@@ -140,12 +142,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 0.
     that are null, zero or hold null or non-finite components, take no part as
     queries or candidates, nor do vectors of another number of dimensions than
     the most common one. Repeated rows are candidates each. Other columns are
-    ignored. ``probe``: the share of lists that a query scans.
+    ignored. ``probe``: the share of lists that a query scans; below 1 it saves
+    work where vectors are clustered, and costs recall where they are not.
 
     The quantiser is fitted in one task on about ``fit_rows`` distinct vectors
     at most, chosen by hash; every vector is indexed. The driver sees the
-    quantiser and the sizes of lists: their number is the square root of the
-    number of distinct vectors over 8.
+    quantiser and the sizes of lists, of which there are ``LISTS`` at most.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -156,7 +158,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 0.
     result = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], result)
-    lists = max(1, round(math.sqrt(total) / 8))
+    lists = min(LISTS, math.ceil(total / CHUNK))
     probed = max(1, math.ceil(lists * probe))
     sample = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < int(1_000_000 * 0.97 * fit_rows / total)) if total > fit_rows else classes
 
