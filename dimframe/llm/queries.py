@@ -9,6 +9,7 @@ from .ann import nearest
 from .line_dedup import line_dedup_digest
 from .near_dups import near_duplicates
 from .packing import packed
+from .pages import page_text
 from .quality import fit_quality, graded
 from .repeats import without_repeats
 from .secrets import secret_scan
@@ -41,6 +42,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text(table(spark, sf_dir, "pages"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_token_counts, op2_near_duplicates, op3_nearest, op4_quality, op5_secret_scan, op7_repeats, op8_line_dedup, op9_packing)
+OPERATORS = (op1_token_counts, op2_near_duplicates, op3_nearest, op4_quality, op5_secret_scan, op6_page_text, op7_repeats, op8_line_dedup, op9_packing)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {}
