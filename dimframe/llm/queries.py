@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .decontamination import leaks
 from .line_dedup import line_dedup_digest
 from .near_dups import near_duplicates
 from .packing import packed
@@ -58,6 +59,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_token_counts, op2_near_duplicates, op3_nearest, op4_quality, op5_secret_scan, op6_page_text, op7_repeats, op8_line_dedup, op9_packing)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a document and a benchmark item that leaked into it."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_token_counts, op2_near_duplicates, op3_nearest, op4_quality, op5_secret_scan, op6_page_text, op7_repeats, op8_line_dedup, op9_packing, op10_decontamination)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {}
