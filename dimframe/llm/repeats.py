@@ -11,7 +11,8 @@ The length of a symbol is limited in each round. A window of words therefore
 has the same symbols in every document, but for a margin at either end, and
 the middle of the window holds a whole symbol (see ``MARGIN``). The longest
 symbol of the middle, ties to the least name, is the window's anchor. Anchors
-that two documents share reveal windows that may repeat; those windows alone
+that two documents share, with what stands around them, reveal windows that may
+repeat; those windows alone
 are compared by 128-bit digests of all their words.
 """
 
@@ -40,57 +41,76 @@ LONGEST = 8
 
 @lru_cache(maxsize=1)
 def _hashes() -> WordHashes:
-    return WordHashes()
+    return WordHashes(600_000)
 
 
-def symbols(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(names, lengths) of the symbols of a document's word hashes."""
-    name, size = w, np.ones(len(w), np.int64)
+def symbols(w: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, lengths) of the symbols of documents laid end to end, given their word hashes and lengths."""
+    name, size, doc = w, np.ones(len(w), np.int64), np.repeat(np.arange(len(lens)), lens)
     for step, (kind, most) in enumerate(STEPS):
         salt = mix(np.array([step + 1], np.uint64))[0]
+        together = doc[1:] == doc[:-1]
+        keep, new, length = np.ones(len(name), bool), name.copy(), size.copy()
         if kind == "runs":
-            first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            first = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | ~together])
             times = np.diff(np.r_[first, len(name)])
             ok = (times > 1) & (times * size[first] <= most)
             keep = np.repeat(~ok, times)
             keep[first] = True
-            new, length = name.copy(), size.copy()
             new[first[ok]] = mix(name[first[ok]] ^ mix(times[ok].astype(np.uint64) + salt))
             length[first[ok]] = times[ok] * size[first[ok]]
         else:
             side = (mix(name ^ salt) >> np.uint64(63)).astype(bool)
-            at = np.flatnonzero(~side[:-1] & side[1:] & (size[:-1] + size[1:] <= most))
-            keep = np.ones(len(name), bool)
+            at = np.flatnonzero(together & ~side[:-1] & side[1:] & (size[:-1] + size[1:] <= most))
             keep[at + 1] = False
-            new, length = name.copy(), size.copy()
             new[at] = mix(mix(name[at] + salt) * np.uint64(3) + name[at + 1])
             length[at] = size[at] + size[at + 1]
-        name, size = new[keep], length[keep]
+        name, size, doc = new[keep], length[keep], doc[keep]
     return name, size
 
 
-def anchors(w: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchor names of a document, and for every window the place of its own among them."""
-    n = len(w) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    name, size = symbols(w)
-    start = np.r_[0, np.cumsum(size)[:-1]]
+def anchors(w: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place in it, anchor) of every window of documents laid end to end.
+
+    An anchor is named by the digest of its symbol's words with MARGIN more
+    words on either side, all of which lie in every window whose anchor it is.
+    """
+    count = np.maximum(lens - window + 1, 0)
+    doc = np.repeat(np.arange(len(lens)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    if not len(doc):
+        return doc, place, np.zeros(0, np.uint64)
+    at = place + np.repeat(np.cumsum(lens) - lens, count)
+    name, size = symbols(w, lens)
+    start = np.cumsum(size) - size
     # the middle of the window at s: symbols that begin at s + MARGIN or later and end by s + window - MARGIN
-    low = np.searchsorted(start, np.arange(n) + MARGIN)
-    high = np.searchsorted(start + size, np.arange(n) + window - MARGIN, side="right")
+    low = np.searchsorted(start, at + MARGIN)
+    high = np.searchsorted(start + size, at + window - MARGIN, side="right")
     # longest first, then the least name: the smallest rank in the range wins
     order = np.lexsort((name, -size))
     rank = np.empty(len(name), np.int64)
     rank[order] = np.arange(len(name))
-    best = _range_min(rank, low, high)
-    distinct, place = np.unique(name[order[best]], return_inverse=True)
-    return distinct, place
+    chosen = order[_range_min(rank, low, high)]
+    first, end = start[chosen] - MARGIN, start[chosen] + size[chosen] + MARGIN
+    up, down = _powers(_room(len(w)), 0x9E3779B97F4A7C15)
+    total = np.r_[np.uint64(0), np.cumsum(w * up[: len(w)], dtype=np.uint64)]
+    return doc, place, mix((total[end] - total[first]) * down[first] + size[chosen].astype(np.uint64))
+
+
+def _together(texts: list[str | None], most: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, word hashes, lengths) of consecutive texts with about ``most`` words together."""
+    first, parts, n = 0, [], 0
+    for k, t in enumerate(texts):
+        parts.append(_hashes().array(words(t)))
+        n += len(parts[-1])
+        if n >= most or k == len(texts) - 1:
+            yield first, np.concatenate(parts), np.array([len(p) for p in parts])
+            first, parts, n = k + 1, [], 0
 
 
 def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(x[low:high]) for non-empty ranges, from minima over powers of two."""
-    level = np.floor(np.log2(high - low)).astype(np.int64)
+    level = np.frexp((high - low).astype(np.float64))[1] - 1
     out, table = np.empty(len(low), np.int64), x
     for k in range(int(level.max(initial=0)) + 1):
         at = level == k
@@ -111,10 +131,15 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def _room(n: int) -> int:
+    """A power of two of at least ``n``, so that few tables of powers are made."""
+    return 1 << max(10, int(n).bit_length())
+
+
 def window_digests(w: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of every window of words: sums of words times powers of a base, modulo 2^64, mixed."""
     out, n = [], len(w) - window + 1
-    size = 1 << max(10, int(len(w) - 1).bit_length())
+    size = _room(len(w))
     for salt, base in ((np.uint64(0), 0x9E3779B97F4A7C15), (_ODD, 0xC2B2AE3D27D4EB4F)):
         up, down = _powers(size, base)
         total = np.r_[np.uint64(0), np.cumsum(mix(w + salt) * up[: len(w)], dtype=np.uint64)]
@@ -155,9 +180,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            names = [anchors(_hashes().array(words(t)), window)[0].view(np.int64) for t in b["text"]]
-            lens = [len(x) for x in names]
-            yield pd.DataFrame({"anchor": np.concatenate(names) if names else np.zeros(0, np.int64), "doc": np.repeat(b["doc"].to_numpy(), lens)})
+            ids = b["doc"].to_numpy()
+            for first, w, lens in _together(b["text"].tolist()):
+                doc, _, name = anchors(w, lens, window)
+                new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])][: len(name)])
+                yield pd.DataFrame({"anchor": name[new].view(np.int64), "doc": ids[first + doc[new]]})
 
     found = written(rows.select(order, "text").where("text is not null").mapInPandas(find, "anchor long, doc long"), "anchors")
     least = found.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("anchor")
@@ -171,14 +198,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, text, names in zip(b["doc"], b["text"], b["shared"], strict=True):
-                w = _hashes().array(words(text))
-                if len(w) < window:
-                    continue
-                distinct, place = anchors(w, window)
-                at = np.flatnonzero(np.isin(distinct, np.asarray(names, np.int64).view(np.uint64))[place])
-                x, y = window_digests(w, window)
-                yield pd.DataFrame({"x": x[at], "y": y[at], "doc": doc, "place": at.astype(np.int32)})
+            ids, sets = b["doc"].to_numpy(), b["shared"].tolist()
+            for first, w, lens in _together(b["text"].tolist()):
+                doc, place, name = anchors(w, lens, window)
+                begin, cut = np.cumsum(lens) - lens, np.searchsorted(doc, np.arange(len(lens) + 1))
+                for k in range(len(lens)):
+                    mine = slice(cut[k], cut[k + 1])
+                    at = place[mine][np.isin(name[mine], np.asarray(sets[first + k], np.int64).view(np.uint64))]
+                    if len(at):
+                        x, y = window_digests(w[begin[k] : begin[k] + lens[k]], window)
+                        yield pd.DataFrame({"x": x[at], "y": y[at], "doc": ids[first + k], "place": at.astype(np.int32)})
 
     joined = texts.join(known, F.col("doc") == F.col("_doc"), "left")
     shown = joined.where("shared is not null and copied is null").select("doc", "text", "shared").mapInPandas(show, "x long, y long, doc long, place int")
