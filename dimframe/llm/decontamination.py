@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the words of the benchmark's items. Documents are cut into passages;
-TF-IDF weights come from how many passages of the whole corpus hold a term. A
+TF-IDF weights come from how many passages of the whole corpus hold a term, and
+terms that many passages hold weigh nothing. A
 randomised SVD finds the leading directions of the passage-term matrix A: every
 task adds up its rows' part of A'(A R) for a random matrix R, and the sum, terms
 by directions, is small. Passages and items become vectors over whitened
@@ -29,9 +30,11 @@ from .shingles import lower_ascii
 PASSAGE = 32
 HALF = PASSAGE // 2
 #: Directions kept, and random ones more to find them.
-RANK, MORE = 96, 16
+RANK, MORE = 128, 16
+#: Terms that a larger share of passages holds are left out of the latent space.
+FREQUENT = 0.05
 #: Cosine from which a passage is a candidate for an item.
-COSINE = 0.3
+COSINE = 0.45
 #: Share of an item's words, and of its rarest fifth, that must stand in order in the document.
 MATCHED, ANSWERED = 0.7, 0.7
 UNKNOWN = 65535
@@ -63,54 +66,62 @@ class Ids(dict):
         return ids[ids >= 0].astype(np.uint16)
 
 
-def _blocks(lens: np.ndarray) -> np.ndarray:
-    """Where blocks of HALF words begin in documents laid end to end."""
-    n = -(-lens // HALF)
-    first = np.repeat(np.cumsum(lens) - lens, n)
-    return first + HALF * (np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n))
+def _some(batches: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, lengths, blocks of HALF words, number of blocks of each document), about ``most`` words at a time.
 
+    Documents without words are left out. Every document begins a block, and has
+    an even number of them; the places left over are UNKNOWN.
+    """
+
+    def laid() -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        lens = np.array([len(p) for p in parts])
+        n = 2 * -(-lens // PASSAGE)
+        blocks = np.full(n.sum() * HALF, UNKNOWN, np.uint16)
+        shift = HALF * (np.cumsum(n) - n) - (np.cumsum(lens) - lens)
+        blocks[np.arange(lens.sum()) + np.repeat(shift, lens)] = np.concatenate(parts)
+        return docs, lens, blocks.reshape(-1, HALF), n
 
-def _some(batches: Iterator[pd.DataFrame], most: int = 100_000) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(document ids, lengths, all words' ids) of documents that have words, about ``most`` words at a time."""
-    docs, parts, n = [], [], 0
+    docs, parts, total = [], [], 0
     for b in batches:
         for doc, raw in zip(b["doc_id"], b["ids"], strict=True):
             ids = np.frombuffer(raw, np.uint16)
             if len(ids):
                 docs.append(doc)
                 parts.append(ids)
-                n += len(ids)
-            if n >= most:
-                yield docs, np.array([len(p) for p in parts]), np.concatenate(parts)
-                docs, parts, n = [], [], 0
+                total += len(ids)
+            if total >= most:
+                yield laid()
+                docs, parts, total = [], [], 0
     if parts:
-        yield docs, np.array([len(p) for p in parts]), np.concatenate(parts)
+        yield laid()
 
 
-def _passage_of(lens: np.ndarray) -> np.ndarray:
-    """The passage (without overlap) of every word."""
-    n = -(-lens // PASSAGE)
-    within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-    return np.repeat(np.cumsum(n) - n, lens) + within // PASSAGE
+def _sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the table's rows named in each row of ``rows``; ids beyond the table, and rows of zeros, add nothing."""
+    out = np.zeros((len(rows), table.shape[1]), np.float32)
+    some = np.append(table.any(1), False)[np.minimum(rows, len(table))]
+    at, where = rows[some], np.repeat(np.arange(len(rows)), some.sum(1))
+    if len(at):
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        out[where[first]] = np.add.reduceat(table[at], first)
+    return out
 
 
 def passage_counts(coded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """How many passages of the corpus hold each term, and how many passages there are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = np.zeros(n_terms, np.int64), 0
-        for _, lens, ids in _some(batches):
-            passage = _passage_of(lens)
-            total += int(passage[-1]) + 1
-            known = ids != UNKNOWN
-            pairs = np.unique(passage[known] * n_terms + ids[known])
-            held += np.bincount(pairs % n_terms, minlength=n_terms)
-        at = np.flatnonzero(held)
+        held, total = np.zeros(UNKNOWN + 1, np.int64), 0
+        for _, lens, blocks, _ in _some(batches):
+            total += int((-(-lens // PASSAGE)).sum())
+            passages = np.sort(blocks.reshape(-1, PASSAGE), axis=1)
+            held += np.bincount(passages[:, 0], minlength=UNKNOWN + 1)
+            held += np.bincount(passages[:, 1:][passages[:, 1:] != passages[:, :-1]], minlength=UNKNOWN + 1)
+        at = np.flatnonzero(held[:n_terms])
         yield pd.DataFrame({"term": np.r_[at, -1], "n": np.r_[held[at], total]})
 
     rows = coded.mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # as many rows as the items have words
-    held = np.zeros(n_terms, np.int64)
-    total = 0
+    held, total = np.zeros(n_terms, np.int64), 0
     for term, n in rows:
         if term < 0:
             total = n
@@ -119,36 +130,32 @@ def passage_counts(coded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return held, total
 
 
-def directions(coded: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def directions(coded: DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms by directions, singular values) of the whole corpus, by one randomised pass."""
-    width = min(RANK + MORE, len(idf))
-    start = np.random.default_rng(11).normal(size=(len(idf), width)).astype(np.float32)
-    weighted = (np.r_[idf, 0][:, None] * np.vstack((start, np.zeros((1, width))))).astype(np.float32)
+    width = min(RANK + MORE, len(weight))
+    weighted = (weight[:, None] * np.random.default_rng(11).normal(size=(len(weight), width))).astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(idf) + 1, width), np.float32)
-        for _, lens, ids in _some(batches):
-            at = np.minimum(ids, len(idf)).astype(np.int64)
-            passage = _passage_of(lens)
-            known = at < len(idf)
-            at, passage = at[known], passage[known]
-            if not len(at):
-                continue
-            first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-            rows = np.add.reduceat(weighted[at], first)
-            rows = np.repeat(rows, np.diff(np.r_[first, len(at)]), 0)
-            order = np.argsort(at, kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-            total[at[order][heads]] += np.add.reduceat(rows[order], heads)
+        total = np.zeros((len(weight), width))
+        used = np.append(weight != 0, False)
+        for _, _, blocks, _ in _some(batches):
+            passages = blocks.reshape(-1, PASSAGE)
+            sums = _sums(weighted, passages)
+            some = used[np.minimum(passages, len(weight))]
+            at, where = passages[some], np.repeat(np.arange(len(passages)), some.sum(1))
+            if len(at):
+                order = np.argsort(at, kind="stable")
+                heads = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+                total[at[order][heads]] += np.add.reduceat(sums[where[order]], heads)
         at = np.flatnonzero(total.any(1))
-        yield pd.DataFrame({"term": at, "row": [total[k].astype(float) for k in at]})
+        yield pd.DataFrame({"term": at, "row": list(total[at])})
 
     summed = coded.mapInPandas(run, "term long, row array<double>").select("term", F.posexplode("row").alias("d", "x")).groupBy("term", "d").agg(F.sum("x").alias("x"))
     summed = summed.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("row"))
-    out = np.zeros((len(idf), width))
+    out = np.zeros((len(weight), width))
     for term, row in summed.collect():  # terms of the items by directions
         out[term] = [x for _, x in row]
-    u, s, _ = np.linalg.svd(out * idf[:, None], full_matrices=False)
+    u, s, _ = np.linalg.svd(out * weight[:, None], full_matrices=False)
     keep = s[:RANK] > 1e-9 * max(s[0] if len(s) else 0, 1e-300)
     return u[:, :RANK][:, keep], np.sqrt(s[:RANK][keep])
 
@@ -182,45 +189,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
     coded = written(docs.where("text is not null").select("doc_id", "text").mapInPandas(code, f"doc_id {kinds[0]}, ids binary"), "coded")
     held, total = passage_counts(coded, len(vocabulary))
     idf = np.log((1 + total) / (1 + held))
-    u, s = directions(coded, idf)
-    table = np.vstack((idf[:, None] * u / np.maximum(s, 1e-300), np.zeros((1, u.shape[1])))).astype(np.float32)
     coded_items = [np.array([vocabulary[t] for t in ts], np.int64) for _, ts in items]
+    weight = np.where(held <= FREQUENT * total, idf, 0)
+    for c in coded_items:  # an item of frequent words alone is found by the rarest of them
+        if not weight[c].any():
+            rare = c[np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)]]
+            weight[rare] = np.maximum(idf[rare], 1e-6)
+    u, s = directions(coded, weight)
+    table = (weight[:, None] * u / np.maximum(s, 1e-300)).astype(np.float32)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-30)
-    model = spark.sparkContext.broadcast(pickle.dumps((table, unit(np.stack([table[c].sum(0) for c in coded_items])), coded_items, [i for i, _ in items], idf)))
+    queries = unit(np.stack([table[c].sum(0) for c in coded_items]))
+    model = spark.sparkContext.broadcast(pickle.dumps((table, queries, coded_items, [i for i, _ in items], idf)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, queries, item_ids, names, idf = pickle.loads(model.value)
-        answers = [np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)] for c in item_ids]
-        bags = [Counter(c.tolist()) for c in item_ids]
-        unknown, rows = len(table) - 1, []
-        for docs, lens, ids in _some(batches):
-            at = np.minimum(ids, unknown)
-            first = _blocks(lens)
-            n = -(-lens // HALF)
-            block = np.add.reduceat(table[at], first)
-            last = np.cumsum(n) - 1
-            passage = block.copy()
-            inner = np.ones(len(block), bool)
-            inner[last] = False
-            passage[inner] += block[np.flatnonzero(inner) + 1]
+        table, queries, coded_items, names, idf = pickle.loads(model.value)
+        answers = [np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)] for c in coded_items]
+        bags, rows = [Counter(c.tolist()) for c in coded_items], []
+        for docs, lens, blocks, n in _some(batches):
+            sums = _sums(table, blocks)
+            after = np.ones(len(sums), bool)  # blocks with another one of their document after them
+            after[np.cumsum(n) - 1] = False
+            passage = sums.copy()
+            passage[after] += sums[np.flatnonzero(after) + 1]
             near = unit(passage) @ queries.T
-            begin = np.cumsum(lens) - lens
-            doc_of = np.repeat(np.arange(len(docs)), n)
+            begin = HALF * (np.cumsum(n) - n)
+            doc_of, ids = np.repeat(np.arange(len(docs)), n), blocks.ravel()
             best: dict[tuple[int, int], tuple] = {}
-            for p, j in zip(*np.nonzero(near >= cosine), strict=True):
-                d = int(doc_of[p])
-                item = item_ids[j]
-                low = max(first[p] - len(item), begin[d])
-                high = min(first[p] + PASSAGE + len(item), begin[d] + lens[d])
-                around = at[low:high].tolist()
-                bag = bags[j]
-                if sum(min(c, bag[t]) for t, c in Counter(around).items() if t in bag) < matched * len(item):
+            for p, j in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+                d, item = int(doc_of[p]), coded_items[j]
+                low = max(HALF * p - len(item), begin[d])
+                high = min(HALF * p + PASSAGE + len(item), begin[d] + lens[d])
+                around, bag = ids[low:high].tolist(), bags[j]
+                held = Counter(around)
+                if sum(min(held[t], c) for t, c in bag.items() if t in held) < matched * len(item):
                     continue
                 places = common_places(item.tolist(), around)
                 share, answer = len(places) / len(item), sum(k in places for k in answers[j]) / len(answers[j])
                 if share >= matched and answer >= answered:
-                    found = (share, answer, float(near[p, j]), -int(first[p] - begin[d]))
-                    best[d, int(j)] = max(best.get((d, int(j)), found), found)
+                    found = (share, answer, float(near[p, j]), -int(HALF * p - begin[d]))
+                    best[d, j] = max(best.get((d, j), found), found)
             rows += [(docs[d], names[j], a, b, c, -e) for (d, j), (a, b, c, e) in best.items()]
             if len(rows) > 5000:
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "answered", "cosine", "start"])
