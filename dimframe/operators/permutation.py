@@ -19,6 +19,8 @@ from ..core import DimFrame
 
 #: Bytes of a response matrix that may be broadcast.
 BROADCAST_BYTES = 200 << 20
+#: Effects that differ by less than this share are ties: relabellings that swap the groups give the same effect but for rounding.
+TIE = 1e-9
 
 
 def permuted_maxima(cube: DimFrame, relabelled: np.ndarray, ids: Sequence, id_dim: str = "id", by: Sequence[str] = ()) -> DataFrame:
@@ -207,7 +209,7 @@ def tanova_p(effects: DataFrame, keys: Sequence[str]) -> DataFrame:
     seen = effects.where("perm = 0").select(*keys, F.col("effect").alias("obs"))
     rest = effects.where("perm > 0")
     joined = rest.join(seen, list(keys)) if keys else rest.crossJoin(F.broadcast(seen))
-    out = joined.groupBy(*keys, "obs").agg(F.count(F.when(F.col("effect") > F.col("obs"), True)).alias("above"), F.count(F.lit(1)).alias("n"), F.avg("effect").alias("m"), F.stddev_samp("effect").alias("s"))
+    out = joined.groupBy(*keys, "obs").agg(F.count(F.when(F.col("effect") > F.col("obs") * (1 + TIE), True)).alias("above"), F.count(F.lit(1)).alias("n"), F.avg("effect").alias("m"), F.stddev_samp("effect").alias("s"))
     return out.select(*keys, F.col("obs").alias("effect"), ((F.col("above") + 1) / (F.col("n") + 1)).alias("p"), ((F.col("obs") - F.col("m")) / F.nullif("s", F.lit(0.0))).alias("z"))
 
 

@@ -608,7 +608,7 @@ def tanova_effect(spark, d):
 
 
 @query(_TANOVA.replace("avg(value) as m from a join w", "avg(value) as m from (select l_returnflag, l_linenumber, l_suppkey, avg(value) as value from a group by all) a join w") + """, o as (select l_returnflag, effect as obs from x where perm = 0)
-select l_returnflag, round(obs, 6) as effect, round((count(*) filter (where effect > obs) + 1) / (count(*) + 1), 6) as p, round((obs - avg(effect)) / stddev_samp(effect), 5) as z from x join o using (l_returnflag) where perm > 0 group by l_returnflag, obs""")
+select l_returnflag, round(obs, 6) as effect, round((count(*) filter (where effect > obs * (1 + 1e-9)) + 1) / (count(*) + 1), 6) as p, round((obs - avg(effect)) / stddev_samp(effect), 5) as z from x join o using (l_returnflag) where perm > 0 group by l_returnflag, obs""")
 def tanova_p_fixed(spark, d):
     return rounded(rounded(pm.tanova_p(fixed_effects(spark, d), ["l_returnflag"]), "effect", "p"), "z", digits=5)
 
