@@ -169,7 +169,7 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     sizes = local.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_part", before.alias("_before"))
-    return local.join(sizes, "_part").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+    return local.join(F.broadcast(sizes), "_part").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def page_text(pages: DataFrame) -> DataFrame:
     lines = rows.select(key.alias("row"), F.coalesce("url", F.lit("")).alias("url"), "html").mapInPandas(hashes, "row long, url string, lines array<long>")
     host, path = _host_and_path("url")
     lines = written(lines.select("row", host.alias("host"), path.alias("path"), "lines"), "lines")
-    lines = written(numbered(lines, ["host", "path", "row"]), "numbered")
+    lines = numbered(lines, ["host", "path", "row"])
     beside = lambda step, name: lines.select((F.col("place") - step).alias("place"), F.struct("host", "path", "lines").alias(name))
     trio = lines.join(beside(-1, "last"), "place", "left").join(beside(1, "next"), "place", "left")
 
