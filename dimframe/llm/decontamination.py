@@ -36,7 +36,7 @@ FREQUENT = 0.05
 #: Cosine from which a passage is a candidate for an item.
 COSINE = 0.45
 #: Share of an item's words, and of its rarest fifth, that must stand in order in the document.
-MATCHED, ANSWERED = 0.7, 0.7
+MATCHED, ANSWERED = 0.7, 0.5
 UNKNOWN = 65535
 
 
@@ -148,7 +148,8 @@ def directions(coded: DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.nda
                 heads = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
                 total[at[order][heads]] += np.add.reduceat(sums[where[order]], heads)
         at = np.flatnonzero(total.any(1))
-        yield pd.DataFrame({"term": at, "row": list(total[at])})
+        if len(at):
+            yield pd.DataFrame({"term": at, "row": list(total[at])})
 
     summed = coded.mapInPandas(run, "term long, row array<double>").select("term", F.posexplode("row").alias("d", "x")).groupBy("term", "d").agg(F.sum("x").alias("x"))
     summed = summed.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("row"))

@@ -178,9 +178,9 @@ def page_text(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space within a line becomes one
     space, and lines are joined by one space; nothing is capped. A null or empty
     page has an empty text. Pages without a url form one host of their own. A
-    host with one page has no neighbour: the markup alone decides. A neighbour
-    with the very same lines says nothing and does not count, so repeated rows
-    and copies do not delete each other. Rows with null ids are kept. Other
+    host with one page has no neighbour: the markup alone decides. Pages of
+    a host with the same lines count as one, so repeated rows and copies do not
+    delete each other. Rows with null ids are kept. Other
     columns are ignored.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -195,22 +195,27 @@ def page_text(pages: DataFrame) -> DataFrame:
 
     lines = rows.select(key.alias("row"), F.coalesce("url", F.lit("")).alias("url"), "html").mapInPandas(hashes, "row long, url string, lines array<long>")
     host, path = _host_and_path("url")
-    lines = written(lines.select("row", host.alias("host"), path.alias("path"), "lines"), "lines")
-    lines = numbered(lines, ["host", "path", "row"])
-    beside = lambda step, name: lines.select((F.col("place") - step).alias("place"), F.struct("host", "path", "lines").alias(name))
-    trio = lines.join(beside(-1, "last"), "place", "left").join(beside(1, "next"), "place", "left")
+    lines = lines.select("row", host.alias("host"), path.alias("path"), "lines").withColumn("same", F.xxhash64("host", "lines"))
+    lines = written(lines, "lines")
+    # pages of a host with the same lines are one: a copy says nothing about the template
+    single = lines.groupBy("host", "same").agg(F.min("path").alias("path"), F.min("lines").alias("lines"))
+    single = numbered(single, ["host", "path", "same"])
+    beside = lambda step, name: single.select((F.col("place") - step).alias("place"), F.struct("host", "path", "lines").alias(name))
+    trio = single.join(beside(-1, "last"), "place", "left").join(beside(1, "next"), "place", "left")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for row, host, path, own, last, after in zip(b["row"], b["host"], b["path"], b["lines"], b["last"], b["next"], strict=True):
-                near = [x for x in (last, after) if x is not None and x["host"] == host and list(x["lines"]) != list(own)]
+            for same, host, path, own, last, after in zip(b["same"], b["host"], b["path"], b["lines"], b["last"], b["next"], strict=True):
+                near = [x for x in (last, after) if x is not None and x["host"] == host]
                 if near:
                     best = max(near, key=lambda x: _shared_start(path, x["path"]))
-                    out.append((row, sorted(common_places(list(own), list(best["lines"])))))
-            yield pd.DataFrame(out, columns=["row", "shared"])
+                    out.append((same, host, sorted(common_places(list(own), list(best["lines"])))))
+            if out:
+                yield pd.DataFrame(out, columns=["same", "host", "shared"])
 
-    shared = trio.mapInPandas(compare, "row long, shared array<int>").groupBy("row").agg(F.min("shared").alias("shared"))
+    shared = trio.mapInPandas(compare, "same long, host string, shared array<int>")
+    shared = lines.select("row", "host", "same").distinct().join(shared, ["host", "same"]).groupBy("row").agg(F.min("shared").alias("shared"))
     shared = shared.withColumnRenamed("row", "_row")
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

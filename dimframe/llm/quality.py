@@ -74,8 +74,9 @@ class OrdinalModel:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, passes: int = 6, rate: float = 0.25, sparsity: float = 5.0) -> OrdinalModel:
-        """Follow-the-regularised-leader with L1, one text at a time; ``sparsity`` silences words seen now and then."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, passes: int = 8, rate: float = 0.25, sparsity: float | None = None) -> OrdinalModel:
+        """Follow-the-regularised-leader with L1, one text at a time; ``sparsity`` silences words seen now and then, the more the more rows there are."""
+        sparsity = min(5.0, max(2.0, 5.0 * (len(rows) / 8000) ** 0.5)) if sparsity is None else sparsity
         z, n, t = np.zeros(PLACES), np.zeros(PLACES), np.linspace(-1.0, 1.0, GRADES - 1)
         order = np.random.default_rng(7)
 
