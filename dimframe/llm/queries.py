@@ -66,4 +66,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (op1_token_counts, op2_near_duplicates, op3_nearest, op4_quality, op5_secret_scan, op6_page_text, op7_repeats, op8_line_dedup, op9_packing, op10_decontamination)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLES: dict[str, str] = {}
+OP7_SQL = r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50)),
+m as (select h, min(doc_id) as f from g group by h),
+x as (select distinct doc_id, unnest(range(s, s + 50)) as k from g join m using (h) where f < doc_id),
+k as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d),
+r as (select doc_id, string_agg(word, ' ' order by k) as t, count(*) as n from k anti join x using (doc_id, k) group by doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(r.n, 0) as n_removed, sha256(coalesce(r.t, '')) as kept_sha256 from d left join r using (doc_id)"""
+#: The other operators have no SQL: tokenisers, sketches, models, alignments and packing are tested against brute force.
+ORACLES: dict[str, str] = {"op7_repeats": OP7_SQL}
