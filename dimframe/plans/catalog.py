@@ -22,6 +22,7 @@ from ..operators import artifacts as ar
 from ..operators import contrasts as co
 from ..operators import convert as cv
 from ..operators import permutation as pm
+from ..operators import results as rs
 from ..operators import sequence as sq
 from ..operators import shape as sh
 from ..operators import ttest as tt
@@ -640,6 +641,26 @@ def tfce_permutations(spark, d):
     return pm.tfce_permutations(cube_b10(spark, d), NEIGHBOURS, {k: k % 2 for k in range(10)}, 49)
 
 
+@query()
+def anova_permuted(spark, d):
+    y = ag.avg_dims(cube_a(spark, d), "l_linestatus")
+    few = sh.subset(y, l_suppkey=lambda c: c < 10)  # a study of ten subjects
+    return rs.anova_permuted(few, None, within=["l_returnflag"], n=19, id_dim="l_suppkey")
+
+
+@query()
+def peak_anova(spark, d):
+    b = cube_b10(spark, d)
+    return rs.peak_anova(ag.avg_dims(b.but(b.df.withColumn("part", F.pmod("time", F.lit(2))), [*b.dims, Dim("part")]), "chan"), None, 2, 20, within=["part"])
+
+
+@query(f"with {B_SQL}, p as (select chan, time, id, value / 200 as p from b), c as (select *, case when p <= 0.3 then 1 else 0 end + case when p <= 0.2 then 1 else 0 end as code from p) select chan, time, id, cast(greatest(code, coalesce(lead(code) over (partition by chan, id order by time), 0)) as int) as code from c where time between 3 and 20")
+def p_codes(spark, d):
+    b = cube_b(spark, d)
+    r = rs.extract(b.df.select("chan", "time", "id", (F.col("value") / 200).alias("p"), F.lit(1.0).alias("stat")), ["p"], window=(3, 20))
+    return rs.p_codes(r, "p", [0.3, 0.2], ["chan", "id"], shift=True).drop("p")
+
+
 # ---- geometry
 
 _POS = "p as (select c_custkey as k, (c_custkey * 37 % 1790) / 10.0 as theta, (c_custkey * 91 % 3600) / 10.0 - 180 as phi from customer)"

@@ -196,3 +196,20 @@ def test_contrast_names():
 def test_bins_drop_the_tail(spark):
     cube = from_values(spark, [float(v) for v in range(7)], {"time": list(range(7))})
     assert sorted(map(tuple, aggregate.avg_bin(cube, "time", 3).long().collect())) == [(1.0, 1.0), (4.0, 4.0)]
+
+
+def test_example_and_pipeline(spark):
+    from dimframe.operators.results import anova_permuted
+    from dimframe.plans.transform import global_field_power_table, transform
+    from dimframe.sources.example import example_cube, example_subjects
+
+    cube = example_cube(spark, channels=4, first=0, last=400, step=100, subjects=6)
+    assert cube.df.count() == 3 * 3 * 4 * 5 * 6 and cube.df.where("value is null").count() == 0
+    groups = {r["id"]: r["group"] for r in example_subjects(spark, 6).collect()}
+    table = global_field_power_table(cube, groups=groups)
+    assert table.count() == 2 * 3 * 3 * 5
+    wide = transform(cube, average=["id", "time"], where={"chan": ["E01", "E02"]}, measures=("chan", ["E01", "E02"]))
+    assert wide.columns == ["stimclass", "pairtype", "value.chan_E01", "value.chan_E02"] and wide.count() == 9
+    small = shape.subset(cube, drop=True, pairtype="ident", time=100)
+    out = anova_permuted(small, example_subjects(spark, 6), ["group"], ["stimclass"], n=9).collect()
+    assert len(out) == 4 * 3 and all(0.1 <= r["p_corr"] <= 1 for r in out)
