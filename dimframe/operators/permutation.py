@@ -44,6 +44,17 @@ def group_maxima(cube: DimFrame, table: DataFrame, id_dim: str = "id", by: Seque
     return stats.groupBy("perm", *by).agg(F.max(F.abs("stat")).alias("most"))
 
 
+def sign_maxima(cube: DimFrame, signs: np.ndarray, ids: Sequence, id_dim: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """The largest absolute one-sample t over all cells of each combination of ``by``, for each row of signs of ``ids``."""
+    spark = cube.df.sparkSession
+    rows = [(p, i, int(g)) for p, row in enumerate(signs) for i, g in zip(ids, row, strict=True)]
+    kind = cube.df.schema[id_dim].dataType.simpleString()
+    table = spark.createDataFrame(rows, f"perm int, `{id_dim}` {kind}, g int")
+    v = F.col("g") * F.col(cube.value)
+    cells = cube.df.join(table, id_dim).groupBy("perm", *cube.others(id_dim)).agg((F.avg(v) / F.nullif(F.stddev_samp(v), F.lit(0.0)) * F.sqrt(F.count(v))).alias("stat"))
+    return cells.groupBy("perm", *by).agg(F.max(F.abs("stat")).alias("most"))
+
+
 def _pooled_t(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     v = F.col(value)
     one = [F.when(F.col("g") == k, v) for k in (1, 2)]
@@ -219,15 +230,14 @@ def tanova(cube: DimFrame, group: str, groups: dict, n: int, seed: int = 1, kind
     The relabellings, as rows (perm, id, level), join the cells, so permutations
     are aggregated like any other dimension.
     """
-    from .ttest import random_groups
+    from .ttest import random_groups, random_labels
 
     spark = cube.df.sparkSession
     ids = sorted(groups)
     levels = sorted(set(groups.values()))
-    if len(levels) != 2:
-        raise ValueError("two levels are needed")
     labels = [levels.index(groups[i]) + 1 for i in ids]
-    rows = [(p, i, levels[int(g) - 1]) for p, row in enumerate([labels, *random_groups(labels, n, seed)]) for i, g in zip(ids, row, strict=True)]
+    relabelled = random_groups(labels, n, seed) if len(levels) == 2 else random_labels(labels, n, seed)
+    rows = [(p, i, levels[int(g) - 1]) for p, row in enumerate([labels, *relabelled]) for i, g in zip(ids, row, strict=True)]
     kind_of = lambda v: "string" if isinstance(v, str) else "long"
     table = spark.createDataFrame(rows, f"perm int, `{id_dim}` {cube.df.schema[id_dim].dataType.simpleString()}, `{group}` {kind_of(levels[0])}")
     effects = tanova_effect(cube.but(cube.df.join(table, id_dim)), group, chan, id_dim, kind, keys=["perm"])

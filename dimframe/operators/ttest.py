@@ -88,6 +88,23 @@ def random_groups(labels: list[int], n: int, seed: int | None = None) -> np.ndar
     return np.array(out)
 
 
+def random_labels(labels: list, n: int, seed: int | None = None) -> np.ndarray:
+    """``n`` distinct rearrangements of any labels, none as observed; more than exist is an error."""
+    labels, rng = np.asarray(labels), np.random.default_rng(seed)
+    most = math.factorial(len(labels))
+    for c in np.unique(labels, return_counts=True)[1]:
+        most //= math.factorial(int(c))
+    if n > most - 1:
+        raise ValueError(f"{n} permutations asked for, {most - 1} exist")
+    seen, out = {labels.tobytes()}, []
+    while len(out) < n:
+        row = rng.permutation(labels)
+        if row.tobytes() not in seen:
+            seen.add(row.tobytes())
+            out.append(row)
+    return np.array(out)
+
+
 def random_signs(size: int, n: int, seed: int | None = None) -> np.ndarray:
     """``n`` distinct rows of signs, none all positive; more than exist is an error."""
     rng, most = np.random.default_rng(seed), 2**size - 1

@@ -213,3 +213,17 @@ def test_example_and_pipeline(spark):
     small = shape.subset(cube, drop=True, pairtype="ident", time=100)
     out = anova_permuted(small, example_subjects(spark, 6), ["group"], ["stimclass"], n=9).collect()
     assert len(out) == 4 * 3 and all(0.1 <= r["p_corr"] <= 1 for r in out)
+
+
+def test_signs_and_labels(spark):
+    rng = np.random.default_rng(4)
+    cube = from_values(spark, rng.normal(size=24).tolist(), {"id": list(range(8)), "chan": ["a", "b", "c"]})
+    ones = permutation.sign_maxima(cube, np.ones((1, 8), int), list(range(8))).first()["most"]
+    assert ones == pytest.approx(max(abs(r["stat"]) for r in ttest.ttest_one(cube, with_p=False).collect()))
+    rows = ttest.random_labels([1, 1, 2, 2, 3, 3], 89, 1)
+    assert len({r.tobytes() for r in rows}) == 89
+    with pytest.raises(ValueError):
+        ttest.random_labels([1, 1, 2, 2, 3, 3], 90, 1)
+    time = from_values(spark, rng.normal(size=6 * 3 * 2).tolist(), {"id": list(range(6)), "chan": ["a", "b", "c"], "time": [0, 1]})
+    out = permutation.tanova(time, "g", {i: i % 3 for i in range(6)}, 20).collect()
+    assert len(out) == 2 and all(1 / 21 <= r["p"] <= 1 for r in out)
