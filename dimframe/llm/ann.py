@@ -167,7 +167,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 1.
         q = Quantiser.fit(_matrix(b["vector"]), lists)
         yield pd.DataFrame({"model": [pickle.dumps((q.centroids, q.books, q.price))]})
 
-    model = sample.select("cls", "vector").coalesce(1).mapInPandas(fit, "model binary").first()["model"]
+    model = sample.select("cls", "vector").repartition(1).mapInPandas(fit, "model binary").first()["model"]
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = Quantiser(*pickle.loads(model))
