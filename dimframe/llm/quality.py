@@ -168,7 +168,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         yield pd.DataFrame({"model": [pickle.dumps((at.astype(np.int32), model.weights[at], model.thresholds))]})
 
     made = rows.select("_id", "text", "_grade").mapInPandas(read, "id string, grade int, at array<int>, x array<float>")
-    at, values, thresholds = pickle.loads(made.coalesce(1).mapInPandas(fit, "model binary").first()["model"]) if n else (np.zeros(0, int), np.zeros(0), np.linspace(-1, 1, GRADES - 1))
+    at, values, thresholds = pickle.loads(made.repartition(1).mapInPandas(fit, "model binary").first()["model"]) if n else (np.zeros(0, int), np.zeros(0), np.linspace(-1, 1, GRADES - 1))
     weights = np.zeros(PLACES, np.float32)
     weights[at] = values
     return OrdinalModel(weights, thresholds)
