@@ -1,14 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-A line can align two documents if it is rare in both: it occurs once in each.
-Every such line has a first holder, the earliest document with it; a later
-document is aligned with the first holders of its lines, so each line of a
-document is compared once, however many documents share it. As the lines'
-places in both documents come with them, no document is fetched for a partner.
-The alignment is patience diff: of the common lines, taken in the order of the
-later document, the longest chain that is in order in the earlier one as well.
-Aligned lines are deleted from the later document, and so are lines without
-text between two deleted neighbours.
+A later document is aligned with earlier ones that share lines with it. The
+alignment is patience diff: anchors are the common lines of some length that
+occur once in either document; of these, taken in the order of the later
+document, the longest chain that is in order in the earlier one as well is kept,
+and every anchor of the chain is extended forwards and backwards over equal
+lines of any length and count. The whole blocks are deleted from the later
+document, and so are lines without text between two deleted neighbours.
+
+Partners come from features: long lines, and long lines together with the line
+after or before them. A line of a document can only be deleted by a holder of
+one of its features: a long line that the document holds once has itself; any
+other line is reached by extension from a line of that kind, so it has the pairs
+of the lines of that kind around it with their neighbours. Each feature's
+holders are numbered by document. All documents are aligned with the first holders of
+their features; for lines left over, the next holders follow round by round,
+until no line is left over or no holder is left.
 """
 
 from __future__ import annotations
@@ -16,15 +23,18 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import empty_text, written
+from .common import empty_text, mix, written
 
 #: Characters that a line has at least, without white space around it, to align documents.
 LEAST_CHARS = 20
+#: Holders of a feature that are tried in one round at most; a round's partners of a document are in one task at once.
+MOST_RANKS = 16
 
 
 def longest_chain(values: list[int]) -> list[int]:
@@ -48,34 +58,139 @@ def longest_chain(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_places(shared: list[tuple[int, int, int]]) -> list[int]:
-    """Places to delete, from (owner, place, place in the owner) of the shared lines."""
-    by_owner: dict[int, list[tuple[int, int]]] = {}
-    for owner, place, other in shared:
-        by_owner.setdefault(owner, []).append((place, other))
-    out: list[int] = []
-    for pairs in by_owner.values():
-        pairs.sort()
-        out += [pairs[k][0] for k in longest_chain([b for _, b in pairs])]
-    return sorted(out)
+def aligned_places(mine: np.ndarray, others: list[np.ndarray], gone: np.ndarray) -> np.ndarray:
+    """Places of ``mine`` in blocks aligned with ``others`` one after the other, with those already ``gone``.
+
+    Documents are digests of lines, odd for lines that may be anchors, 0 between texts. Each other one is aligned by the
+    anchors not yet gone, so that those gone do not stand in the way, and then by all, which reach the lines around them.
+    """
+    left = mine != 0
+    left[gone] = False
+    once = _once(mine)
+    for other in others:
+        common = np.intersect1d(once, _once(other), assume_unique=True)
+        at = np.flatnonzero(np.isin(mine, common))
+        order = np.argsort(other, kind="stable")
+        to = order[np.searchsorted(other, mine[at], sorter=order)]
+        some = left[at]
+        if some.any():
+            left[_blocks(mine, other, at[some], to[some])] = False
+        if len(at) and not some.all() and left.any():
+            left[_blocks(mine, other, at, to)] = False
+    return np.flatnonzero(~left & (mine != 0))
+
+
+def _blocks(mine: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> list[int]:
+    """Places of the longest chain of the anchors at ``at`` and ``to``, extended over equal lines."""
+    chain = longest_chain(to.tolist())
+    at, to, x, y = at[chain].tolist(), to[chain].tolist(), mine.tolist(), other.tolist()
+    out, low, under = [], -1, -1  # the last lines used in both
+    for k, (p, q) in enumerate(zip(at, to, strict=True)):
+        a, b = p, q
+        while a - 1 > low and b - 1 > under and x[a - 1] == y[b - 1] != 0:
+            a, b = a - 1, b - 1
+        high, over = (at[k + 1], to[k + 1]) if k + 1 < len(at) else (len(x), len(y))
+        while p + 1 < high and q + 1 < over and x[p + 1] == y[q + 1] != 0:
+            p, q = p + 1, q + 1
+        out += range(a, p + 1)
+        low, under = p, q
+    return out
+
+
+def _once(digests: np.ndarray) -> np.ndarray:
+    """The odd digests that occur once."""
+    values, n = np.unique(digests, return_counts=True)
+    return values[(n == 1) & (values & 1 == 1)]
+
+
+def features(digests: np.ndarray, keys: np.ndarray, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, asked) of a document's features; asked are those of lines that are not ``gone`` by which a partner is looked for."""
+    n, wide = len(digests), (digests & 1).astype(bool)
+    left = np.ones(n, bool)
+    if gone is not None:
+        left[gone] = False
+    left &= digests != 0
+    anchor = np.isin(digests, _once(digests))
+    k = keys.view(np.uint64)
+    # the nearest anchors before and after each line, of the same text
+    place, gaps = np.arange(n), digests == 0
+    before = np.maximum.accumulate(np.where(anchor | gaps, place, -1))
+    after = np.minimum.accumulate(np.where(anchor | gaps, place, n)[::-1])[::-1]
+    rest = np.flatnonzero(left & ~anchor)
+    forth, back = before[rest], after[rest]
+    ahead, behind = np.zeros(n, bool), np.zeros(n, bool)
+    ahead[forth[forth >= 0]] = True
+    behind[back[back < n]] = True
+    one = np.flatnonzero(wide)
+    to, of = one[one + 1 < n], one[one > 0]
+    to, of = to[digests[to + 1] != 0], of[digests[of - 1] != 0]
+    key = np.r_[mix(k[one]), mix(mix(k[to] + np.uint64(1)) * np.uint64(3) + k[to + 1]), mix(mix(k[of] + np.uint64(2)) * np.uint64(5) + k[of - 1])].view(np.int64)
+    ask = np.r_[(anchor & left)[one], (anchor & ahead)[to], (anchor & behind)[of]]
+    # each key once, asked if any of its places is
+    order = np.lexsort((~ask, key))
+    first = order[np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]][: len(key)])]
+    return key[first], ask[first]
+
+
+def coded_lines(docs: DataFrame, least_chars: int) -> DataFrame:
+    """doc, texts: for every id its texts, in the order of their digests t, each with digests h of its lines (odd: long ones) and keys k."""
+    clean = F.transform(F.split("text", "\n"), lambda s: F.trim(F.translate(s, "\r\t", "  ")))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), clean.alias("lines"))
+    digest = lambda s: F.xxhash64(F.lit(1), s)
+    h = F.transform("lines", lambda s: F.when(F.length(s) >= least_chars, digest(s).bitwiseOR(F.lit(1))).otherwise(digest(s).bitwiseAND(F.lit(-2))))
+    rows = rows.select("doc", F.struct("t", h.alias("h"), F.transform("lines", lambda s: F.xxhash64(s)).alias("k")).alias("text"))
+    texts = rows.groupBy("doc").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    # a 0 stands between the texts of one id
+    laid = lambda c: F.flatten(F.transform("texts", lambda x: F.concat(x[c], F.array(F.lit(0).cast("long")))))
+    return texts.select("doc", laid("h").alias("h"), laid("k").alias("k"), F.transform("texts", lambda x: F.struct(x["t"].alias("t"), F.size(x["h"]).alias("n"))).alias("texts"))
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc, places: the lines of each document that are aligned with an earlier one (documents without any have no row)."""
-    order = F.col("doc_id").cast("long").alias("doc")
-    lines = docs.where("doc_id is not null and text is not null").select(order, F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"[\r\t]", " "))).where(F.length("line") >= least_chars)
-    once = lines.groupBy(F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"), "doc").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")).where("n = 1").drop("n")
-    once = written(once, "lines")
-    owners = once.groupBy("x", "y").agg(F.min(F.struct("doc", "place")).alias("o"), F.max("doc").alias("last")).where("o.doc < last")
-    owners = owners.select("x", "y", F.col("o.doc").alias("owner"), F.col("o.place").alias("other"))
-    shared = once.join(owners, ["x", "y"]).where("doc > owner").groupBy("doc").agg(F.collect_list(F.struct("owner", "place", "other")).alias("shared"))
+    """doc, t, places: the lines of each text (t is its xxhash64) that are aligned with an earlier document (texts without any have no row)."""
+    coded = written(coded_lines(docs, least_chars), "lines")
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def feature(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "places": [aligned_places([(s["owner"], s["place"], s["other"]) for s in x]) for x in b["shared"]]})
+            gone = b["gone"] if "gone" in b else [None] * len(b)
+            parts = [features(np.asarray(h), np.asarray(k), g if g is None else np.asarray(g, np.int64)) for h, k, g in zip(b["h"], b["k"], gone, strict=True)]
+            n = [len(k) for k, _ in parts]
+            out = pd.DataFrame({"key": np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)]), "doc": np.repeat(b["doc"].to_numpy(), n), "ask": np.concatenate([np.zeros(0, bool), *(a for _, a in parts)])})
+            yield out[out["ask"]] if "gone" in b else out
 
-    return shared.mapInPandas(align, "doc long, places array<int>")
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            places = [aligned_places(np.asarray(h), [np.asarray(x["other"]) for x in others], np.asarray(g, np.int64)) for h, others, g in zip(b["h"], b["others"], b["gone"], strict=True)]
+            yield pd.DataFrame({"doc": b["doc"], "places": places})
+
+    every = written(coded.select("doc", "h", "k").mapInPandas(feature, "key long, doc long, ask boolean"), "features")
+    shared = every.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max(F.when(F.col("ask"), F.col("doc"))).alias("c")).where("a < b and a < c").select("key")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+    holders = written(every.join(shared, "key").withColumn("r", rank), "holders")
+    asking = holders.where("ask and r > 1").select("key", "doc", "r")
+    none = F.array().cast("array<int>")
+    low, high, cut = 0, 1, None
+    while True:
+        partners = holders.where((F.col("r") > low) & (F.col("r") <= high)).select("key", F.col("doc").alias("owner"), F.col("r").alias("at"))
+        pairs = asking.join(partners, "key").where("at < r").select("doc", "owner").distinct()
+        pairs = pairs.join(coded.select(F.col("doc").alias("owner"), F.col("h").alias("other")), "owner")
+        # every document once, with its partners in order
+        found = pairs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("owner", "other"))).alias("others")).join(coded.select("doc", "h"), "doc")
+        found = found.withColumn("gone", none) if cut is None else found.join(cut.withColumnRenamed("places", "gone"), "doc", "left").withColumn("gone", F.coalesce("gone", none))
+        found = written(found.select("doc", "h", "others", "gone").mapInPandas(align, "doc long, places array<int>"), "aligned")
+        cut = found if cut is None else written(found.union(cut.join(found, "doc", "left_anti")), "aligned")
+        more = holders.where((F.col("r") > high + 1) & F.col("ask"))
+        if more.isEmpty():
+            break
+        rest = coded.join(more.select("doc").distinct(), "doc", "left_semi").join(cut.withColumnRenamed("places", "gone"), "doc", "left").select("doc", "h", "k", F.coalesce("gone", none).alias("gone"))
+        asking = written(more.select("key", "doc", "r").join(rest.mapInPandas(feature, "key long, doc long, ask boolean").select("key", "doc"), ["key", "doc"]), "left")
+        if asking.isEmpty():
+            break
+        low, high = high, high + min(high, MOST_RANKS)
+    # from places in an id's texts end to end to those in each text
+    start = F.aggregate(F.slice("texts", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + x["n"] + 1)
+    each = coded.select("doc", "texts").join(cut, "doc").select("doc", "places", "texts", F.posexplode("texts").alias("i", "text")).select("doc", F.col("text.t").alias("t"), F.col("text.n").alias("n"), start.alias("start"), "places")
+    each = each.select("doc", "t", F.transform(F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))), lambda p: p - F.col("start")).alias("places"))
+    return each.where(F.size("places") > 0).groupBy("doc", "t").agg(F.first("places").alias("places"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]))
@@ -100,15 +215,15 @@ def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Every row of ``docs`` with its ``text`` without the lines deleted, and n_lines, n_removed, removed (their places, from 0).
 
     Lines end at a newline. A text that is null, or loses nothing, stays as it
-    is (null has no lines). Lines that occur twice in a document, short lines
-    and lines out of order with the partner stay. Rows with equal ids are one
-    document here; rows with a null id lose nothing and cost nothing. Columns
+    is (null has no lines). Lines that occur twice in a document and short lines
+    go only next to other lines of an aligned block; lines out of order with
+    every partner stay. Rows with equal ids are one document here; rows with a null id lose nothing and cost nothing. Columns
     n_lines, n_removed and removed of ``docs`` are replaced, other columns stay.
     """
     docs = docs.drop("n_lines", "n_removed", "removed")
     places = repeated_lines(docs, least_chars)
     # whatever the columns are called, they travel as one
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), "text").join(places, F.col("id") == F.col("doc"), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("digest"), "text").join(places, (F.col("id") == F.col("doc")) & (F.col("digest") == F.col("t")), "left")
     # Python gets the texts that lose lines, and no others
     rows = rows.withColumn("cut", without(F.when(F.col("places").isNotNull(), F.col("text")), F.col("places")))
     rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))

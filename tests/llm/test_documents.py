@@ -336,3 +336,28 @@ def test_decontamination(spark, odd_docs, no_docs):
 def test_columns_of_documents_may_clash(odd_docs):
     out = line_dedup.line_dedup(odd_docs)
     assert set(odd_docs.columns) <= set(out.columns) and out.select(F.max("lang")).first()[0] is None
+
+
+def lines_left(spark, texts):
+    rows = line_dedup.line_dedup(spark.createDataFrame(list(texts), "doc_id long, text string")).select("doc_id", "text", "removed").collect()
+    return {(r["doc_id"], r["text"]): r["removed"] for r in rows}
+
+
+def test_lines_align_with_later_holders_and_whole_blocks(spark):
+    """Lines that the first holder has in another order go by a later holder's; copies go whole, whatever their lines."""
+    a, b, c, d, e = (f"a long line of prose, number {k}" for k in range(5))
+    crossed = {1: [b, a], 2: [a, b, c], 3: [a, b, c]}
+    got = lines_left(spark, [(i, "\n".join(v)) for i, v in crossed.items()])
+    assert got[3, ""] == [0, 1, 2] and len(got[2, f"{a}\n{c}" if (2, f"{a}\n{c}") in got else f"{b}\n{c}"]) == 1
+    # many holders in the other order before one in this order
+    far = [(k, "\n".join([b, a])) for k in range(1, 8)] + [(8, f"{a}\n{b}\nx"), (9, f"{a}\n{b}\nx")]
+    assert lines_left(spark, far)[9, ""] == [0, 1, 2]
+    mixed = [d, "short", "", "", e, "twice, a line of prose as long", "twice, a line of prose as long", "end"]
+    got = lines_left(spark, [(1, "\n".join(mixed)), (2, "\n".join(mixed)), (3, f"{e}\ntwice, a line of prose as long\nother")])
+    assert got[2, ""] == list(range(8)) and got[3, "other"] == [0, 1]
+    # short lines between lines of two other documents
+    got = lines_left(spark, [(1, a), (2, b), (3, f"{a}\nshort\n{b}"), (4, f"{a}\nshort\n{b}")])
+    assert got[3, "short"] == [0, 2] and got[4, ""] == [0, 1, 2]
+    # rows of one id lose their own lines
+    got = lines_left(spark, [(1, a), (2, f"x\n{a}"), (2, f"{b}\n{c}\ny")])
+    assert got == {(1, a): [], (2, "x"): [1], (2, f"{b}\n{c}\ny"): []}
