@@ -168,37 +168,40 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space), and with ``with_text`` the kept words as text. A null text has no
     words. Texts shorter than a window lose nothing. Rows with equal ids count
-    as one document and take nothing from each other; a null id is larger than
+    as one document and take nothing from each other, and each loses what its own
+    text repeats; a null id is larger than
     all others. Columns other than doc_id and text are ignored. ``window`` is at
     least 2 * MARGIN + 2 * LONGEST - 1 = 47.
     """
     if window < 2 * MARGIN + 2 * LONGEST - 1:
         raise ValueError("the window is too short for these steps")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
+    # a row is known by its document and its text's digest: rows of one document may have different texts
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
+    row = ["doc", "key"]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = b["doc"].to_numpy()
+            ids, keys = b["doc"].to_numpy(), b["key"].to_numpy()
             for first, w, lens in _together(b["text"].tolist()):
                 doc, _, name = anchors(w, lens, window)
                 new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])][: len(name)])
-                yield pd.DataFrame({"anchor": name[new].view(np.int64), "doc": ids[first + doc[new]]})
+                yield pd.DataFrame({"anchor": name[new].view(np.int64), "doc": ids[first + doc[new]], "key": keys[first + doc[new]]})
 
-    found = written(rows.select(order, "text").where("text is not null").mapInPandas(find, "anchor long, doc long"), "anchors")
+    found = written(rows.select(order, "key", "text").where("text is not null").mapInPandas(find, "anchor long, doc long, key long"), "anchors")
     least = found.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("anchor")
-    shared = found.join(least, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("shared"))
+    shared = found.join(least, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("shared"))
     # an exact copy of an earlier text is removed whole: it need not show its windows, as the first one does
-    copies = rows.where(F.length("text") > window).select(order, F.sha2("text", 256).alias("text_sha"))
+    copies = rows.where(F.length("text") > window).select(order, "key", F.sha2("text", 256).alias("text_sha"))
     first = copies.groupBy("text_sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    later = copies.join(first, "text_sha").where("doc > first").select("doc", F.lit(True).alias("copied")).distinct()
-    known = written(shared.join(later, "doc", "full").withColumnRenamed("doc", "_doc"), "shared")
+    later = copies.join(first, "text_sha").where("doc > first").select(*row, F.lit(True).alias("copied")).distinct()
+    known = written(shared.join(later, row, "full").withColumnsRenamed({"doc": "_doc", "key": "_key"}), "shared")
     texts = rows.withColumn("doc", order)
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, sets = b["doc"].to_numpy(), b["shared"].tolist()
+            ids, keys, sets = b["doc"].to_numpy(), b["key"].to_numpy(), b["shared"].tolist()
             for first, w, lens in _together(b["text"].tolist()):
                 doc, place, name = anchors(w, lens, window)
                 begin, cut = np.cumsum(lens) - lens, np.searchsorted(doc, np.arange(len(lens) + 1))
@@ -207,14 +210,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
                     at = place[mine][np.isin(name[mine], np.asarray(sets[first + k], np.int64).view(np.uint64))]
                     if len(at):
                         x, y = window_digests(w[begin[k] : begin[k] + lens[k]], window)
-                        yield pd.DataFrame({"x": x[at], "y": y[at], "doc": ids[first + k], "place": at.astype(np.int32)})
+                        yield pd.DataFrame({"x": x[at], "y": y[at], "doc": ids[first + k], "key": keys[first + k], "place": at.astype(np.int32)})
 
-    joined = texts.join(known, F.col("doc") == F.col("_doc"), "left")
-    shown = joined.where("shared is not null and copied is null").select("doc", "text", "shared").mapInPandas(show, "x long, y long, doc long, place int")
+    joined = texts.join(known, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    shown = joined.where("shared is not null and copied is null").select("doc", "key", "text", "shared").mapInPandas(show, "x long, y long, doc long, key long, place int")
     shown = written(shown, "windows")
     earliest = shown.groupBy("x", "y").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    repeated = shown.join(earliest.select("x", "y", "first"), ["x", "y"]).where("doc > first").groupBy("doc").agg(F.collect_set("place").alias("places"))
-    marks = repeated.join(later, "doc", "full").withColumnRenamed("doc", "_doc")
+    repeated = shown.join(earliest.select("x", "y", "first"), ["x", "y"]).where("doc > first").groupBy(*row).agg(F.collect_set("place").alias("places"))
+    marks = repeated.join(later, row, "full").withColumnsRenamed({"doc": "_doc", "key": "_key"})
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -237,5 +240,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
             made["doc_id"] = made["doc_id"].astype(b["doc_id"].dtype)
             yield made
 
-    final = texts.join(marks, F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "places", "copied")
+    final = texts.join(marks, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "text", "places", "copied")
     return final.mapInPandas(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)

@@ -361,3 +361,10 @@ def test_lines_align_with_later_holders_and_whole_blocks(spark):
     # rows of one id lose their own lines
     got = lines_left(spark, [(1, a), (2, f"x\n{a}"), (2, f"{b}\n{c}\ny")])
     assert got == {(1, a): [], (2, "x"): [1], (2, f"{b}\n{c}\ny"): []}
+
+
+def test_repeats_of_rows_with_equal_ids(spark):
+    """Rows of one id, or without one, lose what their own texts repeat."""
+    rows = [(1, prose(120, 41)), (None, prose(120, 41)), (None, prose(90, 42)), (None, prose(200, 43)), (2, prose(150, 44)), (3, "start " + prose(150, 44)), (3, prose(60, 45)), (3, prose(170, 46)), (None, prose(30, 47) + " " + prose(150, 44))]
+    got = sorted((tuple(r) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=key)
+    assert got == brute_repeats(rows) and sum(r[2] for r in got) == 120 + 150 + 150
