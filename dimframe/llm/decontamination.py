@@ -6,7 +6,8 @@ terms that many passages hold weigh nothing. A
 randomised SVD finds the leading directions of the passage-term matrix A: every
 task adds up its rows' part of A'(A R) for a random matrix R, and the sum, terms
 by directions, is small. Passages and items become vectors over whitened
-directions; pairs of high cosine are candidates. A candidate is confirmed by the
+directions; an item longer than a passage has also one for each of its own
+passages. Pairs of high cosine are candidates. A candidate is confirmed by the
 longest common subsequence of words between the item and the document around the
 passage, and by the item's answer: its rarest words must be among those matched.
 """
@@ -37,7 +38,8 @@ FREQUENT = 0.05
 COSINE = 0.45
 #: Share of an item's words, and of its rarest fifth, that must stand in order in the document.
 MATCHED, ANSWERED = 0.7, 0.5
-UNKNOWN = 65535
+#: The id of words that are no terms: larger than any term's.
+UNKNOWN = 2**32 - 1
 
 
 def terms(text: str | None) -> list[str]:
@@ -63,7 +65,7 @@ class Ids(dict):
     def of(self, text: str | None) -> np.ndarray:
         ws = words(text)
         ids = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
-        return ids[ids >= 0].astype(np.uint16)
+        return ids[ids >= 0].astype(np.uint32)
 
 
 def _some(batches: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,7 +78,7 @@ def _some(batches: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[tuple
     def laid() -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         lens = np.array([len(p) for p in parts])
         n = 2 * -(-lens // PASSAGE)
-        blocks = np.full(n.sum() * HALF, UNKNOWN, np.uint16)
+        blocks = np.full(n.sum() * HALF, UNKNOWN, np.uint32)
         shift = HALF * (np.cumsum(n) - n) - (np.cumsum(lens) - lens)
         blocks[np.arange(lens.sum()) + np.repeat(shift, lens)] = np.concatenate(parts)
         return docs, lens, blocks.reshape(-1, HALF), n
@@ -84,7 +86,7 @@ def _some(batches: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[tuple
     docs, parts, total = [], [], 0
     for b in batches:
         for doc, raw in zip(b["doc_id"], b["ids"], strict=True):
-            ids = np.frombuffer(raw, np.uint16)
+            ids = np.frombuffer(raw, np.uint32)
             if len(ids):
                 docs.append(doc)
                 parts.append(ids)
@@ -111,12 +113,12 @@ def passage_counts(coded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """How many passages of the corpus hold each term, and how many passages there are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = np.zeros(UNKNOWN + 1, np.int64), 0
+        held, total = np.zeros(n_terms + 1, np.int64), 0
         for _, lens, blocks, _ in _some(batches):
             total += int((-(-lens // PASSAGE)).sum())
-            passages = np.sort(blocks.reshape(-1, PASSAGE), axis=1)
-            held += np.bincount(passages[:, 0], minlength=UNKNOWN + 1)
-            held += np.bincount(passages[:, 1:][passages[:, 1:] != passages[:, :-1]], minlength=UNKNOWN + 1)
+            passages = np.sort(np.minimum(blocks, n_terms).reshape(-1, PASSAGE), axis=1)
+            held += np.bincount(passages[:, 0], minlength=n_terms + 1)
+            held += np.bincount(passages[:, 1:][passages[:, 1:] != passages[:, :-1]], minlength=n_terms + 1)
         at = np.flatnonzero(held[:n_terms])
         yield pd.DataFrame({"term": np.r_[at, -1], "n": np.r_[held[at], total]})
 
@@ -161,6 +163,12 @@ def directions(coded: DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.nda
     return u[:, :RANK][:, keep], np.sqrt(s[:RANK][keep])
 
 
+def item_passages(item: np.ndarray) -> list[np.ndarray]:
+    """An item, and if it is longer than a passage its passages too; documents' begin at every half, so one is never off by more than a quarter."""
+    n = len(item)
+    return [item] if n <= PASSAGE else [item, *(item[a : a + PASSAGE] for a in (*range(0, n - PASSAGE, PASSAGE), n - PASSAGE))]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched: float = MATCHED, answered: float = ANSWERED) -> DataFrame:
     """doc_id, item_id, matched, answered, cosine, start for every item of ``benchmark`` that leaked into a row of ``docs``.
 
@@ -169,16 +177,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
     ``start`` the passage's first word. Documents and items that are null or
     have no words match nothing; of repeated rows each gives its own rows; other
     columns are ignored. The items are a stated set of queries: they, their
-    words and matrices of words by directions go to every task. Items may have
-    65,535 different words in all.
+    words and matrices of words by directions go to every task.
     """
     spark = docs.sparkSession
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, matched double, answered double, cosine double, start long"
     items = [(i, t) for i, text in benchmark.select("item_id", "text").collect() if i is not None and (t := terms(text))]
     vocabulary = {t: k for k, t in enumerate(sorted({t for _, ts in items for t in ts}))}
-    if len(vocabulary) >= UNKNOWN:
-        raise ValueError("the items have too many different words for one run; pass them in parts")
     if not items:
         return spark.createDataFrame([], schema)
 
@@ -199,11 +204,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
     u, s = directions(coded, weight)
     table = (weight[:, None] * u / np.maximum(s, 1e-300)).astype(np.float32)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-30)
-    queries = unit(np.stack([table[c].sum(0) for c in coded_items]))
-    model = spark.sparkContext.broadcast(pickle.dumps((table, queries, coded_items, [i for i, _ in items], idf)))
+    parts = [(j, part) for j, c in enumerate(coded_items) for part in item_passages(c)]
+    owners = np.array([j for j, _ in parts])
+    queries = unit(np.stack([table[part].sum(0) for _, part in parts]))
+    model = spark.sparkContext.broadcast(pickle.dumps((table, queries, owners, coded_items, [i for i, _ in items], idf)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, queries, coded_items, names, idf = pickle.loads(model.value)
+        table, queries, owners, coded_items, names, idf = pickle.loads(model.value)
         answers = [np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)] for c in coded_items]
         bags, rows = [Counter(c.tolist()) for c in coded_items], []
         for docs, lens, blocks, n in _some(batches):
@@ -216,18 +223,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
             begin = HALF * (np.cumsum(n) - n)
             doc_of, ids = np.repeat(np.arange(len(docs)), n), blocks.ravel()
             best: dict[tuple[int, int], tuple] = {}
-            for p, j in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+            at, of = np.nonzero(near >= cosine)
+            pairs: dict[tuple[int, int], float] = {}
+            for p, j, c in zip(at.tolist(), owners[of].tolist(), near[at, of].tolist(), strict=True):
+                pairs[p, j] = max(pairs.get((p, j), c), c)
+            for (p, j), c in pairs.items():
                 d, item = int(doc_of[p]), coded_items[j]
                 low = max(HALF * p - len(item), begin[d])
                 high = min(HALF * p + PASSAGE + len(item), begin[d] + lens[d])
                 around, bag = ids[low:high].tolist(), bags[j]
                 held = Counter(around)
-                if sum(min(held[t], c) for t, c in bag.items() if t in held) < matched * len(item):
+                if sum(min(held[t], m) for t, m in bag.items() if t in held) < matched * len(item):
                     continue
                 places = common_places(item.tolist(), around)
                 share, answer = len(places) / len(item), sum(k in places for k in answers[j]) / len(answers[j])
                 if share >= matched and answer >= answered:
-                    found = (share, answer, float(near[p, j]), -int(HALF * p - begin[d]))
+                    found = (share, answer, c, -int(HALF * p - begin[d]))
                     best[d, j] = max(best.get((d, j), found), found)
             rows += [(docs[d], names[j], a, b, c, -e) for (d, j), (a, b, c, e) in best.items()]
             if len(rows) > 5000:

@@ -368,3 +368,15 @@ def test_repeats_of_rows_with_equal_ids(spark):
     rows = [(1, prose(120, 41)), (None, prose(120, 41)), (None, prose(90, 42)), (None, prose(200, 43)), (2, prose(150, 44)), (3, "start " + prose(150, 44)), (3, prose(60, 45)), (3, prose(170, 46)), (None, prose(30, 47) + " " + prose(150, 44))]
     got = sorted((tuple(r) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=key)
     assert got == brute_repeats(rows) and sum(r[2] for r in got) == 120 + 150 + 150
+
+
+def test_long_items_and_many_words(spark):
+    """A verbatim item of several hundred words is found, beside items of more different words than 16 bits count."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(12)
+    item = " ".join(f"w{k}" for k in rng.permutation(600))
+    items = [(1, item)] + [(2 + k, " ".join(f"u{k}x{j}" for j in range(700))) for k in range(100)]
+    more = [(900_000, prose(100, 51) + " " + item + " " + prose(77, 52)), (900_001, " ".join(f"w{k}" for k in rng.permutation(600)))]
+    more += [(900_010 + k, " ".join(f"w{j}" for j in rng.integers(0, 600, 200))) for k in range(30)]  # other texts of the same words
+    found = decontamination.leaks(docs.union(spark.createDataFrame(more, docs.schema)), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["matched"]) for r in found] == [(900_000, 1, 1.0)]
