@@ -25,8 +25,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Strings that may hide a secret: long runs of the letters of base64 and its kin with at least two character classes.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Strings that may hide a secret: runs of the letters of base64 and its kin, from the length at which the ratio is reliable.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Known digests and identifiers: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex; UUIDs; numbers.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9+_/=-]+)", re.IGNORECASE)
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
@@ -62,7 +62,7 @@ def random_spans(text: str, base: list[tuple[int, int, str]], encode, ratio: flo
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if KNOWN.fullmatch(s) or (s.islower() or s.isupper() or s.istitle()) and s.isalpha():
+        if KNOWN.fullmatch(s):
             continue
         if any(a <= m.start() and m.end() <= b for a, b, _ in base):
             continue

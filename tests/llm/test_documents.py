@@ -380,3 +380,11 @@ def test_long_items_and_many_words(spark):
     more += [(900_010 + k, " ".join(f"w{j}" for j in rng.integers(0, 600, 200))) for k in range(30)]  # other texts of the same words
     found = decontamination.leaks(docs.union(spark.createDataFrame(more, docs.schema)), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["matched"]) for r in found] == [(900_000, 1, 1.0)]
+
+
+def test_random_letters_and_short_strings():
+    encode = secrets._encoder(None, None).encode_ordinary
+    planted = ["qzxvkjwpfhbtmrydgcnlqzwxkvjphfbg", "QZXVKJWPFHBTMRYDGCNLQZWXKVJPHFBG", "x9Qw3Lk8Vb2Nm7Tr", "zQ4vX8kJ2pW7mB5nT9"]
+    text = "internationalization CHARACTERISTICALLY Misunderstandings_and counterrevolutionaries " + " and ".join(planted)
+    found = secrets.random_spans(text, [], encode, 2.2)
+    assert [text[a:b] for a, b, _ in found] == planted
