@@ -32,9 +32,11 @@ def words(text: str | None) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, on one machine a fresh local folder if that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="dimframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -45,7 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def empty_text(col: str | Column) -> Column:
@@ -67,16 +79,18 @@ def hash64(word: str) -> int:
 
 
 class WordHashes(dict):
-    """Remembers the hashes of words; forgets them all when it holds ``most``."""
+    """Remembers the hashes of words, ``most`` of up to ``longest`` characters, and then starts afresh; made for one task."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000, longest: int = 40):
         super().__init__()
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = hash64(word)
+        value = hash64(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, ws: list[str]) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import words, written
-from .pages import common_places
+from .sequences import common_places
 from .shingles import lower_ascii
 
 #: Words of a passage; passages begin at every half of it.

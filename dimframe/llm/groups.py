@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -39,6 +39,21 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """``rows`` joined ("inner" or "left") with ``table``, so that no key brings a large part of ``rows`` into one task.
+
+    ``table`` has one row for each key ``on`` and a column ``n``, the key's rows
+    in ``rows``. Keys with more than 1 / ``share`` of all rows, fewer than
+    ``share`` whatever the data, are broadcast, and their rows stay where they
+    are; the others meet in a shuffle. Both are read twice: pass written tables.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * share > total
+    hot, cold = table.where(is_hot).drop("n"), table.where(~is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -60,7 +75,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, name)
+        last, edges = edges, written(small, name)
+        discard(last)
         after = _state(edges)
         if after == before:
             return edges

@@ -1,208 +1,140 @@
 """Line deduplication by pairwise alignment.
 
-A later document is aligned with earlier ones that share lines with it. The
-alignment is patience diff: anchors are the common lines of some length that
-occur once in either document; of these, taken in the order of the later
-document, the longest chain that is in order in the earlier one as well is kept,
-and every anchor of the chain is extended forwards and backwards over equal
-lines of any length and count. The whole blocks are deleted from the later
-document, and so are lines without text between two deleted neighbours.
-
-Partners come from features: long lines, and long lines together with the line
-after or before them. A line of a document can only be deleted by a holder of
-one of its features: a long line that the document holds once has itself; any
-other line is reached by extension from a line of that kind, so it has the pairs
-of the lines of that kind around it with their neighbours. Each feature's
-holders are numbered by document. All documents are aligned with the first holders of
-their features; for lines left over, the next holders follow round by round,
-until no line is left over or no holder is left.
+A later document is aligned by patience diff with earlier ones that share rare
+lines with it, and blocks of aligned lines are deleted from the later one. A
+block is a run of lines that stand one after the other in both documents, and
+has at least one line of some length; short and blank lines go as parts of it.
+
+Which documents are aligned:
+
+* A document with the same lines as an earlier one is a copy and goes whole; the
+  others, one of each kind, are *units*.
+* Features of a unit are its long lines, and each of them with the line after it
+  and with the line before it. The first unit that has a feature is a partner of
+  every later unit that has it. For a rare line that is every holder.
+* A long line that a unit holds once, and that no partner aligned, is tried with
+  the other earlier units that hold it, in waves of about WAVE of them, until
+  one aligns it or none is left.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import empty_text, mix, written
+from .common import discard, empty_text, written
+from .groups import spread_join
+from .sequences import patience_pairs
 
-#: Characters that a line has at least, without white space around it, to align documents.
+#: Characters that a line has at least, without white space around it, to be a feature.
 LEAST_CHARS = 20
-#: Holders of a feature that are tried in one round at most; a round's partners of a document are in one task at once.
-MOST_RANKS = 16
-
-
-def longest_chain(values: list[int]) -> list[int]:
-    """Places of a longest strictly rising subsequence (patience sorting)."""
-    tops: list[int] = []
-    at: list[int] = []
-    back = [-1] * len(values)
-    for k, v in enumerate(values):
-        p = bisect_left(tops, v)
-        if p:
-            back[k] = at[p - 1]
-        if p == len(tops):
-            tops.append(v)
-            at.append(k)
-        else:
-            tops[p], at[p] = v, k
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(k)
-        k = back[k]
-    return out[::-1]
-
-
-def aligned_places(mine: np.ndarray, others: list[np.ndarray], gone: np.ndarray) -> np.ndarray:
-    """Places of ``mine`` in blocks aligned with ``others`` one after the other, with those already ``gone``.
-
-    Documents are digests of lines, odd for lines that may be anchors, 0 between texts. Each other one is aligned by the
-    anchors not yet gone, so that those gone do not stand in the way, and then by all, which reach the lines around them.
-    """
-    left = mine != 0
-    left[gone] = False
-    once = _once(mine)
-    for other in others:
-        common = np.intersect1d(once, _once(other), assume_unique=True)
-        at = np.flatnonzero(np.isin(mine, common))
-        order = np.argsort(other, kind="stable")
-        to = order[np.searchsorted(other, mine[at], sorter=order)]
-        some = left[at]
-        if some.any():
-            left[_blocks(mine, other, at[some], to[some])] = False
-        if len(at) and not some.all() and left.any():
-            left[_blocks(mine, other, at, to)] = False
-    return np.flatnonzero(~left & (mine != 0))
-
-
-def _blocks(mine: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> list[int]:
-    """Places of the longest chain of the anchors at ``at`` and ``to``, extended over equal lines."""
-    chain = longest_chain(to.tolist())
-    at, to, x, y = at[chain].tolist(), to[chain].tolist(), mine.tolist(), other.tolist()
-    out, low, under = [], -1, -1  # the last lines used in both
-    for k, (p, q) in enumerate(zip(at, to, strict=True)):
-        a, b = p, q
-        while a - 1 > low and b - 1 > under and x[a - 1] == y[b - 1] != 0:
-            a, b = a - 1, b - 1
-        high, over = (at[k + 1], to[k + 1]) if k + 1 < len(at) else (len(x), len(y))
-        while p + 1 < high and q + 1 < over and x[p + 1] == y[q + 1] != 0:
-            p, q = p + 1, q + 1
-        out += range(a, p + 1)
-        low, under = p, q
+#: Holders of a line in a wave, on average.
+WAVE = 8
+
+
+def aligned_places(mine: list[int], other: list[int]) -> list[int]:
+    """Places of ``mine`` in aligned blocks. Documents are digests of lines, odd ones for long lines."""
+    out: list[int] = []
+    block: list[int] = []
+    last = (-2, -2)
+    for p, q in [*patience_pairs(mine, other), (-2, -2)]:
+        if (p, q) != (last[0] + 1, last[1] + 1):
+            if any(mine[k] & 1 for k in block):
+                out += block
+            block = []
+        block.append(p)
+        last = p, q
     return out
 
 
-def _once(digests: np.ndarray) -> np.ndarray:
-    """The odd digests that occur once."""
-    values, n = np.unique(digests, return_counts=True)
-    return values[(n == 1) & (values & 1 == 1)]
-
-
-def features(digests: np.ndarray, keys: np.ndarray, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, asked) of a document's features; asked are those of lines that are not ``gone`` by which a partner is looked for."""
-    n, wide = len(digests), (digests & 1).astype(bool)
-    left = np.ones(n, bool)
-    if gone is not None:
-        left[gone] = False
-    left &= digests != 0
-    anchor = np.isin(digests, _once(digests))
-    k = keys.view(np.uint64)
-    # the nearest anchors before and after each line, of the same text
-    place, gaps = np.arange(n), digests == 0
-    before = np.maximum.accumulate(np.where(anchor | gaps, place, -1))
-    after = np.minimum.accumulate(np.where(anchor | gaps, place, n)[::-1])[::-1]
-    rest = np.flatnonzero(left & ~anchor)
-    forth, back = before[rest], after[rest]
-    ahead, behind = np.zeros(n, bool), np.zeros(n, bool)
-    ahead[forth[forth >= 0]] = True
-    behind[back[back < n]] = True
-    one = np.flatnonzero(wide)
-    to, of = one[one + 1 < n], one[one > 0]
-    to, of = to[digests[to + 1] != 0], of[digests[of - 1] != 0]
-    key = np.r_[mix(k[one]), mix(mix(k[to] + np.uint64(1)) * np.uint64(3) + k[to + 1]), mix(mix(k[of] + np.uint64(2)) * np.uint64(5) + k[of - 1])].view(np.int64)
-    ask = np.r_[(anchor & left)[one], (anchor & ahead)[to], (anchor & behind)[of]]
-    # each key once, asked if any of its places is
-    order = np.lexsort((~ask, key))
-    first = order[np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]][: len(key)])]
-    return key[first], ask[first]
-
-
-def coded_lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """doc, texts: for every id its texts, in the order of their digests t, each with digests h of its lines (odd: long ones) and keys k."""
-    clean = F.transform(F.split("text", "\n"), lambda s: F.trim(F.translate(s, "\r\t", "  ")))
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), clean.alias("lines"))
-    digest = lambda s: F.xxhash64(F.lit(1), s)
-    h = F.transform("lines", lambda s: F.when(F.length(s) >= least_chars, digest(s).bitwiseOR(F.lit(1))).otherwise(digest(s).bitwiseAND(F.lit(-2))))
-    rows = rows.select("doc", F.struct("t", h.alias("h"), F.transform("lines", lambda s: F.xxhash64(s)).alias("k")).alias("text"))
-    texts = rows.groupBy("doc").agg(F.sort_array(F.collect_list("text")).alias("texts"))
-    # a 0 stands between the texts of one id
-    laid = lambda c: F.flatten(F.transform("texts", lambda x: F.concat(x[c], F.array(F.lit(0).cast("long")))))
-    return texts.select("doc", laid("h").alias("h"), laid("k").alias("k"), F.transform("texts", lambda x: F.struct(x["t"].alias("t"), F.size(x["h"]).alias("n"))).alias("texts"))
+def _coded(docs: DataFrame, least_chars: int) -> DataFrame:
+    """doc (null ids are the largest), t (digest of the text), h (digests of the lines), x, y (digest of h) of rows with text."""
+    lines = F.transform(F.split("text", "\n"), lambda s: F.trim(F.translate(s, "\r\t", "  ")))
+    digest = lambda s: F.when(F.length(s) >= least_chars, F.xxhash64(F.lit(1), s).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(F.lit(1), s).bitwiseAND(F.lit(-2)))
+    rows = docs.where("text is not null").select(_order(), F.xxhash64("text").alias("t"), lines.alias("lines"))
+    rows = rows.select("doc", "t", F.transform("lines", digest).alias("h"))
+    return rows.select("doc", "t", "h", F.xxhash64("h").alias("x"), F.xxhash64(F.lit(7), "h").alias("y"))
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc, t, places: the lines of each text (t is its xxhash64) that are aligned with an earlier document (texts without any have no row)."""
-    coded = written(coded_lines(docs, least_chars), "lines")
+def _order() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
 
-    def feature(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            gone = b["gone"] if "gone" in b else [None] * len(b)
-            parts = [features(np.asarray(h), np.asarray(k), g if g is None else np.asarray(g, np.int64)) for h, k, g in zip(b["h"], b["k"], gone, strict=True)]
-            n = [len(k) for k, _ in parts]
-            out = pd.DataFrame({"key": np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)]), "doc": np.repeat(b["doc"].to_numpy(), n), "ask": np.concatenate([np.zeros(0, bool), *(a for _, a in parts)])})
-            yield out[out["ask"]] if "gone" in b else out
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _long(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(1)) == 1
+
+
+def _align(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """x, y, places: what the units (x, y) have in blocks aligned with any of their partners (a, b)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            places = [aligned_places(np.asarray(h), [np.asarray(x["other"]) for x in others], np.asarray(g, np.int64)) for h, others, g in zip(b["h"], b["others"], b["gone"], strict=True)]
-            yield pd.DataFrame({"doc": b["doc"], "places": places})
-
-    every = written(coded.select("doc", "h", "k").mapInPandas(feature, "key long, doc long, ask boolean"), "features")
-    shared = every.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max(F.when(F.col("ask"), F.col("doc"))).alias("c")).where("a < b and a < c").select("key")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
-    holders = written(every.join(shared, "key").withColumn("r", rank), "holders")
-    asking = holders.where("ask and r > 1").select("key", "doc", "r")
-    none = F.array().cast("array<int>")
-    low, high, cut = 0, 1, None
-    while True:
-        partners = holders.where((F.col("r") > low) & (F.col("r") <= high)).select("key", F.col("doc").alias("owner"), F.col("r").alias("at"))
-        pairs = asking.join(partners, "key").where("at < r").select("doc", "owner").distinct()
-        pairs = pairs.join(coded.select(F.col("doc").alias("owner"), F.col("h").alias("other")), "owner")
-        # every document once, with its partners in order
-        found = pairs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("owner", "other"))).alias("others")).join(coded.select("doc", "h"), "doc")
-        found = found.withColumn("gone", none) if cut is None else found.join(cut.withColumnRenamed("places", "gone"), "doc", "left").withColumn("gone", F.coalesce("gone", none))
-        found = written(found.select("doc", "h", "others", "gone").mapInPandas(align, "doc long, places array<int>"), "aligned")
-        cut = found if cut is None else written(found.union(cut.join(found, "doc", "left_anti")), "aligned")
-        more = holders.where((F.col("r") > high + 1) & F.col("ask"))
-        if more.isEmpty():
-            break
-        rest = coded.join(more.select("doc").distinct(), "doc", "left_semi").join(cut.withColumnRenamed("places", "gone"), "doc", "left").select("doc", "h", "k", F.coalesce("gone", none).alias("gone"))
-        asking = written(more.select("key", "doc", "r").join(rest.mapInPandas(feature, "key long, doc long, ask boolean").select("key", "doc"), ["key", "doc"]), "left")
-        if asking.isEmpty():
-            break
-        low, high = high, high + min(high, MOST_RANKS)
-    # from places in an id's texts end to end to those in each text
-    start = F.aggregate(F.slice("texts", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + x["n"] + 1)
-    each = coded.select("doc", "texts").join(cut, "doc").select("doc", "places", "texts", F.posexplode("texts").alias("i", "text")).select("doc", F.col("text.t").alias("t"), F.col("text.n").alias("n"), start.alias("start"), "places")
-    each = each.select("doc", "t", F.transform(F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))), lambda p: p - F.col("start")).alias("places"))
-    return each.where(F.size("places") > 0).groupBy("doc", "t").agg(F.first("places").alias("places"))
+            places = [aligned_places(m.tolist(), o.tolist()) for m, o in zip(b["h"], b["other"], strict=True)]
+            yield pd.DataFrame({"x": b["x"], "y": b["y"], "places": places})
+
+    pairs = written(pairs, "pairs")
+    lines = units.select("x", "y", "h")
+    # a unit may be the partner of a large part of all others
+    partners = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(lines.withColumnsRenamed({"x": "a", "y": "b", "h": "other"}), ["a", "b"])
+    both = spread_join(pairs, partners, ["a", "b"]).join(lines, ["x", "y"])
+    found = both.select("x", "y", "h", "other").mapInPandas(run, "x long, y long, places array<int>")
+    out = written(found.groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "aligned")
+    discard(pairs)
+    return out
+
+
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """doc, t, n, places: for the texts that lose lines their places (null: all of them), and how many rows have the text."""
+    coded = written(_coded(docs, least_chars).where(F.exists("h", _long)), "lines")
+    units = written(coded.groupBy("x", "y").agg(F.min("doc").alias("unit"), F.count(F.lit(1)).alias("n"), F.first("h").alias("h")), "units")
+    beside = lambda step: F.transform("h", lambda v, i: F.when(_long(v) & (i + step >= 0) & (i + step < F.size("h")), F.xxhash64(F.lit(step), v, F.get("h", i + step))))
+    features = F.array_distinct(F.concat(F.filter("h", _long), F.array_compact(beside(1)), F.array_compact(beside(-1))))
+    every = written(units.select(F.explode(features).alias("key"), "unit", "x", "y"), "features")
+    shared = every.groupBy("key").agg(F.min(F.struct("unit", "x", "y")).alias("first"), F.max("unit").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = written(shared.where("first.unit < last").drop("last"), "shared")
+    pairs = spread_join(every, shared, ["key"]).where("unit > first.unit").select("x", "y", F.col("first.x").alias("a"), F.col("first.y").alias("b")).distinct()
+    cut = _align(pairs, units)
+
+    # long lines held once that are left over, and have more holders than those tried
+    rest = F.filter("h", lambda v, i: _long(v) & ~F.array_contains("places", i) & (F.size(F.filter("h", lambda w: w == v)) == 1))
+    asking = lambda: units.join(cut, ["x", "y"]).select("x", "y", "unit", F.explode(rest).alias("key"))
+    more = shared.where("n > 2").select("key", F.ceil(F.col("n") / WAVE).alias("waves"))
+    left, low, high = written(asking().join(more, "key"), "left"), 0, 1
+    while not left.isEmpty():
+        asked = left.where(F.col("waves") > low).withColumn("wave", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high), "waves") - 1)))
+        holders = every.withColumnsRenamed({"unit": "earlier", "x": "a", "y": "b"}).join(left.select("key", "waves").distinct(), "key")
+        holders = holders.select("key", F.pmod(F.xxhash64("key", "a", "b"), "waves").alias("wave"), "earlier", "a", "b")
+        found = _align(asked.join(holders, ["key", "wave"]).where("earlier < unit").select("x", "y", "a", "b").distinct(), units)
+        tried, cut = cut, written(cut.union(found).groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "aligned")
+        discard(tried, found)
+        low, high = high, 2 * high
+        before, left = left, written(asking().join(left.where(F.col("waves") > low).select("x", "y", "key", "waves"), ["x", "y", "key"]), "left")
+        discard(before)
+    discard(left, every, shared)
+
+    # from units to the rows of their texts: the first of a kind loses its places, later ones go whole
+    kinds = units.select("x", "y", "unit", "n").join(cut, ["x", "y"], "left")
+    rows = spread_join(coded.select("doc", "t", "x", "y"), written(kinds, "kinds"), ["x", "y"])
+    rows = rows.where("doc > unit or size(places) > 0").select("doc", "t", F.when(F.col("doc") == F.col("unit"), F.col("places")).alias("places"))
+    out = written(rows.groupBy("doc", "t").agg(F.count(F.lit(1)).alias("n"), F.first("places", ignorenulls=True).alias("places")), "repeated")
+    discard(coded, units, cut)
+    return out
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]))
 def without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-    """Texts without the lines at some places and the blank ones between two of those, and the places of all these."""
+    """Texts without the lines at some places (null: without any line), and these places in order."""
     out = []
     for t, at in zip(text, places, strict=True):
-        if t is None or at is None:
+        if t is None:
             out.append((None, None))
             continue
-        lines, gone = t.split("\n"), set(at.tolist())
-        gone |= {k for k in range(1, len(lines) - 1) if k - 1 in gone and k + 1 in gone and not lines[k].strip(" ")}
+        lines = t.split("\n")
+        gone = set(range(len(lines)) if at is None else at.tolist())
         out.append(("\n".join(s for k, s in enumerate(lines) if k not in gone), sorted(gone)))
     return pd.DataFrame(out, columns=["text", "removed"])
 
@@ -214,22 +146,26 @@ without = without.asNondeterministic()
 def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Every row of ``docs`` with its ``text`` without the lines deleted, and n_lines, n_removed, removed (their places, from 0).
 
-    Lines end at a newline. A text that is null, or loses nothing, stays as it
-    is (null has no lines). Lines that occur twice in a document and short lines
-    go only next to other lines of an aligned block; lines out of order with
-    every partner stay. Rows with equal ids are one document here; rows with a null id lose nothing and cost nothing. Columns
-    n_lines, n_removed and removed of ``docs`` are replaced, other columns stay.
+    Lines end at a newline, and are compared without white space around them. A
+    text that is null, or loses nothing, stays as it is (null has no lines); a
+    text without a line of ``least_chars`` characters loses nothing. Documents
+    are in the order of doc_id; rows with equal ids are of one rank and take
+    nothing from each other, whatever their texts; a null id is larger than all
+    others. Columns n_lines, n_removed and removed of ``docs`` are replaced,
+    other columns stay.
     """
     docs = docs.drop("n_lines", "n_removed", "removed")
-    places = repeated_lines(docs, least_chars)
-    # whatever the columns are called, they travel as one
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("digest"), "text").join(places, (F.col("id") == F.col("doc")) & (F.col("digest") == F.col("t")), "left")
+    places = repeated_lines(docs, least_chars).withColumn("cut", F.lit(True))
+    # whatever the columns are called, they travel as one; rows without text have keys of their own, which nothing has
+    digest = F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _order(), digest.alias("t"))
+    rows = spread_join(rows, places, ["doc", "t"], "left")
     # Python gets the texts that lose lines, and no others
-    rows = rows.withColumn("cut", without(F.when(F.col("places").isNotNull(), F.col("text")), F.col("places")))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
-    rows = rows.withColumn("removed", F.coalesce("cut.removed", F.array().cast("array<int>"))).withColumn("n_removed", F.size("removed").cast("long"))
-    text = F.when(F.col("n_removed") > 0, F.col("cut.text")).otherwise(F.col("text")).alias("text")
-    return rows.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_removed", "removed")
+    rows = rows.withColumn("left", without(F.when(F.col("cut"), F.col("row.text")), F.col("places")))
+    rows = rows.withColumn("removed", F.coalesce("left.removed", F.array().cast("array<int>")))
+    text = F.when(F.col("cut"), F.col("left.text")).otherwise(F.col("row.text")).alias("text")
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n"))).cast("long").alias("n_lines")
+    return rows.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], n_lines, F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def line_dedup_digest(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,11 +36,6 @@ BANDS = 32
 BLOCK = 512
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |intersection| >= percent * |union| of two sorted sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -65,7 +59,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (digest of the set; null if empty), regs, keys for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _hashes()
+        hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(t, hashes) for t in b["text"]]
             regs = np.stack([registers(s) if len(s) else np.zeros(REGISTERS, np.uint16) for s in sets]) if sets else np.zeros((0, REGISTERS), np.uint16)
@@ -80,7 +74,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, items (the sorted set as bytes) of the classes in ``wanted`` (cls, doc_id), made again from the texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _hashes()
+        hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(t, hashes) for t in b["text"]]
             yield pd.DataFrame([(c, s.tobytes()) for c, s in zip(b["cls"], sets, strict=True) if _digest(s) == bytes(c)], columns=["cls", "items"])

@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash64, written
+from .common import discard, hash64, written
+from .sequences import common_places
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>", re.DOTALL)
 _RAW = re.compile(r"</(script|style|textarea|title|noscript|iframe|template|svg|math|select|button)\b[^>]*>", re.IGNORECASE)
@@ -120,34 +121,6 @@ def _last(stack: list[tuple[str, bool, bool]], name: str) -> int:
     return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
 
 
-def common_places(a: list[int], b: list[int]) -> set[int]:
-    """Places of ``a`` in a longest common subsequence of ``a`` and ``b``.
-
-    A bit of ``free`` is 0 where the length grows; one addition moves a whole
-    row. The rows are kept and walked back.
-    """
-    where: dict[int, int] = {}
-    for j, v in enumerate(b):
-        where[v] = where.get(v, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    rows, free = [], full
-    for v in a:
-        hit = free & where.get(v, 0)
-        free = ((free + hit) | (free - hit)) & full
-        rows.append(free)
-    out: set[int] = set()
-    i, j = len(a), len(b)
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
-            i -= 1
-        else:
-            out.add(i - 1)
-            i, j = i - 1, j - 1
-    return out
-
-
 def main_text(lines: list[str], zones: list[int], shared: set[int]) -> str:
     """The text of a page, its lines joined by a space."""
     least = INSIDE if ARTICLE in zones or INSIDE in zones else OPEN

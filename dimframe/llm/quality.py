@@ -16,8 +16,8 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,6 @@ GRADES = 3
 _LETTERS = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=400_000)
 def features(word: str) -> tuple[int, int, int]:
     """The places of a word, of its beginning and of its shape."""
     bare = word.strip(".,;:!?\"'()[]{}<>|*#$%&-_").lower()
@@ -45,22 +44,60 @@ def features(word: str) -> tuple[int, int, int]:
     return hashed("w" + bare), hashed("p" + bare[:4]), hashed("s" + shape)
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+class WordTable(dict):
+    """Numbers words from 0, and holds the places of each; starts afresh after ``most`` words. Made for one task."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most, self.at = most, array("i")
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.at.extend(features(word))
+        return k
+
+    def read(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number of a word in it, times it stands there) of every distinct word of every text."""
+        if len(self) > self.most:
+            self.clear()
+            self.at = array("i")
+        lens = np.array([len(ws) for ws in texts], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in texts)])
+        key, times = np.unique(np.repeat(np.arange(len(texts)), lens) * len(self) + ids, return_counts=True)
+        return key // max(len(self), 1), key % max(len(self), 1), times
+
+    def places(self) -> np.ndarray:
+        """The places of the words' lower-case forms, beginnings and shapes, a row for each word."""
+        return np.array(self.at, np.int64).reshape(-1, 3)
+
+
+def slices(texts: list[list[str]], most: int = 100_000) -> Iterator[list[list[str]]]:
+    """Consecutive texts (their words) with about ``most`` words together."""
+    a = total = 0
+    for b, ws in enumerate(texts):
+        total += len(ws)
+        if total >= most or b == len(texts) - 1:
+            yield texts[a : b + 1]
+            a, total = b + 1, 0
+
+
+def text_features(text: str | None, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a text's features; a text without words has none."""
     ws = words(text)
     if not ws:
         return np.zeros(0, np.int64), np.zeros(0)
-    distinct = set(ws)
-    n = len(distinct)
-    pairs = np.array([features(w) for w in distinct], np.int64)
-    shapes, times = np.unique(pairs[:, 2], return_counts=True)
-    lexical = np.unique(pairs[:, :2])
+    _, ids, _ = table.read([ws])
+    n = len(ids)
+    at = table.places()[ids]
+    shapes, times = np.unique(at[:, 2], return_counts=True)
+    lexical = np.unique(at[:, :2])
     return np.concatenate((lexical, shapes, [repeat_place(n, len(ws))])), np.concatenate((np.ones(len(lexical)), 4.0 * times / n, [1.0]))
 
 
-def repeat_place(distinct: int, total: int) -> int:
+def repeat_place(distinct: np.ndarray | int, total: np.ndarray | int) -> np.ndarray:
     """The feature that says how often words repeat; short texts repeat nothing."""
-    return PLACES - REPEATS + (min(REPEATS - 2, int((REPEATS - 1) * distinct / total)) if total >= 12 else REPEATS - 1)
+    repeated = np.minimum(REPEATS - 2, (REPEATS - 1) * np.asarray(distinct) // np.maximum(total, 1))
+    return PLACES - REPEATS + np.where(np.asarray(total) >= 12, repeated, REPEATS - 1)
 
 
 def sigmoid(x):
@@ -108,31 +145,28 @@ class OrdinalModel:
 
 
 class Scorer:
-    """Scores texts with a model; remembers the weights of words."""
-
-    def __init__(self, model: OrdinalModel, remembered: int = 800_000):
-        self.model, self.w, self.remembered = model, model.weights, remembered
-        self.word: dict[str, tuple[int, ...]] = {}
-        self.shape: dict[str, float] = {}
-
-    def score(self, text: str | None) -> float:
-        ws = words(text)
-        if not ws:
-            return 0.0
-        distinct = set(ws)
-        known = self.word
-        new = [v for v in distinct if v not in known]
-        if new:
-            if len(self.word) > self.remembered:
-                self.word.clear()
-                self.shape.clear()
-                new = list(distinct)
-            for v in new:
-                *at, shape = features(v)
-                self.word[v], self.shape[v] = tuple(a for a in at if self.w[a]), float(self.w[shape])
-        lexical = set().union(*map(self.word.__getitem__, distinct))
-        shapes = sum(map(self.shape.__getitem__, distinct))
-        return float(sum(self.w[a] for a in lexical) + 4.0 * shapes / len(distinct) + self.w[repeat_place(len(distinct), len(ws))])
+    """Scores texts with a model, many at once."""
+
+    def __init__(self, model: OrdinalModel):
+        self.model, self.table = model, WordTable()
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The sum of each text's weights; 0 for texts without words."""
+        return np.concatenate([np.zeros(0), *(self._scores(part) for part in slices([words(t) for t in texts]))])
+
+    def _scores(self, texts: list[list[str]]) -> np.ndarray:
+        w, count = self.model.weights, len(texts)
+        text, ids, times = self.table.read(texts)
+        at = self.table.places()[ids]
+        distinct, total = np.bincount(text, minlength=count), np.bincount(text, times, minlength=count)
+        # words and beginnings count once in a text, even if several words share them
+        place, of = at[:, :2].ravel(), np.repeat(text, 2)
+        some = w[place] != 0
+        key = np.unique(of[some] * PLACES + place[some])
+        lexical = np.bincount(key // PLACES, w[key % PLACES], minlength=count)
+        shapes = np.bincount(text, w[at[:, 2]], minlength=count)
+        out = lexical + 4.0 * shapes / np.maximum(distinct, 1) + w[repeat_place(distinct, total.astype(np.int64))]
+        return np.where(distinct > 0, out, 0.0)
 
 
 def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -156,8 +190,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("_id"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = WordTable()
         for b in batches:
-            made = [text_features(t) for t in b["text"]]
+            made = [text_features(t, table) for t in b["text"]]
             yield pd.DataFrame({"id": b["_id"].astype(str), "grade": b["_grade"].astype("int32"), "at": [a.astype(np.int32) for a, _ in made], "x": [x.astype(np.float32) for _, x in made]})
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,31 +209,36 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return OrdinalModel(weights, thresholds)
 
 
-def graded(docs: DataFrame, model: OrdinalModel, least: float = 0.5, with_docs: bool = False) -> DataFrame:
-    """doc_id, expected_grade (0 to 2), tail_probability (of grade 2), p_harmful, kept of every row of ``docs``.
-
-    ``kept``: the tail probability is at least ``least``. Null texts and texts
-    without words have no features and get the grades of the thresholds alone.
-    Null and repeated ids are graded like any other row. With ``with_docs`` all
-    columns of ``docs`` are returned and ``kept`` alone is added. No shuffle.
-    """
+def _grader(model: OrdinalModel):
+    """A column function from text to struct(expected_grade, tail_probability, p_harmful)."""
     at = np.flatnonzero(model.weights)
     packed = (at, model.weights[at], model.thresholds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("expected_grade double, tail_probability double, p_harmful double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights = np.zeros(PLACES, np.float32)
         weights[packed[0]] = packed[1]
         scorer = Scorer(OrdinalModel(weights, packed[2]))
-        for b in batches:
-            tails = scorer.model.tails(np.array([scorer.score(t) for t in b["text"]], float))
-            if with_docs:
-                yield b.assign(kept=tails[:, -1] >= least)
-            else:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "expected_grade": tails.sum(1), "tail_probability": tails[:, -1], "p_harmful": 1 - tails[:, 0], "kept": tails[:, -1] >= least})
-
-    if with_docs:
-        docs = docs.drop("kept")
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInPandas(run, f"{fields}, kept boolean")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, expected_grade double, tail_probability double, p_harmful double, kept boolean")
+        for texts in batches:
+            tails = scorer.model.tails(scorer.scores(texts.tolist()))
+            yield pd.DataFrame({"expected_grade": tails.sum(1), "tail_probability": tails[:, -1], "p_harmful": 1 - tails[:, 0]})
+
+    return run.asNondeterministic()  # evaluated once, whatever is asked of its result
+
+
+def graded(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
+    """doc_id, expected_grade (0 to 2), tail_probability (of grade 2), p_harmful, kept of every row of ``docs``.
+
+    ``kept``: the tail probability is at least ``least``. Null texts and texts
+    without words have no features and get the grades of the thresholds alone.
+    Null and repeated ids are graded like any other row. No shuffle.
+    """
+    rows = docs.select("doc_id", _grader(model)("text").alias("g"))
+    return rows.select("doc_id", "g.expected_grade", "g.tail_probability", "g.p_harmful", (F.col("g.tail_probability") >= least).alias("kept"))
+
+
+def selected(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose tail probability is at least ``least``. Only texts go to Python, only grades come back."""
+    # whatever the columns are called, they travel as one
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _grader(model)("text").alias("g"))
+    return rows.where(F.col("g.tail_probability") >= least).select("row.*")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dimframe.llm import chunks, decontamination, line_dedup, near_dups, packing, quality, repeats, secrets, shingles, token_counts
+from dimframe.llm import chunks, decontamination, line_dedup, near_dups, packing, quality, repeats, secrets, sequences, shingles, token_counts
 from dimframe.llm.common import WordHashes, words
 
 from .conftest import TABLES, prose
@@ -200,54 +200,120 @@ def test_windows_have_the_same_anchors_in_any_context():
         assert len(names) == 1
 
 
+def brute_patience(a, b):
+    """Patience diff by its definition, on lines: equal ends, unique common lines in the longest order, the ranges between."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in brute_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return brute_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    links = [(i, b.index(s)) for i, s in enumerate(a) if a.count(s) == 1 and b.count(s) == 1]
+    if not links:
+        return sequences.common_pairs([hash(s) for s in a], [hash(s) for s in b])
+    chain = [links[k] for k in sequences.longest_chain([j for _, j in links])]
+    out, i, j = [], 0, 0
+    for x, y in [*chain, (len(a), len(b))]:
+        out += [(i + p, j + q) for p, q in brute_patience(a[i:x], b[j:y])]
+        out += [(x, y)] * (x < len(a))
+        i, j = x + 1, y + 1
+    return out
+
+
 def brute_lines(rows, least=20):
-    """Each later document against the first holder of each of its lines."""
+    """Every later document against the first holder of each of its features, and lines left over against all their holders."""
     clean = lambda s: re.sub(r"[\r\t]", " ", s).strip(" ")
-    docs = defaultdict(list)
-    for i, t in rows:
-        if i is not None and t is not None:
-            docs[i].append([clean(s) for s in t.split("\n")])
-    once = {}
-    for i, texts in docs.items():
-        every = [s for lines in texts for s in lines]
-        once[i] = {s: lines.index(s) for lines in texts for s in lines if len(s) >= least and every.count(s) == 1}
-    owner = {}
-    for i in sorted(once):
-        for s in once[i]:
-            owner.setdefault(s, i)
+    rank = lambda i: 2**63 - 1 if i is None else i
+    texts = [None if t is None else tuple(clean(s) for s in t.split("\n")) for _, t in rows]
+    wide = lambda s: len(s) >= least
+    unit = {}
+    for (i, _), t in zip(rows, texts, strict=True):
+        if t is not None and any(map(wide, t)):
+            unit[t] = min(unit.get(t, 2**63), rank(i))
+
+    def features(t):
+        for k, s in enumerate(t):
+            if wide(s):
+                yield (s,)
+                if k + 1 < len(t):
+                    yield (s, t[k + 1], "after")
+                if k:
+                    yield (s, t[k - 1], "before")
+
+    holders = defaultdict(list)
+    for t in sorted(unit, key=lambda t: unit[t]):
+        for f in set(features(t)):
+            holders[f].append(t)
+
+    def aligned(t, other):
+        pairs, out, block = brute_patience(t, other), set(), []
+        for k, (p, q) in enumerate(pairs):
+            block.append(p)
+            if k + 1 == len(pairs) or pairs[k + 1] != (p + 1, q + 1):
+                out |= set(block) if any(wide(t[p]) for p in block) else set()
+                block = []
+        return out
+
+    gone = {}
+    for t in unit:
+        firsts = {holders[f][0] for f in features(t)}
+        gone[t] = set().union(*(aligned(t, o) for o in firsts if unit[o] < unit[t]))
+        for k, s in enumerate(t):
+            if wide(s) and t.count(s) == 1 and k not in gone[t] and len(holders[s,]) > 2:
+                gone[t] |= {("?", k)}
     out = []
-    for i, t in rows:
-        if t is None:
-            out.append((i, 0, 0, hashlib.sha256(b"").hexdigest()))
-            continue
-        lines, gone = t.split("\n"), set()
-        if i is not None:
-            partners = defaultdict(list)
-            for s, at in once[i].items():
-                if owner[s] < i:
-                    partners[owner[s]].append((at, once[owner[s]][s]))
-            for pairs in partners.values():
-                pairs.sort()
-                best = [1] * len(pairs)
-                for b in range(len(pairs)):
-                    best[b] += max((best[a] for a in range(b) if pairs[a][1] < pairs[b][1]), default=0)
-                chain = line_dedup.longest_chain([p[1] for p in pairs])
-                assert len(chain) == max(best)
-                gone |= {pairs[k][0] for k in chain}
-        blank = {k for k in range(1, len(lines) - 1) if not lines[k].strip(" ") and k - 1 in gone and k + 1 in gone}
-        gone |= blank
-        kept = "\n".join(s for k, s in enumerate(lines) if k not in gone)
-        out.append((i, len(lines), len(gone), hashlib.sha256((kept if gone else t).encode()).hexdigest()))
-    return sorted(out, key=key)
+    for (i, t), lines in zip(rows, texts, strict=True):
+        cut = set()
+        if lines in unit and t is not None:
+            cut = set(range(len(lines))) if rank(i) > unit[lines] else {k for k in gone[lines] if isinstance(k, int)}
+            asked = [k[1] for k in gone[lines] if not isinstance(k, int)] if rank(i) == unit[lines] else []
+            for k in asked:
+                if any(k in aligned(lines, o) for o in holders[lines[k],] if unit[o] < unit[lines]):
+                    cut.add(("some", k))
+        out.append((i, t, cut))
+    return out
+
+
+def check_lines(rows, got, least=20):
+    """Rows as brute force has them; a line left over may take its block with it, which wave it met first decides."""
+    assert len(got) == len(rows)
+    want = sorted(((-1 if i is None else i, t or "", cut) for i, t, cut in brute_lines(rows, least)), key=lambda x: x[:2])
+    for (i, t, cut), r in zip(want, sorted(got, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")), strict=True):
+        removed, sure = set(r[2]), {k for k in cut if isinstance(k, int)}
+        late = {k[1] for k in cut if not isinstance(k, int)}
+        assert i == (-1 if r[0] is None else r[0]) and sure | late <= removed, (i, sure, late, removed)
+        if not late:
+            assert sure == removed, (i, sure, removed)
+
+
+def lines_gone(df):
+    gone = line_dedup.line_dedup(df.select("doc_id", "text", F.col("text").alias("before")))
+    return [(r["doc_id"], r["before"], r["removed"], r["text"]) for r in gone.select("doc_id", "before", "removed", "text").collect()]
 
 
 def test_line_dedup(spark, odd_docs, no_docs, odd_rows):
-    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in line_dedup.line_dedup_digest(odd_docs).collect()), key=key)
-    assert got == brute_lines(odd_rows)
+    got = lines_gone(odd_docs)
+    check_lines(odd_rows, got)
+    for _, before, removed, after in got:
+        if before is not None:
+            assert after == "\n".join(s for k, s in enumerate(before.split("\n")) if k not in removed)
     assert line_dedup.line_dedup(no_docs).count() == 0
     rows = table_rows()
-    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in line_dedup.line_dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=key)
-    assert got == brute_lines(rows) and sum(r[2] for r in got) > 0
+    got = lines_gone(spark.createDataFrame(rows, "doc_id long, text string"))
+    check_lines(rows, got)
+    assert sum(len(r[2]) for r in got) > 0
+    digest = {r["doc_id"]: r for r in line_dedup.line_dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _, removed, after in got:
+        assert digest[i]["kept_sha256"] == hashlib.sha256((after or "").encode()).hexdigest() and digest[i]["removed"] == ",".join(map(str, removed))
+
+
+def test_lines_in_shuffled_orders(spark):
+    """Many documents of few lines in any order and number: lines left over by first holders are tried with all others."""
+    rng = np.random.default_rng(9)
+    pool = [f"a long line of prose, number {k}" for k in range(9)] + ["short", "", "brief"]
+    rows = [(int(i), "\n".join(pool[j] for j in rng.integers(0, len(pool), rng.integers(1, 9)))) for i in [*range(60), *range(40, 50), *[70] * 5]]
+    rows += [(None, rows[3][1]), (None, "\n".join(pool[:5])), (None, None), (0, None)]
+    check_lines(rows, lines_gone(spark.createDataFrame(rows, "doc_id long, text string")))
 
 
 def test_quality(spark, odd_docs, no_docs):
@@ -261,8 +327,8 @@ def test_quality(spark, odd_docs, no_docs):
     assert np.mean([r["expected_grade"] for r in rows if r["g"] == 2]) > np.mean([r["expected_grade"] for r in rows if r["g"] == 0]) + 0.5
     assert model.thresholds[0] < model.thresholds[1]
     assert quality.graded(odd_docs, model).count() == odd_docs.count()
-    kept = quality.graded(odd_docs, model, with_docs=True)
-    assert set(kept.columns) == set(odd_docs.columns) and kept.count() == odd_docs.count()
+    kept = quality.selected(odd_docs, model)
+    assert kept.columns == odd_docs.columns and kept.count() == quality.graded(odd_docs, model).where("kept").count()
     empty = labels.where("false")
     assert quality.graded(no_docs, quality.fit_quality(docs, empty)).count() == 0
     odd = spark.createDataFrame([(0, None, 1), (None, 1, 0), (4, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dimframe.llm import ann, pages
+from dimframe.llm import ann, pages, sequences
 
 from .conftest import TABLES
 
@@ -93,7 +93,9 @@ def test_page_markup():
     assert text("a < b") == "a < b"
 
 
-def test_common_subsequence():
+@pytest.mark.parametrize("bits", [40_000_000, 20])
+def test_common_subsequence(monkeypatch, bits):
+    monkeypatch.setattr(sequences, "MOST_BITS", bits)
     rng = np.random.default_rng(7)
     for _ in range(100):
         a, b = rng.integers(0, 5, rng.integers(0, 15)).tolist(), rng.integers(0, 5, rng.integers(0, 15)).tolist()
@@ -101,7 +103,7 @@ def test_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        places = sorted(pages.common_places(a, b))
+        places = sorted(sequences.common_places(a, b))
         assert len(places) == table[-1][-1]
         rest = iter(b)
         assert all(any(a[p] == v for v in rest) for p in places)
