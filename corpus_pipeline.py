@@ -14,7 +14,7 @@ from dimframe.llm.decontamination import leaks
 from dimframe.llm.line_dedup import line_dedup
 from dimframe.llm.near_dups import near_duplicates
 from dimframe.llm.packing import packed
-from dimframe.llm.quality import fit_quality, graded
+from dimframe.llm.quality import fit_quality, selected
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the ratings of ``docs``, grades as good."""
     model = fit_quality(docs, _table(spark, sf_dir, "labels"))
-    return graded(docs.select(*COLUMNS), model, with_docs=True).where("kept").select(*COLUMNS)
+    return selected(docs.select(*COLUMNS), model)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
