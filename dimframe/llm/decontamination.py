@@ -1,15 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the words of the benchmark's items. Documents are cut into passages;
-TF-IDF weights come from how many passages of the whole corpus hold a term, and
-terms that many passages hold weigh nothing. A
+TF-IDF weights come from how many passages of the whole corpus hold a term. A
 randomised SVD finds the leading directions of the passage-term matrix A: every
-task adds up its rows' part of A'(A R) for a random matrix R, and the sum, terms
-by directions, is small. Passages and items become vectors over whitened
-directions; an item longer than a passage has also one for each of its own
-passages. Pairs of high cosine are candidates. A candidate is confirmed by the
-longest common subsequence of words between the item and the document around the
-passage, and by the item's answer: its rarest words must be among those matched.
+task adds up its rows' part of A'(A R) for a random matrix R, the sum (terms by
+directions) is made orthonormal as Q, and a second pass gives Q'A'A Q, whose
+eigenvectors turn Q into A's right singular vectors. Passages and items become
+vectors over whitened directions; an item longer than a passage has also one for
+each of its own passages. Pairs of high cosine are candidates. A candidate is
+confirmed by longest common subsequences of words between the item and the
+document around the passage (two, so that a paraphrase may swap its clauses), and
+by the item's answer: its rarest words must be among those matched.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,42 +26,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import words, written
-from .sequences import common_places
+from .sequences import common_pairs
 from .shingles import lower_ascii
 
 #: Words of a passage; passages begin at every half of it.
 PASSAGE = 32
 HALF = PASSAGE // 2
 #: Directions kept, and random ones more to find them.
-RANK, MORE = 128, 16
-#: Terms that a larger share of passages holds are left out of the latent space.
-FREQUENT = 0.05
+RANK, MORE = 64, 8
+#: The most frequent terms, which are counted into dense columns; the others are gathered word by word.
+DENSE = 64
 #: Cosine from which a passage is a candidate for an item.
-COSINE = 0.45
-#: Share of an item's words, and of its rarest fifth, that must stand in order in the document.
-MATCHED, ANSWERED = 0.7, 0.5
+COSINE = 0.4
+#: Share of an item's words, and of its rarest fifth, that must stand in (at most two) orders in the document.
+MATCHED, ANSWERED = 0.6, 0.3
+#: Bytes of items that are searched at once, and item vectors that passages are multiplied with at once.
+ITEMS_AT_ONCE, QUERIES_AT_ONCE = 1 << 26, 4096
 #: The id of words that are no terms: larger than any term's.
 UNKNOWN = 2**32 - 1
 
 
+_AROUND = ".,;:!?\"'()[]{}<>|*#$%&-_"
+
+
 def terms(text: str | None) -> list[str]:
     """The words of a text in lower case, without punctuation around them."""
-    return [t for w in words(lower_ascii(text) if text else "") if (t := w.strip(".,;:!?\"'()[]{}<>|*#$%&-_"))]
+    return [t for w in words(lower_ascii(text) if text else "") if (t := w.strip(_AROUND))]
 
 
 class Ids(dict):
-    """Term ids of words as they stand; words that are no terms are UNKNOWN, words without letters -1."""
+    """Term ids of words as they stand; words that are no terms are UNKNOWN, words without letters -1. Made for one task."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 1_000_000):
+    def __init__(self, vocabulary: dict[str, int], most: int = 250_000, longest: int = 40):
         super().__init__()
-        self.vocabulary, self.most = vocabulary, most
+        self.vocabulary, self.most, self.longest = vocabulary, most, longest
 
     def __missing__(self, word: str) -> int:
-        t = terms(word)
-        out = self.vocabulary.get(t[0], UNKNOWN) if t else -1
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out
+        t = (word.lower() if word.isascii() else lower_ascii(word)).strip(_AROUND)
+        out = self.vocabulary.get(t, UNKNOWN) if t else -1
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = out
         return out
 
     def of(self, text: str | None) -> np.ndarray:
@@ -98,15 +106,40 @@ def _some(batches: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[tuple
         yield laid()
 
 
-def _sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sum of the table's rows named in each row of ``rows``; ids beyond the table, and rows of zeros, add nothing."""
-    out = np.zeros((len(rows), table.shape[1]), np.float32)
-    some = np.append(table.any(1), False)[np.minimum(rows, len(table))]
-    at, where = rows[some], np.repeat(np.arange(len(rows)), some.sum(1))
-    if len(at):
-        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        out[where[first]] = np.add.reduceat(table[at], first)
-    return out
+class Mixture:
+    """The product of rows of term ids, as counts, with a table of vectors of terms."""
+
+    def __init__(self, table: np.ndarray, dense: np.ndarray):
+        self.table, self.dense = table, dense
+        self.column = np.full(len(table) + 1, -1)
+        self.column[dense] = np.arange(len(dense))
+        self.rare = np.append(table.any(1), False) & (self.column < 0)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """How often each dense term stands in each row of ids (clipped to the table's length)."""
+        column = self.column[rows]
+        at = np.flatnonzero(column.ravel() >= 0)
+        n = len(self.dense)
+        return np.bincount(at // rows.shape[1] * n + column.ravel()[at], minlength=len(rows) * n).reshape(len(rows), n).astype(np.float32)
+
+    def sums(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = counts @ self.table[self.dense]
+        some = self.rare[rows]
+        at, where = rows[some], np.repeat(np.arange(len(rows)), some.sum(1))
+        if len(at):
+            first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            out[where[first]] += np.add.reduceat(self.table[at], first)
+        return out
+
+    def add_back(self, total: np.ndarray, rows: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> None:
+        """Adds the transposed counts times ``sums`` to ``total`` (terms by directions)."""
+        total[self.dense] += counts.T @ sums
+        some = self.rare[rows]
+        at, where = rows[some], np.repeat(np.arange(len(rows)), some.sum(1))
+        if len(at):
+            order = np.argsort(at, kind="stable")
+            heads = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+            total[at[order][heads]] += np.add.reduceat(sums[where[order]], heads)
 
 
 def passage_counts(coded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -132,35 +165,55 @@ def passage_counts(coded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return held, total
 
 
-def directions(coded: DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms by directions, singular values) of the whole corpus, by one randomised pass."""
-    width = min(RANK + MORE, len(weight))
-    weighted = (weight[:, None] * np.random.default_rng(11).normal(size=(len(weight), width))).astype(np.float32)
+def gram_times(coded: DataFrame, weight: np.ndarray, dense: np.ndarray, r: np.ndarray, terms_at_once: int = 1024) -> np.ndarray:
+    """A'A r for the passage-term matrix A of the whole corpus, columns scaled by ``weight``.
+
+    Every task sends its sum in blocks of terms, which are added up block by block.
+    """
+    scaled, width = (weight[:, None] * r).astype(np.float32), r.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(weight), width))
-        used = np.append(weight != 0, False)
+        total, mixture = np.zeros((len(weight), width)), Mixture(scaled, dense)
         for _, _, blocks, _ in _some(batches):
-            passages = blocks.reshape(-1, PASSAGE)
-            sums = _sums(weighted, passages)
-            some = used[np.minimum(passages, len(weight))]
-            at, where = passages[some], np.repeat(np.arange(len(passages)), some.sum(1))
-            if len(at):
-                order = np.argsort(at, kind="stable")
-                heads = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-                total[at[order][heads]] += np.add.reduceat(sums[where[order]], heads)
-        at = np.flatnonzero(total.any(1))
-        if len(at):
-            yield pd.DataFrame({"term": at, "row": list(total[at])})
+            passages = np.minimum(blocks.reshape(-1, PASSAGE), len(weight))
+            counts = mixture.counts(passages)
+            mixture.add_back(total, passages, counts, mixture.sums(passages, counts))
+        for a in range(0, len(weight), terms_at_once):
+            yield pd.DataFrame({"a": [a], "part": [total[a : a + terms_at_once].tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for a, part in zip(b["a"], b["part"], strict=True):
+                sums[a] = sums.get(a, 0) + np.frombuffer(part)
+        yield pd.DataFrame({"a": list(sums), "part": [x.tobytes() for x in sums.values()]})
 
-    summed = coded.mapInPandas(run, "term long, row array<double>").select("term", F.posexplode("row").alias("d", "x")).groupBy("term", "d").agg(F.sum("x").alias("x"))
-    summed = summed.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("row"))
+    parts = coded.mapInPandas(run, "a long, part binary").repartition("a").mapInPandas(add, "a long, part binary")
     out = np.zeros((len(weight), width))
-    for term, row in summed.collect():  # terms of the items by directions
-        out[term] = [x for _, x in row]
-    u, s, _ = np.linalg.svd(out * weight[:, None], full_matrices=False)
-    keep = s[:RANK] > 1e-9 * max(s[0] if len(s) else 0, 1e-300)
-    return u[:, :RANK][:, keep], np.sqrt(s[:RANK][keep])
+    for a, part in parts.collect():  # terms of the items by directions
+        out[a : a + terms_at_once] = np.frombuffer(part).reshape(-1, width)
+    return out * weight[:, None]
+
+
+def directions(coded: DataFrame, weight: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(right singular vectors as columns, singular values) of the whole corpus by a randomised SVD."""
+    width = min(RANK + MORE, len(weight))
+    q, _ = np.linalg.qr(gram_times(coded, weight, dense, np.random.default_rng(11).normal(size=(len(weight), width))))
+    small = q.T @ gram_times(coded, weight, dense, q)
+    squares, v = np.linalg.eigh((small + small.T) / 2)
+    best = np.argsort(-squares)[:RANK]
+    best = best[squares[best] > 1e-9 * max(squares.max(initial=0), 1e-300)]
+    return q @ v[:, best], np.sqrt(squares[best])
+
+
+def matched_places(item: list[int], around: list[int]) -> set[int]:
+    """Places of ``item`` in a longest common subsequence, and in another one of what is left of both."""
+    pairs = common_pairs(item, around)
+    mine, theirs = {i for i, _ in pairs}, {j for _, j in pairs}
+    left = [k for k in range(len(item)) if k not in mine]
+    if left:
+        mine |= {left[k] for k, _ in common_pairs([item[k] for k in left], [v for k, v in enumerate(around) if k not in theirs])}
+    return mine
 
 
 def item_passages(item: np.ndarray) -> list[np.ndarray]:
@@ -173,16 +226,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
     """doc_id, item_id, matched, answered, cosine, start for every item of ``benchmark`` that leaked into a row of ``docs``.
 
     ``matched`` is the share of the item's words that stand in the document in
-    order around the best passage, ``answered`` that of its rarest fifth,
-    ``start`` the passage's first word. Documents and items that are null or
-    have no words match nothing; of repeated rows each gives its own rows; other
-    columns are ignored. The items are a stated set of queries: they, their
-    words and matrices of words by directions go to every task.
+    order (at most two orders) around the best passage, ``answered`` that of its
+    rarest fifth, ``start`` the passage's first word. Documents and items that
+    are null or have no words match nothing; of repeated rows, and of items with
+    one id, each gives its own rows; other columns are ignored. The items are a
+    stated set of queries: they, their words and matrices of words by directions
+    go to every task. Items of more than ITEMS_AT_ONCE bytes are searched in parts.
     """
     spark = docs.sparkSession
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, matched double, answered double, cosine double, start long"
-    items = [(i, t) for i, text in benchmark.select("item_id", "text").collect() if i is not None and (t := terms(text))]
+    benchmark = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > ITEMS_AT_ONCE:
+        parts = 2 * size // ITEMS_AT_ONCE + 1
+        found = [leaks(docs, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k), cosine, matched, answered) for k in range(parts)]
+        return reduce(DataFrame.union, found)
+    items = [(i, t) for i, text in benchmark.collect() if (t := terms(text))]
     vocabulary = {t: k for k, t in enumerate(sorted({t for _, ts in items for t in ts}))}
     if not items:
         return spark.createDataFrame([], schema)
@@ -195,47 +255,61 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
     coded = written(docs.where("text is not null").select("doc_id", "text").mapInPandas(code, f"doc_id {kinds[0]}, ids binary"), "coded")
     held, total = passage_counts(coded, len(vocabulary))
     idf = np.log((1 + total) / (1 + held))
+    weight = np.maximum(idf, 1e-6)
+    dense = np.argsort(-held, kind="stable")[:DENSE]
     coded_items = [np.array([vocabulary[t] for t in ts], np.int64) for _, ts in items]
-    weight = np.where(held <= FREQUENT * total, idf, 0)
-    for c in coded_items:  # an item of frequent words alone is found by the rarest of them
-        if not weight[c].any():
-            rare = c[np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)]]
-            weight[rare] = np.maximum(idf[rare], 1e-6)
-    u, s = directions(coded, weight)
-    table = (weight[:, None] * u / np.maximum(s, 1e-300)).astype(np.float32)
-    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-30)
+    v, s = directions(coded, weight, dense)
+    table = (weight[:, None] * v / np.maximum(s, 1e-300)).astype(np.float32)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
     parts = [(j, part) for j, c in enumerate(coded_items) for part in item_passages(c)]
     owners = np.array([j for j, _ in parts])
     queries = unit(np.stack([table[part].sum(0) for _, part in parts]))
-    model = spark.sparkContext.broadcast(pickle.dumps((table, queries, owners, coded_items, [i for i, _ in items], idf)))
+    answers = [np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)] for c in coded_items]
+    model = spark.sparkContext.broadcast(pickle.dumps((table, dense, queries, owners, coded_items, answers, [i for i, _ in items])))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, queries, owners, coded_items, names, idf = pickle.loads(model.value)
-        answers = [np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)] for c in coded_items]
-        bags, rows = [Counter(c.tolist()) for c in coded_items], []
+        table, dense, queries, owners, coded_items, answers, names = pickle.loads(model.value)
+        mixture, rows = Mixture(table, dense), []
+        wanted = [(set(c[a].tolist()), answered * len(a)) for c, a in zip(coded_items, answers, strict=True)]
+        # words of answers, with the blocks within which a passage may see them
+        reach = np.zeros(len(table) + 1, np.int64)
+        for c, a in zip(coded_items, answers, strict=True):
+            np.maximum.at(reach, c[a], -(-len(c) // HALF) + 2)
         for docs, lens, blocks, n in _some(batches):
-            sums = _sums(table, blocks)
-            after = np.ones(len(sums), bool)  # blocks with another one of their document after them
+            blocks = np.minimum(blocks, len(table))
+            seen = np.zeros(len(blocks) + 1, np.int64)  # passages with a word of an answer in reach: others cannot be confirmed
+            far = reach[blocks].max(1)
+            for k in np.flatnonzero(far):
+                seen[max(0, k - far[k])] += 1
+                seen[min(len(blocks), k + far[k] + 1)] -= 1
+            look = np.flatnonzero(np.cumsum(seen[:-1]) > 0)
+            if not len(look):
+                continue
+            after = np.ones(len(blocks), bool)  # blocks with another one of their document after them
             after[np.cumsum(n) - 1] = False
-            passage = sums.copy()
-            passage[after] += sums[np.flatnonzero(after) + 1]
-            near = unit(passage) @ queries.T
+            second = np.where(after[look, None], blocks[np.minimum(look + 1, len(blocks) - 1)], len(table))
+            passages = np.concatenate((blocks[look], second), 1)
+            vectors = unit(mixture.sums(passages, mixture.counts(passages)))
             begin = HALF * (np.cumsum(n) - n)
             doc_of, ids = np.repeat(np.arange(len(docs)), n), blocks.ravel()
             best: dict[tuple[int, int], tuple] = {}
-            at, of = np.nonzero(near >= cosine)
             pairs: dict[tuple[int, int], float] = {}
-            for p, j, c in zip(at.tolist(), owners[of].tolist(), near[at, of].tolist(), strict=True):
-                pairs[p, j] = max(pairs.get((p, j), c), c)
+            for a in range(0, len(queries), QUERIES_AT_ONCE):
+                near = vectors @ queries[a : a + QUERIES_AT_ONCE].T
+                at, of = np.nonzero(near >= cosine)
+                for p, j, c in zip(look[at].tolist(), owners[a + of].tolist(), near[at, of].tolist(), strict=True):
+                    pairs[p, j] = max(pairs.get((p, j), c), c)
             for (p, j), c in pairs.items():
                 d, item = int(doc_of[p]), coded_items[j]
                 low = max(HALF * p - len(item), begin[d])
                 high = min(HALF * p + PASSAGE + len(item), begin[d] + lens[d])
-                around, bag = ids[low:high].tolist(), bags[j]
-                held = Counter(around)
-                if sum(min(held[t], m) for t, m in bag.items() if t in held) < matched * len(item):
+                around = ids[low:high].tolist()
+                if len(wanted[j][0].intersection(around)) == 0:
+                    continue
+                held, bag = Counter(around), Counter(item.tolist())
+                if sum(min(held[t], m) for t, m in bag.items()) < matched * len(item) or sum(held[t] > 0 for t in item[answers[j]].tolist()) < wanted[j][1]:
                     continue
-                places = common_places(item.tolist(), around)
+                places = matched_places(item.tolist(), around)
                 share, answer = len(places) / len(item), sum(k in places for k in answers[j]) / len(answers[j])
                 if share >= matched and answer >= answered:
                     found = (share, answer, c, -int(HALF * p - begin[d]))

@@ -454,3 +454,39 @@ def test_random_letters_and_short_strings():
     text = "internationalization CHARACTERISTICALLY Misunderstandings_and counterrevolutionaries " + " and ".join(planted)
     found = secrets.random_spans(text, [], encode, 2.2)
     assert [text[a:b] for a, b, _ in found] == planted
+
+
+def paraphrase(text, rng):
+    """Every fifth word another one, and the two halves swapped."""
+    ws = text.split()
+    ws = [f"synonym{rng.integers(1000)}" if k % 5 == 2 else w for k, w in enumerate(ws)]
+    return " ".join(ws[len(ws) // 2 :] + ws[: len(ws) // 2])
+
+
+def test_paraphrases_are_found(spark, monkeypatch):
+    """Recall of planted paraphrases, over all items; the same items in parts; items of one id."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, rng = docs.select("doc_id", "text"), np.random.default_rng(5)
+    whole = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
+    items, others = bench.collect(), [r["text"] for r in docs.where("length(text) > 300").collect() if r["doc_id"] not in {d for d, _ in whole}]
+    rows = [(900_000 + k, others[k % len(others)][:300] + " " + paraphrase(i["text"], rng) + " " + others[(7 * k + 3) % len(others)][:300]) for k, i in enumerate(items)]
+    want = {(900_000 + k, i["item_id"]) for k, i in enumerate(items)}
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs.union(spark.createDataFrame(rows, docs.schema)), bench).collect()}
+    assert len(found & want) >= 0.9 * len(want), (len(found & want), len(want))
+    assert found - want == whole
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 30_000)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == whole
+    first = min(whole)[1]
+    twice = bench.where(F.col("item_id") == first).union(spark.createDataFrame([(first, "quite another item of seven or more words")], bench.schema))
+    assert {r["item_id"] for r in decontamination.leaks(docs, twice).collect()} == {first}
+
+
+def test_directions_are_singular_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.choice(40, 32, p=np.arange(1, 41) / 820).astype(np.uint32).tobytes()) for k in range(300)]
+    coded = spark.createDataFrame(rows, "doc_id long, ids binary")
+    weight = rng.uniform(0.1, 2, 40)
+    a = np.stack([np.bincount(np.frombuffer(r, np.uint32), minlength=40) for _, r in rows]) * weight
+    v, s = decontamination.directions(coded, weight, np.arange(30, 40))
+    _, want, vt = np.linalg.svd(a)
+    assert np.allclose(s, want, rtol=1e-3) and np.allclose(np.abs((v * vt.T).sum(0))[:5], 1, atol=1e-3)
