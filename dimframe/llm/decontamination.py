@@ -25,9 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import written
 from .sequences import common_pairs
-from .shingles import lower_ascii
 
 #: Words of a passage; passages begin at every half of it.
 PASSAGE = 32
@@ -50,28 +49,31 @@ _AROUND = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
 
 def terms(text: str | None) -> list[str]:
-    """The words of a text in lower case, without punctuation around them."""
-    return [t for w in words(lower_ascii(text) if text else "") if (t := w.strip(_AROUND))]
+    """The words of a text, cut at white space, in lower case, without punctuation around them."""
+    return [t for w in (text or "").split() if (t := w.lower().strip(_AROUND))]
 
 
 class Ids(dict):
-    """Term ids of words as they stand; words that are no terms are UNKNOWN, words without letters -1. Made for one task."""
+    """Term ids of words as they stand; words that are no terms are UNKNOWN, words without letters -1. Made for one task.
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 250_000, longest: int = 40):
+    Remembers the forms of terms alone, so it stays small: most other words are seen once.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], most: int = 250_000):
         super().__init__()
-        self.vocabulary, self.most, self.longest = vocabulary, most, longest
+        self.vocabulary, self.most = vocabulary, most
 
     def __missing__(self, word: str) -> int:
-        t = (word.lower() if word.isascii() else lower_ascii(word)).strip(_AROUND)
-        out = self.vocabulary.get(t, UNKNOWN) if t else -1
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
+        t = word.lower().strip(_AROUND)
+        out = self.vocabulary.get(t)
+        if out is None:
+            return UNKNOWN if t else -1
+        if len(self) < self.most:
             self[word] = out
         return out
 
     def of(self, text: str | None) -> np.ndarray:
-        ws = words(text)
+        ws = (text or "").split()
         ids = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
         return ids[ids >= 0].astype(np.uint32)
 
