@@ -7,8 +7,9 @@ inner products, costs more than the part across it. A query scans the tables of
 the lists that promise most and reranks the best of each scan by exact inner
 products in double precision.
 
-Copies of a vector are indexed once, with their smallest ids; lists that hold
-much are split into chunks, and so are the queries that meet there.
+Copies of a vector are indexed once, with their smallest ids. Lists are split
+into chunks of vectors, which stay where they are; the queries, far fewer, are
+sent to every chunk of their lists and pass it as a stream.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .groups import pieces, spread_join
 
 #: Distinct vectors that centroids and codebooks are fitted on, at most about so many.
 FIT_ROWS = 10_000
 CENTRES = 16  # four bits
 #: Inner products above this share of the norm matter: sets the price of the parallel error.
 SCORE_SHARE = 0.2
-#: Vectors and queries that one task scans at a time.
-CHUNK, QUERY_CHUNK = 16384, 512
+#: Vectors that queries pass at a time.
+CHUNK = 16384
 #: Lists, at most: centroids go to every task.
 LISTS = 256
 #: Vectors of a scan that are reranked for each query.
@@ -160,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 1.
         return spark.createDataFrame([], result)
     lists = min(LISTS, math.ceil(total / CHUNK))
     probed = max(1, math.ceil(lists * probe))
-    sample = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < int(1_000_000 * 0.97 * fit_rows / total)) if total > fit_rows else classes
+    sample = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 50)) < int((1 << 50) * 0.97 * fit_rows / total)) if total > fit_rows else classes
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = pd.concat(list(batches)).sort_values("cls")
@@ -185,40 +187,51 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 1.
                 best = np.argsort(-(x @ q.centroids.T), 1, kind="stable")[:, :probed]
                 yield pd.DataFrame({"list": best.ravel().astype(np.int32), "q": np.repeat(b["cls"].to_numpy(), best.shape[1]), "x": [v.tobytes() for v in np.repeat(x, best.shape[1], 0)]})
 
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector")
-    asked = written(asked.join(classes.select("vector", "cls"), "vector").select("query_id", "cls"), "queries")
-    queries = classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "vector")
+    asked = written(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector"), "queries")
+    of = asked.groupBy("vector").agg(F.count(F.lit(1)).alias("n")).join(classes.select("vector", F.col("cls").alias("q")), "vector")
+    of = written(of, "asked")
+    queries = of.select(F.col("q").alias("cls"), "vector")
     indexed = written(classes.select("cls", "vector").mapInPandas(index, "list int, cls long, codes binary, x binary"), "index")
-    routed = written(queries.mapInPandas(route, "list int, q long, x binary"), "probes")
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).join(routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("parts")), "list").collect()
-    sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes], "list int, chunks long, parts long"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = indexed.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks")).withColumn("part", every("parts"))
-    right = routed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("q"), "parts")).withColumn("chunk", every("chunks"))
-
-    def search(key: tuple, data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(data) or not len(asks):
-            return pd.DataFrame({"q": np.zeros(0, np.int64), "cls": np.zeros(0, np.int64), "score": np.zeros(0)})
-        quantiser = Quantiser(*pickle.loads(model))
-        ids, x, q = data["cls"].to_numpy(), _bytes_matrix(data["x"]), _bytes_matrix(asks["x"])
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in data["codes"]])
-        out = []
-        for a in range(0, len(q), 64):
-            about = quantiser.scan(q[a : a + 64], key[0], codes)
-            top = np.argpartition(-about, RERANK - 1, 1)[:, :RERANK] if len(ids) > RERANK else np.broadcast_to(np.arange(len(ids)), about.shape)
-            score = np.einsum("qrd,qd->qr", x[top], q[a : a + 64])
-            best = np.lexsort((ids[top], -score), axis=1)[:, : k + 1]
-            out.append(pd.DataFrame({"q": np.repeat(asks["q"].to_numpy()[a : a + 64], best.shape[1]), "cls": np.take_along_axis(ids[top], best, 1).ravel(), "score": np.take_along_axis(score, best, 1).ravel()}))
-        return pd.concat(out)
-
-    at = ["list", "chunk", "part"]
-    found = left.select(*at, "cls", "codes", "x").groupBy(*at).cogroup(right.select(*at, "q", "x").groupBy(*at)).applyInPandas(search, "q long, cls long, score double")
+    sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).collect()
+    sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes], "list int, chunks long"))  # LISTS rows at most
+    here = indexed.join(sizes, "list").select("list", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), F.lit(0).alias("kind"), F.col("cls").alias("id"), "codes", "x")
+    routed = queries.mapInPandas(route, "list int, q long, x binary").join(sizes, "list")
+    sent = routed.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), F.col("q").alias("id"), F.lit(None).cast("binary").alias("codes"), "x")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        quantiser, at, held = Quantiser(*pickle.loads(model)), None, []
+        for g in pieces(batches, ["list", "chunk", "kind"]):
+            key, kind = (g["list"].iloc[0], g["chunk"].iloc[0]), g["kind"].iloc[0]
+            if kind == 0:
+                held = (held if key == at else []) + [g]
+                at, whole = key, None
+                continue
+            if key != at:  # a chunk that holds nothing
+                continue
+            if whole is None:
+                every = pd.concat(held)
+                whole = every["id"].to_numpy(), _bytes_matrix(every["x"]), np.stack([np.frombuffer(c, np.uint8) for c in every["codes"]])
+            ids, x, codes = whole
+            q = _bytes_matrix(g["x"])
+            for a in range(0, len(q), 64):
+                about = quantiser.scan(q[a : a + 64], key[0], codes)
+                top = np.argpartition(-about, RERANK - 1, 1)[:, :RERANK] if len(ids) > RERANK else np.broadcast_to(np.arange(len(ids)), about.shape)
+                score = np.einsum("qrd,qd->qr", x[top], q[a : a + 64])
+                best = np.lexsort((ids[top], -score), axis=1)[:, : k + 1]
+                yield pd.DataFrame({"q": np.repeat(g["id"].to_numpy()[a : a + 64], best.shape[1]), "cls": np.take_along_axis(ids[top], best, 1).ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+
+    met = here.unionByName(sent).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
+    found = met.mapInPandas(search, "q long, cls long, score double")
     place = lambda *by: F.row_number().over(Window.partitionBy(by[0]).orderBy(F.desc("score"), by[1]))
     found = found.withColumn("n", place("q", "cls")).where(F.col("n") <= k + 1).drop("n")
     spread = found.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
-    spread = spread.withColumn("n", place("q", "vec_id")).where(F.col("n") <= k + 1).drop("n")
-    pairs = spread.join(asked.withColumnRenamed("cls", "q"), "q").where("vec_id != query_id")
-    return pairs.withColumn("rank", place("query_id", "vec_id")).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    spread = spread.withColumn("n", place("q", "vec_id")).where(F.col("n") <= k + 1)
+    # the nearest of each distinct query, at most k + 1, for all rows that ask it
+    best = spread.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best")).join(of.select("q", "n"), "q")
+    rows = spread_join(spread_join(asked, of, ["vector"]).select("query_id", "q"), written(best, "nearest"), ["q"])
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    pairs = rows.select("query_id", F.posexplode(others).alias("p", "b"))
+    return pairs.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 
 def _bytes_matrix(col: pd.Series) -> np.ndarray:

@@ -5,13 +5,17 @@ between a character and a single space that follows it, unless white space
 stands on both sides. A text without such a place therefore falls apart at its
 spaces: its first piece as it is, every further piece with its space in front.
 Equal chunks need to be encoded only once. Other texts are cut by the
-pre-tokeniser's pattern itself.
+pre-tokeniser's pattern itself, and texts with characters that this machine's
+Unicode tables do not know, on whose class libraries disagree, by the
+tokenizers library's own pre-tokeniser.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 from functools import lru_cache
 
 import regex
@@ -54,6 +58,32 @@ def chunks(text: str) -> tuple[list[str], list[str]]:
     return ([first] if first else []), rest
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """A character that is not assigned."""
+    ranges, first = [], None
+    for c in range(sys.maxunicode + 2):
+        none = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if none and first is None:
+            first = c
+        elif not none and first is not None:
+            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
+@lru_cache(maxsize=2)
+def pre_tokeniser(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).pre_tokenizer
+
+
+def library_pieces(text: str, path: str) -> list[str]:
+    """The pre-tokens of a text as the tokenizers library cuts it."""
+    return [text[a:b] for _, (a, b) in pre_tokeniser(path).pre_tokenize_str(text)]
+
+
 def default_vocab() -> str:
     """The place of byte_bpe_50k.json on this machine."""
     import public_tokenizers

@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of a stream of frames that is sorted by ``keys``, each whole."""
-    held: list[pd.DataFrame] = []
+def pieces(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """A stream of frames that is sorted by ``keys``, cut where they change."""
     for b in batches:
         if not len(b):
             continue
-        new = np.zeros(len(b), bool)  # where a group begins
+        new = np.zeros(len(b), bool)
+        new[0] = True
         for k in keys:
             v = b[k].to_numpy()
             new[1:] |= v[1:] != v[:-1]
-        new[0] = not held or any(held[-1][k].iloc[-1] != b[k].iloc[0] for k in keys)
-        cuts = [0, *np.flatnonzero(new), len(b)]
+        cuts = [*np.flatnonzero(new), len(b)]
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if new[a] and held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            if z > a:
-                held.append(b.iloc[a:z])
+            yield b.iloc[a:z]
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a stream of frames that is sorted by ``keys``, each whole."""
+    held: list[pd.DataFrame] = []
+    for b in pieces(batches, keys):
+        if held and any(held[-1][k].iloc[-1] != b[k].iloc[0] for k in keys):
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        held.append(b)
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
 

@@ -27,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, written
-from .groups import components, dealt, runs
+from .common import WordHashes, discard, written
+from .groups import components, dealt, runs, spread_join
 from .shingles import REGISTERS, band_keys, estimated_jaccard, registers, shingle_set
 
 BANDS = 32
 #: Members of a block in which all pairs are compared.
 BLOCK = 512
+#: Sets up to this size are compared whatever their registers say: their registers are copies of few independent ones.
+SMALL = 256
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -105,13 +107,14 @@ def _star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
             if not len(b):
                 continue
             x, y = (np.stack([np.frombuffer(v, np.uint16) for v in b[c]]) for c in ("x", "y"))
-            yield b.loc[estimated_jaccard((x == y).sum(1)) >= least_estimate(percent), ["a", "b"]]
+            small = b[["n", "m"]].to_numpy().min(1) <= SMALL
+            yield b.loc[small | (estimated_jaccard((x == y).sum(1)) >= least_estimate(percent)), ["a", "b"]]
 
     pairs = members.where("cls != least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
     first = classes.select(F.col("cls").alias("a"), F.col("regs").alias("x"), F.col("n_shingles").alias("n"))
     second = classes.select(F.col("cls").alias("b"), F.col("regs").alias("y"), F.col("n_shingles").alias("m"))
     rows = pairs.join(first, "a").join(second, "b").where(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
-    return rows.select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
+    return rows.select("a", "b", "x", "y", "n", "m").mapInPandas(run, "a binary, b binary")
 
 
 def _across(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, key: np.ndarray, side: np.ndarray, both: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def _across(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, key: np.ndarray,
         if not len(others):
             continue
         equal = regs[others] == regs[a]
-        near = estimated_jaccard(equal.sum(1)) >= least_estimate(percent)
+        near = (np.minimum(n[others], n[a]) <= SMALL) | (estimated_jaccard(equal.sum(1)) >= least_estimate(percent))
         others, equal = others[near], equal[near]
         if not len(others):
             continue
@@ -141,10 +144,10 @@ def _across(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, key: np.ndarray,
 def _links_across(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All links between different components in the buckets that hold more than one component."""
     comp = labels.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
-    rows = members.select("key", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y")
+    rows = written(members.select("key", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "labelled")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y")
     blocks = F.ceil(F.col("size") / BLOCK)
-    rows = rows.join(mixed.select("key", "size"), "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "key"), "blocks"))
+    rows = spread_join(rows, written(mixed.select("key", "n", F.col("n").alias("size")), "mixed"), ["key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", "key"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("j")).cast("int"))
     rows = rows.select("key", "i", "j", "side", "cls", "comp").join(classes.select("cls", "regs", "n_shingles"), "cls")
@@ -195,8 +198,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.min("regs").alias("regs"), F.min("keys").alias("keys"))
     classes = written(classes, "classes")
     keys = classes.select("cls", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(keys.join(shared, "key").select("key", "cls", "least"), "members")
+    shared = written(keys.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = written(spread_join(keys, shared, ["key"]).select("key", "cls", "least"), "members")
+    discard(shared)
     wanted = classes.select("cls", "doc_id").join(members.select("cls").distinct(), "cls", "left_semi")
     sets = written(sets_of(docs, wanted), "sets")
     links = _confirmed(_star_pairs(members, classes, percent), sets, percent)

@@ -60,23 +60,24 @@ def _encoder(path: str) -> TextIds:
 
 
 def pieces(docs: DataFrame, size: int, vocab: str | None, end_id: int, with_ids: bool) -> DataFrame:
-    """Every document's ids, the end id last, cut into pieces of ``size`` ids and a remainder."""
+    """Every document's ids, the end id last, cut into pieces of ``size`` ids and a remainder; ``seen`` numbers a task's pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = _encoder(vocab or default_vocab()), end_id.to_bytes(4, "little")
+        encoder, end, seen = _encoder(vocab or default_vocab()), end_id.to_bytes(4, "little"), 0
         for b in batches:
             rows = []
             for name, text in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
                 ids = encoder.ids(text) + end
                 for a in range(0, len(ids), 4 * size):
                     part = ids[a : a + 4 * size]
-                    rows.append((name, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, *([part] * with_ids)))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+                    seen += 1
+                    rows.append((name, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, seen, *([part] * with_ids)))
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "seen", *["ids"] * with_ids])
             out["doc_id"] = out["doc_id"].astype(b["doc_id"].dtype)
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, seen long" + ", ids binary" * with_ids
     return docs.select("doc_id", empty_text("text").alias("text")).mapInPandas(run, schema)
 
 
@@ -154,10 +155,10 @@ def packed(docs: DataFrame, size: int = 2048, vocab: str | None = None, end_id:
     slots = spark.createDataFrame(slots, "length long, first long, beyond long, copies long, base long, shift long")
     salts = spark.createDataFrame([(k, -(-n // NUMBERED)) for k, n in counts.items()], "length long, salts long")
 
-    cut = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "salts"))
+    cut = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "seen"), "salts"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = cut.groupBy("length", "salt").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
+    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "seen")) - 1
     ranked = cut.withColumn("number", number).join(groups, ["length", "salt"]).withColumn("number", F.col("number") + F.col("before"))
     placed = ranked.join(F.broadcast(slots), "length").where("number >= first and number < beyond").withColumn("number", F.col("number") - F.col("first"))
     return placed.select(

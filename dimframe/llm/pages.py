@@ -27,11 +27,11 @@ from .common import discard, hash64, written
 from .sequences import common_places
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>", re.DOTALL)
-_RAW = re.compile(r"</(script|style|textarea|title|noscript|iframe|template|svg|math|select|button)\b[^>]*>", re.IGNORECASE)
+_RAW = re.compile(r"</(script|style|textarea|title|noscript|iframe|template|svg|select|button)\b[^>]*>", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _MARK = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 #: Elements whose content is never text,
-RAW = frozenset("script style textarea title noscript iframe template svg math select button".split())
+RAW = frozenset("script style textarea title noscript iframe template svg select button".split())
 #: elements that hold what surrounds the text,
 AROUND = frozenset("nav footer aside form header menu dialog".split())
 #: words in classes, ids and roles that say the same,
@@ -40,6 +40,14 @@ AROUND_NAME = re.compile(
     r"subscribe\w*|signup|share|sharing|social|related|recommended|comments?|comment-\w+|replies|respond|disqus|contentinfo|navigation|complementary|search|login|toolbar|pagination|pager|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: such a word alone, or with what such parts of a page are called, which is what counts within an article,
+AROUND_PART = re.compile(
+    r"(?:ads?|advert|adbox|banner|sponsored|promo|breadcrumbs?|sidebar|cookies?|consent|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|replies|respond|disqus|toolbar|pagination|pager|widget)"
+    r"(?:[_-](?:area|bar|block|box|buttons?|container|form|icons?|links?|list|section|thread|widget|wrapper|\d+))?",
+    re.IGNORECASE,
+)
+#: on elements that hold others,
+PARTS = frozenset("div section ul ol span table".split())
 #: elements that end a line,
 BLOCK = frozenset("address article aside blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: elements that never hold anything,
@@ -108,9 +116,13 @@ def page_lines(source: str | None) -> tuple[list[str], list[int]]:
                 del stack[k:]
             outer_around, outer_article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             inside = outer_article or name in ("article", "main")
-            marked = m[3] and name not in ("article", "main", "body", "html") and any(AROUND_NAME.search(x or y or z) for x, y, z in _MARK.findall(m[3]))
+            values = [x or y or z for x, y, z in _MARK.findall(m[3])] if m[3] and name not in ("article", "main", "body", "html") else []
+            if outer_article:  # ids and classes are often slugs of headings there
+                marked = name in PARTS and any(AROUND_PART.fullmatch(part) for v in values for part in v.split())
+            else:
+                marked = any(map(AROUND_NAME.search, values))
             # a header inside an article holds its headline
-            stack.append((name, outer_around or bool(marked) or (name in AROUND and not (name == "header" and outer_article)), inside))
+            stack.append((name, outer_around or marked or (name in AROUND and not (name == "header" and outer_article)), inside))
         if name in BLOCK or closing:
             state()
     end()
@@ -138,11 +150,14 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     partitions' sizes, as many numbers as there are partitions, are added up.
     """
     local = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    local = written(local, "ordered").withColumn("_part", F.shiftright("_id", 33))
+    ordered = written(local, "ordered")
+    local = ordered.withColumn("_part", F.shiftright("_id", 33))
     sizes = local.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_part", before.alias("_before"))
-    return local.join(F.broadcast(sizes), "_part").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+    placed = local.join(F.broadcast(sizes), "_part").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+    placed.written_to = ordered.written_to
+    return placed
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -189,7 +204,8 @@ def page_text(pages: DataFrame) -> DataFrame:
 
     shared = trio.mapInPandas(compare, "same long, host string, shared array<int>")
     shared = lines.select("row", "host", "same").distinct().join(shared, ["host", "same"]).groupBy("row").agg(F.min("shared").alias("shared"))
-    shared = shared.withColumnRenamed("row", "_row")
+    shared = written(shared.withColumnRenamed("row", "_row"), "shared")
+    discard(lines, single)
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

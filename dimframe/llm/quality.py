@@ -186,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     rated = labels.select(F.col("doc_id").alias("_id"), grade().alias("_grade")).where("_id is not null and _grade is not null")
     n = rated.count()
     if n > fit_rows:
-        rated = rated.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * 0.97 * fit_rows / n))
+        rated = rated.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 50)) < int((1 << 50) * 0.97 * fit_rows / n))
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("_id"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, words, written
+from .common import WordHashes, discard, mix, words, written
+from .groups import spread_join
 
 #: Words of a window.
 WINDOW = 50
@@ -39,11 +40,6 @@ MARGIN = 3 + 3 + 4 + 6
 LONGEST = 8
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes(600_000)
-
-
 def symbols(w: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(names, lengths) of the symbols of documents laid end to end, given their word hashes and lengths."""
     name, size, doc = w, np.ones(len(w), np.int64), np.repeat(np.arange(len(lens)), lens)
@@ -97,11 +93,11 @@ def anchors(w: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.ndarray, n
     return doc, place, mix((total[end] - total[first]) * down[first] + size[chosen].astype(np.uint64))
 
 
-def _together(texts: list[str | None], most: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _together(texts: list[str | None], hashes: WordHashes, most: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes, lengths) of consecutive texts with about ``most`` words together."""
     first, parts, n = 0, [], 0
     for k, t in enumerate(texts):
-        parts.append(_hashes().array(words(t)))
+        parts.append(hashes.array(words(t)))
         n += len(parts[-1])
         if n >= most or k == len(texts) - 1:
             yield first, np.concatenate(parts), np.array([len(p) for p in parts])
@@ -123,7 +119,7 @@ def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=8)
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
@@ -182,27 +178,32 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     row = ["doc", "key"]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for b in batches:
             ids, keys = b["doc"].to_numpy(), b["key"].to_numpy()
-            for first, w, lens in _together(b["text"].tolist()):
+            for first, w, lens in _together(b["text"].tolist(), hashes):
                 doc, _, name = anchors(w, lens, window)
                 new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])][: len(name)])
                 yield pd.DataFrame({"anchor": name[new].view(np.int64), "doc": ids[first + doc[new]], "key": keys[first + doc[new]]})
 
     found = written(rows.select(order, "key", "text").where("text is not null").mapInPandas(find, "anchor long, doc long, key long"), "anchors")
-    least = found.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("anchor")
-    shared = found.join(least, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("shared"))
+    # anchors, windows and texts that very many documents have are joined where they are
+    least = found.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", "n")
+    least = written(least, "shared-anchors")
+    shared = spread_join(found, least, ["anchor"]).groupBy(*row).agg(F.collect_set("anchor").alias("shared"))
     # an exact copy of an earlier text is removed whole: it need not show its windows, as the first one does
-    copies = rows.where(F.length("text") > window).select(order, "key", F.sha2("text", 256).alias("text_sha"))
-    first = copies.groupBy("text_sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    later = copies.join(first, "text_sha").where("doc > first").select(*row, F.lit(True).alias("copied")).distinct()
+    copies = written(rows.where(F.length("text") > window).select(order, "key", F.sha2("text", 256).alias("text_sha")), "digests")
+    first = copies.groupBy("text_sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    later = spread_join(copies, written(first, "copied"), ["text_sha"]).where("doc > first").select(*row, F.lit(True).alias("copied")).distinct()
     known = written(shared.join(later, row, "full").withColumnsRenamed({"doc": "_doc", "key": "_key"}), "shared")
+    discard(found, least)
     texts = rows.withColumn("doc", order)
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for b in batches:
             ids, keys, sets = b["doc"].to_numpy(), b["key"].to_numpy(), b["shared"].tolist()
-            for first, w, lens in _together(b["text"].tolist()):
+            for first, w, lens in _together(b["text"].tolist(), hashes):
                 doc, place, name = anchors(w, lens, window)
                 begin, cut = np.cumsum(lens) - lens, np.searchsorted(doc, np.arange(len(lens) + 1))
                 for k in range(len(lens)):
@@ -215,9 +216,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     joined = texts.join(known, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
     shown = joined.where("shared is not null and copied is null").select("doc", "key", "text", "shared").mapInPandas(show, "x long, y long, doc long, key long, place int")
     shown = written(shown, "windows")
-    earliest = shown.groupBy("x", "y").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    repeated = shown.join(earliest.select("x", "y", "first"), ["x", "y"]).where("doc > first").groupBy(*row).agg(F.collect_set("place").alias("places"))
-    marks = repeated.join(later, row, "full").withColumnsRenamed({"doc": "_doc", "key": "_key"})
+    earliest = shown.groupBy("x", "y").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    repeated = spread_join(shown, written(earliest.drop("last"), "earliest"), ["x", "y"]).where("doc > first").groupBy(*row).agg(F.collect_set("place").alias("places"))
+    marks = written(repeated.join(later, row, "full").withColumnsRenamed({"doc": "_doc", "key": "_key"}), "marks")
+    discard(shown, known)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

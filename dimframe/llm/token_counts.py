@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import PATTERN, byte_letters, chunks, default_vocab, special_strings, vocabulary
+from .chunks import PATTERN, byte_letters, chunks, default_vocab, library_pieces, special_strings, unassigned, vocabulary
 from .common import empty_text
 
 _NONE = np.int64(1 << 40)
-#: Distinct chunks that a Python worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Distinct chunks that a task remembers before it starts afresh.
+REMEMBERED = 400_000
 
 
 class RankedPairs:
@@ -86,7 +86,7 @@ class ChunkCounts:
     """Counts tokens of texts, each distinct chunk once."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.pairs, self.special, self.remembered = RankedPairs(path), special_strings(path), remembered
+        self.path, self.pairs, self.special, self.remembered = path, _pairs(path), special_strings(path), remembered
         self.raw: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
 
@@ -106,8 +106,14 @@ class ChunkCounts:
             out = [y for x in out for y in x.split(s)]
         return out
 
+    def odd(self, text: str) -> int:
+        """Tokens of a text with unassigned characters, without remembering any of it."""
+        pieces = [p.encode("utf-8", "replace") for part in self.parts(text) for p in library_pieces(part, self.path)]
+        return len(self.parts(text)) - 1 + int(self.pairs.counts(pieces).sum())
+
     def count(self, texts: list[str]) -> np.ndarray:
-        cut = [[chunks(p) for p in self.parts(t)] for t in texts]
+        odd = {k: self.odd(t) for k, t in enumerate(texts) if not t.isascii() and unassigned().search(t)}
+        cut = [[chunks(p) for p in self.parts("" if k in odd else t)] for k, t in enumerate(texts)]
         if len(self.raw) + len(self.spaced) > self.remembered:
             self.raw.clear()
             self.spaced.clear()
@@ -118,12 +124,12 @@ class ChunkCounts:
                     seen.update(part[which])
             self.learn(known, [c for c in seen if c not in known], prefix)
         raw, spaced = self.raw.__getitem__, self.spaced.__getitem__
-        return np.array([len(doc) - 1 + sum(sum(map(raw, a)) + sum(map(spaced, b)) for a, b in doc) for doc in cut], np.int64)
+        return np.array([odd[k] if k in odd else len(doc) - 1 + sum(sum(map(raw, a)) + sum(map(spaced, b)) for a, b in doc) for k, doc in enumerate(cut)], np.int64)
 
 
-@lru_cache(maxsize=2)
-def _counter(path: str) -> ChunkCounts:
-    return ChunkCounts(path)
+@lru_cache(maxsize=1)
+def _pairs(path: str) -> RankedPairs:
+    return RankedPairs(path)
 
 
 def in_slices(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
@@ -150,7 +156,7 @@ def token_counts(docs: DataFrame, vocab: str | None = None, limit: int = 1024) -
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _counter(vocab or default_vocab())
+        counter = ChunkCounts(vocab or default_vocab())
         for b in batches:
             texts = b["text"].tolist()
             n = [counter.count(texts[s]) for s in in_slices(texts)]

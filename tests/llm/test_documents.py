@@ -18,8 +18,8 @@ from .conftest import TABLES, prose
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def table_rows(limit=None):
-    return duckdb.sql(f"select doc_id, text from '{TABLES}/documents.parquet' order by doc_id").fetchall()[:limit]
+def table_rows(tables=TABLES):
+    return duckdb.sql(f"select doc_id, text from '{tables}/documents.parquet' order by doc_id").fetchall()
 
 
 @pytest.fixture(scope="module")
@@ -490,3 +490,93 @@ def test_directions_are_singular_vectors(spark):
     v, s = decontamination.directions(coded, weight, np.arange(30, 40))
     _, want, vt = np.linalg.svd(a)
     assert np.allclose(s, want, rtol=1e-3) and np.allclose(np.abs((v * vt.T).sum(0))[:5], 1, atol=1e-3)
+
+
+def test_token_counts_of_every_kind_of_character(tokenizer):
+    """Characters of all blocks, assigned or not, between letters, contractions and spaces."""
+    counter = token_counts.ChunkCounts(chunks.default_vocab())
+    points = [c for c in [*range(0, 0x3400), *range(0x3400, 0x20000, 5), *range(0x20000, 0x110000, 997), 0x1E6C0] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}'ll {chr(c)}1 {chr(c)}. b" for c in points]
+    want = [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts).tolist() == want
+
+
+def test_secrets_of_all_documents(spark):
+    """Base and random spans of a whole table against the patterns and the token ratio as they stand in the contract."""
+    rows = table_rows("/root/testdata/sf0.1")
+    encode = secrets._encoder(None, None).encode_ordinary
+    got = {r["doc_id"]: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order, found = ["assign", "access", "hex", "random"], 0
+    for i, t in rows:
+        t = t or ""
+        spans = [(m.start(), "assign", m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        for kind, pattern, least in (("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)):
+            spans += [(m.start(), kind, m.end()) for m in re.finditer(pattern, t) if len(m[0]) >= least]
+        base = list(spans)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            known = re.fullmatch(r"[0-9a-fA-F]+", m[0]) and len(m[0]) in (32, 40, 56, 64, 96, 128) or re.fullmatch(r"[0-9+/_=-]+", m[0]) or re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", m[0])
+            if not known and not any(a <= m.start() and m.end() <= b for a, _, b in base) and len(m[0]) / len(encode(m[0])) < 2.2:
+                spans.append((m.start(), "random", m.end()))
+        text = lambda x: ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(x, key=lambda s: (s[0], order.index(s[1]))))
+        r = got[i]
+        assert r["spans"] == text(spans) and r["base_sha256"] == hashlib.sha256(text(base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for _, k, _ in base) for kind in order[:3]]
+        found += len(base)
+    assert found > 0
+
+
+def test_ratio_finds_planted_secrets():
+    """Recall of random strings of several alphabets by length, and precision on words put together."""
+    rng, encode = np.random.default_rng(7), secrets._encoder(None, None).encode_ordinary
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = re.findall(r"[A-Za-z]{3,}", "the quick brown fox jumps over lazy dogs while many important international conferences discuss environmental developments and responsibilities")
+    for n in (16, 24, 40):
+        hits = sum(bool(secrets.random_spans("".join(rng.choice(list(letters), n)), [], encode, 2.2)) for _ in range(300))
+        false = sum(bool(secrets.random_spans("_".join(rng.choice(plain, 4)), [], encode, 2.2)) for _ in range(300))
+        assert hits >= 0.97 * 300 and false <= 0.03 * 300, (n, hits, false)
+
+
+def test_scores_and_likelihood_of_the_ordinal_model():
+    """Scores against sums over sets of features; the online fit against full-batch ascent of the same likelihood."""
+    rng = np.random.default_rng(2)
+    common, groups = [f"word{k}" for k in range(30)], [[f"bad{k}" for k in range(8)], [f"poor{k}" for k in range(8)], [f"good{k}" for k in range(8)]]
+    texts, grades = [], []
+    for _ in range(240):
+        g = int(rng.integers(3))
+        of = g if rng.random() < 0.85 else int(rng.integers(3))
+        texts.append(" ".join(rng.permutation([*rng.choice(common, 12), *rng.choice(groups[of], 3)])))
+        grades.append(g)
+    table, grades = quality.WordTable(), np.array(grades)
+    rows = [quality.text_features(t, table) for t in texts]
+    model = quality.OrdinalModel.fit(rows, grades, passes=60, sparsity=0.0)
+
+    want = []
+    for t in texts:
+        ws = set(t.split())
+        at = [quality.features(w) for w in ws]
+        lexical = {p for a in at for p in a[:2]}
+        want.append(sum(model.weights[p] for p in lexical) + 4 * sum(model.weights[a[2]] for a in at) / len(ws) + model.weights[quality.repeat_place(len(ws), len(t.split()))])
+    assert np.allclose(quality.Scorer(model).scores(texts), want, atol=1e-4)
+    assert quality.Scorer(model).scores([None, "", " "]).tolist() == [0, 0, 0]
+
+    def likelihood(score, t):
+        up, low = quality.sigmoid(np.append(t, 99)[grades] - score), quality.sigmoid(np.append(-99, t)[grades] - score)
+        return np.log(np.maximum(up - low, 1e-12)).mean()
+
+    used = sorted({int(p) for at, _ in rows for p in at})
+    x = np.zeros((len(rows), len(used)))
+    for k, (at, v) in enumerate(rows):
+        x[k, np.searchsorted(used, at)] = v
+    w, t = np.zeros(len(used)), np.array([-1.0, 1.0])
+    best = None
+    for _ in range(4000):
+        s = x @ w
+        up, low = quality.sigmoid(np.append(t, 99)[grades] - s), quality.sigmoid(np.append(-99, t)[grades] - s)
+        w += 0.1 * x.T @ (up + low - 1) / len(rows)
+        mass = np.maximum(up - low, 1e-9)
+        for j in range(2):
+            t[j] += 0.1 * ((grades == j) * up * (1 - up) / mass - (grades == j + 1) * low * (1 - low) / mass).mean()
+        now = likelihood(x @ w, t)
+        best = now if best is None else max(best, now)
+    none = likelihood(np.zeros(len(rows)), np.log([np.mean(grades <= 0) / np.mean(grades > 0), np.mean(grades <= 1) / np.mean(grades > 1)]))
+    assert likelihood(np.array(want), model.thresholds) > none + 0.8 * (best - none), (none, best)
