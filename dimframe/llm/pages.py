@@ -204,7 +204,7 @@ def page_text(pages: DataFrame) -> DataFrame:
 
     shared = trio.mapInPandas(compare, "same long, host string, shared array<int>")
     shared = lines.select("row", "host", "same").distinct().join(shared, ["host", "same"]).groupBy("row").agg(F.min("shared").alias("shared"))
-    shared = written(shared.withColumnRenamed("row", "_row"), "shared")
+    shared = written(shared.withColumnRenamed("row", "_row"), "shared").hint("merge")  # not broadcast: it grows with the table
     discard(lines, single)
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
