@@ -35,13 +35,22 @@ GRADES = 3
 _LETTERS = re.compile(r"[^\W_]+")
 
 
-def features(word: str) -> tuple[int, int, int]:
-    """The places of a word, of its beginning and of its shape."""
-    bare = word.strip(".,;:!?\"'()[]{}<>|*#$%&-_").lower()
-    letters = "".join(_LETTERS.findall(word))
-    shape = ("A" if len(letters) > 1 and letters.isupper() else "a") + _LETTERS.sub("", word)[:6]
-    hashed = lambda s: zlib.crc32(s.encode("utf-8", "replace")) % (PLACES - REPEATS)
-    return hashed("w" + bare), hashed("p" + bare[:4]), hashed("s" + shape)
+_AROUND = ".,;:!?\"'()[]{}<>|*#$%&-_"
+
+
+def place(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "replace")) % (PLACES - REPEATS)
+
+
+def shape(word: str) -> str:
+    """What is left of a word without letters and digits, after a sign for capitals."""
+    if word.isalnum():
+        letters, rest = word, ""
+    elif word[:-1].isalnum():
+        letters, rest = word[:-1], word[-1]
+    else:
+        letters, rest = "".join(_LETTERS.findall(word)), _LETTERS.sub("", word)[:6]
+    return ("A" if len(letters) > 1 and letters.isupper() else "a") + rest
 
 
 class WordTable(dict):
@@ -49,21 +58,33 @@ class WordTable(dict):
 
     def __init__(self, most: int = 200_000):
         super().__init__()
-        self.most, self.at = most, array("i")
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.at, self.begins, self.shapes = array("i"), {}, {}
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self)
-        self.at.extend(features(word))
+        bare, kind = word.strip(_AROUND).lower(), shape(word)
+        begin = bare[:4]
+        if begin not in self.begins:
+            self.begins[begin] = place("p" + begin)
+        if kind not in self.shapes:
+            self.shapes[kind] = place("s" + kind)
+        self.at.extend((place("w" + bare), self.begins[begin], self.shapes[kind]))
         return k
 
     def read(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, number of a word in it, times it stands there) of every distinct word of every text."""
         if len(self) > self.most:
-            self.clear()
-            self.at = array("i")
+            self.forget()
         lens = np.array([len(ws) for ws in texts], np.int64)
         ids = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in texts)])
-        key, times = np.unique(np.repeat(np.arange(len(texts)), lens) * len(self) + ids, return_counts=True)
+        key = np.sort(np.repeat(np.arange(len(texts)), lens) * len(self) + ids)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        key, times = key[first], np.diff(np.r_[first, len(key)])
         return key // max(len(self), 1), key % max(len(self), 1), times
 
     def places(self) -> np.ndarray:
@@ -71,14 +92,17 @@ class WordTable(dict):
         return np.array(self.at, np.int64).reshape(-1, 3)
 
 
-def slices(texts: list[list[str]], most: int = 100_000) -> Iterator[list[list[str]]]:
-    """Consecutive texts (their words) with about ``most`` words together."""
-    a = total = 0
-    for b, ws in enumerate(texts):
-        total += len(ws)
-        if total >= most or b == len(texts) - 1:
-            yield texts[a : b + 1]
-            a, total = b + 1, 0
+def slices(texts: list[str | None], most: int = 100_000) -> Iterator[list[list[str]]]:
+    """The words of consecutive texts, about ``most`` words at a time."""
+    held, total = [], 0
+    for t in texts:
+        held.append(words(t))
+        total += len(held[-1])
+        if total >= most:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def text_features(text: str | None, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +176,7 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The sum of each text's weights; 0 for texts without words."""
-        return np.concatenate([np.zeros(0), *(self._scores(part) for part in slices([words(t) for t in texts]))])
+        return np.concatenate([np.zeros(0), *(self._scores(part) for part in slices(texts))])
 
     def _scores(self, texts: list[list[str]]) -> np.ndarray:
         w, count = self.model.weights, len(texts)
@@ -160,9 +184,10 @@ class Scorer:
         at = self.table.places()[ids]
         distinct, total = np.bincount(text, minlength=count), np.bincount(text, times, minlength=count)
         # words and beginnings count once in a text, even if several words share them
-        place, of = at[:, :2].ravel(), np.repeat(text, 2)
-        some = w[place] != 0
-        key = np.unique(of[some] * PLACES + place[some])
+        lex, of = at[:, :2].ravel(), np.repeat(text, 2)
+        some = w[lex] != 0
+        key = np.sort(of[some] * PLACES + lex[some])
+        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
         lexical = np.bincount(key // PLACES, w[key % PLACES], minlength=count)
         shapes = np.bincount(text, w[at[:, 2]], minlength=count)
         out = lexical + 4.0 * shapes / np.maximum(distinct, 1) + w[repeat_place(distinct, total.astype(np.int64))]
@@ -197,7 +222,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_rows = pd.concat([pd.DataFrame({"id": [], "grade": [], "at": [], "x": []}), *batches]).sort_values("id", kind="stable")
-        rows = [(np.asarray(a, np.int64), np.asarray(x, np.float64)) for a, x in zip(all_rows["at"], all_rows["x"], strict=True)]
+        rows = list(zip(all_rows["at"], all_rows["x"], strict=True))
         model = OrdinalModel.fit(rows, all_rows["grade"].to_numpy())
         at = np.flatnonzero(model.weights)
         yield pd.DataFrame({"model": [pickle.dumps((at.astype(np.int32), model.weights[at], model.thresholds))]})

@@ -536,6 +536,13 @@ def test_ratio_finds_planted_secrets():
         assert hits >= 0.97 * 300 and false <= 0.03 * 300, (n, hits, false)
 
 
+def test_shapes():
+    letters = re.compile(r"[^\W_]+")
+    for w in ("a", "A", "AB", "Ab1", "x,", "X.", "XY.", "don't", "--", "_", "é!", "a.b.c.d.e.f.g.h", "ß1?", "(A"):
+        inner = "".join(letters.findall(w))
+        assert quality.shape(w) == ("A" if len(inner) > 1 and inner.isupper() else "a") + letters.sub("", w)[:6], w
+
+
 def test_scores_and_likelihood_of_the_ordinal_model():
     """Scores against sums over sets of features; the online fit against full-batch ascent of the same likelihood."""
     rng = np.random.default_rng(2)
@@ -553,7 +560,7 @@ def test_scores_and_likelihood_of_the_ordinal_model():
     want = []
     for t in texts:
         ws = set(t.split())
-        at = [quality.features(w) for w in ws]
+        at = [(quality.place("w" + w.strip(".,").lower()), quality.place("p" + w.lower()[:4]), quality.place("s" + ("A" if len(w) > 1 and w.isupper() else "a"))) for w in ws]
         lexical = {p for a in at for p in a[:2]}
         want.append(sum(model.weights[p] for p in lexical) + 4 * sum(model.weights[a[2]] for a in at) / len(ws) + model.weights[quality.repeat_place(len(ws), len(t.split()))])
     assert np.allclose(quality.Scorer(model).scores(texts), want, atol=1e-4)
