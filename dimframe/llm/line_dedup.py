@@ -111,7 +111,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
         found = _align(asked.join(holders, ["key", "wave"]).where("earlier < unit").select("x", "y", "a", "b").distinct(), units)
         tried, cut = cut, written(cut.union(found).groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "aligned")
         discard(tried, found)
-        low, high = high, 2 * high
+        low, high = high, 8 * high
         before, left = left, written(asking().join(left.where(F.col("waves") > low).select("x", "y", "key", "waves"), ["x", "y", "key"]), "left")
         discard(before)
     discard(left, every, shared)
