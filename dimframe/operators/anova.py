@@ -1,21 +1,23 @@
 """Mass-univariate analysis of variance with sequential sums of squares.
 
-The design (ids by levels within) is small and lives on the driver: model
-matrices with Helmert contrasts, made orthogonal in the order of terms. A sum of
-squares is then the squared length of the data's projection on a term's columns,
-so every task needs only the design's orthonormal columns: the cells of a
-combination of the other dimensions become sums of weight times value, squared
-and added up. No cell's data is gathered in one place.
+Subjects are many, the cells of the design (levels between by levels within)
+are few. The sum of squares of a model term is the squared length of the data's
+projection on the term's orthonormal columns, which are constant within a cell
+of the design, so it follows from the cells' sums. The variation of subjects, and
+of subjects over a term within, follows from squared sums of each subject: the
+length of the projection on subjects by levels, less that on fewer levels, less
+the model terms of that stratum. Each subject is one row of one shuffle; no
+subject reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import DimFrame
@@ -31,89 +33,95 @@ def helmert(n: int) -> np.ndarray:
     return out
 
 
-@dataclass(frozen=True)
-class Design:
-    """rows: (id, levels within); columns: orthonormal, by term; errors: term -> error term."""
-
-    rows: list[tuple]
-    terms: dict[str, np.ndarray]
-    errors: dict[str, str]
-    within: tuple[str, ...]
-
-
 def _terms(factors: Sequence[str]) -> list[tuple[str, ...]]:
     return [t for n in range(1, len(factors) + 1) for t in combinations(factors, n)]
 
 
-def design(ids: Sequence, between: dict[str, dict], within: dict[str, Sequence]) -> Design:
-    """The design of every id in every combination of levels within.
+def model_columns(groups: Sequence[tuple], sizes: Sequence[int], between: Sequence[str], within: dict[str, Sequence]) -> dict[str, np.ndarray]:
+    """The columns of every model term over the cells of the design: orthonormal over subjects, term after term.
 
-    ``between`` maps a factor to each id's level, ``within`` a factor to its
-    levels in order. Terms come with main effects first; those within, and mixed
-    ones, are tested against the variation of ids over their part within, those
-    between against the variation of ids.
+    ``groups`` are the combinations of levels between that occur, with ``sizes``
+    subjects each. Rows are groups by combinations of levels within. Main
+    effects come first, then interactions.
     """
     combos = list(product(*within.values()))
-    rows = [(i, *c) for i in ids for c in combos]
     coded: dict[str, np.ndarray] = {}
+    for k, name in enumerate(between):
+        levels = sorted({g[k] for g in groups})
+        coded[name] = np.repeat(helmert(len(levels))[[levels.index(g[k]) for g in groups]], len(combos), 0)
     for k, (name, levels) in enumerate(within.items()):
-        code = helmert(len(levels))
-        coded[name] = np.array([code[list(levels).index(r[1 + k])] for r in rows])
-    for name, of in between.items():
-        levels = sorted(set(of.values()))
-        code = helmert(len(levels))
-        coded[name] = np.array([code[levels.index(of[r[0]])] for r in rows])
-    ones = np.array([[float(r[0] == i) for i in ids] for r in rows])
-
-    basis = [np.ones((len(rows), 1)) / np.sqrt(len(rows))]
-
-    def columns(parts: list[np.ndarray]) -> np.ndarray:
-        out = np.ones((len(rows), 1))
-        for p in parts:
-            out = (out[:, :, None] * p[:, None, :]).reshape(len(rows), -1)
-        return out
-
-    def fresh(x: np.ndarray) -> np.ndarray:
-        """What x adds to the basis, orthonormal."""
-        q = np.hstack(basis)
+        coded[name] = np.tile(helmert(len(levels))[[list(levels).index(c[k]) for c in combos]], (len(groups), 1))
+    weight = np.sqrt(np.repeat(np.asarray(sizes, float), len(combos)))[:, None]  # a row stands for so many subjects
+    basis, out = weight / np.linalg.norm(weight), {}
+    for t in _terms([*between, *within]):
+        x = weight
+        for f in t:
+            x = (x[:, :, None] * coded[f][:, None, :]).reshape(len(weight), -1)
         for _ in range(2):
-            x = x - q @ (q.T @ x)
+            x = x - basis @ (basis.T @ x)
         u, s, _ = np.linalg.svd(x, full_matrices=False)
         new = u[:, s > 1e-8 * max(1.0, s.max(initial=0))]
-        basis.append(new)
-        return new
-
-    factors = [*between, *within]
-    terms = {":".join(t): fresh(columns([coded[f] for f in t])) for t in _terms(factors)}
-    errors: dict[str, str] = {}
-    if between or within:
-        # the variation of ids, and of ids over each term within: what is left there after the model's terms
-        for t in [(), *_terms(list(within))]:
-            name = ":".join(("id", *t))
-            terms[name] = fresh(columns([ones, *[coded[f] for f in t]]))
-            for m in _terms(factors):
-                if tuple(f for f in m if f in within) == t:
-                    errors[":".join(m)] = name
-    return Design(rows, terms, errors, tuple(within))
-
-
-def sums_of_squares(cube: DimFrame, d: Design, id_dim: str) -> DataFrame:
-    """modelterm, ss and df for each combination of the dimensions outside the design."""
-    spark = cube.df.sparkSession
-    outside = cube.others(id_dim, *d.within)
-    names = [id_dim, *d.within]
-    schema = ", ".join(f"`{n}` {cube.df.schema[n].dataType.simpleString()}" for n in names)
-    weights = [(*row, [[float(x) for x in m[k]] for m in d.terms.values()]) for k, row in enumerate(d.rows)]
-    table = spark.createDataFrame(weights, f"{schema}, w array<array<double>>")
-    # the design has a row for each id and combination within; it is broadcast only while small
-    table = F.broadcast(table) if sum(m.size for m in d.terms.values()) * 8 < 64 << 20 else table
-    # cells of the design that are null or missing make the whole combination null
-    joined = cube.df.join(table, names)
-    long = joined.select(*outside, F.col(cube.value).alias("v"), F.posexplode("w").alias("t", "ws")).select(*outside, "v", "t", F.posexplode("ws").alias("c", "w"))
-    projected = long.groupBy(*outside, "t", "c").agg(F.when(F.count("v") == len(d.rows), F.sum(F.col("w") * F.col("v"))).alias("p"))
-    named = F.get(F.array(*[F.lit(t) for t in d.terms]), F.col("t"))
-    sums = projected.groupBy(*outside, named.alias("modelterm")).agg(F.when(F.count("p") == F.count(F.lit(1)), F.sum(F.col("p") * F.col("p"))).alias("ss"), F.count(F.lit(1)).alias("df"))
-    return sums
+        basis = np.hstack((basis, new))
+        out[":".join(t)] = new / weight
+    return out
+
+
+def sums_of_squares(cube: DimFrame, groups: DataFrame, between: Sequence[str], within: dict[str, Sequence], id_dim: str) -> tuple[DataFrame, dict[str, str], dict[str, int]]:
+    """(a row of sums of squares for each combination of the other dimensions, error terms of model terms, degrees of freedom).
+
+    ``groups`` has the subjects and their levels between. A column is named by
+    its term; error terms are ``id`` and ``id`` with terms within. A combination
+    with a cell missing or null has nulls.
+    """
+    spark, outside, v = cube.df.sparkSession, cube.others(id_dim, *within), F.col(cube.value)
+    found = sorted(tuple(r) for r in groups.groupBy(*between).count().collect()) if between else [(groups.count(),)]
+    kinds, sizes = [r[:-1] for r in found], [r[-1] for r in found]  # as many as levels between
+    combos, subjects = list(product(*within.values())), sum(sizes)
+    columns = model_columns(kinds, sizes, between, within)
+    weights = np.hstack([*columns.values(), np.zeros((len(kinds) * len(combos), 0))])
+    # one row for each subject: its values over the combinations within
+    is_combo = lambda c: reduce(lambda a, b: a & b, [F.col(n) == F.lit(x) for n, x in zip(within, c, strict=True)], F.lit(True))
+    wide = cube.df.join(groups, id_dim).groupBy(*outside, id_dim, *between).agg(*[F.max(F.when(is_combo(c), v)).alias(f"_v{k}") for k, c in enumerate(combos)])
+    strata = [(), *_terms(list(within))]
+    at = {f: k for k, f in enumerate(within)}
+
+    def length(t: tuple[str, ...]) -> Column:
+        """The squared length of a subject's projection on the levels of some factors within."""
+        parts: dict[tuple, list[Column]] = {}
+        for k, c in enumerate(combos):
+            parts.setdefault(tuple(c[at[f]] for f in t), []).append(F.col(f"_v{k}"))
+        return reduce(Column.__add__, [F.pow(reduce(Column.__add__, p), 2) / len(p) for p in parts.values()])
+
+    lengths = [F.sum(length(t)).alias(f"_q{k}") for k, t in enumerate(strata)]
+    full = reduce(Column.__add__, [F.col(f"_v{k}").isNotNull().cast("long") for k in range(len(combos))])
+    cells = wide.groupBy(*outside, *between).agg(*[F.sum(f"_v{k}").alias(f"_s{k}") for k in range(len(combos))], *lengths, F.sum(full).alias("_n"))
+    table = [(*g, weights[k * len(combos) : (k + 1) * len(combos)].T.tolist()) for k, g in enumerate(kinds)]
+    fields = "".join(f"`{b}` {groups.schema[b].dataType.simpleString()}, " for b in between)
+    table = spark.createDataFrame(table, fields + "_w array<array<double>>")
+    cells = cells.join(F.broadcast(table), list(between)) if between else cells.crossJoin(F.broadcast(table))
+    sums = F.array(*[F.col(f"_s{k}") for k in range(len(combos))])
+    cells = cells.withColumn("_p", F.transform("_w", lambda w: F.aggregate(F.zip_with(w, sums, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+    total = reduce(Column.__add__, [F.col(f"_s{k}") for k in range(len(combos))])
+    whole = cells.groupBy(*outside).agg(
+        *[F.sum(F.get("_p", F.lit(k))).alias(f"_p{k}") for k in range(weights.shape[1])], *[F.sum(f"_q{k}").alias(f"_q{k}") for k in range(len(strata))], F.sum(total).alias("_t"), F.sum("_n").alias("_n")
+    )
+    ss, df, errors, first = {}, {}, {}, 0
+    for t, x in columns.items():
+        df[t] = x.shape[1]
+        ss[t] = reduce(Column.__add__, [F.pow(F.col(f"_p{first + k}"), 2) for k in range(df[t])], F.lit(0.0))
+        first += df[t]
+    for t in strata:
+        name = ":".join(("id", *t))
+        own = [m for m in columns if tuple(f for f in m.split(":") if f in within) == t]
+        alone = [(-1) ** (len(t) - len(u)) * F.col(f"_q{k}") for k, u in enumerate(strata) if set(u) <= set(t)]
+        rest = reduce(Column.__add__, alone) - reduce(Column.__add__, [ss[m] for m in own], F.lit(0.0))
+        df[name] = subjects * int(np.prod([len(within[f]) - 1 for f in t])) - sum(df[m] for m in own)
+        if not t:
+            rest, df[name] = rest - F.pow("_t", 2) / (subjects * len(combos)), df[name] - 1
+        ss[name] = F.greatest(rest, F.lit(0.0))
+        errors.update(dict.fromkeys(own, name))
+    complete = F.col("_n") == subjects * len(combos)
+    return whole.select(*outside, *[F.when(complete, x).alias(t) for t, x in ss.items()]), errors, df
 
 
 def anova(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), id_dim: str = "id", with_p: bool = True, observed: Sequence[str] = ()) -> DataFrame:
@@ -127,28 +135,16 @@ def anova(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (
     if not between and not within:
         raise ValueError("name factors between or within subjects")
     levels = {w: list(cube.dim(w).levels or sorted(r[0] for r in cube.df.select(w).distinct().collect())) for w in within}
-    ids = [r[0] for r in cube.df.select(id_dim).distinct().collect()]  # the subjects of one study
-    of: dict[str, dict] = {b: {} for b in between}
-    if between:
-        for r in subjects.select(id_dim, *between).dropna().collect():
-            for b in between:
-                of[b][r[id_dim]] = r[b]
-        ids = [i for i in ids if all(i in of[b] for b in between)]
-    d = design(sorted(ids), of, levels)
-    ss = sums_of_squares(cube, d, id_dim)
-    outside = cube.others(id_dim, *within)
-    errors = [t for t in d.terms if t.split(":")[0] == "id"]
-    wide = ss.groupBy(*outside).agg(
-        *[F.max(F.when(F.col("modelterm") == t, F.col("ss"))).alias(f"_s{k}") for k, t in enumerate(d.terms)],
-        *[F.max(F.when(F.col("modelterm") == t, F.col("df"))).alias(f"_d{k}") for k, t in enumerate(d.terms)],
-    )
-    at = {t: k for k, t in enumerate(d.terms)}
-    all_errors = sum((F.coalesce(F.col(f"_s{at[e]}"), F.lit(0.0)) for e in errors if d.terms[e].shape[1]), F.lit(0.0))
+    ids = cube.df.select(id_dim).distinct()
+    groups = ids.join(subjects.select(id_dim, *between).dropna().dropDuplicates([id_dim]), id_dim) if between else ids
+    ss, errors, df = sums_of_squares(cube, groups, between, levels, id_dim)
+    col = lambda t: F.col(f"`{t}`")
+    all_errors = reduce(Column.__add__, [col(e) for e in df if e.split(":")[0] == "id" and df[e] > 0], F.lit(0.0))
     cells = []
-    for t, e in d.errors.items():
-        s, df1, se, df2 = F.col(f"_s{at[t]}"), F.col(f"_d{at[t]}"), F.col(f"_s{at[e]}"), F.col(f"_d{at[e]}")
-        more = sum((F.col(f"_s{at[o]}") for o in d.errors if o != t and set(o.split(":")) & set(observed)), F.lit(0.0))
-        own = F.lit(0.0) if set(t.split(":")) & set(observed) else s
-        cells.append(F.struct(F.lit(t).alias("modelterm"), ((s / df1) / F.nullif(se / df2, F.lit(0.0))).alias("stat"), df1.cast("double").alias("df1"), df2.cast("double").alias("df2"), (s / F.nullif(all_errors + own + more + (s if set(t.split(":")) & set(observed) else F.lit(0.0)), F.lit(0.0))).alias("es")))
-    out = wide.select(*outside, F.inline(F.array(*cells)))
+    for t, e in errors.items():
+        seen = lambda m: bool(set(m.split(":")) & set(observed))
+        more = reduce(Column.__add__, [col(o) for o in errors if o != t and seen(o)], F.lit(0.0))
+        stat = (col(t) / F.nullif(F.lit(df[t]), F.lit(0))) / F.nullif(col(e) / F.nullif(F.lit(df[e]), F.lit(0)), F.lit(0.0))
+        cells.append(F.struct(F.lit(t).alias("modelterm"), stat.alias("stat"), F.lit(float(df[t])).alias("df1"), F.lit(float(df[e])).alias("df2"), (col(t) / F.nullif(all_errors + col(t) + more, F.lit(0.0))).alias("es")))
+    out = ss.select(*cube.others(id_dim, *within), F.inline(F.array(*cells)))
     return out.withColumn("p", f_p_col(F.col("stat"), F.col("df1"), F.col("df2"))) if with_p else out

@@ -157,7 +157,8 @@ def merge_dims(spark, d):
 @query(f"with {A_SQL} select l_returnflag as flag, l_linestatus as status, l_linenumber, l_suppkey, round(value, 6) as value from a")
 def dim_to_multidim(spark, d):
     merged = sh.merge_dims(cube_a(spark, d), ["l_returnflag", "l_linestatus"], "cell")
-    return rounded(sh.split_dim(merged, "cell", ["flag", "status"]))
+    table = merged.df.select("cell").distinct().select("cell", F.split_part("cell", F.lit("."), F.lit(1)).alias("flag"), F.split_part("cell", F.lit("."), F.lit(2)).alias("status"))
+    return rounded(sh.dim_to_multidim(merged, "cell", table))
 
 
 @query(f"with {A_SQL}, m as (select l_returnflag, l_suppkey, avg(value) as m from a group by all) select l_returnflag, l_linestatus, l_linenumber, l_suppkey, round(m, 6) as expanded from a join m using (l_returnflag, l_suppkey)")
@@ -564,6 +565,18 @@ def anova_mixed(spark, d):
     return rounded(an.anova(y, s, ["grp"], ["l_returnflag"], "l_suppkey", with_p=False), "stat", "es")
 
 
+@query(f"""with {A_SQL}, y as (select l_returnflag, l_suppkey, avg(v) as y, l_suppkey % 2 as a, case when l_suppkey % 3 = 0 then 1 else 0 end as b from (select l_returnflag, l_suppkey, avg(value) as v from a group by 1, 2) group by 1, 2),
+m as (select *, avg(y) over (partition by l_returnflag) as g, avg(y) over (partition by l_returnflag, a) as ya, avg(b) over (partition by l_returnflag, a) as ba, avg(y) over (partition by l_returnflag, a, b) as yab from y),
+s as (select l_returnflag, count(*) as n, sum((ya - g) * (ya - g)) as ssa, sum((y - ya) * (b - ba)) * sum((y - ya) * (b - ba)) / sum((b - ba) * (b - ba)) as ssb, sum((yab - g) * (yab - g)) as ssc, sum((y - yab) * (y - yab)) as sse from m group by 1),
+t as (select l_returnflag, 'a' as modelterm, ssa as ss, sse, n from s union all select l_returnflag, 'b', ssb, sse, n from s union all select l_returnflag, 'a:b', ssc - ssa - ssb, sse, n from s)
+select l_returnflag, modelterm, round(ss / (sse / (n - 4)), 6) as stat, 1.0::double as df1, (n - 4)::double as df2, round(ss / (ss + sse), 6) as es from t""")
+def anova_unbalanced(spark, d):
+    """Two factors between subjects in groups of unequal sizes: sums of squares in sequence."""
+    y = ag.avg_dims(cube_a(spark, d), "l_linestatus", "l_linenumber")
+    s = y.df.select("l_suppkey").distinct().select("l_suppkey", (F.col("l_suppkey") % 2).alias("a"), F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0).alias("b"))
+    return rounded(an.anova(y, s, ["a", "b"], [], "l_suppkey", with_p=False), "stat", "es")
+
+
 #: A fixed table of relabellings that both engines can make.
 _PERMS = "w as (select p.range as perm, s_suppkey as id, case when (s_suppkey * 7 + p.range * 13 + (s_suppkey * s_suppkey + p.range) % 11) % 2 = 0 then 1 else 2 end as g from supplier, range(0, 11) p)"
 
@@ -581,15 +594,19 @@ def perm_fixed(spark, d):
     return rounded(pm.group_maxima(m, fixed_permutations(spark, d, "l_suppkey"), "l_suppkey", ["l_returnflag"]), "most")
 
 
-@query()
+@query(f"""with {A_SQL}, {_PERMS}, m as (select l_returnflag, l_linenumber, l_suppkey as id, avg(value) as v from a group by all),
+w2 as (select perm, id, g from w union all select -1, s_suppkey, s_nationkey % 2 + 1 from supplier),
+t as (select perm, l_returnflag, l_linenumber, avg(case when g = 1 then v end) as m1, avg(case when g = 2 then v end) as m2, var_samp(case when g = 1 then v end) as v1, var_samp(case when g = 2 then v end) as v2,
+count(case when g = 1 then v end) as n1, count(case when g = 2 then v end) as n2 from m join w2 using (id) group by 1, 2, 3),
+s as (select perm, l_returnflag, l_linenumber, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) as stat from t),
+x as (select perm, l_returnflag, max(abs(stat)) as most from s where perm >= 0 group by 1, 2)
+select l_returnflag, l_linenumber, round(stat, 6) as stat, round((count(*) filter (where most > abs(stat)) + 1) / (count(*) + 1), 6) as p_corr from s join x using (l_returnflag) where s.perm = -1 group by l_returnflag, l_linenumber, stat""")
 def perm_corrected(spark, d):
     m = ag.avg_dims(cube_a(spark, d), "l_linestatus")
-    groups = {r[0]: r[1] for r in read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey") % 2).collect()}
-    ids = sorted(groups)
-    relabelled = tt.random_groups([groups[i] + 1 for i in ids], 99, 3)
-    maxima = pm.permuted_maxima(m, relabelled, ids, "l_suppkey", ["l_returnflag"])
+    maxima = pm.group_maxima(m, fixed_permutations(spark, d, "l_suppkey"), "l_suppkey", ["l_returnflag"])
     grouped = m.but(m.df.join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 2).alias("grp")), "l_suppkey"))
-    return pm.corrected_p(tt.ttest_independent(grouped, "grp", 0, 1, "l_suppkey", var_equal=True), maxima, ["l_returnflag"])
+    out = pm.corrected_p(tt.ttest_independent(grouped, "grp", 0, 1, "l_suppkey", var_equal=True), maxima, ["l_returnflag"])
+    return rounded(out.select("l_returnflag", "l_linenumber", "stat", "p_corr"), "stat", "p_corr")
 
 
 _TANOVA = f"""with {A_SQL}, {_PERMS}, e as (select perm, g, l_returnflag, l_linenumber, avg(value) as m from a join w on w.id = l_suppkey group by 1, 2, 3, 4),
@@ -644,14 +661,23 @@ def tfce_permutations(spark, d):
 @query()
 def anova_permuted(spark, d):
     y = ag.avg_dims(cube_a(spark, d), "l_linestatus")
-    few = sh.subset(y, l_suppkey=lambda c: c < 10)  # a study of ten subjects
-    return rs.anova_permuted(few, None, within=["l_returnflag"], n=19, id_dim="l_suppkey")
+    return rs.anova_permuted(y, None, within=["l_returnflag"], n=19, id_dim="l_suppkey")
 
 
-@query()
+_B10_SQL = """e as (select event_type as chan, cast(hour(ts) as int) as time, cast(user_id % 10 as int) as id, avg(value) as value from events group by all),
+b10 as (select c.chan, t.time, i.id, coalesce(e.value, 0) as value from (select distinct chan from e) c, (select distinct time from e) t, (select distinct id from e) i left join e on e.chan = c.chan and e.time = t.time and e.id = i.id)"""
+
+
+@query(f"""with {_B10_SQL}, m as (select time, id, time % 2 as part, avg(value) as v from b10 group by 1, 2, 3), w as (select *, avg(v) over (partition by id, part order by time rows between 1 preceding and 1 following) as am from m),
+k as (select id, part, cast(arg_max(time, v) as double) as peak, arg_max(am, v) as amplitude from w where time between 2 and 20 group by 1, 2),
+l as (select id, part, 'peak' as measure, peak as x from k union all select id, part, 'amplitude', amplitude from k),
+d as (select measure, id, max(case when part = 1 then x end) - max(case when part = 0 then x end) as d, avg(x) as a from l group by 1, 2)
+select measure, 'part' as modelterm, round(count(*) * avg(d) * avg(d) / var_samp(d), 6) as stat, 1.0::double as df1, (count(*) - 1)::double as df2,
+round(count(*) * avg(d) * avg(d) / 2 / (count(*) * avg(d) * avg(d) / 2 + (count(*) - 1) * var_samp(d) / 2 + 2 * (count(*) - 1) * var_samp(a)), 6) as es from d group by measure""")
 def peak_anova(spark, d):
     b = cube_b10(spark, d)
-    return rs.peak_anova(ag.avg_dims(b.but(b.df.withColumn("part", F.pmod("time", F.lit(2))), [*b.dims, Dim("part")]), "chan"), None, 2, 20, within=["part"])
+    out = rs.peak_anova(ag.avg_dims(b.but(b.df.withColumn("part", F.pmod("time", F.lit(2))), [*b.dims, Dim("part")]), "chan"), None, 2, 20, within=["part"])
+    return rounded(out.drop("p"), "stat", "es")
 
 
 @query(f"with {B_SQL}, p as (select chan, time, id, value / 200 as p from b), c as (select *, case when p <= 0.3 then 1 else 0 end + case when p <= 0.2 then 1 else 0 end as code from p) select chan, time, id, cast(greatest(code, coalesce(lead(code) over (partition by chan, id order by time), 0)) as int) as code from c where time between 3 and 20")
@@ -677,23 +703,24 @@ def coords_cartesian(spark, d):
     return out.select("k", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "z")])
 
 
-@query(f"with {_POS} select k, round(theta, 4) as theta, round(cos(radians(phi)), 6) + 0.0 as cos_phi from p where theta > 0.05 and theta < 178")
+@query(f"with {_POS} select k, round(theta, 4) as theta, case when theta > 0 then round(cos(radians(phi)), 6) + 0.0 end as cos_phi from p")
 def coords_round_trip(spark, d):
     xyz = geo.sph2cart(F.col("theta"), F.col("phi"), 2.0)
-    back = positions(spark, d).where("theta > 0.05 and theta < 178").select("k", *[c.alias(n) for n, c in xyz.items()])
+    back = positions(spark, d).select("k", "theta", *[c.alias(n) for n, c in xyz.items()])
     sph = geo.cart2sph(F.col("x"), F.col("y"), F.col("z"))
-    return back.select("k", F.round(sph["theta"], 4).alias("theta"), (F.round(F.cos(F.radians(sph["phi"])), 6) + 0.0).alias("cos_phi"))
+    # the pole has every longitude
+    return back.select("k", F.round(sph["theta"], 4).alias("theta"), F.when(F.col("theta") > 0, F.round(F.cos(F.radians(sph["phi"])), 6) + 0.0).alias("cos_phi"))
 
 
-@query(f"with {_POS} select k, round(phi, 6) as long, round(90 - theta, 6) as lat from p where phi < 179.9")
+@query(f"with {_POS} select k, round(phi, 6) as long, round(90 - theta, 6) as lat from p")
 def coords_geographic(spark, d):
     g = geo.sph2geo(F.col("theta"), F.col("phi"))
-    return positions(spark, d).where("phi < 179.9").select("k", *[F.round(c, 6).alias(n) for n, c in g.items()])
+    return positions(spark, d).select("k", *[F.round(c, 6).alias(n) for n, c in g.items()])
 
 
-@query(f"with {_POS}, g as (select k, radians(phi - 270) as a, radians(90 - theta) as b from p where theta < 170) select k, round(sqrt(2 / (1 + sin(b))) * cos(b) * sin(a), 6) + 0.0 as px, round(-sqrt(2 / (1 + sin(b))) * cos(b) * cos(a), 6) + 0.0 as py from g")
+@query(f"with {_POS}, g as (select k, radians(phi - 270) as a, radians(90 - theta) as b from p) select k, round(sqrt(2 / (1 + sin(b))) * cos(b) * sin(a), 6) + 0.0 as px, round(-sqrt(2 / (1 + sin(b))) * cos(b) * cos(a), 6) + 0.0 as py from g")
 def laea(spark, d):
-    p = positions(spark, d).where("theta < 170")
+    p = positions(spark, d)
     out = p.select("k", *[c.alias(n) for n, c in geo.laea(F.col("phi"), 90 - F.col("theta")).items()])
     return out.select("k", *[(F.round(c, 6) + 0.0).alias(c) for c in ("px", "py")])
 
