@@ -66,22 +66,23 @@ def model_columns(groups: Sequence[tuple], sizes: Sequence[int], between: Sequen
     return out
 
 
-def sums_of_squares(cube: DimFrame, groups: DataFrame, between: Sequence[str], within: dict[str, Sequence], id_dim: str) -> tuple[DataFrame, dict[str, str], dict[str, int]]:
+def sums_of_squares(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str], within: dict[str, Sequence], id_dim: str) -> tuple[DataFrame, dict[str, str], dict[str, int]]:
     """(a row of sums of squares for each combination of the other dimensions, error terms of model terms, degrees of freedom).
 
-    ``groups`` has the subjects and their levels between. A column is named by
+    ``subjects`` has ids and their levels between, each id once. A column is named by
     its term; error terms are ``id`` and ``id`` with terms within. A combination
     with a cell missing or null has nulls.
     """
     spark, outside, v = cube.df.sparkSession, cube.others(id_dim, *within), F.col(cube.value)
-    found = sorted(tuple(r) for r in groups.groupBy(*between).count().collect()) if between else [(groups.count(),)]
+    ids = cube.df.select(id_dim).distinct()
+    found = sorted(tuple(r) for r in ids.join(subjects, id_dim).groupBy(*between).count().collect()) if between else [(ids.count(),)]
     kinds, sizes = [r[:-1] for r in found], [r[-1] for r in found]  # as many as levels between
-    combos, subjects = list(product(*within.values())), sum(sizes)
+    combos, n_ids = list(product(*within.values())), sum(sizes)
     columns = model_columns(kinds, sizes, between, within)
     weights = np.hstack([*columns.values(), np.zeros((len(kinds) * len(combos), 0))])
     # one row for each subject: its values over the combinations within
     is_combo = lambda c: reduce(lambda a, b: a & b, [F.col(n) == F.lit(x) for n, x in zip(within, c, strict=True)], F.lit(True))
-    wide = cube.df.join(groups, id_dim).groupBy(*outside, id_dim, *between).agg(*[F.max(F.when(is_combo(c), v)).alias(f"_v{k}") for k, c in enumerate(combos)])
+    wide = (cube.df.join(subjects, id_dim) if between else cube.df).groupBy(*outside, id_dim, *between).agg(*[F.max(F.when(is_combo(c), v)).alias(f"_v{k}") for k, c in enumerate(combos)])
     strata = [(), *_terms(list(within))]
     at = {f: k for k, f in enumerate(within)}
 
@@ -96,7 +97,7 @@ def sums_of_squares(cube: DimFrame, groups: DataFrame, between: Sequence[str], w
     full = reduce(Column.__add__, [F.col(f"_v{k}").isNotNull().cast("long") for k in range(len(combos))])
     cells = wide.groupBy(*outside, *between).agg(*[F.sum(f"_v{k}").alias(f"_s{k}") for k in range(len(combos))], *lengths, F.sum(full).alias("_n"))
     table = [(*g, weights[k * len(combos) : (k + 1) * len(combos)].T.tolist()) for k, g in enumerate(kinds)]
-    fields = "".join(f"`{b}` {groups.schema[b].dataType.simpleString()}, " for b in between)
+    fields = "".join(f"`{b}` {subjects.schema[b].dataType.simpleString()}, " for b in between)
     table = spark.createDataFrame(table, fields + "_w array<array<double>>")
     cells = cells.join(F.broadcast(table), list(between)) if between else cells.crossJoin(F.broadcast(table))
     sums = F.array(*[F.col(f"_s{k}") for k in range(len(combos))])
@@ -115,12 +116,12 @@ def sums_of_squares(cube: DimFrame, groups: DataFrame, between: Sequence[str], w
         own = [m for m in columns if tuple(f for f in m.split(":") if f in within) == t]
         alone = [(-1) ** (len(t) - len(u)) * F.col(f"_q{k}") for k, u in enumerate(strata) if set(u) <= set(t)]
         rest = reduce(Column.__add__, alone) - reduce(Column.__add__, [ss[m] for m in own], F.lit(0.0))
-        df[name] = subjects * int(np.prod([len(within[f]) - 1 for f in t])) - sum(df[m] for m in own)
+        df[name] = n_ids * int(np.prod([len(within[f]) - 1 for f in t])) - sum(df[m] for m in own)
         if not t:
-            rest, df[name] = rest - F.pow("_t", 2) / (subjects * len(combos)), df[name] - 1
+            rest, df[name] = rest - F.pow("_t", 2) / (n_ids * len(combos)), df[name] - 1
         ss[name] = F.greatest(rest, F.lit(0.0))
         errors.update(dict.fromkeys(own, name))
-    complete = F.col("_n") == subjects * len(combos)
+    complete = F.col("_n") == n_ids * len(combos)
     return whole.select(*outside, *[F.when(complete, x).alias(t) for t, x in ss.items()]), errors, df
 
 
@@ -135,9 +136,8 @@ def anova(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (
     if not between and not within:
         raise ValueError("name factors between or within subjects")
     levels = {w: list(cube.dim(w).levels or sorted(r[0] for r in cube.df.select(w).distinct().collect())) for w in within}
-    ids = cube.df.select(id_dim).distinct()
-    groups = ids.join(subjects.select(id_dim, *between).dropna().dropDuplicates([id_dim]), id_dim) if between else ids
-    ss, errors, df = sums_of_squares(cube, groups, between, levels, id_dim)
+    known = subjects.select(id_dim, *between).dropna().dropDuplicates([id_dim]) if between else None
+    ss, errors, df = sums_of_squares(cube, known, between, levels, id_dim)
     col = lambda t: F.col(f"`{t}`")
     all_errors = reduce(Column.__add__, [col(e) for e in df if e.split(":")[0] == "id" and df[e] > 0], F.lit(0.0))
     cells = []
