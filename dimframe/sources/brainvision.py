@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.artifacts import segment_numbers
+from ..core import Dim, DimFrame
+from ..operators.artifacts import segment_numbers, segments
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,38 @@ def good_segments(markers: DataFrame, options: ImportOptions = ImportOptions())
     return anchors.join(labels, "segmind").join(spoiled, "segmind", "left_anti")
 
 
+def check_segments(header: dict[str, str], markers: DataFrame) -> None:
+    """Raises ValueError unless the samples of a header make as many segments as its markers begin."""
+    expected = int(header["DataPoints"]) / int(header["SegmentDataPoints"])
+    found = markers.agg(F.max("segmind")).first()[0] or 0
+    if found != expected:
+        raise ValueError(f"markers and samples do not match: {found} segments begin, the samples make {expected:g}")
+
+
+def recording(spark: SparkSession, header_path: str, sample_path: str, marker_path: str, options: ImportOptions = ImportOptions()) -> DimFrame:  # noqa: B008
+    """The good segments of one recording as a cube of chan, time (ms) and trial.
+
+    A segment has the samples from ``options.first`` to ``options.last`` around
+    its anchor; samples that the recording lacks have no cells. A trial is named
+    by its marker, and by its segment's number too where the marker repeats.
+    Fails if markers and samples do not match. Intervals in which a channel is
+    bad are not blanked here: see ``artifacts.bad_intervals`` and ``blanked``.
+    """
+    header = read_header(spark, header_path)
+    names = [r["chan"] for r in read_channels(spark, header_path).orderBy("n").collect()]  # as many as channels
+    if len(names) != int(header["NumberOfChannels"]):
+        raise ValueError(f"the header says {header['NumberOfChannels']} channels and lists {len(names)}")
+    markers = read_markers(spark, marker_path, options)
+    check_segments(header, markers)
+    good = good_segments(markers, options)
+    repeats = F.count(F.lit(1)).over(Window.partitionBy("segment")) > 1
+    trial = F.when(repeats, F.concat_ws("_", "segment", "segmind")).otherwise(F.col("segment"))
+    anchors = good.select("position", trial.alias("trial"))
+    cells = segments(read_samples(spark, sample_path, header, names), anchors, options.first, options.last)
+    ms = float(header["SamplingInterval"]) / 1000
+    return DimFrame(cells.select("chan", (F.col("offset") * ms).alias("time"), "trial", "value"), (Dim("chan", tuple(names)), Dim("time"), Dim("trial")))
+
+
 def split_markers(markers: DataFrame, column: str, names: list[str], kinds: list[str], sep: str = "_") -> DataFrame:
     """A code as typed columns; the types are recycled."""
     parts = F.split(F.col(column), "\\Q" + sep + "\\E")

@@ -31,6 +31,24 @@ def test_recording(spark, tmp_path, layout):
     assert (split["kind"], split["n"]) == ("t", 1)
 
 
+def test_whole_recording(spark, tmp_path):
+    x = (np.arange(2 * 50).reshape(2, 50) * 10).astype("<i4")
+    (tmp_path / "r.dat").write_bytes(x.tobytes())
+    head = "DataOrientation=VECTORIZED\nNumberOfChannels=2\nSegmentDataPoints={}\nDataPoints=50\nSamplingInterval=2000\nCh1=Fz,x\nCh2=Cz,x\nCh1=1,45,90\nCh2=1,0,0\n"
+    marks = ["Mk1=New Segment,,1,1,0", "Mk2=Target,t,10,1,0", "Mk3=Time 0,,10,1,0", "Mk4=New Segment,,26,1,0", "Mk5=Target,t,30,1,0", "Mk6=Time 0,,30,1,0"]
+    (tmp_path / "r.vmrk").write_text("\n".join(marks))
+    paths = [str(tmp_path / f"r.{e}") for e in ("vhdr", "dat", "vmrk")]
+    (tmp_path / "r.vhdr").write_text(head.format(25))
+    cube = bv.recording(spark, *paths, bv.ImportOptions(first=-2, last=1))
+    got = {(r["chan"], r["time"], r["trial"]): r["value"] for r in cube.long().collect()}
+    # samples count from 1
+    expected = {(c, 2.0 * o, f"t_{s}"): x[k, at + o - 1] / 1000 for k, c in enumerate(("Fz", "Cz")) for s, at in ((1, 10), (2, 30)) for o in range(-2, 2)}
+    assert cube.names == ["chan", "time", "trial"] and got == pytest.approx(expected)
+    (tmp_path / "r.vhdr").write_text(head.format(10))
+    with pytest.raises(ValueError, match="do not match"):
+        bv.recording(spark, *paths)
+
+
 def test_stream(spark, tmp_path):
     rows = [("a", f"2024-01-01 00:{m:02d}:00", float(m)) for m in range(0, 60, 5)]
     df = spark.createDataFrame(rows, "chan string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
