@@ -155,8 +155,12 @@ def pivoted(cube: DimFrame, name: str, levels: Sequence, na_omit: bool = False)
     return wide.dropna() if na_omit else wide
 
 
-def chunked(cube: DimFrame, name: str, chunks: int, apply: Callable[[DimFrame], DimFrame]) -> DimFrame:
-    """Applies a function of cubes to chunks of a dimension's levels; the chunk is one more dimension meanwhile."""
-    df = cube.df.withColumn("chunk", F.pmod(F.xxhash64(name), F.lit(chunks)))
+def chunked(cube: DimFrame, name: str, chunks: int | Mapping, apply: Callable[[DimFrame], DimFrame]) -> DimFrame:
+    """Applies a function of cubes to chunks of a dimension's levels; the chunk is one more dimension meanwhile.
+
+    ``chunks``: how many, dealt out by hash, or each level's chunk; a level that is given none leaves.
+    """
+    chunk = replaced_or_null(name, chunks) if isinstance(chunks, Mapping) else F.pmod(F.xxhash64(name), F.lit(chunks))
+    df = cube.df.withColumn("chunk", chunk).where("chunk is not null")
     out = apply(cube.but(df, [Dim("chunk"), *cube.dims]))
     return out.but(out.df.drop("chunk"), out.drop_dims("chunk"))

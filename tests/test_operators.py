@@ -227,3 +227,10 @@ def test_signs_and_labels(spark):
     time = from_values(spark, rng.normal(size=6 * 3 * 2).tolist(), {"id": list(range(6)), "chan": ["a", "b", "c"], "time": [0, 1]})
     out = permutation.tanova(time, "g", {i: i % 3 for i in range(6)}, 20).collect()
     assert len(out) == 2 and all(1 / 21 <= r["p"] <= 1 for r in out)
+
+
+def test_chunks_by_codes(spark):
+    cube = from_values(spark, [1.0, 2.0, 5.0, 9.0], {"a": ["w", "x", "y", "z"]})
+    out = shape.chunked(cube, "a", {"w": 1, "x": 1, "y": 2}, lambda c: sequence.scaled(c, ["chunk"], scale=False))
+    assert out.names == ["a"]
+    assert {r["a"]: r["value"] for r in out.long().collect()} == {"w": -0.5, "x": 0.5, "y": 0.0}
