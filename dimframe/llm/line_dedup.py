@@ -20,6 +20,7 @@ Which documents are aligned:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,29 +100,34 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
     pairs = spread_join(every, shared, ["key"]).where("unit > first.unit").select("x", "y", F.col("first.x").alias("a"), F.col("first.y").alias("b")).distinct()
     cut = _align(pairs, units)
 
-    # long lines held once that are left over, and have more holders than those tried
-    rest = F.filter("h", lambda v, i: _long(v) & ~F.array_contains("places", i) & (F.size(F.filter("h", lambda w: w == v)) == 1))
-    asking = lambda: units.join(cut, ["x", "y"]).select("x", "y", "unit", F.explode(rest).alias("key"))
+    # long lines held once that are left over, with their places, and have more holders than those tried
+    rest = F.filter(
+        F.transform("h", lambda v, i: F.struct(v.alias("key"), i.alias("place"))),
+        lambda s: _long(s["key"]) & ~F.array_contains("places", s["place"]) & (F.size(F.filter("h", lambda w: w == s["key"])) == 1),
+    )
     more = shared.where("n > 2").select("key", F.ceil(F.col("n") / WAVE).alias("waves"))
-    left, low, high = written(asking().join(more, "key"), "left"), 0, 1
+    left = units.join(cut, ["x", "y"]).select("x", "y", "unit", F.inline(rest)).join(more, "key")
+    left, low, high, cuts = written(left, "left"), 0, 1, [cut]
     while not left.isEmpty():
         asked = left.where(F.col("waves") > low).withColumn("wave", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high), "waves") - 1)))
         holders = every.withColumnsRenamed({"unit": "earlier", "x": "a", "y": "b"}).join(left.select("key", "waves").distinct(), "key")
         holders = holders.select("key", F.pmod(F.xxhash64("key", "a", "b"), "waves").alias("wave"), "earlier", "a", "b")
         found = _align(asked.join(holders, ["key", "wave"]).where("earlier < unit").select("x", "y", "a", "b").distinct(), units)
-        tried, cut = cut, written(cut.union(found).groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "aligned")
-        discard(tried, found)
+        cuts.append(found)
         low, high = high, 8 * high
-        before, left = left, written(asking().join(left.where(F.col("waves") > low).select("x", "y", "key", "waves"), ["x", "y", "key"]), "left")
+        # only units that ask are looked at again: lines leave when a partner aligned them, or all their holders were tried
+        before = left
+        left = written(left.where(F.col("waves") > low).join(found, ["x", "y"], "left").where(F.coalesce(~F.array_contains("places", F.col("place")), F.lit(True))).drop("places"), "left")
         discard(before)
     discard(left, every, shared)
+    every_cut = reduce(DataFrame.union, cuts).groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
     # from units to the rows of their texts: the first of a kind loses its places, later ones go whole
-    kinds = units.select("x", "y", "unit", "n").join(cut, ["x", "y"], "left")
+    kinds = units.select("x", "y", "unit", "n").join(every_cut, ["x", "y"], "left")
     rows = spread_join(coded.select("doc", "t", "x", "y"), written(kinds, "kinds"), ["x", "y"])
     rows = rows.where("doc > unit or size(places) > 0").select("doc", "t", F.when(F.col("doc") == F.col("unit"), F.col("places")).alias("places"))
     out = written(rows.groupBy("doc", "t").agg(F.count(F.lit(1)).alias("n"), F.first("places", ignorenulls=True).alias("places")), "repeated")
-    discard(coded, units, cut)
+    discard(coded, units, *cuts)
     return out
 
 
