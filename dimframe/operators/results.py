@@ -49,13 +49,12 @@ def shuffled_rows(ids: Sequence, combos: Sequence[tuple], n: int, seed: int | No
     return out
 
 
-def anova_permuted(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), n: int = 99, seed: int = 1, id_dim: str = "id") -> DataFrame:
-    """ANOVA with p_corr: how often the largest F of a term over all cells of a shuffled response is greater.
+def shuffled_anova(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), n: int = 99, seed: int = 1, id_dim: str = "id") -> DataFrame:
+    """ANOVA of ``n`` shuffles of the response, numbered by a column ``perm``, without p.
 
     The shuffles are rows that join the cells; the permutation is one more
     dimension of the same ANOVA, so nothing is gathered.
     """
-    observed = anova(cube, subjects, between, within, id_dim)
     spark, names = cube.df.sparkSession, [id_dim, *within]
     ids = sorted(r[0] for r in cube.df.select(id_dim).distinct().collect())
     combos = sorted(tuple(r) for r in cube.df.select(*within).distinct().collect()) if within else [()]
@@ -63,9 +62,13 @@ def anova_permuted(cube: DimFrame, subjects: DataFrame | None, between: Sequence
     fields = ["perm int", *[f"`{c}` {k}" for c, k in zip(names, kinds, strict=True)], *[f"`_{c}` {k}" for c, k in zip(names, kinds, strict=True)]]
     moved = cube.df.join(spark.createDataFrame(shuffled_rows(ids, combos, n, seed), ", ".join(fields)), names)
     moved = moved.drop(*names).withColumnsRenamed({f"_{c}": c for c in names})
-    shuffled = anova(DimFrame(moved, (Dim("perm"), *cube.dims), cube.value), subjects, between, within, id_dim, with_p=False)
-    maxima = shuffled.groupBy("modelterm", "perm").agg(F.max("stat").alias("most"))
-    return corrected_p(observed, maxima, ["modelterm"])
+    return anova(DimFrame(moved, (Dim("perm"), *cube.dims), cube.value), subjects, between, within, id_dim, with_p=False)
+
+
+def anova_permuted(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), n: int = 99, seed: int = 1, id_dim: str = "id") -> DataFrame:
+    """ANOVA with p_corr: how often the largest F of a term over all cells of a shuffled response is greater."""
+    maxima = shuffled_anova(cube, subjects, between, within, n, seed, id_dim).groupBy("modelterm", "perm").agg(F.max("stat").alias("most"))
+    return corrected_p(anova(cube, subjects, between, within, id_dim), maxima, ["modelterm"])
 
 
 def peak_anova(cube: DimFrame, subjects: DataFrame | None, low, high, between: Sequence[str] = (), within: Sequence[str] = (), time: str = "time", id_dim: str = "id", around: int = 1, largest: bool = True) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators import anova as an
 from ..operators import artifacts as ar
 from ..operators import contrasts as co
 from ..operators import convert as cv
+from ..operators import inference as inf
 from ..operators import permutation as pm
 from ..operators import results as rs
 from ..operators import sequence as sq
@@ -668,6 +669,36 @@ _B10_SQL = """e as (select event_type as chan, cast(hour(ts) as int) as time, ca
 b10 as (select c.chan, t.time, i.id, coalesce(e.value, 0) as value from (select distinct chan from e) c, (select distinct time from e) t, (select distinct id from e) i left join e on e.chan = c.chan and e.time = t.time and e.id = i.id)"""
 
 
+#: Relabellings of the ten ids by a rule that both engines know.
+_LABELS10 = [[1 if (i * 7 + p * 13 + (i * i + p) % 11) % 2 == 0 else 2 for i in range(10)] for p in range(11)]
+_LABELS10_SQL = "w as (select p.range as perm, i.range as id, case when (i.range * 7 + p.range * 13 + (i.range * i.range + p.range) % 11) % 2 = 0 then 1 else 2 end as g from range(0, 11) p, range(0, 10) i)"
+
+
+@query(f"""with {_B10_SQL}, {_LABELS10_SQL}, t as (select perm, chan, time, avg(case when g = 1 then value end) as m1, avg(case when g = 2 then value end) as m2, var_samp(case when g = 1 then value end) as v1, var_samp(case when g = 2 then value end) as v2,
+count(case when g = 1 then value end) as n1, count(case when g = 2 then value end) as n2 from b10 join w using (id) group by 1, 2, 3) select cast(perm as int) as perm, chan, time, round((m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0), 6) as stat from t""")
+def perm_welch(spark, d):
+    return rounded(inf.permuted_t(cube_b10(spark, d), _LABELS10, list(range(10))).df, "stat")
+
+
+@query(f"""with {_B10_SQL}, {_LABELS10_SQL}, v as (select perm, chan, time, (2 * g - 3) * (value - 50) as v from b10 join w using (id)) select cast(perm as int) as perm, chan, time, round(avg(v) / nullif(stddev_samp(v) / sqrt(count(*)), 0), 6) as stat from v group by 1, 2, 3""")
+def perm_signs(spark, d):
+    b = cube_b10(spark, d)
+    signs = [[2 * g - 3 for g in row] for row in _LABELS10]
+    return rounded(inf.permuted_t(b.but(b.df.withColumn("value", F.col("value") - 50)), signs, list(range(10)), "one").df, "stat")
+
+
+@query()
+def ttest_tfce(spark, d):
+    return inf.ttest_tfce(cube_b10(spark, d), NEIGHBOURS, 49, {k: k % 2 for k in range(10)})
+
+
+@query()
+def anova_tfce(spark, d):
+    b = cube_b10(spark, d)
+    parted = b.but(b.df.select("chan", "id", F.col("time") % 12, F.when(F.col("time") < 12, "am").otherwise("pm"), "value").toDF("chan", "id", "time", "half", "value"), [*b.dims, Dim("half", ("am", "pm"))])
+    return inf.anova_tfce(parted, None, NEIGHBOURS, 19, within=["half"])
+
+
 @query(f"""with {_B10_SQL}, m as (select time, id, time % 2 as part, avg(value) as v from b10 group by 1, 2, 3), w as (select *, avg(v) over (partition by id, part order by time rows between 1 preceding and 1 following) as am from m),
 k as (select id, part, cast(arg_max(time, v) as double) as peak, arg_max(am, v) as amplitude from w where time between 2 and 20 group by 1, 2),
 l as (select id, part, 'peak' as measure, peak as x from k union all select id, part, 'amplitude', amplitude from k),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dimframe.core import densified, decorated, from_long, from_values, packed, unpacked
 from dimframe.functions import dist, geometry
 from dimframe.functions import predicates as pr
-from dimframe.operators import aggregate, align, anova, artifacts, contrasts, convert, permutation, sequence, shape, ttest
+from dimframe.operators import aggregate, align, anova, artifacts, contrasts, convert, inference, permutation, results, sequence, shape, ttest
 
 
 def line(spark, values):
@@ -234,3 +234,66 @@ def test_chunks_by_codes(spark):
     out = shape.chunked(cube, "a", {"w": 1, "x": 1, "y": 2}, lambda c: sequence.scaled(c, ["chunk"], scale=False))
     assert out.names == ["a"]
     assert {r["a"]: r["value"] for r in out.long().collect()} == {"w": -0.5, "x": 0.5, "y": 0.0}
+
+
+def test_tests_with_clusters_and_permutations(spark):
+    rng = np.random.default_rng(8)
+    chans, times, ids = ["a", "b", "c"], [1, 2, 3, 4], list(range(9))
+    y = rng.normal(size=(9, 4, 3))
+    y[:4, 1:3] += 2
+    y[2, 0, 0] = np.nan
+    cube = from_values(spark, [None if np.isnan(v) else float(v) for v in y.ravel()], {"chan": chans, "time": times, "id": ids})
+    near = {"a": ["b"], "b": ["a", "c"], "c": ["b"]}
+    links = np.eye(3, dtype=bool) | np.eye(3, k=1, dtype=bool) | np.eye(3, k=-1, dtype=bool)
+
+    def planes(labels, kind):
+        out = np.zeros((3, 4))
+        for c in range(3):
+            for t in range(4):
+                v = y[:, t, c]
+                ok = ~np.isnan(v)
+                if kind == "one":
+                    x = (v * labels)[ok]
+                    out[c, t] = x.mean() / x.std(ddof=1) * len(x) ** 0.5
+                else:
+                    a, b = v[ok & (labels == 1)], v[ok & (labels == 2)]
+                    out[c, t] = (a.mean() - b.mean()) / (a.var(ddof=1) / len(a) + b.var(ddof=1) / len(b)) ** 0.5
+        return out
+
+    groups = {i: "x" if i < 4 else "y" for i in ids}
+    observed = np.array([1] * 4 + [2] * 5)
+    cases = (("welch", groups, observed, ttest.random_groups(observed.tolist(), 30, 1)), ("one", None, np.ones(9), ttest.random_signs(9, 30, 1)))
+    for kind, given, labels, relabelled in cases:
+        got = inference.ttest_tfce(cube, near, 30, given).collect()
+        most = [np.abs(permutation.tfce(planes(row, kind), links)).max() for row in relabelled]
+        stat = planes(labels, kind)
+        clusters = permutation.tfce(stat, links)
+        assert len(got) == 12
+        for r in got:
+            at = chans.index(r["chan"]), r["time"] - 1
+            assert np.isclose(r["stat"], stat[at]) and np.isclose(r["tfce"], clusters[at])
+            assert np.isclose(r["p_corr"], (1 + sum(m > abs(clusters[at]) for m in most)) / 31)
+    with pytest.raises(ValueError):
+        inference.ttest_tfce(cube, near, 5, {i: i % 3 for i in ids})
+    # nothing varies, or too few values: no statistic
+    assert np.isnan(inference.t_values(np.array([[1.0, 1, 1, 1], [1, 2, 3, np.nan]]), np.array([[1, 1, 2, 2]]))).all()
+
+
+def test_anova_with_clusters(spark):
+    rng = np.random.default_rng(9)
+    cube = from_values(spark, rng.normal(size=72).tolist(), {"chan": ["a", "b"], "time": [1, 2, 3], "id": list(range(6)), "cond": ["p", "q"]})
+    near, links = {"a": ["b"], "b": ["a"]}, np.ones((2, 2), bool)
+
+    def enhanced(rows):
+        plane = np.zeros((2, 3))
+        for r in rows:
+            plane["ab".index(r["chan"]), r["time"] - 1] = r["stat"]
+        return permutation.tfce(plane, links, 0.66, 1.0)
+
+    got = inference.anova_tfce(cube, None, near, 9, within=["cond"]).collect()
+    clusters = enhanced(got)
+    shuffled = results.shuffled_anova(cube, None, within=["cond"], n=9, seed=1).collect()
+    most = [enhanced([r for r in shuffled if r["perm"] == p]).max() for p in range(9)]
+    for r in got:
+        at = "ab".index(r["chan"]), r["time"] - 1
+        assert np.isclose(r["tfce"], clusters[at]) and np.isclose(r["p_corr"], (1 + sum(m > clusters[at] for m in most)) / 10)
