@@ -1,14 +1,13 @@
 """Permutation inference: largest statistics of relabelled data, clusters, topographic ANOVA.
 
-Permutations are the rows that Spark deals out: a task gets some of them and the
-response, a matrix of ids by cells whose size is checked before it is broadcast.
-Only the largest statistic of each permutation leaves a task. Past the bound,
-cells are joined with the permutations' weights instead, group by group.
+Relabellings given as rows (perm, id, group) join the cells and are aggregated
+like another dimension; ``inference`` has the same statistics by matrix products.
+Of each permutation only the largest statistic goes on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..core import DimFrame
 
-#: Bytes of a response matrix that may be broadcast.
+#: Bytes of a matrix of relabellings that may travel with tasks.
 BROADCAST_BYTES = 200 << 20
 #: Effects that differ by less than this share are ties: relabellings that swap the groups give the same effect but for rounding.
 TIE = 1e-9
@@ -145,50 +144,6 @@ def tfce_cube(cube: DimFrame, neighbours: dict, chan: str = "chan", time: str =
     return cube.but(rows.groupBy(*others).applyInPandas(run, schema))
 
 
-def tfce_permutations(cube: DimFrame, neighbours: dict, groups: dict, n: int, seed: int = 1, id_dim: str = "id", chan: str = "chan", time: str = "time") -> DataFrame:
-    """stat, tfce and p_corr of each channel and time: two groups of ids, TFCE, maxima over ``n`` relabellings.
-
-    A plane must be whole in one task, so the response (ids by channels by
-    times) is broadcast after a check of its size; permutations are dealt out.
-    """
-    from .ttest import random_groups
-
-    spark = cube.df.sparkSession
-    cells = cube.df.groupBy(id_dim).agg(F.array_sort(F.collect_list(F.struct(chan, time, F.col(cube.value).cast("double").alias("v")))).alias("cells"))
-    total = cube.df.count()
-    if total * 8 > BROADCAST_BYTES:
-        raise ValueError(f"the response has {total} cells, more than may be broadcast; slice the cube by its other dimensions")
-    got = {r[id_dim]: r["cells"] for r in cells.collect()}
-    ids = sorted(i for i in got if i in groups)
-    first = [(c[0], c[1]) for c in got[ids[0]]]
-    chans, times = sorted({c for c, _ in first}), sorted({t for _, t in first})
-    response = np.array([[c[2] for c in got[i]] for i in ids], float)
-    low = min(groups.values())
-    labels = [1 if groups[i] == low else 2 for i in ids]
-    links = np.array([[b in neighbours.get(a, ()) for b in chans] for a in chans])
-    data = spark.sparkContext.broadcast((response, links))
-
-    def enhanced(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y, links = data.value
-        a, b = y[row == 1], y[row == 2]
-        pooled = ((len(a) - 1) * a.var(0, ddof=1) + (len(b) - 1) * b.var(0, ddof=1)) / (len(y) - 2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = np.nan_to_num((a.mean(0) - b.mean(0)) / np.sqrt(pooled * (1 / len(a) + 1 / len(b))))
-        return t, tfce(t.reshape(len(links), -1), links).ravel()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"most": [float(np.abs(enhanced(np.asarray(r))[1]).max()) for r in b["labels"]]})
-
-    perms = spark.createDataFrame([(row.tolist(),) for row in random_groups(labels, n, seed)], "labels array<int>")
-    maxima = perms.repartition(max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, "most double")
-    t, clusters = enhanced(np.asarray(labels))
-    shown = [(c, tm, float(x), float(z)) for (c, tm), x, z in zip(first, t, clusters, strict=True)]
-    kinds = [cube.df.schema[d].dataType.simpleString() for d in (chan, time)]
-    observed = spark.createDataFrame(shown, f"`{chan}` {kinds[0]}, `{time}` {kinds[1]}, stat double, tfce double")
-    return corrected_p(observed, maxima, stat="tfce")
-
-
 def tanova_effect(cube: DimFrame, group: str, chan: str = "chan", id_dim: str = "id", kind: str = "both", keys: Sequence[str] = ()) -> DataFrame:
     """The size of a factor's effect on the topography, for each combination of the other dimensions.
 

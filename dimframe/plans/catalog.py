@@ -656,7 +656,7 @@ def tfce(spark, d):
 
 @query()
 def tfce_permutations(spark, d):
-    return pm.tfce_permutations(cube_b10(spark, d), NEIGHBOURS, {k: k % 2 for k in range(10)}, 49)
+    return inf.ttest_tfce(cube_b10(spark, d), NEIGHBOURS, 49, {k: k % 2 for k in range(10)}, kind="pooled")
 
 
 @query()
