@@ -125,19 +125,103 @@ def sums_of_squares(cube: DimFrame, subjects: DataFrame | None, between: Sequenc
     return whole.select(*outside, *[F.when(complete, x).alias(t) for t, x in ss.items()]), errors, df
 
 
-def anova(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), id_dim: str = "id", with_p: bool = True, observed: Sequence[str] = ()) -> DataFrame:
+def in_sequence(products: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(column, weights of the columns up to it) of each column that is no combination of those before it, orthonormal under the cross-products."""
+    out: list[tuple[int, np.ndarray]] = []
+    for j in range(len(products)):
+        v = np.eye(len(products))[j]
+        for _ in range(2):
+            for _, u in out:
+                v = v - (u @ products @ v) * u
+        length = v @ products @ v
+        if length > 1e-10 * max(products[j, j], 1e-300):
+            out.append((j, v / np.sqrt(length)))
+    return out
+
+
+def sums_by_products(cube: DimFrame, subjects: DataFrame, between: Sequence[str], covariates: Sequence[str], within: dict[str, Sequence], id_dim: str) -> tuple[DataFrame, dict[str, str], dict[str, int]]:
+    """As ``sums_of_squares``, where some predictors between subjects are numbers, each with as many values as subjects.
+
+    Contrasts within are orthogonal over every subject's cells, so the columns
+    of a stratum differ only in their part between. Its cross-products are summed
+    over subjects once, those with the data for each combination of the other
+    dimensions; the columns are cleared of the ones before them on the few sums.
+    """
+    outside, v, col = cube.others(id_dim, *within), F.col(cube.value), F.col
+    rows = cube.df.select(id_dim).distinct().join(subjects, id_dim)
+    factors = [b for b in between if b not in covariates]
+    codes: dict[str, list[Column]] = {}
+    for f in factors:
+        levels = sorted(r[0] for r in rows.select(f).distinct().collect())  # as many as levels
+        table = helmert(len(levels))
+        codes[f] = [reduce(Column.__add__, [F.when(col(f) == F.lit(x), F.lit(float(table[k, j]))).otherwise(0.0) for k, x in enumerate(levels)]) for j in range(len(levels) - 1)]
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), *[f(col(c).cast("double")).alias(f"{n}_{c}") for c in covariates for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    for c in covariates:
+        codes[c] = [(col(c).cast("double") - F.lit(seen[f"m_{c}"])) / F.lit(seen[f"s_{c}"] or 1.0)]
+    parts: list[tuple[tuple[str, ...], Column]] = [((), F.lit(1.0))]
+    for t in _terms(list(between)):
+        parts += [(t, reduce(Column.__mul__, x)) for x in product(*[codes[b] for b in t])]
+    size = range(len(parts))
+    named = rows.select(*[p.alias(f"b{k}") for k, (_, p) in enumerate(parts)])
+    sums = named.agg(*[F.sum(col(f"b{i}") * col(f"b{j}")).alias(f"g{i}_{j}") for i in size for j in size if j <= i]).first()
+    kept = in_sequence(np.array([[sums[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in size] for i in size]))
+
+    combos = list(product(*within.values()))
+    is_combo = lambda c: reduce(lambda a, b: a & b, [col(n) == F.lit(x) for n, x in zip(within, c, strict=True)], F.lit(True))
+    wide = cube.df.join(subjects, id_dim).groupBy(*outside, id_dim, *between).agg(*[F.max(F.when(is_combo(c), v)).alias(f"_v{k}") for k, c in enumerate(combos)])
+    strata, contrasts = [(), *_terms(list(within))], {}
+    for t in strata:
+        part = np.ones((1, 1))
+        for f, levels in within.items():
+            h = helmert(len(levels))
+            part = np.kron(part, h / np.linalg.norm(h, axis=0) if f in t else np.full((len(levels), 1), len(levels) ** -0.5))
+        contrasts[t] = [reduce(Column.__add__, [float(w) * col(f"_v{k}") for k, w in enumerate(x)]) for x in part.T]
+    names = {(t, k): f"_c{a}_{k}" for a, t in enumerate(strata) for k in range(len(contrasts[t]))}
+    wide = wide.select(*outside, *[p.alias(f"_b{k}") for k, (_, p) in enumerate(parts)], *[contrasts[t][k].alias(n) for (t, k), n in names.items()])
+    whole = wide.groupBy(*outside).agg(
+        *[F.sum(col(f"_b{j}") * col(n)).alias(f"_s{j}{n}") for j in size for n in names.values()],
+        *[F.sum(reduce(Column.__add__, [F.pow(col(names[t, k]), 2) for k in range(len(contrasts[t]))])).alias(f"_q{a}") for a, t in enumerate(strata)],
+        F.sum(reduce(lambda a, b: a & b, [col(n).isNotNull() for n in names.values()]).cast("long")).alias("_n"),
+    )
+    squared = lambda w, n: F.pow(reduce(Column.__add__, [float(x) * col(f"_s{j}{n}") for j, x in enumerate(w) if x]), 2)
+    ss, df, errors = {}, {}, {}
+    order = [(b, t) for size_ in range(len(between) + len(within) + 1) for b in dict.fromkeys(p for p, _ in parts) for t in strata if len(b) + len(t) == size_ and (b or t)]
+    for b, t in order:
+        own, ns = [w for j, w in kept if parts[j][0] == b], [names[t, k] for k in range(len(contrasts[t]))]
+        term = ":".join((*b, *t))
+        df[term], errors[term] = len(own) * len(ns), ":".join(("id", *t))
+        ss[term] = reduce(Column.__add__, [squared(w, n) for w in own for n in ns], F.lit(0.0))
+    for a, t in enumerate(strata):
+        name = ":".join(("id", *t))
+        own = [m for m, e in errors.items() if e == name]
+        rest = col(f"_q{a}") - reduce(Column.__add__, [ss[m] for m in own], F.lit(0.0))
+        df[name] = seen["n"] * len(contrasts[t]) - sum(df[m] for m in own)
+        if not t:
+            rest, df[name] = rest - squared(kept[0][1], names[(), 0]), df[name] - 1
+        ss[name] = F.greatest(rest, F.lit(0.0))
+    complete = col("_n") == seen["n"]
+    return whole.select(*outside, *[F.when(complete, x).alias(t) for t, x in ss.items()]), errors, df
+
+
+def anova(
+    cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), id_dim: str = "id", with_p: bool = True, observed: Sequence[str] = (), covariates: Sequence[str] = ()
+) -> DataFrame:
     """modelterm, stat (F), df1, df2, es (generalised eta squared) and p for each combination of the other dimensions.
 
     ``subjects`` gives each id's levels between (joined on the id, whatever the
     order of rows; ids without levels are left out). A combination in which any
     cell of the design is missing or null has nulls. Generalised eta squared is
     SS / (SS + all error terms), plus terms of ``observed`` factors but the own.
+    ``covariates``, columns of ``subjects``, are predictors between subjects that
+    are numbers, not factors; they come after the factors unless ``between``
+    names them, too. Sums of squares are sequential.
     """
+    between = [*between, *[c for c in covariates if c not in between]]
     if not between and not within:
-        raise ValueError("name factors between or within subjects")
+        raise ValueError("name factors between or within subjects, or covariates")
     levels = {w: list(cube.dim(w).levels or sorted(r[0] for r in cube.df.select(w).distinct().collect())) for w in within}
     known = subjects.select(id_dim, *between).dropna().dropDuplicates([id_dim]) if between else None
-    ss, errors, df = sums_of_squares(cube, known, between, levels, id_dim)
+    ss, errors, df = sums_by_products(cube, known, between, covariates, levels, id_dim) if covariates else sums_of_squares(cube, known, between, levels, id_dim)
     col = lambda t: F.col(f"`{t}`")
     all_errors = reduce(Column.__add__, [col(e) for e in df if e.split(":")[0] == "id" and df[e] > 0], F.lit(0.0))
     cells = []

@@ -11,7 +11,7 @@ driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 
 from ..core import Dim, DimFrame
 from .anova import anova
-from .permutation import BROADCAST_BYTES, corrected_p, tfce_cube
-from .results import shuffled_anova
+from .clusters import enhanced_maxima, tfce_cube
+from .permutation import corrected_p
+from .permuted import BROADCAST_BYTES, Design, Given, Shuffles, by_blocks, design_of, each_shuffle, largest, permuted_f, responses
 from .ttest import random_groups, random_signs
 
-#: Statistics (cells by permutations) that a task holds at once.
-AT_ONCE = 1_000_000
 #: A variance below this share of the mean square is rounding.
 ROUNDING = 1e-12
 
@@ -62,8 +61,8 @@ def t_values(y: np.ndarray, labels: np.ndarray, kind: str = "welch") -> np.ndarr
         return np.where((n1 > 1) & (n2 > 1) & (error > ROUNDING * scale), (m1 - m2) / np.sqrt(error), np.nan)
 
 
-def permuted_t(cube: DimFrame, labels: np.ndarray, ids: Sequence, kind: str = "welch", id_dim: str = "id") -> DimFrame:
-    """``stat`` of every cell for every row of ``labels``, numbered as dimension ``perm``; see ``t_values``.
+def t_blocks(cube: DimFrame, labels: np.ndarray, ids: Sequence, kind: str = "welch", id_dim: str = "id", by: Sequence[str] | None = None) -> DataFrame:
+    """The t of every cell for every row of ``labels``, in blocks of rows; with ``by`` the largest of each combination, see ``permuted.by_blocks``.
 
     Ids that are not among ``ids`` are left out; a null value is missing for its
     cell alone. A cell without any value has no rows.
@@ -71,39 +70,32 @@ def permuted_t(cube: DimFrame, labels: np.ndarray, ids: Sequence, kind: str = "w
     labels = np.asarray(labels, np.int8)
     if labels.nbytes > BROADCAST_BYTES:
         raise ValueError(f"{len(labels)} permutations of {len(ids)} ids are more than may be broadcast; pass them in parts")
-    others, size = cube.others(id_dim), len(ids)
-    fields = ", ".join(f"`{n}` {cube.df.schema[n].dataType.simpleString()}" for n in others)
-    table = cube.df.sparkSession.createDataFrame([(i, k) for k, i in enumerate(ids)], f"`{id_dim}` {cube.df.schema[id_dim].dataType.simpleString()}, _k int")
-    value = F.col(cube.value).cast("double")
-    rows = cube.df.where(value.isNotNull() & ~F.isnan(value)).join(F.broadcast(table), id_dim)
-    cells = rows.groupBy(*others).agg(F.collect_list("_k").alias("_k"), F.collect_list(value).alias("_v"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, AT_ONCE // max(1, len(labels), size))
-        for whole in batches:
-            for at in range(0, len(whole), step):
-                b = whole.iloc[at : at + step]
-                y = np.full((len(b), size), np.nan)
-                for row, k, v in zip(y, b["_k"], b["_v"], strict=True):
-                    row[k] = v
-                out = b[others].iloc[np.repeat(np.arange(len(b)), len(labels))].reset_index(drop=True)
-                out["perm"] = np.tile(np.arange(len(labels), dtype=np.int32), len(b))
-                stat = t_values(y, labels, kind).ravel()
-                out["stat"] = pd.array(stat, "Float64") if not np.isnan(stat).any() else pd.Series(stat).astype(object).where(~np.isnan(stat), None)
-                yield out
-
-    made = cells.mapInPandas(run, ", ".join(x for x in (fields, "perm int, stat double") if x))
+    outside = cube.others(id_dim)
+    design = Design(list(ids), [()], (), {}, {}, {}, {})
+
+    def statistic(rows: pd.DataFrame, first: int, last: int) -> np.ndarray:
+        y = np.full((len(rows), len(ids)), np.nan)
+        for row, k, v in zip(y, rows["_k"], rows["_v"], strict=True):
+            row[k] = v
+        return t_values(y, labels[first:last], kind)[None]
+
+    return by_blocks(responses(cube, design, outside, id_dim), outside, ["t"], len(labels), len(ids), statistic, by)
+
+
+def permuted_t(cube: DimFrame, labels: np.ndarray, ids: Sequence, kind: str = "welch", id_dim: str = "id") -> DimFrame:
+    """``stat`` of every cell for every row of ``labels``, numbered as dimension ``perm``; see ``t_blocks``."""
+    made = each_shuffle(t_blocks(cube, labels, ids, kind, id_dim), cube.others(id_dim))
     return DimFrame(made, (*cube.drop_dims(id_dim), Dim("perm")), "stat")
 
 
-def enhanced_maxima(stats: DimFrame, neighbours: dict, by: Sequence[str], chan: str, time: str, e: float, h: float, steps: int) -> DataFrame:
-    """The largest absolute enhanced statistic of each permutation and combination of ``by``."""
-    planes = tfce_cube(stats, neighbours, chan, time, e, h, steps)
-    return planes.df.groupBy(*by, "perm").agg(F.max(F.abs(stats.value)).alias("most"))
+def permuted_maxima(cube: DimFrame, labels: np.ndarray, ids: Sequence, kind: str = "pooled", id_dim: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """``most``: the largest absolute t over all cells of each combination of ``by``, for each row of ``labels``; ``kind`` as in ``t_values``."""
+    return largest(t_blocks(cube, labels, ids, kind, id_dim, by), list(by))
 
 
 def ttest_tfce(
-    cube: DimFrame, neighbours: dict, n: int, groups: dict | None = None, seed: int = 1, kind: str | None = None, by: Sequence[str] = (), id_dim: str = "id", chan: str = "chan", time: str = "time", e: float = 0.66, h: float = 2.0, steps: int = 50
+    cube: DimFrame, neighbours: dict, n: int, groups: dict | None = None, seed: int = 1, kind: str | None = None, by: Sequence[str] = (), id_dim: str = "id", chan: str = "chan", time: str = "time", e: float = 0.66, h: float = 2.0, steps: int = 50,
+    relabellings: np.ndarray | None = None,
 ) -> DataFrame:
     """stat, tfce and p_corr of every cell: a t test, its enhancement, and maxima over ``n`` relabellings.
 
@@ -111,6 +103,8 @@ def ttest_tfce(
     unless ``kind`` is pooled; without, one sample against 0, whose signs change
     (for pairs pass their differences). The maxima are over all cells of a
     combination of ``by``. A cell whose statistic is null enhances nothing.
+    ``relabellings``, a matrix of groups or signs of the sorted ids, takes the place of ``n``
+    and ``seed``.
     """
     if groups is None:
         ids = sorted(r[0] for r in cube.df.select(id_dim).where(F.col(id_dim).isNotNull()).distinct().collect())
@@ -121,24 +115,42 @@ def ttest_tfce(
             raise ValueError(f"two groups are asked for, there are {len(levels)}")
         labels = [levels.index(groups[i]) + 1 for i in ids]
         kind, seen, relabelled = kind or "welch", np.array([labels]), random_groups(labels, n, seed)
+    relabelled = relabelled if relabellings is None else np.asarray(relabellings)
     observed = permuted_t(cube, seen, ids, kind, id_dim)
     observed = observed.but(observed.df.drop("perm"), observed.drop_dims("perm"))
     clusters = tfce_cube(observed, neighbours, chan, time, e, h, steps).df.withColumnRenamed("stat", "tfce")
     cells = observed.df.join(clusters, observed.names)
-    maxima = enhanced_maxima(permuted_t(cube, relabelled, ids, kind, id_dim), neighbours, by, chan, time, e, h, steps)
+    maxima = enhanced_maxima(t_blocks(cube, relabelled, ids, kind, id_dim), cube.others(id_dim), neighbours, by, chan, time, e, h, steps)
     return corrected_p(cells, maxima, by, stat="tfce")
 
 
 def anova_tfce(
-    cube: DimFrame, subjects: DataFrame | None, neighbours: dict, n: int, between: Sequence[str] = (), within: Sequence[str] = (), seed: int = 1, id_dim: str = "id", chan: str = "chan", time: str = "time", e: float = 0.66, h: float = 1.0, steps: int = 50
+    cube: DimFrame,
+    subjects: DataFrame | None,
+    neighbours: dict,
+    n: int = 999,
+    between: Sequence[str] = (),
+    within: Sequence[str] = (),
+    seed: int = 1,
+    id_dim: str = "id",
+    chan: str = "chan",
+    time: str = "time",
+    e: float = 0.66,
+    h: float = 1.0,
+    steps: int = 50,
+    covariates: Sequence[str] = (),
+    what: str = "residuals",
+    by: Sequence[str] = (),
+    shuffles: Shuffles | Given | None = None,
 ) -> DataFrame:
-    """ANOVA of every cell with ``tfce`` of F and p_corr: how often the largest enhanced F of a term, over all cells of a shuffled response, is greater.
+    """ANOVA of every cell with ``tfce`` of F and p_corr: how often the largest enhanced F of a term, over all cells of a combination of ``by``, is greater after a shuffle.
 
-    Every term has its own maxima. Shuffles are those of ``anova_permuted``.
+    Every term has its own maxima. ``what`` and ``shuffles`` as in ``anova_permuted``.
     """
-    observed = anova(cube, subjects, between, within, id_dim)
+    observed = anova(cube, subjects, between, within, id_dim, covariates=covariates)
     dims = (*cube.drop_dims(id_dim, *within), Dim("modelterm"))
     planes = tfce_cube(DimFrame(observed, dims, "stat"), neighbours, chan, time, e, h, steps)
     cells = observed.join(planes.df.withColumnRenamed("stat", "tfce"), planes.names)
-    shuffled = DimFrame(shuffled_anova(cube, subjects, between, within, n, seed, id_dim), (*dims, Dim("perm")), "stat")
-    return corrected_p(cells, enhanced_maxima(shuffled, neighbours, ["modelterm"], chan, time, e, h, steps), ["modelterm"], stat="tfce")
+    design, keys = design_of(cube, subjects, between, within, covariates, id_dim), [*by, "modelterm"]
+    blocks = permuted_f(cube, design, shuffles or Shuffles(design, n, seed), what, id_dim)
+    return corrected_p(cells, enhanced_maxima(blocks, cube.others(id_dim, *within), neighbours, keys, chan, time, e, h, steps), keys, stat="tfce")

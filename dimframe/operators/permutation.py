@@ -1,59 +1,35 @@
-"""Permutation inference: largest statistics of relabelled data, clusters, topographic ANOVA.
+"""Permutation inference: largest statistics of relabelled data, corrected p, topographic ANOVA.
 
 Relabellings given as rows (perm, id, group) join the cells and are aggregated
-like another dimension; ``inference`` has the same statistics by matrix products.
-Of each permutation only the largest statistic goes on.
+like another dimension; ``inference`` and ``permuted`` have the statistics by
+matrix products. Of each permutation only the largest statistic goes on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import DimFrame
 
-#: Bytes of a matrix of relabellings that may travel with tasks.
-BROADCAST_BYTES = 200 << 20
 #: Effects that differ by less than this share are ties: relabellings that swap the groups give the same effect but for rounding.
 TIE = 1e-9
 
 
-def permuted_maxima(cube: DimFrame, relabelled: np.ndarray, ids: Sequence, id_dim: str = "id", by: Sequence[str] = ()) -> DataFrame:
+def group_maxima(cube: DimFrame, table: DataFrame, id_dim: str = "id", by: Sequence[str] = ()) -> DataFrame:
     """The largest absolute difference-of-groups t (pooled) over all cells of each combination of ``by``, for each relabelling.
 
-    ``relabelled`` has a row for each permutation: the group, 1 or 2, of each of
-    ``ids``. Joined as weights: cells by id with (perm, id, group), so no data is
-    gathered; the rows between are aggregated before they are shuffled.
+    Relabellings are rows (perm, id, g), g being 1 or 2; they join the cells and
+    are aggregated like another dimension. ``inference.permuted_maxima`` takes a
+    matrix instead.
     """
-    spark = cube.df.sparkSession
-    rows = [(p, i, int(g)) for p, row in enumerate(relabelled) for i, g in zip(ids, row, strict=True)]
-    kind = cube.df.schema[id_dim].dataType.simpleString()
-    table = spark.createDataFrame(rows, f"perm int, `{id_dim}` {kind}, g int")
-    return group_maxima(cube, table, id_dim, by)
-
-
-def group_maxima(cube: DimFrame, table: DataFrame, id_dim: str = "id", by: Sequence[str] = ()) -> DataFrame:
-    """As ``permuted_maxima``, the relabellings given as rows (perm, id, g)."""
     others = cube.others(id_dim)
     stats = _pooled_t(cube.df.join(table, id_dim), ["perm", *others], cube.value)
     return stats.groupBy("perm", *by).agg(F.max(F.abs("stat")).alias("most"))
 
 
-def sign_maxima(cube: DimFrame, signs: np.ndarray, ids: Sequence, id_dim: str = "id", by: Sequence[str] = ()) -> DataFrame:
-    """The largest absolute one-sample t over all cells of each combination of ``by``, for each row of signs of ``ids``."""
-    spark = cube.df.sparkSession
-    rows = [(p, i, int(g)) for p, row in enumerate(signs) for i, g in zip(ids, row, strict=True)]
-    kind = cube.df.schema[id_dim].dataType.simpleString()
-    table = spark.createDataFrame(rows, f"perm int, `{id_dim}` {kind}, g int")
-    v = F.col("g") * F.col(cube.value)
-    cells = cube.df.join(table, id_dim).groupBy("perm", *cube.others(id_dim)).agg((F.avg(v) / F.nullif(F.stddev_samp(v), F.lit(0.0)) * F.sqrt(F.count(v))).alias("stat"))
-    return cells.groupBy("perm", *by).agg(F.max(F.abs("stat")).alias("most"))
-
-
 def _pooled_t(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     v = F.col(value)
     one = [F.when(F.col("g") == k, v) for k in (1, 2)]
@@ -74,76 +50,6 @@ def corrected_p(observed: DataFrame, maxima: DataFrame, by: Sequence[str] = (),
     return joined.withColumn("p_corr", (above + 1) / (F.size("_all") + 1)).drop("_all")
 
 
-def tfce(plane: np.ndarray, neighbours: np.ndarray, e: float = 0.66, h: float = 2.0, steps: int = 50) -> np.ndarray:
-    """Threshold-free cluster enhancement of a channel-by-time plane.
-
-    ``neighbours`` is a boolean matrix of channels. At each threshold, in the
-    middle of one of ``steps`` equal parts of the largest absolute value, each
-    cell of a cluster gains size^e * threshold^h * step; clusters of negative
-    cells lose it. Cells are neighbours if their channels are (or are the same)
-    and their times are next to each other or the same. One pass: thresholds
-    fall, and clusters only grow and join.
-    """
-    out = np.zeros(plane.shape)
-    top = np.nanmax(np.abs(plane), initial=0.0)
-    if not top > 0:
-        return out
-    chans, times = plane.shape
-    near = [np.flatnonzero(neighbours[c] | (np.arange(chans) == c)) for c in range(chans)]
-    step = top / steps
-    for sign in (1, -1):
-        x = np.where(np.isnan(plane), -np.inf, sign * plane).ravel()
-        order = np.argsort(-x, kind="stable")
-        root, size = np.full(x.size, -1), np.zeros(x.size, int)
-
-        def find(k: int, root: np.ndarray = root) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        taken = 0
-        for s in range(steps - 1, -1, -1):
-            threshold = step / 2 + s * step
-            while taken < x.size and x[order[taken]] >= threshold:
-                k = order[taken]
-                root[k], size[k] = k, 1
-                c, t = divmod(int(k), times)
-                for c2 in near[c]:
-                    for t2 in range(max(0, t - 1), min(times, t + 2)):
-                        if root[j := c2 * times + t2] >= 0 and j != k:
-                            a, b = find(k), find(j)
-                            if a != b:
-                                if size[a] < size[b]:
-                                    a, b = b, a
-                                root[b] = a
-                                size[a] += size[b]
-                taken += 1
-            members = order[:taken]
-            sizes = np.array([size[find(k)] for k in members], float)
-            out.ravel()[members] += sign * sizes**e * threshold**h * step
-    return out
-
-
-def tfce_cube(cube: DimFrame, neighbours: dict, chan: str = "chan", time: str = "time", e: float = 0.66, h: float = 2.0, steps: int = 50) -> DimFrame:
-    """TFCE of each channel-by-time plane; ``neighbours`` maps a channel to those near it."""
-    others, value = cube.others(chan, time), cube.value
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        wide = g.pivot(index=chan, columns=time, values=value)
-        wide = wide.sort_index().sort_index(axis=1)
-        links = np.array([[b in neighbours.get(a, ()) or a in neighbours.get(b, ()) for b in wide.index] for a in wide.index])
-        made = pd.DataFrame(tfce(wide.to_numpy(float), links, e, h, steps), index=wide.index, columns=wide.columns)
-        long = made.stack().rename(value).reset_index()
-        for o in others:
-            long[o] = g[o].iloc[0]
-        return long[[*others, chan, time, value]]
-
-    schema = ", ".join(f"`{n}` {cube.df.schema[n].dataType.simpleString()}" for n in [*others, chan, time]) + f", `{cube.value}` double"
-    rows = cube.df.select(*others, chan, time, F.col(cube.value).cast("double").alias(cube.value))
-    return cube.but(rows.groupBy(*others).applyInPandas(run, schema))
-
-
 def tanova_effect(cube: DimFrame, group: str, chan: str = "chan", id_dim: str = "id", kind: str = "both", keys: Sequence[str] = ()) -> DataFrame:
     """The size of a factor's effect on the topography, for each combination of the other dimensions.
 
@@ -179,26 +85,35 @@ def tanova_p(effects: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, F.col("obs").alias("effect"), ((F.col("above") + 1) / (F.col("n") + 1)).alias("p"), ((F.col("obs") - F.col("m")) / F.nullif("s", F.lit(0.0))).alias("z"))
 
 
-def tanova(cube: DimFrame, group: str, groups: dict, n: int, seed: int = 1, kind: str = "both", id_dim: str = "id", chan: str = "chan", time: str | None = "time", alphas: Sequence[float] = ()) -> DataFrame:
-    """Topographic ANOVA of one factor between ids: effect, p, z and, with ``alphas``, p_corr by duration.
-
-    The relabellings, as rows (perm, id, level), join the cells, so permutations
-    are aggregated like any other dimension.
+def tanova(
+    cube: DimFrame,
+    subjects: DataFrame | None,
+    n: int,
+    between: Sequence[str] = (),
+    within: Sequence[str] = (),
+    seed: int = 1,
+    kind: str = "both",
+    what: str = "residuals",
+    covariates: Sequence[str] = (),
+    id_dim: str = "id",
+    chan: str = "chan",
+    time: str | None = "time",
+    alphas: Sequence[float] = (),
+) -> DataFrame:
+    """Topographic ANOVA of every term of a design: effect, p, z and, with ``alphas``, p_corr by duration.
+
+    Factors between ids (and ``covariates``, numbers) are columns of
+    ``subjects``, factors within ids dimensions of the cube. Either what the
+    model of all terms leaves of the responses (``what``: residuals) is shuffled,
+    or the responses themselves (observations).
     """
-    from .ttest import random_groups, random_labels
-
-    spark = cube.df.sparkSession
-    ids = sorted(groups)
-    levels = sorted(set(groups.values()))
-    labels = [levels.index(groups[i]) + 1 for i in ids]
-    relabelled = random_groups(labels, n, seed) if len(levels) == 2 else random_labels(labels, n, seed)
-    rows = [(p, i, levels[int(g) - 1]) for p, row in enumerate([labels, *relabelled]) for i, g in zip(ids, row, strict=True)]
-    kind_of = lambda v: "string" if isinstance(v, str) else "long"
-    table = spark.createDataFrame(rows, f"perm int, `{id_dim}` {cube.df.schema[id_dim].dataType.simpleString()}, `{group}` {kind_of(levels[0])}")
-    effects = tanova_effect(cube.but(cube.df.join(table, id_dim)), group, chan, id_dim, kind, keys=["perm"])
-    keys = cube.others(chan, id_dim)
-    out = tanova_p(effects, keys)
-    return duration_corrected(out, effects, keys, time, alphas) if alphas and time else out
+    from .permuted import Shuffles, design_of, permuted_maps
+
+    design = design_of(cube, subjects, between, within, covariates, id_dim)
+    effects = permuted_maps(cube, design, Shuffles(design, n, seed), what, id_dim, chan, kind)
+    keys = effects.others("perm")
+    out = tanova_p(effects.df, keys)
+    return duration_corrected(out, effects.df, keys, time, alphas) if alphas and time else out
 
 
 def duration_corrected(observed: DataFrame, effects: DataFrame, keys: Sequence[str], time: str, alphas: Sequence[float]) -> DataFrame:

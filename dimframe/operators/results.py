@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import Dim, DimFrame
 from .anova import anova
 from .permutation import corrected_p
+from .permuted import Given, Shuffles, design_of, largest, permuted_f
 from .sequence import peaks
 
 
@@ -39,36 +39,28 @@ def p_codes(results: DataFrame, p: str, levels: Sequence[float], by: Sequence[st
     return out
 
 
-def shuffled_rows(ids: Sequence, combos: Sequence[tuple], n: int, seed: int | None = None) -> list[tuple]:
-    """(perm, id, levels..., new id, new levels...): ids trade places as wholes, and the combinations within each id, too."""
-    rng, out = np.random.default_rng(seed), []
-    for p in range(n):
-        for k, i in enumerate(rng.permutation(len(ids))):
-            for a, b in enumerate(rng.permutation(len(combos))):
-                out.append((p, ids[k], *combos[a], ids[i], *combos[b]))
-    return out
-
-
-def shuffled_anova(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), n: int = 99, seed: int = 1, id_dim: str = "id") -> DataFrame:
-    """ANOVA of ``n`` shuffles of the response, numbered by a column ``perm``, without p.
-
-    The shuffles are rows that join the cells; the permutation is one more
-    dimension of the same ANOVA, so nothing is gathered.
+def anova_permuted(
+    cube: DimFrame,
+    subjects: DataFrame | None,
+    between: Sequence[str] = (),
+    within: Sequence[str] = (),
+    n: int = 999,
+    seed: int = 1,
+    id_dim: str = "id",
+    covariates: Sequence[str] = (),
+    what: str = "residuals",
+    by: Sequence[str] = (),
+    shuffles: Shuffles | Given | None = None,
+) -> DataFrame:
+    """ANOVA with p_corr: how often the largest F of a term, over all cells of a combination of ``by``, is greater after a shuffle.
+
+    ``what``: residuals of the model of all terms are shuffled, or observations.
+    ``shuffles`` takes the place of ``n`` and ``seed``.
     """
-    spark, names = cube.df.sparkSession, [id_dim, *within]
-    ids = sorted(r[0] for r in cube.df.select(id_dim).distinct().collect())
-    combos = sorted(tuple(r) for r in cube.df.select(*within).distinct().collect()) if within else [()]
-    kinds = [cube.df.schema[c].dataType.simpleString() for c in names]
-    fields = ["perm int", *[f"`{c}` {k}" for c, k in zip(names, kinds, strict=True)], *[f"`_{c}` {k}" for c, k in zip(names, kinds, strict=True)]]
-    moved = cube.df.join(spark.createDataFrame(shuffled_rows(ids, combos, n, seed), ", ".join(fields)), names)
-    moved = moved.drop(*names).withColumnsRenamed({f"_{c}": c for c in names})
-    return anova(DimFrame(moved, (Dim("perm"), *cube.dims), cube.value), subjects, between, within, id_dim, with_p=False)
-
-
-def anova_permuted(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str] = (), within: Sequence[str] = (), n: int = 99, seed: int = 1, id_dim: str = "id") -> DataFrame:
-    """ANOVA with p_corr: how often the largest F of a term over all cells of a shuffled response is greater."""
-    maxima = shuffled_anova(cube, subjects, between, within, n, seed, id_dim).groupBy("modelterm", "perm").agg(F.max("stat").alias("most"))
-    return corrected_p(anova(cube, subjects, between, within, id_dim), maxima, ["modelterm"])
+    design = design_of(cube, subjects, between, within, covariates, id_dim)
+    keys = [*by, "modelterm"]
+    maxima = largest(permuted_f(cube, design, shuffles or Shuffles(design, n, seed), what, id_dim, by), keys)
+    return corrected_p(anova(cube, subjects, between, within, id_dim, covariates=covariates), maxima, keys)
 
 
 def peak_anova(cube: DimFrame, subjects: DataFrame | None, low, high, between: Sequence[str] = (), within: Sequence[str] = (), time: str = "time", id_dim: str = "id", around: int = 1, largest: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,12 @@ from ..operators import aggregate as ag
 from ..operators import align as al
 from ..operators import anova as an
 from ..operators import artifacts as ar
+from ..operators import clusters as cl
 from ..operators import contrasts as co
 from ..operators import convert as cv
 from ..operators import inference as inf
 from ..operators import permutation as pm
+from ..operators import permuted as pe
 from ..operators import results as rs
 from ..operators import sequence as sq
 from ..operators import shape as sh
@@ -635,7 +638,12 @@ def tanova_p_fixed(spark, d):
 @query()
 def tanova_duration(spark, d):
     b = cube_b10(spark, d)
-    return pm.tanova(b, "grp", {k: k % 2 for k in range(10)}, 49, alphas=[0.05, 0.1])
+    return pm.tanova(b, parities(spark), 49, ["grp"], alphas=[0.05, 0.1])
+
+
+def parities(spark: SparkSession) -> DataFrame:
+    """The ten ids of cube B10 in two groups."""
+    return spark.range(10).select(F.col("id").cast("int").alias("id"), (F.col("id") % 2).alias("grp"))
 
 
 def cube_b10(spark: SparkSession, d: str) -> DimFrame:
@@ -648,10 +656,20 @@ def cube_b10(spark: SparkSession, d: str) -> DimFrame:
 NEIGHBOURS = {c: [x for x in (CHANS[max(0, k - 1)], c, CHANS[min(len(CHANS) - 1, k + 1)])] for k, c in enumerate(CHANS)}
 
 
-@query()
+#: Enhanced planes z (plane, chan, time, v) of planes y (plane, chan, time, x), clusters by the closure of "next to"; H is the power of thresholds.
+_TFCE_SQL = """o as (select chan, row_number() over (order by chan) as c from (select distinct chan from y)), x as (select plane, c, time as t, x, max(abs(x)) over (partition by plane) / 50 as step from y join o using (chan)),
+k as (select plane, sgn, s, step, step / 2 + s * step as thr, c, t, c * 100 + t as cell from x, (values (1), (-1)) as u(sgn), (select range as s from range(0, 50)) where step > 0 and sgn * x >= step / 2 + s * step),
+r as (select plane, sgn, s, cell as a, cell as b from k union select r.plane, r.sgn, r.s, r.a, k.cell from r join k on k.plane = r.plane and k.sgn = r.sgn and k.s = r.s and abs(k.c - r.b // 100) <= 1 and abs(k.t - r.b % 100) <= 1),
+n as (select plane, sgn, s, a as cell, count(*) as size from r group by all), g as (select plane, cell, sum(sgn * power(size, 0.66) * power(thr, H) * step) as v from n join k using (plane, sgn, s, cell) group by all),
+z as (select x.plane, chan, t as time, coalesce(v, 0) as v from x join o using (c) left join g on g.plane = x.plane and g.cell = x.c * 100 + x.t)"""
+
+
+@query(f"""with recursive e as (select event_type as chan, cast(hour(ts) as int) as time, cast(user_id % 10 as int) as id, avg(value) as value from events group by all),
+b10 as (select c.chan, t.time, i.id, coalesce(e.value, 0) as value from (select distinct chan from e) c, (select distinct time from e) t, (select distinct id from e) i left join e on e.chan = c.chan and e.time = t.time and e.id = i.id),
+y as (select id as plane, chan, time, value - 50 as x from b10), {_TFCE_SQL.replace("H)", "2.0)")} select chan, time, plane as id, round(v, 3) as value from z""")
 def tfce(spark, d):
     b = cube_b10(spark, d)
-    return pm.tfce_cube(b.but(b.df.withColumn("value", F.col("value") - 50)), NEIGHBOURS).long()
+    return rounded(cl.tfce_cube(b.but(b.df.withColumn("value", F.col("value") - 50)), NEIGHBOURS), digits=3)
 
 
 @query()
@@ -687,6 +705,16 @@ def perm_signs(spark, d):
     return rounded(inf.permuted_t(b.but(b.df.withColumn("value", F.col("value") - 50)), signs, list(range(10)), "one").df, "stat")
 
 
+@query(f"""with recursive {_B10_SQL}, {_LABELS10_SQL}, l as (select perm + 1 as perm, id, g from w union all select 0, range, range % 2 + 1 from range(0, 10)),
+y as (select perm as plane, chan, time, (avg(case when g = 1 then value end) - avg(case when g = 2 then value end)) / sqrt(var_samp(case when g = 1 then value end) / count(case when g = 1 then 1 end) + var_samp(case when g = 2 then value end) / count(case when g = 2 then 1 end)) as x from b10 join l using (id) group by 1, 2, 3),
+{_TFCE_SQL.replace("H)", "2.0)")}, most as (select plane, max(abs(v)) as most from z group by 1)
+select chan, time, round(x, 6) as stat, round(v, 5) as tfce, round(((select count(*) from most where most.plane > 0 and most.most > abs(v)) + 1) / 12, 6) as p_corr from z join y using (plane, chan, time) where plane = 0""")
+def ttest_tfce_fixed(spark, d):
+    """A t test of two groups of ids with enhancement, corrected by eleven fixed relabellings."""
+    out = inf.ttest_tfce(cube_b10(spark, d), NEIGHBOURS, 11, {k: k % 2 for k in range(10)}, relabellings=_LABELS10)
+    return rounded(rounded(out, "stat", "p_corr"), "tfce", digits=5)
+
+
 @query()
 def ttest_tfce(spark, d):
     return inf.ttest_tfce(cube_b10(spark, d), NEIGHBOURS, 49, {k: k % 2 for k in range(10)})
@@ -699,6 +727,102 @@ def anova_tfce(spark, d):
     return inf.anova_tfce(parted, None, NEIGHBOURS, 19, within=["half"])
 
 
+#: Cube M: lineitem as line number % 3 (part) x return flag x supplier, every combination present; ids in two groups.
+_M_SQL = "m as (select l_linenumber % 3 as part, array_position(['A', 'N', 'R'], l_returnflag) - 1 as k, l_suppkey as i, avg(l_quantity) as v from lineitem group by all), n as (select count(distinct i) as n from m)"
+#: Ten fixed shuffles q of (i, k): the observation that comes to each place.
+_FACTORS = (1, 3, 7, 9, 11, 13, 17, 19, 21, 23)
+_Q_SQL = "q as (select p, i, k, ((i // 2 + (i % 2) * (n // 2)) * f + p) % n as i2, (k * (1 + (i + p) % 2) + (i * i + p * i) // 2 + i // 3) % 3 as k2 from (values " + ", ".join(f"({p}, {f})" for p, f in enumerate(_FACTORS)) + ") as u(p, f), (select distinct i, k from m), n)"
+_RESIDUALS_SQL = "r as (select part, i, k, v - avg(v) over (partition by part, i % 2, k) as v from m)"
+_MOVED_SQL = "y as (select p, part, q.i, q.k, q.i % 2 as grp, r.v from q join r on r.i = q.i2 and r.k = q.k2)"
+#: Observations stay while the design moves: the value of (i, k) stands at (i2, k2).
+_STAYED_SQL = "y as (select p, part, q.i2 as i, q.k2 as k, q.i2 % 2 as grp, m.v from q join m using (i, k))"
+_MEANS_SQL = "w as (select *, avg(v) over (partition by p, part) as g, avg(v) over (partition by p, part, i) as mi, avg(v) over (partition by p, part, grp) as mc, avg(v) over (partition by p, part, k) as mf, avg(v) over (partition by p, part, grp, k) as mcf from y)"
+_F_SQL = """s as (select p, part, sum(power(mc - g, 2)) as ssg, sum(power(mi - mc, 2)) as sse1, sum(power(mf - g, 2)) as ssf, sum(power(mcf - mc - mf + g, 2)) as ssi, sum(power(v - mi - mcf + mc, 2)) as sse2, count(distinct i) as n from w group by 1, 2),
+f as (select p, part, 'grp' as modelterm, ssg / (sse1 / (n - 2)) as stat from s union all select p, part, 'flag', ssf / (sse2 / (n - 2)) from s union all select p, part, 'grp:flag', ssi / (sse2 / (n - 2)) from s)"""
+
+
+def cube_m(spark: SparkSession, d: str) -> DimFrame:
+    cols = {"part": (F.col("l_linenumber") % 3).cast("int"), "flag": F.col("l_returnflag"), "id": F.col("l_suppkey")}
+    return cube_of(read(spark, d, "lineitem"), cols, F.col("l_quantity"), {"flag": FLAGS})
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 2).alias("grp"), F.col("s_acctbal").cast("double").alias("bal"))
+
+
+def fixed_shuffles(design: pe.Design) -> pe.Given:
+    i, k = np.divmod(np.arange(design.size), 3)
+    n = len(design.ids)
+    new = [(((i // 2 + (i % 2) * (n // 2)) * f + p) % n, (k * (1 + (i + p) % 2) + (i * i + p * i) // 2 + i // 3) % 3) for p, f in enumerate(_FACTORS)]
+    return pe.Given(design, np.array([i2 * 3 + k2 for i2, k2 in new]))
+
+
+def _shuffled(spark: SparkSession, d: str, what: str) -> DataFrame:
+    m = cube_m(spark, d)
+    design = pe.design_of(m, suppliers(spark, d), ["grp"], ["flag"])
+    return rounded(pe.each_shuffle(pe.permuted_f(m, design, fixed_shuffles(design), what), ["part", "modelterm"]), "stat")
+
+
+@query(f"with {_M_SQL}, {_Q_SQL}, {_RESIDUALS_SQL}, {_MOVED_SQL}, {_MEANS_SQL}, {_F_SQL} select part::int as part, modelterm, p::int as perm, round(stat, 6) as stat from f")
+def anova_residuals(spark, d):
+    """F of a mixed design for fixed shuffles of what the model leaves of the responses."""
+    return _shuffled(spark, d, "residuals")
+
+
+@query(f"with {_M_SQL}, {_Q_SQL}, {_STAYED_SQL}, {_MEANS_SQL}, {_F_SQL} select part::int as part, modelterm, p::int as perm, round(stat, 6) as stat from f")
+def anova_observations(spark, d):
+    """F of a mixed design for fixed shuffles of the responses."""
+    return _shuffled(spark, d, "observations")
+
+
+@query(f"""with {_M_SQL}, {_Q_SQL}, {_RESIDUALS_SQL}, y as (select p, part, q.i, q.k, q.i % 2 as grp, r.v from q join r on r.i = q.i2 and r.k = q.k2 union all select -1, part, i, k, i % 2, v from m), {_MEANS_SQL}, {_F_SQL},
+x as (select p, modelterm, max(stat) as most from f where p >= 0 group by 1, 2)
+select part::int as part, modelterm, round(stat, 6) as stat, round((count(*) filter (where most > stat) + 1) / (count(*) + 1), 6) as p_corr from f join x using (modelterm) where f.p = -1 group by part, modelterm, stat""")
+def anova_permuted_fixed(spark, d):
+    """ANOVA of a mixed design, p corrected by the largest F of ten fixed shuffles."""
+    m, s = cube_m(spark, d), suppliers(spark, d)
+    out = rs.anova_permuted(m, s, ["grp"], ["flag"], shuffles=fixed_shuffles(pe.design_of(m, s, ["grp"], ["flag"])))
+    return rounded(out.select("part", "modelterm", "stat", "p_corr"), "stat", "p_corr")
+
+
+#: Maps are over part; a term's effect is the mean of their standard deviations.
+_MAPS_SQL = """select p, 'grp' as modelterm, avg(s) as effect from (select p, grp, stddev_samp(x) as s from (select distinct p, grp, part, mc - g as x from w) group by 1, 2) group by 1
+union all select p, 'flag', avg(s) from (select p, k, stddev_samp(x) as s from (select distinct p, k, part, mf - g as x from w) group by 1, 2) group by 1
+union all select p, 'grp:flag', avg(s) from (select p, grp, k, stddev_samp(x) as s from (select distinct p, grp, k, part, mcf - mc - mf + g as x from w) group by 1, 2, 3) group by 1"""
+
+
+def _maps(spark: SparkSession, d: str, between: list[str], what: str) -> DimFrame:
+    m = cube_m(spark, d)
+    design = pe.design_of(m, suppliers(spark, d) if between else None, between, ["flag"])
+    return pe.permuted_maps(m, design, fixed_shuffles(design), what, chan="part")
+
+
+@query(f"""with {_M_SQL}, {_Q_SQL}, {_RESIDUALS_SQL}, y as (select p + 1 as p, part, q.i, q.k, q.i % 2 as grp, r.v from q join r on r.i = q.i2 and r.k = q.k2 union all select 0, part, i, k, i % 2, v from m), {_MEANS_SQL}, e as ({_MAPS_SQL}) select modelterm, p::int as perm, round(effect, 6) as effect from e""")
+def tanova_mixed(spark, d):
+    """Effects on maps of a factor between ids, one within and their interaction, observed and for fixed shuffles of residuals."""
+    return rounded(_maps(spark, d, ["grp"], "residuals").df, "effect")
+
+
+@query(f"""with {_M_SQL}, {_Q_SQL}, y as (select p + 1 as p, part, q.i2 as i, q.k2 as k, q.i2 % 2 as grp, m.v from q join m using (i, k) union all select 0, part, i, k, i % 2, v from m), {_MEANS_SQL}, e as ({_MAPS_SQL}), o as (select effect as obs from e where p = 0 and modelterm = 'flag')
+select modelterm, round(obs, 6) as effect, round((count(*) filter (where effect > obs * (1 + 1e-9)) + 1) / (count(*) + 1), 6) as p, round((obs - avg(effect)) / stddev_samp(effect), 4) as z from e, o where p > 0 and modelterm = 'flag' group by modelterm, obs""")
+def tanova_within(spark, d):
+    """Topographic ANOVA of a factor within ids: p and z by fixed shuffles of the responses."""
+    out = pm.tanova_p(_maps(spark, d, [], "observations").df, ["modelterm"])
+    return rounded(rounded(out, "effect", "p"), "z", digits=4)
+
+
+@query(f"""with {_M_SQL}, y as (select part, i, i % 2 as a, avg(v) as y, any_value(s_acctbal)::double as x from m join supplier on s_suppkey = i group by 1, 2, 3),
+w as (select *, avg(y) over (partition by part) as g, avg(y) over (partition by part, a) as ya, avg(x) over (partition by part, a) as xa from y),
+h as (select part, a, sum((y - ya) * (x - xa)) as sxy, sum((x - xa) * (x - xa)) as sxx, sum((y - ya) * (y - ya)) as syy, sum((ya - g) * (ya - g)) as ssa, count(*) as n from w group by 1, 2),
+s as (select part, sum(ssa) as ssa, sum(sxy) * sum(sxy) / sum(sxx) as ssx, sum(sxy * sxy / sxx) as slopes, sum(syy) as syy, sum(n) as n from h group by 1),
+t as (select part, 'grp' as modelterm, ssa as ss, syy - slopes as sse, n from s union all select part, 'bal', ssx, syy - slopes, n from s union all select part, 'grp:bal', slopes - ssx, syy - slopes, n from s)
+select part::int as part, modelterm, round(ss / (sse / (n - 4)), 5) as stat, 1.0::double as df1, (n - 4)::double as df2, round(ss / (ss + sse), 6) as es from t""")
+def ancova(spark, d):
+    """A factor, a number and their interaction between subjects: sums of squares in sequence."""
+    y = ag.avg_dims(cube_m(spark, d), "flag")
+    return rounded(rounded(an.anova(y, suppliers(spark, d), ["grp"], covariates=["bal"], with_p=False), "stat", digits=5), "es")
+
+
 @query(f"""with {_B10_SQL}, m as (select time, id, time % 2 as part, avg(value) as v from b10 group by 1, 2, 3), w as (select *, avg(v) over (partition by id, part order by time rows between 1 preceding and 1 following) as am from m),
 k as (select id, part, cast(arg_max(time, v) as double) as peak, arg_max(am, v) as amplitude from w where time between 2 and 20 group by 1, 2),
 l as (select id, part, 'peak' as measure, peak as x from k union all select id, part, 'amplitude', amplitude from k),

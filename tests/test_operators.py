@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from dimframe.core import densified, decorated, from_long, from_values, packed, unpacked
 from dimframe.functions import dist, geometry
 from dimframe.functions import predicates as pr
-from dimframe.operators import aggregate, align, anova, artifacts, contrasts, convert, inference, permutation, results, sequence, shape, ttest
+from dimframe.operators.clusters import tfce
+from dimframe.operators import aggregate, align, anova, artifacts, contrasts, convert, inference, permutation, permuted, sequence, shape, ttest
 
 
 def line(spark, values):
@@ -146,8 +147,8 @@ def test_tfce_by_definition():
                         todo.append(o)
                 for c in cluster:
                     want[c] += sign * len(cluster) ** 0.66 * level**2 * step
-    assert np.allclose(permutation.tfce(x, near), want)
-    assert not permutation.tfce(np.zeros((2, 3)), near[:2, :2]).any()
+    assert np.allclose(tfce(x, near), want)
+    assert not tfce(np.zeros((2, 3)), near[:2, :2]).any()
 
 
 def test_anova_is_the_squared_t(spark):
@@ -218,14 +219,15 @@ def test_example_and_pipeline(spark):
 def test_signs_and_labels(spark):
     rng = np.random.default_rng(4)
     cube = from_values(spark, rng.normal(size=24).tolist(), {"id": list(range(8)), "chan": ["a", "b", "c"]})
-    ones = permutation.sign_maxima(cube, np.ones((1, 8), int), list(range(8))).first()["most"]
+    ones = inference.permuted_maxima(cube, np.ones((1, 8), int), list(range(8)), "one").first()["most"]
     assert ones == pytest.approx(max(abs(r["stat"]) for r in ttest.ttest_one(cube, with_p=False).collect()))
     rows = ttest.random_labels([1, 1, 2, 2, 3, 3], 89, 1)
     assert len({r.tobytes() for r in rows}) == 89
     with pytest.raises(ValueError):
         ttest.random_labels([1, 1, 2, 2, 3, 3], 90, 1)
     time = from_values(spark, rng.normal(size=6 * 3 * 2).tolist(), {"id": list(range(6)), "chan": ["a", "b", "c"], "time": [0, 1]})
-    out = permutation.tanova(time, "g", {i: i % 3 for i in range(6)}, 20).collect()
+    groups = spark.createDataFrame([(i, i % 3) for i in range(6)], "id long, g int")
+    out = permutation.tanova(time, groups, 20, ["g"]).collect()
     assert len(out) == 2 and all(1 / 21 <= r["p"] <= 1 for r in out)
 
 
@@ -265,9 +267,9 @@ def test_tests_with_clusters_and_permutations(spark):
     cases = (("welch", groups, observed, ttest.random_groups(observed.tolist(), 30, 1)), ("one", None, np.ones(9), ttest.random_signs(9, 30, 1)))
     for kind, given, labels, relabelled in cases:
         got = inference.ttest_tfce(cube, near, 30, given).collect()
-        most = [np.abs(permutation.tfce(planes(row, kind), links)).max() for row in relabelled]
+        most = [np.abs(tfce(planes(row, kind), links)).max() for row in relabelled]
         stat = planes(labels, kind)
-        clusters = permutation.tfce(stat, links)
+        clusters = tfce(stat, links)
         assert len(got) == 12
         for r in got:
             at = chans.index(r["chan"]), r["time"] - 1
@@ -288,11 +290,13 @@ def test_anova_with_clusters(spark):
         plane = np.zeros((2, 3))
         for r in rows:
             plane["ab".index(r["chan"]), r["time"] - 1] = r["stat"]
-        return permutation.tfce(plane, links, 0.66, 1.0)
+        return tfce(plane, links, 0.66, 1.0)
 
     got = inference.anova_tfce(cube, None, near, 9, within=["cond"]).collect()
     clusters = enhanced(got)
-    shuffled = results.shuffled_anova(cube, None, within=["cond"], n=9, seed=1).collect()
+    design = permuted.design_of(cube, None, within=["cond"])
+    blocks = permuted.permuted_f(cube, design, permuted.Shuffles(design, 9, 1))
+    shuffled = permuted.each_shuffle(blocks, ["chan", "time", "modelterm"]).collect()
     most = [enhanced([r for r in shuffled if r["perm"] == p]).max() for p in range(9)]
     for r in got:
         at = "ab".index(r["chan"]), r["time"] - 1
