@@ -1,6 +1,7 @@
 """Composable predicates on values or on the levels of a dimension.
 
-A predicate compiles to a boolean Column, null counting as false. It may be
+A predicate compiles to a boolean Column, null counting as false, or, if it looks
+at more than a cell, to a plan that runs before the filter. It may be
 limited to a slice of the cube (``subset``), be taken from one slice for all
 levels (``expand``), be negated, and be optional: in a combination with a strict
 predicate an optional one gives way when the combination holds nowhere.
@@ -32,6 +33,8 @@ class Predicate:
     expand: Mapping[str, object] | None = None
     parts: tuple[Predicate, ...] = ()
     how: str = ""
+    #: for tests of more than a cell: the cube's dimensions and a boolean column of the name given
+    plan: Callable[[DimFrame, str], DataFrame] | None = None
 
     def options(self, **kw) -> Predicate:
         return replace(self, **kw)
@@ -85,9 +88,17 @@ def marked(cube: DimFrame, predicate: Predicate, name: str = "hit") -> DataFrame
         if set(p.expand) & set(p.subset or {}):
             raise ValueError("a dimension is both expanded and subset")
         seen = cube.but(cube.df.where(slice_of(p.expand)))
-        hits = seen.df.select(*over, _plain(seen, p, v).alias(name))
+        hits = (_planned(seen, p, name) if p.plan else seen.df.withColumn(name, _plain(seen, p, v))).select(*over, name)
         return out.join(hits, over, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return out.withColumn(name, _plain(cube, p, v))
+    return _planned(cube, p, name) if p.plan else out.withColumn(name, _plain(cube, p, v))
+
+
+def _planned(cube: DimFrame, p: Predicate, name: str) -> DataFrame:
+    """The rows with the outcome of a predicate that looks at more than a cell; with a slice it sees the slice alone."""
+    seen = cube.but(cube.df.where(slice_of(p.subset)).select(*cube.names, cube.value)) if p.subset else cube.but(cube.long())
+    hits = p.plan(seen, name).select(*cube.names, name)
+    hit = F.coalesce(F.col(name), F.lit(False))
+    return cube.df.join(hits, cube.names, "left").withColumn(name, ~hit if p.negate else hit)
 
 
 def _plain(cube: DimFrame, p: Predicate, v: Column) -> Column:
@@ -136,6 +147,40 @@ def is_positive() -> Predicate:
     return Predicate(lambda cube, v: v > 0)
 
 
+def is_extremum(along: str, what: str = "both", **options) -> Predicate:
+    """A minimum (``what``: min), a maximum (max) or either (both) of the series along a dimension; ``options`` as of ``sequence.extrema``.
+
+    A constant series counts as what is asked for. With ``subset`` or ``expand``
+    the extrema are those of the slice. It combines like any other predicate.
+    """
+    code = {"min": 1, "max": 2, "both": 3}[what]
+
+    def plan(cube: DimFrame, name: str) -> DataFrame:
+        from ..operators.sequence import extrema
+
+        codes = extrema(cube, along, **({"constant": code} | options))
+        found = F.col(cube.value) > 0 if what == "both" else F.col(cube.value) == code
+        return codes.df.select(*cube.names, found.alias(name))
+
+    return Predicate(lambda cube, v: F.lit(False), plan=plan)
+
+
+def is_local_maximum(along: str, **options) -> Predicate:
+    return is_extremum(along, "max", **options)
+
+
+def is_local_minimum(along: str, **options) -> Predicate:
+    return is_extremum(along, "min", **options)
+
+
+def is_maximum(along: str, **options) -> Predicate:
+    return is_extremum(along, "max", global_=True, **options)
+
+
+def is_minimum(along: str, **options) -> Predicate:
+    return is_extremum(along, "min", global_=True, **options)
+
+
 def select_values(cube: DimFrame, predicate: Predicate, with_index: bool = False) -> DataFrame:
     """The cells where a predicate holds: dimensions and value, and with ``with_index`` the place (from 1) of each level."""
     rows = marked(cube, predicate, "_hit").where("_hit").drop("_hit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,21 +26,17 @@ def avg_dims(cube: DimFrame, *names: str, na_rm: bool = True) -> DimFrame:
     return cube.but(cube.df.groupBy(*cube.others(*names)).agg(mean), cube.drop_dims(*names))
 
 
-def fn_dims(cube: DimFrame, names: Sequence[str], fn: Callable, into: str | None = None, schema: str = "double") -> DimFrame:
+def fn_dims(cube: DimFrame, names: Sequence[str], fn: Callable, into: str | None = None, schema: str = "double", aggregate: bool = False) -> DimFrame:
     """Applies a function over dimensions.
 
-    A function of a Column that gives a Column is an SQL aggregate of the
-    values. Else it gets each series as a numpy array, in the order of the
-    dimensions, and gives a number, or with ``into`` an array, whose places
+    With ``aggregate`` the function gets the column of values and gives an SQL
+    aggregate of it. Else it gets each series as a numpy array, in the order of
+    the dimensions, and gives a number, or with ``into`` an array, whose places
     become a dimension of that name.
     """
     others = cube.others(*names)
-    try:
-        made = fn(F.col(cube.value))
-    except Exception:
-        made = None
-    if isinstance(made, Column):
-        return cube.but(cube.df.groupBy(*others).agg(made.alias(cube.value)), cube.drop_dims(*names))
+    if aggregate:
+        return cube.but(cube.df.groupBy(*others).agg(fn(F.col(cube.value)).alias(cube.value)), cube.drop_dims(*names))
 
     def run(values: pd.Series) -> pd.Series:
         out = [fn(np.asarray(v, float)) for v in values]
@@ -103,19 +100,27 @@ def marginal_means(cube: DimFrame, factors: Sequence[str]) -> DataFrame:
     return out.withColumn("modelterm", named).drop("_g")
 
 
-def sequential_means(cube: DimFrame, factors: Sequence[str]) -> DataFrame:
-    """As ``marginal_means``, each term's means taken from what the terms before it leave."""
-    df, outs = cube.df.withColumn("_rest", F.col(cube.value)), []
+def sequential_means(cube: DimFrame, factors: Sequence[str], terms: Sequence[str] | None = None, no_icpt: bool = False) -> DataFrame:
+    """As ``marginal_means``, each term's means taken from what the terms before it leave; with ``no_icpt`` the grand mean goes first.
+
+    A term's means are constant within the cells of the design, so they are
+    taken from the cells' sums: the data are aggregated once. ``terms`` (names
+    joined by colons) says which are shown.
+    """
+    # few rows: as many as combinations of levels
+    df, outs = cube.df.groupBy(*factors).agg(F.coalesce(F.sum(cube.value), F.lit(0.0)).cast("double").alias("_rest"), F.count(cube.value).alias("_n")), []
+    without = lambda df, *t: df.withColumn("_mean", F.sum("_rest").over(Window.partitionBy(*t)) / F.nullif(F.sum("_n").over(Window.partitionBy(*t)), F.lit(0))).withColumn("_rest", F.col("_rest") - F.col("_n") * F.coalesce("_mean", F.lit(0.0)))
+    if no_icpt:
+        df = without(df).drop("_mean")
     for t in model_terms(factors):
-        w = Window.partitionBy(*t)
-        df = df.withColumn("_mean", F.avg("_rest").over(w))
-        shown = df.groupBy(*t).agg(F.first("_mean").alias(cube.value), F.count(cube.value).alias("freq")).withColumn("modelterm", F.lit(":".join(t)))
-        outs.append(shown.select(*[F.col(f) if f in t else F.lit(None).cast(cube.df.schema[f].dataType).alias(f) for f in factors], cube.value, "freq", "modelterm"))
-        df = df.withColumn("_rest", F.col("_rest") - F.col("_mean")).drop("_mean")
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        df = without(df, *t)
+        if terms is None or ":".join(t) in terms:
+            shown = df.groupBy(*t).agg(F.first("_mean").alias(cube.value), F.sum("_n").alias("freq")).withColumn("modelterm", F.lit(":".join(t)))
+            outs.append(shown.select(*[F.col(f) if f in t else F.lit(None).cast(cube.df.schema[f].dataType).alias(f) for f in factors], cube.value, "freq", "modelterm"))
+        df = df.drop("_mean")
+    if not outs:
+        raise ValueError(f"no term of {factors} is among {terms}")
+    return reduce(DataFrame.unionByName, outs)
 
 
 def model_means(cube: DimFrame, term: Sequence[str], factors: Sequence[str], adjusted: bool = False) -> DataFrame:

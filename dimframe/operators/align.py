@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -84,46 +84,60 @@ def best_warp(template: np.ndarray, series: np.ndarray, stiffness: float = 0.0)
     return np.interp(np.linspace(0, 1, n), x, y)
 
 
-def registered(values: np.ndarray, rounds: int = 5, stiffness: float = 0.0, median: bool = False) -> np.ndarray:
-    """Warpings (a row each) that move series onto their common mean or median in square-root slope space."""
-    n = values.shape[1]
-    slopes = np.array([_slope(v) for v in values])
-    middle = np.median if median else np.mean
-    template = slopes[np.argmin(((slopes - middle(slopes, 0)) ** 2).sum(1))]
-    grid, gammas = np.linspace(0, 1, n), np.tile(np.linspace(0, 1, n), (len(values), 1))
-    for _ in range(rounds):
-        gammas = np.array([best_warp(template, s, stiffness) for s in slopes])
-        moved = np.array([_slope(np.interp(g, grid, v)) for g, v in zip(gammas, values, strict=True)])
-        new = middle(moved, 0)
-        if np.sum((new - template) ** 2) < 1e-6 * max(np.sum(template**2), 1e-12):
-            break
-        template = new
-    return gammas
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder that the cluster names; on one machine a fresh folder takes its place."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="dimframe-"))
+    return df.checkpoint()
 
 
 def warped(cube: DimFrame, align: str, time: str = "time", rounds: int = 5, stiffness: float = 0.0, median: bool = False) -> DimFrame:
     """gamma in [0, 1] for each time of each series: elastic registration over the levels of ``align``.
 
-    The series of one combination of the other dimensions, one for each level of
-    ``align``, are registered together in one task.
+    The series of a combination of the other dimensions, one for each level of
+    ``align`` and all at the same times, are moved onto their common mean (or
+    median) in square-root slope space. A template, first the series nearest to
+    the mean, goes to the series, each of which is warped in its own row; the
+    mean of what comes out, by place, is the next template. A combination whose
+    template hardly changes keeps it.
     """
     others = cube.others(align, time)
-    rows = _series(cube, time).select(*others, align, F.transform("s", lambda x: x["t"]).alias("t"), F.transform("s", lambda x: x["v"]).alias("v"))
-    groups = rows.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(align, "t", "v"))).alias("g"))
-    kinds = {n: cube.df.schema[n].dataType.simpleString() for n in [*others, align, time]}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, row in b.iterrows():
-                g = row["g"]
-                t = np.array(g[0]["t"], float)
-                gammas = registered(np.array([list(x["v"]) for x in g], float), rounds, stiffness, median)
-                for x, gamma in zip(g, gammas, strict=True):
-                    out = pd.DataFrame({time: t, "gamma": gamma})
-                    for o in others:
-                        out[o] = row[o]
-                    out[align] = x[align]
-                    yield out[[*others, align, time, "gamma"]]
-
-    schema = ", ".join(f"`{n}` {kinds[n] if n != time else 'double'}" for n in [*others, align, time]) + ", gamma double"
-    return cube.but(groups.mapInPandas(run, schema), value="gamma")
+    kind = cube.df.schema[time].dataType
+    part = lambda k: F.transform("s", lambda x: x[k])
+
+    @F.pandas_udf("array<double>")
+    def slopes(v: pd.Series) -> pd.Series:
+        return pd.Series([_slope(np.asarray(x, float)).tolist() for x in v])
+
+    @F.pandas_udf("array<double>")
+    def gammas(q: pd.Series, template: pd.Series) -> pd.Series:
+        return pd.Series([best_warp(np.asarray(t, float), np.asarray(x, float), stiffness).tolist() for x, t in zip(q, template, strict=True)])
+
+    @F.pandas_udf("array<double>")
+    def moved(v: pd.Series, gamma: pd.Series) -> pd.Series:
+        return pd.Series([_slope(np.interp(g, np.linspace(0, 1, len(x)), x)).tolist() for x, g in zip(v, gamma, strict=True)])
+
+    def middle(rows: DataFrame, name: str, into: str) -> DataFrame:
+        """The mean or median of arrays, place by place."""
+        places = rows.select(*others, F.posexplode(name).alias("_k", "_x")).groupBy(*others, "_k").agg((F.median if median else F.avg)("_x").alias("_x"))
+        return places.groupBy(*others).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_x"))), lambda c: c["_x"]).alias(into))
+
+    def met(rows: DataFrame, table: DataFrame) -> DataFrame:
+        return rows.join(table, others) if others else rows.crossJoin(F.broadcast(table))  # without other dimensions the table is one row
+
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x - y, 2)), F.lit(0.0), lambda x, y: x + y)
+    base = _cut(_series(cube, time).select(*others, align, part("t").alias("t"), part("v").alias("v")).withColumn("q", slopes("v")))
+    template = met(base, middle(base, "q", "_m")).groupBy(*others).agg(F.min_by("q", F.struct(far("q", "_m"), F.col(align))).alias("template"))
+    for _ in range(rounds - 1):
+        template = _cut(template)
+        new = middle(met(base, template).withColumn("_g", gammas("q", "template")).withColumn("_w", moved("v", "_g")), "_w", "_new")
+        near = far("_new", "template") < 1e-6 * F.greatest(far("template", F.transform("template", lambda x: F.lit(0.0))), F.lit(1e-12))
+        template = met(template, new).select(*others, F.when(near, F.col("template")).otherwise(F.col("_new")).alias("template"))
+    out = met(base, _cut(template)).withColumn("_g", gammas("q", "template"))
+    shown = out.select(*others, align, F.explode(F.arrays_zip("t", "_g")).alias("z"))
+    return cube.but(shown.select(*others, align, F.col("z.t").cast(kind).alias(time), F.col("z._g").alias("gamma")), value="gamma")

@@ -22,11 +22,15 @@ def subset(cube: DimFrame, drop: bool = False, **where) -> DimFrame:
     dims = [d if not isinstance(where.get(d.name), (list, tuple)) else Dim(d.name, tuple(dict.fromkeys(where[d.name]))) for d in cube.dims]
     out = cube.but(cube.df.where(slice_of(where)), dims)
     single = [d for d, v in where.items() if drop and not callable(v) and not isinstance(v, (list, tuple))]
-    return drop_dims(out, *single) if single else out
+    return cube.but(out.df.drop(*single), out.drop_dims(*single)) if single else out
 
 
 def drop_dims(cube: DimFrame, *names: str) -> DimFrame:
-    """Removes dimensions that have one level."""
+    """Removes dimensions that have one level; another number of levels is an error."""
+    seen = cube.df.agg(*[F.min(n).eqNullSafe(F.max(n)).alias(n) for n in names]).first() if names else {}
+    more = [n for n in names if not seen[n]]
+    if more:
+        raise ValueError(f"{more} have more than one level")
     return cube.but(cube.df.drop(*names), cube.drop_dims(*names))
 
 
@@ -94,13 +98,59 @@ def dim_to_multidim(cube: DimFrame, name: str, table: DataFrame) -> DimFrame:
     return cube.but(cube.df.join(table, name).drop(name), [*(Dim(n) for n in new), *cube.drop_dims(name)])
 
 
-def expand_into(cube: DimFrame, target: DimFrame, value: str = "expanded") -> DimFrame:
-    """A smaller cube's values on the grid of a larger one, levels matched by name."""
+def _levels(cube: DimFrame, name: str, most: int = 100_000) -> list:
+    """The levels of a dimension in order, if it lists them or they are few."""
+    d = cube.dim(name)
+    if d.levels is not None:
+        return list(d.levels)
+    rows = cube.df.select(name).distinct().orderBy(name).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{name} has more than {most} levels; levels can be matched by name alone")
+    return [r[0] for r in rows]
+
+
+def expand_into(cube: DimFrame, target: DimFrame, value: str = "expanded", levels: Mapping[str, Sequence] | None = None, safe: bool = True, fill: bool = True) -> DimFrame:
+    """A smaller cube's values on the grid of a larger one.
+
+    Levels are matched by name. ``levels`` gives, for a dimension, the smaller
+    cube's level for each of the target's, in their order. A dimension with a
+    single level stands for all of the target's. Otherwise a level that the
+    smaller cube lacks is an error, or without ``safe`` its levels are repeated in
+    their order until there are enough. ``fill`` makes the values as the
+    target's are.
+    """
     missing = set(cube.names) - set(target.names)
     if missing:
         raise ValueError(f"the target lacks {sorted(missing)}")
-    small = cube.df.select(*cube.names, F.col(cube.value).alias(value))
-    return target.but(target.df.select(*target.names).join(small, cube.names, "left"), value=value)
+    levels, dropped, rows = dict(levels or {}), [], target.df.select(*target.names)
+    unknown = set(levels) - set(cube.names)
+    if unknown:
+        raise ValueError(f"levels are given for {sorted(unknown)}, which the smaller cube lacks")
+    for name in cube.names:
+        given = levels.get(name)
+        if given is None and safe:
+            own, wanted = cube.dim(name).levels, target.dim(name).levels
+            inside = set(wanted) <= set(own) if own is not None and wanted is not None else target.df.select(name).distinct().join(cube.df.select(name).distinct(), name, "left_anti").isEmpty()
+            if inside:
+                continue
+            if cube.df.select(name).distinct().limit(2).count() == 1:
+                dropped.append(name)
+                continue
+            raise ValueError(f"{name} lacks levels of the target and has more than one; give `levels`, or set `safe` to False")
+        new = _levels(target, name)
+        old = list(given) if given is not None else _levels(cube, name)
+        if given is not None and len(old) != len(new):
+            raise ValueError(f"{len(old)} levels are given for {name}, the target has {len(new)}")
+        pairs = [(n, old[k % len(old)]) for k, n in enumerate(new)]
+        kinds = target.df.schema[name].dataType.simpleString(), cube.df.schema[name].dataType.simpleString()
+        rows = rows.join(F.broadcast(cube.df.sparkSession.createDataFrame(pairs, f"`{name}` {kinds[0]}, `_of_{name}` {kinds[1]}")), name, "left")
+    moved = [n for n in cube.names if f"_of_{n}" in rows.columns]
+    kept = [n for n in cube.names if n not in dropped]
+    kind = target.df.schema[target.value].dataType if fill else cube.df.schema[cube.value].dataType
+    small = cube.df.select(*[F.col(n).alias(f"_of_{n}" if n in moved else n) for n in kept], F.col(cube.value).cast(kind).alias(value))
+    on = [f"_of_{n}" if n in moved else n for n in kept]
+    out = rows.join(small, on, "left") if on else rows.crossJoin(F.broadcast(small))  # no dimension left: one row
+    return target.but(out.select(*target.names, value), value=value)
 
 
 def split_groups(cube: DimFrame, name: str, groups: Mapping, into: str = "group") -> DimFrame:

@@ -30,6 +30,7 @@ from ..operators import results as rs
 from ..operators import sequence as sq
 from ..operators import shape as sh
 from ..operators import ttest as tt
+from ..operators import windows as wi
 from ..sources.tables import cube_of, read
 from . import transform as tf
 
@@ -171,6 +172,18 @@ def expand_into(spark, d):
     return rounded(sh.expand_into(ag.avg_dims(a, "l_linestatus", "l_linenumber"), a), "expanded")
 
 
+@query(f"""with {A_SQL}, s as (select l_returnflag, case l_linestatus when 'F' then 'O' else 'F' end as l_linestatus, avg(value) as v from a group by all), n as (select distinct l_linenumber, dense_rank() over (order by l_linenumber) - 1 as k from a),
+t as (select l_returnflag, l_linenumber, avg(value) as v from a where l_linenumber <= 3 group by all)
+select a.l_returnflag, a.l_linestatus, a.l_linenumber, a.l_suppkey, round(s.v, 6) as swapped, round(t.v, 6) as recycled from a left join s using (l_returnflag, l_linestatus) join n on n.l_linenumber = a.l_linenumber left join t on t.l_returnflag = a.l_returnflag and t.l_linenumber = n.k % 3 + 1""")
+def expand_levels(spark, d):
+    """Means on the grid of all cells: levels of one dimension crossed over, those of another repeated in their order."""
+    a = cube_a(spark, d)
+    swapped = sh.expand_into(ag.avg_dims(a, "l_linenumber", "l_suppkey"), a, "swapped", {"l_linestatus": ["O", "F"]})
+    few = sh.subset(ag.avg_dims(a, "l_linestatus", "l_suppkey"), l_linenumber=lambda c: c <= 3)
+    recycled = sh.expand_into(few, a, "recycled", safe=False)
+    return rounded(swapped.df.join(recycled.df, a.names), "swapped", "recycled")
+
+
 @query(f"with {A_SQL} select *, 'raw' as kind from (select l_returnflag, l_linestatus, l_linenumber, l_suppkey, round(value, 6) as value from a) union all select l_returnflag, l_linestatus, l_linenumber, l_suppkey, round(value * 2, 6), 'double' from a")
 def bind_new_dim(spark, d):
     a = cube_a(spark, d)
@@ -192,11 +205,24 @@ def split_groups(spark, d):
 
 
 @query("""with v as (select cast(o_orderkey as varchar) as a, cast(cast(o_orderdate as date) as varchar) as b, o_orderpriority as c from orders)
-select 'a' as "column", count(a) as n_n, count(*) filter (where upper(a) in ('TRUE', 'FALSE', 'T', 'F')) as n_boolean, count(try_cast(a as int)) as n_int, count(try_cast(a as date)) as n_date from v
-union all select 'b', count(b), 0, count(try_cast(b as int)), count(try_cast(b as date)) from v union all select 'c', count(c), 0, count(try_cast(c as int)), count(try_cast(c as date)) from v""")
+select 'a' as "column", count(a) as n_n, count(*) filter (where upper(a) in ('TRUE', 'FALSE', 'T', 'F')) as n_boolean, count(try_cast(a as int)) as n_int, count(try_cast(a as double)) as n_double, count(try_cast(a as date)) as n_date from v
+union all select 'b', count(b), 0, count(try_cast(b as int)), count(try_cast(b as double)), count(try_cast(b as date)) from v union all select 'c', count(c), 0, count(try_cast(c as int)), count(try_cast(c as double)), count(try_cast(c as date)) from v""")
 def auto_convert_report(spark, d):
     v = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("a"), F.col("o_orderdate").cast("date").cast("string").alias("b"), F.col("o_orderpriority").alias("c"))
-    return cv.convertible(v, ["a", "b", "c"]).drop("n_double")
+    return cv.convertible(v, ["a", "b", "c"])
+
+
+#: A rule of a user's own: codes such as 1-URGENT become their number, if all have one.
+CODES = cv.Rule(lambda f: f.name.endswith("priority"), {"month": lambda c: c.try_cast("date"), "rank": lambda c: F.regexp_extract(c, r"^(\d)-", 1).try_cast("int")}, lambda c, made: c.startswith(F.concat(made.cast("string"), F.lit("-"))))
+
+
+@query("""with v as (select cast(split_part(o_orderpriority, '-', 1) as int) as o_orderpriority, o_orderstatus, o_orderdate::date as o_orderdate, o_orderkey::int as k from orders)
+select o_orderpriority, o_orderstatus, min(o_orderdate) as o_orderdate, sum(k)::bigint as k from v group by 1, 2""")
+def convert_rules(spark, d):
+    """Columns converted by a user's rule first and the standard one for the rest."""
+    text = read(spark, d, "orders").select("o_orderpriority", "o_orderstatus", F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"), F.col("o_orderkey").cast("string").alias("k"))
+    made = cv.auto_convert(text, rules={"codes": CODES, **cv.STANDARD})
+    return made.groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_orderdate").alias("o_orderdate"), F.sum("k").alias("k"))
 
 
 @query(f"with {A_SQL}, m as (select l_returnflag, l_linestatus, l_suppkey % 2 as grp, avg(value) as value from (select l_returnflag, l_linestatus, l_suppkey, avg(value) as value from a group by all) group by all) select grp, l_returnflag, round(stddev_samp(value), 6) as value from m group by all")
@@ -226,7 +252,7 @@ def avg_dims_strict(spark, d):
 
 @query(f"with {B_SQL} select chan, id, round(max(value) - min(value), 6) as value from b group by 1, 2")
 def fn_dims(spark, d):
-    return rounded(ag.fn_dims(cube_b(spark, d), ["time"], lambda v: F.max(v) - F.min(v)))
+    return rounded(ag.fn_dims(cube_b(spark, d), ["time"], lambda v: F.max(v) - F.min(v), aggregate=True))
 
 
 @query(f"with {B_SQL} select chan, id, round(quantile_cont(value, 0.5), 6) as value from b group by 1, 2")
@@ -329,6 +355,33 @@ for _stat, _sql in (("mean", "avg(value)"), ("min", "min(value)"), ("max", "max(
     _roll(_stat, _sql)
 
 
+#: A width for each hour: 1 to 8.
+_WIDTHS_SQL = "n as (select *, 1 + time * 5 % 8 as w, row_number() over (partition by chan, id order by time) as k from b), j as (select n.chan, n.time, n.id, m.value as v from n join n m on m.chan = n.chan and m.id = n.id and m.k between n.k - n.w // 2 and n.k + n.w - 1 - n.w // 2)"
+
+
+def _roll_widths(stat: str, sql: str):
+    @query(f"with {B_SQL}, {_WIDTHS_SQL} select chan, time, id, round({sql}, 6) as value from j group by 1, 2, 3", f"roll_widths_{stat}")
+    def run(spark, d):
+        return rounded(wi.rolled_by(cube_b(spark, d), "time", 1 + F.col("time") * 5 % 8, stat))
+
+    return run
+
+
+for _stat, _sql in (("mean", "avg(v)"), ("sd", "stddev_samp(v)"), ("min", "min(v)"), ("max", "max(v)"), ("median", "quantile_cont(v, 0.5)")):
+    _roll_widths(_stat, _sql)
+
+
+@query(f"with {B_SQL} select chan, time, id, round(quantile_cont(value, 0.25) {_W5}, 6) as value from b")
+def roll_quantile(spark, d):
+    return rounded(sq.rolled(cube_b(spark, d), "time", 5, "quantile", prob=0.25))
+
+
+@query(f"with {B_SQL} select chan, time, id, round((max(value) {_W5} - min(value) {_W5}) / (1 + abs(avg(value) {_W5})), 6) as value from b")
+def roll_function(spark, d):
+    """A function of one's own of each window: its range against its mean."""
+    return rounded(wi.rolled_by(cube_b(spark, d), "time", 5, lambda w: np.ptp(w, 1) / (1 + np.abs(w.mean(1)))))
+
+
 @query(f"with {B_SQL}, w as (select *, list(value) {_W5} as l from b), m as (select *, list_median(l) as md from w) select chan, time, id, round(1.4826 * list_median(list_transform(l, lambda x: abs(x - md))), 6) as value from m")
 def roll_mad(spark, d):
     return rounded(sq.rolled(cube_b(spark, d), "time", 5, "mad"))
@@ -404,6 +457,13 @@ _CODES = """, c as (select *, case when max(v) over e - min(v) over e <= 1.5e-8
 from g window w as (partition by chan, id order by run), e as (partition by chan, id), near as (partition by chan, id order by run rows between {0} and {1}))"""
 
 
+@query(_PLATEAUS + _CODES.format("1 preceding", "1 following") + " select chan, time, id, coalesce(code in (2, 3) and v between 5 and 9, false) or (chan = 'view' and v < 2) as hit from (select chan, time, id, run, v from r) join (select chan, id, run, code from c) using (chan, id, run)")
+def predicate_extremum(spark, d):
+    """Local maxima within a range, or low values of a channel: extrema combined like other predicates."""
+    high = pr.is_local_maximum("time", constant=2) & pr.is_between(5, 9)
+    return pr.marked(plateaus(spark, d), high | pr.is_between(2, float("-inf"), "upr").options(subset={"chan": "view"})).select("chan", "time", "id", "hit")
+
+
 @query(_PLATEAUS + _CODES.format("1 preceding", "1 following") + " select chan, time, id, cast(code as int) as value from r join c using (chan, id, run)")
 def extrema_local(spark, d):
     return sq.extrema(plateaus(spark, d), "time").long()
