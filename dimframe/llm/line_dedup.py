@@ -7,8 +7,8 @@ has at least one line of some length; short and blank lines go as parts of it.
 
 Which documents are aligned:
 
-* A document with the same lines as an earlier one is a copy and goes whole; the
-  others, one of each kind, are *units*.
+* A document with the same lines as an earlier one, whatever their length, is a
+  copy and goes whole; the others, one of each kind, are *units*.
 * Features of a unit are its long lines, and each of them with the line after it
   and with the line before it. The first unit that has a feature is a partner of
   every later unit that has it. For a rare line that is every holder.
@@ -27,14 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, empty_text, written
-from .groups import spread_join
+from .common import discard, empty_text, small_batches, written
+from .groups import salted_join, spread_join
 from .sequences import patience_pairs
 
 #: Characters that a line has at least, without white space around it, to be a feature.
 LEAST_CHARS = 20
 #: Holders of a line in a wave, on average.
 WAVE = 8
+#: Pairs of texts that a task hands to Python at once.
+BATCH = 200
 
 
 def aligned_places(mine: list[int], other: list[int]) -> list[int]:
@@ -79,18 +81,21 @@ def _align(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
     pairs = written(pairs, "pairs")
     lines = units.select("x", "y", "h")
-    # a unit may be the partner of a large part of all others
-    partners = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(lines.withColumnsRenamed({"x": "a", "y": "b", "h": "other"}), ["a", "b"])
-    both = spread_join(pairs, partners, ["a", "b"]).join(lines, ["x", "y"])
+    # a unit may be the partner of a large part of all others, or have many partners; arrays of lines are sent, never broadcast
+    sides = [written(pairs.groupBy(*k).agg(F.count(F.lit(1)).alias("n")), "sides") for k in (["a", "b"], ["x", "y"])]
+    both = salted_join(pairs, lines.withColumnsRenamed({"x": "a", "y": "b", "h": "other"}), ["a", "b"], ["x", "y"], sides[0])
+    both = salted_join(both, lines, ["x", "y"], ["a", "b"], sides[1])
     found = both.select("x", "y", "h", "other").mapInPandas(run, "x long, y long, places array<int>")
-    out = written(found.groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "aligned")
+    with small_batches(pairs.sparkSession, BATCH):
+        out = written(found.groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "aligned")
+    discard(*sides)
     discard(pairs)
     return out
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc, t, n, places: for the texts that lose lines their places (null: all of them), and how many rows have the text."""
-    coded = written(_coded(docs, least_chars).where(F.exists("h", _long)), "lines")
+    coded = written(_coded(docs.where(F.col("text").rlike(r"[^\s]")), least_chars), "lines")
     units = written(coded.groupBy("x", "y").agg(F.min("doc").alias("unit"), F.count(F.lit(1)).alias("n"), F.first("h").alias("h")), "units")
     beside = lambda step: F.transform("h", lambda v, i: F.when(_long(v) & (i + step >= 0) & (i + step < F.size("h")), F.xxhash64(F.lit(step), v, F.get("h", i + step))))
     features = F.array_distinct(F.concat(F.filter("h", _long), F.array_compact(beside(1)), F.array_compact(beside(-1))))
@@ -112,7 +117,10 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
         asked = left.where(F.col("waves") > low).withColumn("wave", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high), "waves") - 1)))
         holders = every.withColumnsRenamed({"unit": "earlier", "x": "a", "y": "b"}).join(left.select("key", "waves").distinct(), "key")
         holders = holders.select("key", F.pmod(F.xxhash64("key", "a", "b"), "waves").alias("wave"), "earlier", "a", "b")
-        found = _align(asked.join(holders, ["key", "wave"]).where("earlier < unit").select("x", "y", "a", "b").distinct(), units)
+        # all that ask for a common line ask for it in the first wave
+        askers = written(asked.groupBy("key", "wave").agg(F.count(F.lit(1)).alias("n")), "askers")
+        found = _align(salted_join(asked, holders, ["key", "wave"], ["x", "y"], askers).where("earlier < unit").select("x", "y", "a", "b").distinct(), units)
+        discard(askers)
         cuts.append(found)
         low, high = high, 8 * high
         # only units that ask are looked at again: lines leave when a partner aligned them, or all their holders were tried
@@ -153,8 +161,9 @@ def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Every row of ``docs`` with its ``text`` without the lines deleted, and n_lines, n_removed, removed (their places, from 0).
 
     Lines end at a newline, and are compared without white space around them. A
-    text that is null, or loses nothing, stays as it is (null has no lines); a
-    text without a line of ``least_chars`` characters loses nothing. Documents
+    text that is null or blank, or loses nothing, stays as it is (null has no
+    lines); a text without a line of ``least_chars`` characters loses nothing
+    unless it is a copy of an earlier one, and then all. Documents
     are in the order of doc_id; rows with equal ids are of one rank and take
     nothing from each other, whatever their texts; a null id is larger than all
     others. Columns n_lines, n_removed and removed of ``docs`` are replaced,

@@ -228,7 +228,7 @@ def brute_lines(rows, least=20):
     wide = lambda s: len(s) >= least
     unit = {}
     for (i, _), t in zip(rows, texts, strict=True):
-        if t is not None and any(map(wide, t)):
+        if t is not None and re.search(r"[^ \t\x0b\f\r]", "".join(t)):
             unit[t] = min(unit.get(t, 2**63), rank(i))
 
     def features(t):
@@ -409,6 +409,17 @@ def lines_left(spark, texts):
     return {(r["doc_id"], r["text"]): r["removed"] for r in rows}
 
 
+def test_hot_lines_and_partners(spark, monkeypatch):
+    """A line that many units ask for, and a partner of many, are dealt out in parts."""
+    from dimframe.llm import groups
+
+    monkeypatch.setattr(groups.salted_join, "__defaults__", (3, 10))
+    monkeypatch.setattr(line_dedup, "BATCH", 2)
+    rng = np.random.default_rng(21)
+    rows = [(k, "\n".join(rng.permutation(["a very common line of all texts", f"one line of its own, number {k}", f"a line of a few texts, number {k % 4}", "brief"]).tolist())) for k in range(40)]
+    check_lines(rows, lines_gone(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
 def test_lines_align_with_later_holders_and_whole_blocks(spark):
     """Lines that the first holder has in another order go by a later holder's; copies go whole, whatever their lines."""
     a, b, c, d, e = (f"a long line of prose, number {k}" for k in range(5))
@@ -424,6 +435,9 @@ def test_lines_align_with_later_holders_and_whole_blocks(spark):
     # short lines between lines of two other documents
     got = lines_left(spark, [(1, a), (2, b), (3, f"{a}\nshort\n{b}"), (4, f"{a}\nshort\n{b}")])
     assert got[3, "short"] == [0, 2] and got[4, ""] == [0, 1, 2]
+    # texts of short lines: copies go whole, other texts lose nothing
+    verse = "o rose\nthou art\n\nsick"
+    assert lines_left(spark, [(1, verse), (2, verse), (3, verse + "\nend"), (4, " \n"), (5, " \n")]) == {(1, verse): [], (2, ""): [0, 1, 2, 3], (3, verse + "\nend"): [], (4, " \n"): [], (5, " \n"): []}
     # rows of one id lose their own lines
     got = lines_left(spark, [(1, a), (2, f"x\n{a}"), (2, f"{b}\n{c}\ny")])
     assert got == {(1, a): [], (2, "x"): [1], (2, f"{b}\n{c}\ny"): []}
