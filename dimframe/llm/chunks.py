@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -58,18 +57,19 @@ def chunks(text: str) -> tuple[list[str], list[str]]:
     return ([first] if first else []), rest
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """A character that is not assigned."""
-    ranges, first = [], None
-    for c in range(sys.maxunicode + 2):
-        none = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if none and first is None:
-            first = c
-        elif not none and first is not None:
-            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
-            first = None
-    return re.compile(f"[{''.join(ranges)}]")
+_SEEN, _UNASSIGNED = set(map(chr, range(128))), set()
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text holds a character that is not assigned; each character is looked up once."""
+    if text.isascii():
+        return False
+    chars = set(text)
+    new = chars - _SEEN
+    if new:
+        _UNASSIGNED.update(c for c in new if unicodedata.category(c) == "Cn")
+        _SEEN.update(new)
+    return not _UNASSIGNED.isdisjoint(chars)
 
 
 @lru_cache(maxsize=2)

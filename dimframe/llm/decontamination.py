@@ -41,6 +41,8 @@ COSINE = 0.4
 MATCHED, ANSWERED = 0.6, 0.3
 #: Bytes of items that are searched at once, and item vectors that passages are multiplied with at once.
 ITEMS_AT_ONCE, QUERIES_AT_ONCE = 1 << 26, 4096
+#: Words of an item that is looked for word by word.
+SHORTEST = 3
 #: The id of words that are no terms: larger than any term's.
 UNKNOWN = 2**32 - 1
 
@@ -233,17 +235,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
     are null or have no words match nothing; of repeated rows, and of items with
     one id, each gives its own rows; other columns are ignored. The items are a
     stated set of queries: they, their words and matrices of words by directions
-    go to every task. Items of more than ITEMS_AT_ONCE bytes are searched in parts.
+    go to every task. There is one model of all items; more than ITEMS_AT_ONCE
+    bytes of them are searched in parts, an item being in one part.
+
+    The vector of a passage is that of an item it holds only if the item is a
+    good part of it. Items of SHORTEST words or more, but fewer than a passage's,
+    are looked for word by word, too; such a find is verbatim and has the cosine 1.
     """
     spark = docs.sparkSession
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, matched double, answered double, cosine double, start long"
     benchmark = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > ITEMS_AT_ONCE:
-        parts = 2 * size // ITEMS_AT_ONCE + 1
-        found = [leaks(docs, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k), cosine, matched, answered) for k in range(parts)]
-        return reduce(DataFrame.union, found)
     items = [(i, t) for i, text in benchmark.collect() if (t := terms(text))]
     vocabulary = {t: k for k, t in enumerate(sorted({t for _, ts in items for t in ts}))}
     if not items:
@@ -263,14 +265,58 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
     v, s = directions(coded, weight, dense)
     table = (weight[:, None] * v / np.maximum(s, 1e-300)).astype(np.float32)
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
-    parts = [(j, part) for j, c in enumerate(coded_items) for part in item_passages(c)]
-    owners = np.array([j for j, _ in parts])
-    queries = unit(np.stack([table[part].sum(0) for _, part in parts]))
     answers = [np.argsort(-idf[c], kind="stable")[: max(1, len(c) // 5)] for c in coded_items]
-    model = spark.sparkContext.broadcast(pickle.dumps((table, dense, queries, owners, coded_items, answers, [i for i, _ in items])))
+    # the rarest word of each short item, and where it stands in it
+    anchors = {j: int(np.argmax(idf[c])) for j, c in enumerate(coded_items) if SHORTEST <= len(c) < PASSAGE}
+
+    def part(members: list[int]) -> bytes:
+        """What a task needs to search some items."""
+        pieces = [(k, p) for k, j in enumerate(members) for p in item_passages(coded_items[j])]
+        queries = unit(np.stack([table[p].sum(0) for _, p in pieces]))
+        places = {k: anchors[j] for k, j in enumerate(members) if j in anchors}
+        return pickle.dumps((queries, np.array([k for k, _ in pieces]), [coded_items[j] for j in members], [answers[j] for j in members], places, [items[j][0] for j in members]))
+
+    model = spark.sparkContext.broadcast(pickle.dumps((table, dense)))
+    found = [coded.mapInPandas(_searcher(model, spark.sparkContext.broadcast(part(m)), cosine, matched, answered), schema) for m in in_parts([sum(map(len, t)) for _, t in items], ITEMS_AT_ONCE)]
+    return reduce(DataFrame.union, found)
+
+
+def in_parts(sizes: list[int], most: int) -> list[list[int]]:
+    """Numbers from 0 in parts whose sizes add up to ``most``, or to one larger size."""
+    out, total = [[]], 0
+    for k, size in enumerate(sizes):
+        if out[-1] and total + size > most:
+            out.append([])
+            total = 0
+        out[-1].append(k)
+        total += size
+    return out
+
+
+def verbatim(ids: np.ndarray, items: list[np.ndarray], anchors: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(item, places where it begins) for the items in ``anchors`` that stand in ``ids`` word by word."""
+    if not anchors:
+        return
+    wanted = np.unique([items[j][at] for j, at in anchors.items()])
+    seen = np.flatnonzero(np.isin(ids, wanted))
+    seen = seen[np.argsort(ids[seen], kind="stable")]
+    words = ids[seen]
+    for j, at in anchors.items():
+        item = items[j]
+        begin = seen[np.searchsorted(words, item[at], "left") : np.searchsorted(words, item[at], "right")] - at
+        begin = begin[(begin >= 0) & (begin + len(item) <= len(ids))]
+        for k, t in enumerate(item.tolist()):
+            begin = begin[ids[begin + k] == t]
+        if len(begin):
+            yield j, begin
+
+
+def _searcher(model, part, cosine: float, matched: float, answered: float):
+    """The function of batches that finds the items of a part."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, dense, queries, owners, coded_items, answers, names = pickle.loads(model.value)
+        (table, dense), (queries, owners, coded_items, answers, anchors, names) = pickle.loads(model.value), pickle.loads(part.value)
         mixture, rows = Mixture(table, dense), []
         wanted = [(set(c[a].tolist()), answered * len(a)) for c, a in zip(coded_items, answers, strict=True)]
         # words of answers, with the blocks within which a passage may see them
@@ -284,19 +330,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
             for k in np.flatnonzero(far):
                 seen[max(0, k - far[k])] += 1
                 seen[min(len(blocks), k + far[k] + 1)] -= 1
+            begin, best = HALF * (np.cumsum(n) - n), {}
+            doc_of, ids = np.repeat(np.arange(len(docs)), n), blocks.ravel()
+            for j, places in verbatim(ids, coded_items, anchors):
+                d = doc_of[places // HALF]
+                inside = places + len(coded_items[j]) <= begin[d] + lens[d]
+                for p, e in zip(d[inside][::-1].tolist(), (places - begin[d])[inside][::-1].tolist(), strict=True):
+                    best[p, j] = (1.0, 1.0, 1.0, -e)
             look = np.flatnonzero(np.cumsum(seen[:-1]) > 0)
-            if not len(look):
-                continue
             after = np.ones(len(blocks), bool)  # blocks with another one of their document after them
             after[np.cumsum(n) - 1] = False
             second = np.where(after[look, None], blocks[np.minimum(look + 1, len(blocks) - 1)], len(table))
             passages = np.concatenate((blocks[look], second), 1)
             vectors = unit(mixture.sums(passages, mixture.counts(passages)))
-            begin = HALF * (np.cumsum(n) - n)
-            doc_of, ids = np.repeat(np.arange(len(docs)), n), blocks.ravel()
-            best: dict[tuple[int, int], tuple] = {}
             pairs: dict[tuple[int, int], float] = {}
-            for a in range(0, len(queries), QUERIES_AT_ONCE):
+            for a in range(0, len(queries) if len(look) else 0, QUERIES_AT_ONCE):
                 near = vectors @ queries[a : a + QUERIES_AT_ONCE].T
                 at, of = np.nonzero(near >= cosine)
                 for p, j, c in zip(look[at].tolist(), owners[a + of].tolist(), near[at, of].tolist(), strict=True):
@@ -323,4 +371,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, matched
         if rows:
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "answered", "cosine", "start"])
 
-    return coded.mapInPandas(search, schema)
+    return search

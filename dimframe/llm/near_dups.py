@@ -58,7 +58,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set; null if empty), regs, keys for every row."""
+    """doc_id, t (digest of the text), n_shingles, cls (digest of the set; null if empty), regs, keys for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -66,14 +66,14 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t, hashes) for t in b["text"]]
             regs = np.stack([registers(s) if len(s) else np.zeros(REGISTERS, np.uint16) for s in sets]) if sets else np.zeros((0, REGISTERS), np.uint16)
             keys = band_keys(regs, BANDS).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "cls": [_digest(s) if len(s) else None for s in sets], "regs": [r.tobytes() for r in regs], "keys": list(keys)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "n_shingles": [len(s) for s in sets], "cls": [_digest(s) if len(s) else None for s in sets], "regs": [r.tobytes() for r in regs], "keys": list(keys)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, cls binary, regs binary, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInPandas(run, f"doc_id {kind}, t long, n_shingles long, cls binary, regs binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, items (the sorted set as bytes) of the classes in ``wanted`` (cls, doc_id), made again from the texts."""
+    """cls, items (the sorted set as bytes) of the classes in ``wanted`` (cls, doc_id, t), made again from the texts. Rows without an id, or of one id, are told apart by their texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -81,8 +81,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingle_set(t, hashes) for t in b["text"]]
             yield pd.DataFrame([(c, s.tobytes()) for c, s in zip(b["cls"], sets, strict=True) if _digest(s) == bytes(c)], columns=["cls", "items"])
 
-    wanted = wanted.select("cls", F.col("doc_id").alias("_id"))
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
+    wanted = wanted.select("cls", F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("cls", "text")
     return rows.mapInPandas(run, "cls binary, items binary").dropDuplicates(["cls"])
 
 
@@ -195,22 +195,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Columns other than doc_id and text are ignored.
     """
     rows = written(sketches(docs), "sketches")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.min("regs").alias("regs"), F.min("keys").alias("keys"))
-    classes = written(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    classes = rows.where("cls is not null").groupBy("cls").agg(first, F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.min("regs").alias("regs"), F.min("keys").alias("keys"))
+    classes = written(classes.select("cls", "first.doc_id", "first.t", "n", "n_shingles", "regs", "keys"), "classes")
     keys = classes.select("cls", F.explode("keys").alias("key"))
     shared = written(keys.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = written(spread_join(keys, shared, ["key"]).select("key", "cls", "least"), "members")
     discard(shared)
-    wanted = classes.select("cls", "doc_id").join(members.select("cls").distinct(), "cls", "left_semi")
+    wanted = classes.select("cls", "doc_id", "t").join(members.select("cls").distinct(), "cls", "left_semi")
     sets = written(sets_of(docs, wanted), "sets")
     links = _confirmed(_star_pairs(members, classes, percent), sets, percent)
     labels = components(links, "links")
     more = _links_across(members, classes, sets, labels, percent)
     labels = components(labels.union(more), "links")
 
-    ids = classes.select("cls", "doc_id").join(labels.select(F.col("a").alias("cls"), F.col("b").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    ids = classes.select("cls", "doc_id", "n").join(labels.select(F.col("a").alias("cls"), F.col("b").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = ids.join(least, "comp").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
-    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    found = written(ids.join(least, "comp").select("cls", "component_id", "n"), "found")
+    some = rows.select("doc_id", "n_shingles", "cls")
+    # a class may have a large part of all rows; rows without words meet nothing
+    out = spread_join(some.where("cls is not null"), found, ["cls"]).unionByName(some.where("cls is null").withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

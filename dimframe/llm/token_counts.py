@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import PATTERN, byte_letters, chunks, default_vocab, library_pieces, special_strings, unassigned, vocabulary
+from .chunks import PATTERN, byte_letters, chunks, default_vocab, has_unassigned, library_pieces, special_strings, vocabulary
 from .common import empty_text
 
 _NONE = np.int64(1 << 40)
@@ -112,7 +112,7 @@ class ChunkCounts:
         return len(self.parts(text)) - 1 + int(self.pairs.counts(pieces).sum())
 
     def count(self, texts: list[str]) -> np.ndarray:
-        odd = {k: self.odd(t) for k, t in enumerate(texts) if not t.isascii() and unassigned().search(t)}
+        odd = {k: self.odd(t) for k, t in enumerate(texts) if has_unassigned(t)}
         cut = [[chunks(p) for p in self.parts("" if k in odd else t)] for k, t in enumerate(texts)]
         if len(self.raw) + len(self.spaced) > self.remembered:
             self.raw.clear()

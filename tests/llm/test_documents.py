@@ -104,6 +104,20 @@ def test_near_duplicates(spark, odd_docs, no_docs, odd_rows, percent):
     assert got == brute_groups(rows, percent)
 
 
+def test_near_copies_without_ids(spark):
+    """Rows without an id, or of one id, meet the set of their own text alone."""
+    rows = []
+    for k in range(40):
+        words_ = prose(60, 1000 + k // 4).split(" ")
+        words_[k % 4 * 9] = f"w{k}"
+        rows += [(None, " ".join(words_)), (5, " ".join([f"v{k}", *words_]))]
+    got = sorted((tuple(r) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()), key=key)
+    assert got == brute_groups(rows, 80)
+    sketched = near_dups.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    made = near_dups.sets_of(spark.createDataFrame(rows, "doc_id long, text string"), sketched.select("cls", "doc_id", "t"))
+    assert made.count() == 80
+
+
 def test_near_copies_in_one_bucket(spark, monkeypatch):
     """A chain of edits: most pairs are not similar, and blocks are smaller than the bucket."""
     monkeypatch.setattr(near_dups, "BLOCK", 8)
@@ -495,6 +509,25 @@ def test_paraphrases_are_found(spark, monkeypatch):
     assert {r["item_id"] for r in decontamination.leaks(docs, twice).collect()} == {first}
 
 
+def test_short_and_large_items(spark, monkeypatch):
+    """Items far shorter than a passage are found word by word; an item over the limit is a part of its own."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(31)
+    known = [w for _, t in table_rows() for w in words(t)][:5000]
+    items, rows = [], []
+    for k in range(60):
+        n = 3 + k % 6
+        items.append((k, " ".join(f"{known[int(j)]}" for j in rng.integers(0, len(known), n - 1)) + f" rare{k}"))
+        rows.append((800_000 + k, " ".join(known[int(j)] for j in rng.integers(0, len(known), 150)) + " " + items[-1][1].upper() + ", " + " ".join(known[int(j)] for j in rng.integers(0, len(known), 90))))
+    large = (900, " ".join(f"term{k}" for k in range(400)))
+    rows += [(900_000, prose(40, 1) + " " + large[1]), (900_001, "term1 term3 term2")]
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 300)
+    all_docs, bench = docs.union(spark.createDataFrame(rows, docs.schema)), spark.createDataFrame([*items, large, large], "item_id long, text string")
+    found = [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(all_docs, bench).collect()]
+    assert {(800_000 + k, k) for k in range(60)} | {(900_000, 900)} <= set(found)
+    assert sorted(found).count((900_000, 900)) == 2 and all(d >= 800_000 for d, _ in found)
+
+
 def test_directions_are_singular_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.choice(40, 32, p=np.arange(1, 41) / 820).astype(np.uint32).tobytes()) for k in range(300)]
