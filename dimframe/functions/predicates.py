@@ -124,6 +124,17 @@ def is_equal_by(refs: Mapping, along: str, tol: float = TOLERANCE) -> Predicate:
     return Predicate(lambda cube, v: F.abs(v.cast("double") - F.create_map(*pairs)[F.col(along)]) <= tol)
 
 
+def is_equal_to(refs: DimFrame, tol: float = TOLERANCE) -> Predicate:
+    """Equal to the value that another cube has for the same levels of its dimensions, any number of them; where it has none, false."""
+
+    def plan(cube: DimFrame, name: str) -> DataFrame:
+        wanted = refs.df.select(*refs.names, F.col(refs.value).cast("double").alias("_ref"))
+        rows = cube.df.join(wanted, refs.names, "left") if refs.dims else cube.df.crossJoin(F.broadcast(wanted))  # without dimensions one value
+        return rows.select(*cube.names, (F.abs(F.col(cube.value).cast("double") - F.col("_ref")) <= tol).alias(name))
+
+    return Predicate(lambda cube, v: F.lit(False), plan=plan)
+
+
 def is_same(ref: object) -> Predicate:
     return Predicate(lambda cube, v: v == F.lit(ref))
 

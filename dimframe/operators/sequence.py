@@ -55,18 +55,18 @@ def scaled(cube: DimFrame, along: list[str], center: bool = True, scale: bool =
 
     The statistics may come from a slice (``base``, or one for each step); they
     apply to all cells. The divisor is the root of the centred squares' sum over
-    their number less one. Both statistics share one shuffle.
+    their number less one. One aggregate of each combination, joined back.
     """
-    w = Window.partitionBy(*along)
-    v, df = F.col(cube.value), cube.df
-    if center:
-        mean = F.avg(F.when(slice_of(center_base or base or {}), v)).over(w)
-        df = df.withColumn(cube.value, v - mean)
-    if scale:
-        part = F.when(slice_of(scale_base or base or {}), v)
-        root = F.sqrt(F.sum(part * part).over(w) / (F.count(part).over(w) - 1))
-        df = df.withColumn(cube.value, v / root)
-    return cube.but(df, step="scaled")
+    v = F.col(cube.value)
+    middle, part = (F.when(slice_of(own or base or {}), v) for own in (center_base, scale_base))
+    stats = cube.df.groupBy(*along).agg(F.avg(middle).alias("_m"), F.avg(part).alias("_a"), F.var_pop(part).alias("_v"), F.count(part).alias("_n"))
+    mean = F.col("_m") if center else F.lit(0.0)
+    root = F.sqrt(F.col("_n") * (F.col("_v") + F.pow(F.col("_a") - mean, 2)) / (F.col("_n") - 1))
+    stats = stats.select(*along, mean.alias("_m"), F.when(F.col("_n") > 1, root).alias("_r"))
+    out = v - F.col("_m") if center else v
+    out = out / F.nullif("_r", F.lit(0.0)) if scale else out
+    joined = cube.df.join(stats, along) if along else cube.df.crossJoin(F.broadcast(stats))  # without dimensions one row
+    return cube.but(joined.withColumn(cube.value, out).select(*cube.df.columns), step="scaled")
 
 
 def scaled_channels(cube: DimFrame, chan: str = "chan") -> DimFrame:

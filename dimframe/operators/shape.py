@@ -25,6 +25,26 @@ def subset(cube: DimFrame, drop: bool = False, **where) -> DimFrame:
     return cube.but(out.df.drop(*single), out.drop_dims(*single)) if single else out
 
 
+def subset_at(cube: DimFrame, drop: bool = False, **where: Sequence) -> DimFrame:
+    """Levels of dimensions by place: places from 1, places to leave out (all negative), or a truth value for each level, repeated if there are fewer."""
+    labels = {}
+    for name, wanted in where.items():
+        levels, wanted = _levels(cube, name), list(wanted) if isinstance(wanted, Sequence) else [wanted]
+        if wanted and all(isinstance(w, bool) for w in wanted):
+            kept = [v for k, v in enumerate(levels) if wanted[k % len(wanted)]]
+        elif any(isinstance(w, bool) or w == 0 or abs(w) > len(levels) for w in wanted):
+            raise ValueError(f"{wanted} are no places of the {len(levels)} levels of {name}")
+        elif all(w < 0 for w in wanted):
+            kept = [v for k, v in enumerate(levels, 1) if -k not in wanted]
+        elif all(w > 0 for w in wanted):
+            kept = [levels[w - 1] for w in wanted]
+        else:
+            raise ValueError(f"places to keep and to leave out are mixed for {name}")
+        labels[name] = kept[0] if drop and len(kept) == 1 else kept
+    empty = [n for n, kept in labels.items() if isinstance(kept, list) and not kept]
+    return subset(cube, drop, **{n: (lambda c: F.lit(False)) if n in empty else kept for n, kept in labels.items()})
+
+
 def drop_dims(cube: DimFrame, *names: str) -> DimFrame:
     """Removes dimensions that have one level; another number of levels is an error."""
     seen = cube.df.agg(*[F.min(n).eqNullSafe(F.max(n)).alias(n) for n in names]).first() if names else {}

@@ -457,6 +457,20 @@ _CODES = """, c as (select *, case when max(v) over e - min(v) over e <= 1.5e-8
 from g window w as (partition by chan, id order by run), e as (partition by chan, id), near as (partition by chan, id order by run rows between {0} and {1}))"""
 
 
+@query(f"with {B_SQL}, m as (select chan, id, max(value) as top from b group by 1, 2) select chan, time, id, coalesce(abs(value - top) <= 1.5e-8, false) and time > 2 as hit from b join m using (chan, id)")
+def predicate_reference(spark, d):
+    """Cells equal to a cube of two dimensions, the largest value of each series, and after the third hour."""
+    b = cube_b(spark, d)
+    top = ag.fn_dims(b, ["time"], F.max, aggregate=True)
+    return pr.marked(b, pr.is_equal_to(top).options(subset={"time": lambda c: c > 2})).select("chan", "time", "id", "hit")
+
+
+@query(f"with {B_SQL}, c as (select *, dense_rank() over (order by chan) as k, dense_rank() over (order by time) as h from b) select chan, time, id, round(value, 6) as value from c where k not in (2, 5) and h % 2 = 1")
+def subset_places(spark, d):
+    """Levels by place: all but two of one dimension, every other one of another."""
+    return rounded(sh.subset_at(cube_b(spark, d), chan=[-2, -5], time=[True, False]))
+
+
 @query(_PLATEAUS + _CODES.format("1 preceding", "1 following") + " select chan, time, id, coalesce(code in (2, 3) and v between 5 and 9, false) or (chan = 'view' and v < 2) as hit from (select chan, time, id, run, v from r) join (select chan, id, run, code from c) using (chan, id, run)")
 def predicate_extremum(spark, d):
     """Local maxima within a range, or low values of a channel: extrema combined like other predicates."""

@@ -67,6 +67,25 @@ def test_extrema_combine(spark):
     assert sorted((r["time"], r["chan"]) for r in rows if r["hit"]) == [(1, "x"), (1, "y")]
 
 
+def test_places(spark):
+    cube = from_values(spark, [float(v) for v in range(8)], {"a": ["w", "x", "y", "z"], "b": [1, 2]})
+    kept = lambda c: sorted({r["a"] for r in c.long().collect()})
+    assert kept(shape.subset_at(cube, a=[3, 1])) == ["w", "y"] and shape.subset_at(cube, a=[3, 1]).dim("a").levels == ("y", "w")
+    assert kept(shape.subset_at(cube, a=[-1])) == ["x", "y", "z"] and kept(shape.subset_at(cube, a=[False, True])) == ["x", "z"]
+    assert kept(shape.subset_at(cube, a=[False])) == [] and shape.subset_at(cube, drop=True, b=[2]).names == ["a"]
+    for wrong in ([0], [5], [1, -1], [True, 1]):
+        with pytest.raises(ValueError):
+            shape.subset_at(cube, a=wrong)
+
+
+def test_equal_to_a_cube(spark):
+    cube = from_values(spark, [1.0, 2.0, 3.0, 4.0], {"a": ["x", "y"], "b": [1, 2]})
+    hits = lambda p: sorted((r["a"], r["b"]) for r in pr.marked(cube, p).collect() if r["hit"])
+    assert hits(pr.is_equal_to(cube)) == [("x", 1), ("x", 2), ("y", 1), ("y", 2)]
+    some = from_values(spark, [1.0, 5.0], {"b": [1, 3]})
+    assert hits(pr.is_equal_to(some)) == [("x", 1)] and len(hits(~pr.is_equal_to(some))) == 3 and hits(pr.is_equal_to(some) & pr.is_negative()) == []
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("yes", 1, 2.0, "x"), ("no", 0, 3.0, None), (None, None, None, None)], "a string, b int, c double, d string")
     yes_no = convert.Rule(lambda f: f.dataType.simpleString() == "string", {"int": lambda c: c.try_cast("int"), "boolean": lambda c: F.when(c == "yes", True).when(c == "no", False)}, lambda c, made: made.isNotNull())
