@@ -1,5 +1,8 @@
 """Nearest neighbours, page text and the pipeline."""
 
+from collections import defaultdict
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +35,27 @@ def test_nearest(spark):
     assert got[0][0][1] == pytest.approx(want[0][0][1], abs=1e-12)
 
 
+@pytest.mark.parametrize("tables, rerank", [("/root/testdata/sf0.1", 64), ("/root/testdata/check_l", 512)])
+def test_recall_of_nearest(spark, monkeypatch, tables, rerank):
+    """Of 2,000 vectors 64 are reranked; of 51,282 vectors as many as in production."""
+    if not Path(tables).exists():
+        pytest.skip("these tables are not here")
+    monkeypatch.setattr(ann, "RERANK", rerank)
+    df = spark.read.parquet(f"{tables}/embeddings.parquet")
+    found = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).select("query_id", "vec_id").collect():
+        found[r["query_id"]].add(r["vec_id"])
+    rows = df.select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list()).astype(float)
+    asked, hits = np.flatnonzero(ids % 20 == 0), 0
+    for at in np.array_split(asked, len(asked) // 200 + 1):
+        score = x[at] @ x.T
+        score[np.arange(len(at)), at] = -np.inf
+        for q, best in zip(at, np.argpartition(-score, 20, 1)[:, :20], strict=True):
+            hits += len(found[ids[q]] & set(ids[best].tolist()))
+    assert hits >= 0.95 * 20 * len(asked), hits / (20 * len(asked))
+
+
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(3)
     same = rng.normal(size=6).tolist()
