@@ -107,7 +107,10 @@ def ttest_tfce(
     and ``seed``.
     """
     if groups is None:
-        ids = sorted(r[0] for r in cube.df.select(id_dim).where(F.col(id_dim).isNotNull()).distinct().collect())
+        most = BROADCAST_BYTES // max(n, 1)  # a sign takes a byte at least
+        ids = sorted(r[0] for r in cube.df.select(id_dim).where(F.col(id_dim).isNotNull()).distinct().limit(most + 1).collect())
+        if len(ids) > most:
+            raise ValueError("too many ids for so many relabellings")
         kind, seen, relabelled = "one", np.ones((1, len(ids)), int), random_signs(len(ids), n, seed)
     else:
         ids, levels = sorted(groups), sorted(set(groups.values()))

@@ -606,9 +606,13 @@ def ttest_one(spark, d):
     return rounded(tt.ttest_one(cube_a(spark, d), 25.0, "l_suppkey", with_p=False), "stat", "df", "es")
 
 
-@query()
+#: The incomplete beta function by its power series; the complement of what lies within t.
+@query(_GROUPS + """, s as (select l_returnflag, l_linestatus, l_linenumber, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) as t, power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) as df, abs(m1 - m2) / sqrt((v1 + v2) / 2) as es from g),
+y as (select *, greatest(t * t / (df + t * t), 1e-300) as y, df / (df + t * t) as x, df / 2 as b from s),
+i as (select l_returnflag, l_linestatus, l_linenumber, t, df, es, exp(ln(y) / 2 + b * ln(x) + lgamma(0.5 + b) - lgamma(1.5) - lgamma(b)) * sum(exp(lgamma(0.5 + b + k.range) - lgamma(0.5 + b) - lgamma(1.5 + k.range) + lgamma(1.5) + k.range * ln(y))) as within from y, range(0, 3000) k group by l_returnflag, l_linestatus, l_linenumber, t, df, es, y, x, b)
+select l_returnflag, l_linestatus, l_linenumber, round(t, 6) as stat, round(df, 6) as df, round(es, 6) as es, round(1 - within, 6) as p from i""")
 def ttest_p_values(spark, d):
-    return tt.ttest_independent(with_groups(spark, d, cube_a(spark, d)), "grp", 0, 1, "l_suppkey")
+    return rounded(tt.ttest_independent(with_groups(spark, d, cube_a(spark, d)), "grp", 0, 1, "l_suppkey"), "stat", "df", "es", "p")
 
 
 _SS = """m as (select avg(v) as g from y), f as (select flag, avg(v) as v from y group by 1), i as (select id, avg(v) as v from y group by 1),
@@ -779,6 +783,24 @@ def perm_signs(spark, d):
     return rounded(inf.permuted_t(b.but(b.df.withColumn("value", F.col("value") - 50)), signs, list(range(10)), "one").df, "stat")
 
 
+@query(f"""with {_B10_SQL}, {_LABELS10_SQL.replace("range(0, 11)", "range(0, 22)")}, m as (select perm, g, time, chan, avg(value) as m from b10 join w using (id) group by all), gm as (select perm, time, chan, avg(m) as gm from m group by all),
+s as (select perm, g, time, stddev_samp(m - gm) as s from m join gm using (perm, time, chan) group by all), x as (select perm, time, round(avg(s), 6) as effect from s group by all), o as (select time, effect as obs from x where perm = 0),
+p as (select time, obs as effect, (count(*) filter (where x.effect > obs * (1 + 1e-9)) + 1) / (count(*) + 1) as p, (obs - avg(x.effect)) / stddev_samp(x.effect) as z from x join o using (time) where perm > 0 group by time, obs),
+q as (select perm, time, (count(*) over (partition by time) - rank() over (partition by time order by effect) + 1) / count(*) over (partition by time) as p from x), a as (select unnest([0.5::double, 0.3::double]) as alpha),
+h as (select alpha, perm, time, p < alpha as hit from q, a union all select alpha, -1, time, p < alpha from p, a), r as (select *, (hit is distinct from lag(hit) over (partition by alpha, perm order by time))::int as new from h),
+k as (select *, sum(new) over (partition by alpha, perm order by time rows unbounded preceding) as run from r), l as (select *, count(*) over (partition by alpha, perm, run) as n from k),
+c as (select alpha, quantile_cont(n, 0.5) as least from l where perm >= 0 and hit and alpha = 0.5 group by 1 union all select alpha, quantile_cont(n, 0.7) from l where perm >= 0 and hit and alpha = 0.3 group by 1), f as (select time, min(alpha) as p_corr from l join c using (alpha) where perm = -1 and hit and n >= least group by 1)
+select time, round(effect, 6) as effect, round(p, 6) as p, round(z, 5) as z, coalesce(p_corr, 1) as p_corr from p left join f using (time)""")
+def tanova_duration_fixed(spark, d):
+    """Runs of significant times against those of 21 fixed relabellings."""
+    b = cube_b10(spark, d)
+    i, n = F.col("id").cast("long"), F.col("perm")
+    labelled = b.df.crossJoin(F.broadcast(spark.range(22).select(F.col("id").alias("perm")))).withColumn("g", F.when((i * 7 + n * 13 + (i * i + n) % 11) % 2 == 0, 1).otherwise(2))
+    effects = pm.tanova_effect(b.but(labelled), "g", "chan", keys=["perm"]).withColumn("effect", F.round("effect", 6))
+    out = pm.duration_corrected(pm.tanova_p(effects, ["time"]), effects, ["time"], "time", [0.5, 0.3])
+    return rounded(rounded(out, "effect", "p"), "z", digits=5)
+
+
 @query(f"""with recursive {_B10_SQL}, {_LABELS10_SQL}, l as (select perm + 1 as perm, id, g from w union all select 0, range, range % 2 + 1 from range(0, 10)),
 y as (select perm as plane, chan, time, (avg(case when g = 1 then value end) - avg(case when g = 2 then value end)) / sqrt(var_samp(case when g = 1 then value end) / count(case when g = 1 then 1 end) + var_samp(case when g = 2 then value end) / count(case when g = 2 then 1 end)) as x from b10 join l using (id) group by 1, 2, 3),
 {_TFCE_SQL.replace("H)", "2.0)")}, most as (select plane, max(abs(v)) as most from z group by 1)
@@ -971,11 +993,16 @@ def centroid(spark, d):
     return rounded(ag.centroid(b.but(b.df.withColumn("value", F.col("value") - 50)), at), "x", "y", "z")
 
 
-@query()
+#: The weights at "view" of the spline through the other four electrodes, the bordered system solved in fractions.
+_SPLINE_WEIGHTS = "('click', 0.1491670644945434::double), ('error', 0.8837261460994089::double), ('purchase', 0.8837261460994089::double), ('signup', -0.916619356693267::double)"
+
+
+@query(f"""with {_B10_SQL}, s as (select time, id, sum(value * w) as v from b10 join (values {_SPLINE_WEIGHTS}) u(chan, w) using (chan) group by 1, 2)
+select chan, time, id, round(case when chan = 'view' and time % 3 = 0 then v else value end, 6) as value from b10 join s using (time, id)""")
 def spline_interp(spark, d):
     b = cube_b10(spark, d)
     lost = b.df.withColumn("value", F.when((F.col("chan") == "view") & (F.col("time") % 3 == 0), None).otherwise(F.col("value")))
-    return geo.interpolated(b.but(lost), ELECTRODES).long()
+    return rounded(geo.interpolated(b.but(lost), ELECTRODES))
 
 
 @query(f"""with {B_SQL}, g as (select distinct time, power(time / 23.0, 1.3) as gamma from b), s as (select chan, id, min(time) as t0, max(time) as t1 from b group by 1, 2), x as (select s.chan, s.id, g.time, (t1 - t0) * gamma + t0 as pos from s, g),
