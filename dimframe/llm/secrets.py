@@ -60,11 +60,14 @@ def _encoder(path: str | None, pattern: str | None):
 def random_spans(text: str, base: list[tuple[int, int, str]], encode, ratio: float) -> list[tuple[int, int, str]]:
     """Candidates with fewer than ``ratio`` characters per token, outside ``base`` and no known identifier."""
     out = []
+    # both in the order of their starts: a candidate lies within a span if one that starts no later ends no earlier
+    spans, at, reach = sorted(base), 0, 0
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if KNOWN.fullmatch(s):
-            continue
-        if any(a <= m.start() and m.end() <= b for a, b, _ in base):
+        while at < len(spans) and spans[at][0] <= m.start():
+            reach = max(reach, spans[at][1])
+            at += 1
+        if m.end() <= reach or KNOWN.fullmatch(s):
             continue
         if len(s) < ratio * len(encode(s)):
             out.append((m.start(), m.end(), "random"))
