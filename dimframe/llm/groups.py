@@ -59,11 +59,11 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "in
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
 
 
-def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], counts: DataFrame, each: int = 1000, share: int = 1000) -> DataFrame:
-    """``rows`` joined (inner) with ``table``, whose rows may be large, so that no key brings a large part of ``rows`` into one task.
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], counts: DataFrame, each: int = 1000, share: int = 1000, how: str = "inner") -> DataFrame:
+    """``rows`` joined ("inner" or "left") with ``table``, whose rows may be large, so that no key brings a large part of ``rows`` into one task.
 
-    ``counts`` has the keys and ``n``, the rows of each. Keys with more than
-    1 / ``share`` of all rows are split into parts of ``each`` rows, by a hash of
+    ``counts`` has the keys and ``n``, the rows of each; keys with few rows may
+    be missing. Keys with more than 1 / ``share`` of the rows counted are split into parts of ``each`` rows, by a hash of
     the columns ``spread``, and their rows of ``table`` are sent to every part.
     Only the keys that are split, fewer than ``share``, are broadcast, as
     numbers. ``counts`` is read twice: pass a written table.
@@ -73,7 +73,7 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: list[s
     number = F.coalesce("_parts", F.lit(1)).cast("long")
     left = rows.join(parts, on, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), number)).drop("_parts")
     right = table.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), number - 1))).drop("_parts")
-    return left.join(right, [*on, "_part"]).drop("_part")
+    return left.join(right, [*on, "_part"], how).drop("_part")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, discard, mix, words, written
-from .groups import spread_join
+from .groups import salted_join, spread_join
 
 #: Words of a window.
 WINDOW = 50
@@ -173,7 +173,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         raise ValueError("the window is too short for these steps")
     kind = docs.schema["doc_id"].dataType.simpleString()
     # a row is known by its document and its text's digest: rows of one document may have different texts
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    # rows without text have keys of their own, which nothing has
+    number = F.monotonically_increasing_id()
+    rows = docs.select("doc_id", "text", F.when(F.col("text").isNull(), number).otherwise(F.xxhash64("text")).alias("key"), number.alias("number"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
     row = ["doc", "key"]
 
@@ -195,9 +197,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     copies = written(rows.where(F.length("text") > window).select(order, "key", F.sha2("text", 256).alias("text_sha")), "digests")
     first = copies.groupBy("text_sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
     later = spread_join(copies, written(first, "copied"), ["text_sha"]).where("doc > first").select(*row, F.lit(True).alias("copied")).distinct()
-    known = written(shared.join(later, row, "full").withColumnsRenamed({"doc": "_doc", "key": "_key"}), "shared")
+    known = written(shared.join(later, row, "full"), "shared")
     discard(found, least)
     texts = rows.withColumn("doc", order)
+    # the same text with the same id (or none) many times is one key: its rows are split by their number
+    often = written(copies.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -213,12 +217,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
                         x, y = window_digests(w[begin[k] : begin[k] + lens[k]], window)
                         yield pd.DataFrame({"x": x[at], "y": y[at], "doc": ids[first + k], "key": keys[first + k], "place": at.astype(np.int32)})
 
-    joined = texts.join(known, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    joined = salted_join(texts, known, row, ["number"], often)
     shown = joined.where("shared is not null and copied is null").select("doc", "key", "text", "shared").mapInPandas(show, "x long, y long, doc long, key long, place int")
     shown = written(shown, "windows")
     earliest = shown.groupBy("x", "y").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
     repeated = spread_join(shown, written(earliest.drop("last"), "earliest"), ["x", "y"]).where("doc > first").groupBy(*row).agg(F.collect_set("place").alias("places"))
-    marks = written(repeated.join(later, row, "full").withColumnsRenamed({"doc": "_doc", "key": "_key"}), "marks")
+    marks = written(repeated.join(later, row, "full"), "marks")
     discard(shown, known)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,5 +246,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
             made["doc_id"] = made["doc_id"].astype(b["doc_id"].dtype)
             yield made
 
-    final = texts.join(marks, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "text", "places", "copied")
+    final = salted_join(texts, marks, row, ["number"], often, how="left").select("doc_id", "text", "places", "copied")
     return final.mapInPandas(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)

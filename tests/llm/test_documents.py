@@ -634,3 +634,25 @@ def test_scores_and_likelihood_of_the_ordinal_model():
         best = now if best is None else max(best, now)
     none = likelihood(np.zeros(len(rows)), np.log([np.mean(grades <= 0) / np.mean(grades > 0), np.mean(grades <= 1) / np.mean(grades > 1)]))
     assert likelihood(np.array(want), model.thresholds) > none + 0.8 * (best - none), (none, best)
+
+
+def test_repeats_of_one_text_very_often(spark):
+    """Rows of one id and text, or of none, are more than one task is to hold: their key is split, and no row is lost."""
+    hot, other = prose(70, 31), prose(60, 32)
+    rows = [(1, hot)] + [(None, hot)] * 2500 + [(None, None)] * 2500 + [(7, hot + " " + other)] * 1200 + [(8, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {tuple(r) for r in repeats.without_repeats(df).distinct().collect()}
+    counts = {r["doc_id"]: r["count"] for r in repeats.without_repeats(df).groupBy("doc_id").count().collect()}
+    assert got == {tuple(r) for r in brute_repeats([(1, hot), (None, hot), (None, None), (7, hot + " " + other), (8, other)])}
+    assert counts == {1: 1, None: 5000, 7: 1200, 8: 1}
+
+
+def test_secrets_within_many_spans():
+    """A candidate within any fixed span is left out, wherever in the order of starts that span stands."""
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdef0123456789XYZqrs") for _ in range(rng.choice([10, 18, 30]))) for _ in range(300))
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    base = [(a - rng.randrange(2) if a else a, b + rng.randrange(-1, 3), rng.choice(secrets.KINDS[:3])) for a, b in words if rng.random() < 0.4]
+    encode = secrets._encoder(None, None).encode_ordinary
+    every = secrets.random_spans(text, [], encode, 2.2)
+    assert secrets.random_spans(text, base, encode, 2.2) == [s for s in every if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
