@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with odd rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
