@@ -297,20 +297,37 @@ def verbatim(ids: np.ndarray, items: list[np.ndarray], anchors: dict[int, int])
     """(item, places where it begins) for the items in ``anchors`` that stand in ``ids`` word by word."""
     if not anchors:
         return
-    wanted = np.unique([items[j][at] for j, at in anchors.items()])
-    seen = np.flatnonzero(np.isin(ids, wanted))
+    words_of = np.array([items[j][at] for j, at in anchors.items()])
+    seen = np.flatnonzero(np.isin(ids, words_of))
     seen = seen[np.argsort(ids[seen], kind="stable")]
-    words = ids[seen]
-    for j, at in anchors.items():
+    low, high = (np.searchsorted(ids[seen], words_of, side) for side in ("left", "right"))
+    shorts = list(anchors.items())
+    for k in np.flatnonzero(high > low):
+        j, at = shorts[k]
         item = items[j]
-        begin = seen[np.searchsorted(words, item[at], "left") : np.searchsorted(words, item[at], "right")] - at
+        begin = seen[low[k] : high[k]] - at
         begin = begin[(begin >= 0) & (begin + len(item) <= len(ids))]
-        for k, t in enumerate(item.tolist()):
-            begin = begin[ids[begin + k] == t]
+        for place, t in enumerate(item.tolist()):
+            begin = begin[ids[begin + place] == t]
         if len(begin):
             yield j, begin
 
 
+def with_answers(ids: np.ndarray, answering: np.ndarray, words_of: list[np.ndarray], of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the range of ``ids`` from ``low`` to ``high`` holds a word of the answer of item ``of``, for candidates sorted by item.
+
+    ``answering`` has the places of words of any answer, sorted by word.
+    """
+    out, heads = np.zeros(len(of), bool), np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+    words = ids[answering].astype(np.int64)  # of one type with the words looked for
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True):
+        mine = words_of[of[a]]
+        ranges = zip(np.searchsorted(words, mine, "left").tolist(), np.searchsorted(words, mine, "right").tolist(), strict=True)
+        places = np.sort(np.concatenate([answering[x:y] for x, y in ranges]))
+        out[a:b] = np.searchsorted(places, high[a:b]) > np.searchsorted(places, low[a:b])
+    return out
+
+
 def _searcher(model, part, cosine: float, matched: float, answered: float):
     """The function of batches that finds the items of a part."""
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
@@ -318,7 +335,8 @@ def _searcher(model, part, cosine: float, matched: float, answered: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (table, dense), (queries, owners, coded_items, answers, anchors, names) = pickle.loads(model.value), pickle.loads(part.value)
         mixture, rows = Mixture(table, dense), []
-        wanted = [(set(c[a].tolist()), answered * len(a)) for c, a in zip(coded_items, answers, strict=True)]
+        words_of, least = [np.unique(c[a]) for c, a in zip(coded_items, answers, strict=True)], [answered * len(a) for a in answers]
+        sizes = np.array([len(c) for c in coded_items])
         # words of answers, with the blocks within which a passage may see them
         reach = np.zeros(len(table) + 1, np.int64)
         for c, a in zip(coded_items, answers, strict=True):
@@ -327,9 +345,9 @@ def _searcher(model, part, cosine: float, matched: float, answered: float):
             blocks = np.minimum(blocks, len(table))
             seen = np.zeros(len(blocks) + 1, np.int64)  # passages with a word of an answer in reach: others cannot be confirmed
             far = reach[blocks].max(1)
-            for k in np.flatnonzero(far):
-                seen[max(0, k - far[k])] += 1
-                seen[min(len(blocks), k + far[k] + 1)] -= 1
+            some = np.flatnonzero(far)
+            np.add.at(seen, np.maximum(some - far[some], 0), 1)
+            np.add.at(seen, np.minimum(some + far[some] + 1, len(blocks)), -1)
             begin, best = HALF * (np.cumsum(n) - n), {}
             doc_of, ids = np.repeat(np.arange(len(docs)), n), blocks.ravel()
             for j, places in verbatim(ids, coded_items, anchors):
@@ -343,27 +361,29 @@ def _searcher(model, part, cosine: float, matched: float, answered: float):
             second = np.where(after[look, None], blocks[np.minimum(look + 1, len(blocks) - 1)], len(table))
             passages = np.concatenate((blocks[look], second), 1)
             vectors = unit(mixture.sums(passages, mixture.counts(passages)))
-            pairs: dict[tuple[int, int], float] = {}
+            answering = np.flatnonzero(reach[ids])
+            answering = answering[np.argsort(ids[answering], kind="stable")]
             for a in range(0, len(queries) if len(look) else 0, QUERIES_AT_ONCE):
                 near = vectors @ queries[a : a + QUERIES_AT_ONCE].T
                 at, of = np.nonzero(near >= cosine)
-                for p, j, c in zip(look[at].tolist(), owners[a + of].tolist(), near[at, of].tolist(), strict=True):
-                    pairs[p, j] = max(pairs.get((p, j), c), c)
-            for (p, j), c in pairs.items():
-                d, item = int(doc_of[p]), coded_items[j]
-                low = max(HALF * p - len(item), begin[d])
-                high = min(HALF * p + PASSAGE + len(item), begin[d] + lens[d])
-                around = ids[low:high].tolist()
-                if len(wanted[j][0].intersection(around)) == 0:
-                    continue
-                held, bag = Counter(around), Counter(item.tolist())
-                if sum(min(held[t], m) for t, m in bag.items()) < matched * len(item) or sum(held[t] > 0 for t in item[answers[j]].tolist()) < wanted[j][1]:
-                    continue
-                places = matched_places(item.tolist(), around)
-                share, answer = len(places) / len(item), sum(k in places for k in answers[j]) / len(answers[j])
-                if share >= matched and answer >= answered:
-                    found = (share, answer, c, -int(HALF * p - begin[d]))
-                    best[d, j] = max(best.get((d, j), found), found)
+                of, near = owners[a + of], near[at, of]
+                order = np.lexsort((-near, look[at], of))
+                at, of, near = at[order], of[order], near[order]
+                first = np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])][: len(at)]  # the nearest of an item's vectors
+                at, of, near = look[at[first]], of[first], near[first]
+                of_doc = doc_of[at]
+                low, high = np.maximum(HALF * at - sizes[of], begin[of_doc]), np.minimum(HALF * at + PASSAGE + sizes[of], (begin + lens)[of_doc])
+                for k in np.flatnonzero(with_answers(ids, answering, words_of, of, low, high)).tolist():
+                    p, j, c, d = int(at[k]), int(of[k]), float(near[k]), int(of_doc[k])
+                    item, around = coded_items[j], ids[low[k] : high[k]].tolist()
+                    held, bag = Counter(around), Counter(item.tolist())
+                    if sum(min(held[t], m) for t, m in bag.items()) < matched * len(item) or sum(held[t] > 0 for t in item[answers[j]].tolist()) < least[j]:
+                        continue
+                    places = matched_places(item.tolist(), around)
+                    share, answer = len(places) / len(item), sum(k in places for k in answers[j]) / len(answers[j])
+                    if share >= matched and answer >= answered:
+                        found = (share, answer, c, -int(HALF * p - begin[d]))
+                        best[d, j] = max(best.get((d, j), found), found)
             rows += [(docs[d], names[j], a, b, c, -e) for (d, j), (a, b, c, e) in best.items()]
             if len(rows) > 5000:
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "answered", "cosine", "start"])
