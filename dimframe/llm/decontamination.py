@@ -19,6 +19,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -318,9 +319,9 @@ def with_answers(ids: np.ndarray, answering: np.ndarray, words_of: list[np.ndarr
 
     ``answering`` has the places of words of any answer, sorted by word.
     """
-    out, heads = np.zeros(len(of), bool), np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+    out, cuts = np.zeros(len(of), bool), [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
     words = ids[answering].astype(np.int64)  # of one type with the words looked for
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True):
+    for a, b in pairwise(cuts if len(of) else []):
         mine = words_of[of[a]]
         ranges = zip(np.searchsorted(words, mine, "left").tolist(), np.searchsorted(words, mine, "right").tolist(), strict=True)
         places = np.sort(np.concatenate([answering[x:y] for x, y in ranges]))

@@ -428,7 +428,7 @@ def test_hot_lines_and_partners(spark, monkeypatch):
     """A line that many units ask for, and a partner of many, are dealt out in parts."""
     from dimframe.llm import groups
 
-    monkeypatch.setattr(groups.salted_join, "__defaults__", (3, 10))
+    monkeypatch.setattr(groups.salted_join, "__defaults__", (3, 10, "inner"))
     monkeypatch.setattr(line_dedup, "BATCH", 2)
     rng = np.random.default_rng(21)
     rows = [(k, "\n".join(rng.permutation(["a very common line of all texts", f"one line of its own, number {k}", f"a line of a few texts, number {k % 4}", "brief"]).tolist())) for k in range(40)]
