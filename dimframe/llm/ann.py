@@ -1,11 +1,14 @@
 """Nearest neighbours by inner product with score-aware quantisation.
 
-Vectors are dealt to lists by their nearest centroid. What is left of a vector
-is quantised to four bits for each pair of dimensions, under the anisotropic
-loss: the part of the error parallel to the vector, which shifts its large
-inner products, costs more than the part across it. A query scans the tables of
-the lists that promise most and reranks the best of each scan by exact inner
-products in double precision.
+Vectors are dealt to cells by their nearest centroid, and cells to lists. What
+is left of a vector is brought to length one and quantised to four bits for each
+pair of dimensions, under the anisotropic loss: the part of the error parallel
+to the vector, which shifts its large inner products, costs more than the part
+across it. A query scans the tables of the lists that promise most and reranks
+the best of each scan by exact inner products in double precision. How far the
+code is from its vector is kept beside it, which bounds the error of a scan: an
+exact check of all that might still reach the best found follows, so no list
+that is scanned hides a neighbour, whatever the vectors are like.
 
 Copies of a vector are indexed once, with their smallest ids. Lists are split
 into chunks of vectors, which stay where they are; the queries, far fewer, are
@@ -35,14 +38,37 @@ SCORE_SHARE = 0.2
 CHUNK = 16384
 #: Lists, at most: centroids go to every task.
 LISTS = 256
-#: Vectors of a scan that are reranked for each query.
+#: Cells, at most, where fewer lists are needed; a cell has 16 fitted vectors on average, or more.
+CELLS = 256
+#: Vectors of a scan that are reranked first for each query.
 RERANK = 512
+EPS = np.finfo(np.float64).eps
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    scale = max(np.abs(x).max(initial=0), np.abs(c).max(initial=0)) or 1.0  # squares neither overflow nor vanish
+    x, c = x / scale, c / scale
     return ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows whose squares may overflow or vanish."""
+    most = np.abs(x).max(1, initial=0)
+    most[most == 0] = 1.0
+    return np.linalg.norm(x / most[:, None], axis=1) * most
+
+
+def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Lloyd's centroids, ``k`` at most."""
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        near = _nearest(x, c)
+        for j in range(len(c)):
+            if (mine := near == j).any():
+                c[j] = x[mine].mean(0)
+    return c
+
+
 class Quantiser:
     """Centroids, and codebooks of 16 centres for each pair of dimensions."""
 
@@ -53,12 +79,8 @@ class Quantiser:
     def fit(cls, x: np.ndarray, lists: int, rounds: int = 8) -> Quantiser:
         rng = np.random.default_rng(5)
         d = x.shape[1]
-        c = x[rng.choice(len(x), min(lists, len(x)), replace=False)].copy()
-        for _ in range(rounds):
-            near = _nearest(x, c)
-            for k in range(len(c)):
-                if (mine := near == k).any():
-                    c[k] = x[mine].mean(0)
+        scale = np.abs(x).max(initial=0) or 1.0
+        c = _means(x / scale, lists, rounds, rng) * scale
         parts = -(-d // 2)
         price = (d - 1) * SCORE_SHARE**2 / (1 - SCORE_SHARE**2) - 1
         books = np.zeros((parts, CENTRES, 2))
@@ -83,10 +105,14 @@ class Quantiser:
         return out
 
     def split(self, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the centroids leave of the vectors, and the vectors' directions, by pairs of dimensions."""
+        """The directions of what the centroids leave of the vectors (zero, if nothing), and of the vectors, by pairs of dimensions."""
         odd = x.shape[1] % 2
-        pairs = lambda a: np.pad(a, ((0, 0), (0, odd))).reshape(len(a), -1, 2)
-        return pairs(x - self.centroids[near]), pairs(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+        def pairs(a: np.ndarray) -> np.ndarray:
+            a = a / np.maximum(np.abs(a).max(1, initial=0, keepdims=True), np.finfo(np.float64).tiny)
+            return np.pad(a / np.maximum(_lengths(a), 1e-300)[:, None], ((0, 0), (0, odd))).reshape(len(a), -1, 2)
+
+        return pairs(x - self.centroids[near]), pairs(x)
 
     def codes(self, rest: np.ndarray, unit: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes of least anisotropic loss, found part by part: |e|^2 + price * (e . direction)^2."""
@@ -103,22 +129,78 @@ class Quantiser:
         return out.astype(np.uint8)
 
     def packed(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """Two codes to a byte."""
-        codes = self.codes(*self.split(x, near))
+        """Two codes to a byte; then, eight bytes each, the length of what is coded and by how much a scan for a query of length one may err."""
+        rest, unit = self.split(x, near)
+        codes = self.codes(rest, unit)
+        coded = np.stack([self.books[m][codes[:, m]] for m in range(codes.shape[1])], 1)
+        length, total = _lengths(x - self.centroids[near]), _lengths(x) + _lengths(self.centroids[near])
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-        return codes[:, 0::2] | codes[:, 1::2] << 4
-
-    def scan(self, q: np.ndarray, centroid: int, packed: np.ndarray) -> np.ndarray:
-        """Approximate inner products of queries with the vectors of one list, by table."""
+        codes = codes[:, 0::2] | codes[:, 1::2] << 4
+        # the error of the code, of its sum in single precision, and of the rest in double precision
+        single = (codes.shape[1] + 8) * np.finfo(np.float32).eps * np.sqrt((coded**2).sum((1, 2)))
+        miss = (np.sqrt(((rest - coded) ** 2).sum((1, 2))) + single) * length * (1 + 1e-9) + 8 * (x.shape[1] + 8) * EPS * total
+        return np.hstack([codes, length[:, None].view(np.uint8), miss[:, None].view(np.uint8)])
+
+    def scan(self, q: np.ndarray, centroid: int | np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Approximate inner products of queries with the vectors of one centroid, or of one for each vector, by table."""
         odd = q.shape[1] % 2
         parts = np.pad(q, ((0, 0), (0, odd))).reshape(len(q), -1, 2)
         table = np.einsum("qmd,mkd->qmk", parts, self.books).astype(np.float32)
         table = np.pad(table, ((0, 0), (0, table.shape[1] % 2), (0, 0)))
         both = (table[:, 1::2, :, None] + table[:, 0::2, None, :]).reshape(len(q), -1, 256)  # byte: high code, low code
-        out = np.repeat((q @ self.centroids[centroid]).astype(np.float32)[:, None], len(packed), 1)
-        for j in range(packed.shape[1]):
+        out = np.zeros((len(q), len(packed)), np.float32)
+        for j in range(both.shape[1]):
             out += both[:, j][:, packed[:, j]]
-        return out
+        return (q @ self.centroids.T)[:, np.broadcast_to(centroid, len(packed))] + out * _doubles(packed, -16)
+
+    @staticmethod
+    def miss(packed: np.ndarray) -> np.ndarray:
+        """By how much a scan for a query of length one may err."""
+        return _doubles(packed, -8)
+
+
+def _doubles(packed: np.ndarray, at: int) -> np.ndarray:
+    return np.ascontiguousarray(packed[:, at : at + 8 or None]).view(np.float64)[:, 0]
+
+
+class Chunk:
+    """Vectors that queries pass, with their codes."""
+
+    def __init__(self, quantiser: Quantiser, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, packed: np.ndarray):
+        self.quantiser, self.ids, self.x, self.cell, self.packed = quantiser, ids, x, cell, packed
+        self.miss, self.lengths = quantiser.miss(packed), _lengths(x)
+
+    def best(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, inner product) of the ``n`` largest inner products of every query, ties to smaller ids."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            return self._best(q, n)
+
+    def _best(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, d, length = self.x, q.shape[1], _lengths(q)
+        unit = q / length[:, None]
+        about = self.quantiser.scan(unit, self.cell, self.packed)
+        some = np.argpartition(-about, RERANK - 1, 1)[:, :RERANK] if len(x) > RERANK else np.broadcast_to(np.arange(len(x)), about.shape)
+        # inner products in double precision are right within this; more where they vanish, and anything goes where they overflow
+        slack, vanish = 4 * (d + 8) * EPS * self.lengths, d * 1e-320 * (1 + 1 / length)
+        vanish[~(length < 1e307 / max(self.lengths.max(), 1.0))] = np.inf
+        least = _nth(np.einsum("qrd,qd->qr", x[some], unit) - slack[some], n) - vanish
+        may = ~(about + self.miss < least[:, None])
+        at = np.flatnonzero(may.any(0))
+        exact = np.hstack([unit @ x[at[a : a + 4096]].T for a in range(0, len(at), 4096)])
+        least = np.fmax(least, _nth(exact - slack[at], n) - vanish)
+        row, col = np.nonzero(may[:, at] & ~(exact + slack[at] < least[:, None]))
+        col = at[col]
+        step = max(1, (1 << 21) // d)
+        score = np.concatenate([np.einsum("nd,nd->n", x[col[a : a + step]], q[row[a : a + step]]) for a in range(0, len(row), step)])
+        order = np.lexsort((self.ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < n
+        return row[first], self.ids[col[first]], score[first]
+
+
+def _nth(score: np.ndarray, n: int) -> np.ndarray:
+    """The n-th largest of each row, no bound if there are fewer."""
+    return np.partition(score, -n, 1)[:, -n] if score.shape[1] >= n else np.full(len(score), -np.inf)
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -144,8 +226,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 1.
     that are null, zero or hold null or non-finite components, take no part as
     queries or candidates, nor do vectors of another number of dimensions than
     the most common one. Repeated rows are candidates each. Other columns are
-    ignored. ``probe``: the share of lists that a query scans; below 1 it saves
-    work where vectors are clustered, and costs recall where they are not.
+    ignored. ``probe``: the share of lists that a query scans. At 1 the result is
+    exact; below 1 it saves work where vectors are clustered, and costs recall
+    where they are not.
 
     The quantiser is fitted in one task on about ``fit_rows`` distinct vectors
     at most, chosen by hash; every vector is indexed. The driver sees the
@@ -166,40 +249,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 1.
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = pd.concat(list(batches)).sort_values("cls")
-        q = Quantiser.fit(_matrix(b["vector"]), lists)
-        yield pd.DataFrame({"model": [pickle.dumps((q.centroids, q.books, q.price))]})
+        x = _matrix(b["vector"])
+        q = Quantiser.fit(x, max(lists, min(CELLS, len(x) // 16)))
+        groups = _means(q.centroids, lists, 8, np.random.default_rng(5))
+        yield pd.DataFrame({"model": [pickle.dumps(((q.centroids, q.books, q.price), groups))]})
 
     model = sample.select("cls", "vector").repartition(1).mapInPandas(fit, "model binary").first()["model"]
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = Quantiser(*pickle.loads(model))
+        fitted, groups = pickle.loads(model)
+        q = Quantiser(*fitted)
+        list_of = _nearest(q.centroids, groups).astype(np.int32)
         for b in batches:
             if len(b):
                 x = _matrix(b["vector"])
                 near = _nearest(x, q.centroids)
-                yield pd.DataFrame({"list": near.astype(np.int32), "cls": b["cls"], "codes": [c.tobytes() for c in q.packed(x, near)], "x": [v.tobytes() for v in x]})
+                yield pd.DataFrame({"list": list_of[near], "cls": b["cls"], "cell": near.astype(np.int32), "codes": [c.tobytes() for c in q.packed(x, near)], "x": [v.tobytes() for v in x]})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = Quantiser(*pickle.loads(model))
+        groups = pickle.loads(model)[1]
         for b in batches:
             if len(b):
                 x = _matrix(b["vector"])
-                best = np.argsort(-(x @ q.centroids.T), 1, kind="stable")[:, :probed]
+                best = np.argsort(-(x @ groups.T), 1, kind="stable")[:, :probed]
                 yield pd.DataFrame({"list": best.ravel().astype(np.int32), "q": np.repeat(b["cls"].to_numpy(), best.shape[1]), "x": [v.tobytes() for v in np.repeat(x, best.shape[1], 0)]})
 
     asked = written(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector"), "queries")
     of = asked.groupBy("vector").agg(F.count(F.lit(1)).alias("n")).join(classes.select("vector", F.col("cls").alias("q")), "vector")
     of = written(of, "asked")
     queries = of.select(F.col("q").alias("cls"), "vector")
-    indexed = written(classes.select("cls", "vector").mapInPandas(index, "list int, cls long, codes binary, x binary"), "index")
+    indexed = written(classes.select("cls", "vector").mapInPandas(index, "list int, cls long, cell int, codes binary, x binary"), "index")
     sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).collect()
     sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes], "list int, chunks long"))  # LISTS rows at most
-    here = indexed.join(sizes, "list").select("list", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), F.lit(0).alias("kind"), F.col("cls").alias("id"), "codes", "x")
+    here = indexed.join(sizes, "list").select("list", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"), F.lit(0).alias("kind"), F.col("cls").alias("id"), "cell", "codes", "x")
     routed = queries.mapInPandas(route, "list int, q long, x binary").join(sizes, "list")
-    sent = routed.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), F.col("q").alias("id"), F.lit(None).cast("binary").alias("codes"), "x")
+    sent = routed.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), F.col("q").alias("id"), F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"), "x")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        quantiser, at, held = Quantiser(*pickle.loads(model)), None, []
+        quantiser, at, held = Quantiser(*pickle.loads(model)[0]), None, []
         for g in pieces(batches, ["list", "chunk", "kind"]):
             key, kind = (g["list"].iloc[0], g["chunk"].iloc[0]), g["kind"].iloc[0]
             if kind == 0:
@@ -210,15 +297,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probe: float = 1.
                 continue
             if whole is None:
                 every = pd.concat(held)
-                whole = every["id"].to_numpy(), _bytes_matrix(every["x"]), np.stack([np.frombuffer(c, np.uint8) for c in every["codes"]])
-            ids, x, codes = whole
-            q = _bytes_matrix(g["x"])
-            for a in range(0, len(q), 64):
-                about = quantiser.scan(q[a : a + 64], key[0], codes)
-                top = np.argpartition(-about, RERANK - 1, 1)[:, :RERANK] if len(ids) > RERANK else np.broadcast_to(np.arange(len(ids)), about.shape)
-                score = np.einsum("qrd,qd->qr", x[top], q[a : a + 64])
-                best = np.lexsort((ids[top], -score), axis=1)[:, : k + 1]
-                yield pd.DataFrame({"q": np.repeat(g["id"].to_numpy()[a : a + 64], best.shape[1]), "cls": np.take_along_axis(ids[top], best, 1).ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+                whole = Chunk(quantiser, every["id"].to_numpy(), _bytes_matrix(every["x"]), every["cell"].to_numpy(np.int64), np.stack([np.frombuffer(c, np.uint8) for c in every["codes"]]))
+            q, ids, step = _bytes_matrix(g["x"]), g["id"].to_numpy(), max(1, min(64, 4096 // whole.x.shape[1]))
+            for a in range(0, len(q), step):
+                row, cls, score = whole.best(q[a : a + step], k + 1)
+                yield pd.DataFrame({"q": ids[a + row], "cls": cls, "score": score})
 
     met = here.unionByName(sent).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
     found = met.mapInPandas(search, "q long, cls long, score double")

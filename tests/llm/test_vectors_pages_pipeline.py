@@ -56,6 +56,40 @@ def test_recall_of_nearest(spark, monkeypatch, tables, rerank, least):
     assert hits >= least * 20 * len(asked), hits / (20 * len(asked))
 
 
+def other_vectors(kind):
+    rng = np.random.default_rng(7)
+    if kind == "tight clusters":  # far closer to each other than a code is to its vector, and more of them than are reranked
+        centres = rng.normal(size=(8, 64))
+        return centres[rng.integers(8, size=8000)] + rng.normal(size=(8000, 64)) * 1e-5
+    if kind == "many lengths":
+        return rng.normal(size=(4000, 16)) * np.exp(rng.normal(size=(4000, 1)) * 1.5)
+    if kind == "ties":
+        return rng.integers(0, 3, size=(4000, 9)).astype(float) + np.eye(9)[0]
+    return rng.normal(size=(1500, 8)) * 10.0 ** rng.uniform(-200, 150, size=(1500, 1))
+
+
+@pytest.mark.parametrize("kind", ["tight clusters", "many lengths", "ties", "extreme lengths"])
+def test_nearest_of_other_vectors_is_exact(spark, kind):
+    x = other_vectors(kind)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, len(x), 20):
+        score = np.einsum("nd,d->n", x, x[q])
+        best = np.lexsort((np.arange(len(x)), -score))
+        assert got[q] == best[best != q][:20].tolist(), q
+
+
+def test_scans_err_within_their_bound():
+    x = other_vectors("many lengths")
+    quantiser = ann.Quantiser.fit(x[:1000], 8)
+    near = ann._nearest(x, quantiser.centroids)
+    codes, q = quantiser.packed(x, near), x[:50] / np.linalg.norm(x[:50], axis=1, keepdims=True)
+    error = np.abs(quantiser.scan(q, near, codes) - q @ x.T)
+    assert (error <= quantiser.miss(codes)).all() and np.median(quantiser.miss(codes) / np.linalg.norm(x, axis=1)) < 0.5
+
+
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(3)
     same = rng.normal(size=6).tolist()
