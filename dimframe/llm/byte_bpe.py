@@ -4,7 +4,8 @@ Every beginning of a piece of text has exactly one token that ends its
 encoding. A token t can end a beginning if it is a suffix of it and, unless it
 is all of it, leaves the token s that ends the rest unchanged: encoding the
 bytes of s and t gives s and t again. So one token for each byte is all that an
-encoding needs to keep; it is read off backwards. Appending bytes adds entries
+encoding needs to keep; it is read off backwards. Of a short piece only the
+entries that its end asks for are found. Appending bytes adds entries
 to that table and changes none, and after an edit only the entries near it
 change: as soon as as many entries as the longest token has bytes are what they
 were, the rest is too.
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -29,6 +31,8 @@ from .common import empty_text
 
 #: Pieces, chunks and pairs that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
+#: Bytes of a piece, at most, of which only the entries are found that its end asks for.
+SHORT = 64
 
 
 def default_ranks() -> str:
@@ -46,10 +50,13 @@ class Ranks:
         self.longest = max(map(len, tokens))
         self.follows: dict[tuple[int, int], bool] = {}
         # a token that its own bytes do not give can end no encoding
+        self.ending = {t: r for t, r in tokens.items() if self.merged(t) == [r]}
         self.endings = ahocorasick.Automaton()
-        for t, r in tokens.items():
-            if self.merged(t) == [r]:
-                self.endings.add_word(t.decode("latin-1"), (r, len(t)))
+        self.reach: dict[bytes, int] = {}  # how long a token with these three last bytes can be
+        for t, r in self.ending.items():
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
+            self.endings.add_word(t.decode("latin-1"), (r, len(t)))
         self.endings.make_automaton()
 
     def merged(self, piece: bytes) -> list[int]:
@@ -92,7 +99,26 @@ class Ranks:
                     last[at] = t
         return last
 
-    def read(self, last: list[int], piece: bytes) -> list[int]:
+    def asked(self, last: dict[int, int], piece: bytes, at: int) -> int:
+        """The entry for the first ``at`` bytes of a short piece; it and those it needs are added to ``last``."""
+        ending = self.ending
+        begin = at - self.reach.get(piece[at - 3 : at], 2) if at > 2 else 0
+        for begin in range(begin if begin > 0 else 0, at):
+            t = ending.get(piece[begin:at])
+            if t is None:
+                continue
+            if begin:
+                s = last.get(begin)
+                if s is None:
+                    s = self.asked(last, piece, begin)
+                ok = self.follows.get((s, t))
+                if not (self.may_follow(s, t) if ok is None else ok):
+                    continue
+            last[at] = t
+            return t
+        raise ValueError("a byte is no token")
+
+    def read(self, last: list[int] | dict[int, int], piece: bytes) -> list[int]:
         """The ids of a piece from its table; a piece that is a token is that token."""
         if piece in self.rank:
             return [self.rank[piece]]
@@ -104,7 +130,13 @@ class Ranks:
 
     def ids(self, piece: bytes) -> list[int]:
         known = self.rank.get(piece)
-        return [known] if known is not None else self.read(self.extended([-1], piece), piece)
+        if known is not None or not piece:
+            return [known] if piece else []
+        if len(piece) > SHORT:
+            return self.read(self.extended([-1], piece), piece)
+        last: dict[int, int] = {}
+        self.asked(last, piece, len(piece))
+        return self.read(last, piece)
 
     def decoded(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -182,36 +214,55 @@ def classes() -> Classes:
     return Classes()
 
 
+class Known(dict):
+    """Remembers what ``make`` gives for strings, ``most`` of up to ``longest`` characters, and then starts afresh; longer ones are kept apart, in ``long``, for one text."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 40):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+        self.long: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(key) > self.longest:
+            value = self.long.get(key)
+            if value is None:
+                value = self.long[key] = self.make(key)
+            return value
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class TextEncoder:
     """Ids of whole texts as unsigned 32-bit little-endian bytes, each distinct chunk and piece once."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.ranks, self.remembered = ranks_of(path), remembered
-        self.pieces: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.ranks = ranks_of(path)
+        self.pieces = Known(self._piece, remembered)
+        self.raw = Known(lambda c: self._chunk(c, ""), remembered)
+        self.spaced = Known(lambda c: self._chunk(c, " "), remembered)
+
+    def forget(self) -> None:
+        """Long strings of one text are not kept for the next."""
+        for known in (self.pieces, self.raw, self.spaced):
+            known.long.clear()
+
+    def _piece(self, p: str) -> bytes:
+        ids = self.ranks.ids(p.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def piece(self, p: str) -> bytes:
-        known = self.pieces.get(p)
-        if known is None:
-            known = np.array(self.ranks.ids(p.encode("utf-8", "replace")), "<u4").tobytes()
-            if len(p) <= 40:
-                if len(self.pieces) >= self.remembered:
-                    self.pieces.clear()
-                self.pieces[p] = known
-        return known
+        return self.pieces[p]
 
-    def _chunks(self, known: dict[str, bytes], asked: list[str], prefix: str) -> list[bytes]:
-        try:
-            return list(map(known.__getitem__, asked))
-        except KeyError:
-            pass
-        new = {c: b"".join(map(self.piece, PATTERN.findall(prefix + c))) for c in set(asked) if c not in known}
-        out = [known[c] if c in known else new[c] for c in asked]
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-        known.update(new if len(new) <= self.remembered else {})
-        return out
+    def _chunk(self, c: str, prefix: str) -> bytes:
+        if c.isascii():  # letters, or letters and one mark, are not worth the pattern
+            if c.isalpha():
+                return self._piece(prefix + c)
+            if c[:-1].isalpha() and c[-1] in ",.;:!?":
+                return self.pieces[prefix + c[:-1]] + self.pieces[c[-1]]
+        return b"".join(map(self.pieces.__getitem__, PATTERN.findall(prefix + c)))
 
     def cut(self, text: str) -> list[str]:
         """The matches of the pattern, as tiktoken finds them."""
@@ -219,10 +270,17 @@ class TextEncoder:
         return [text[m.start() : m.end()] for m in PATTERN.finditer(text.translate(odd))] if odd else PATTERN.findall(text)
 
     def ids(self, text: str) -> bytes:
+        self.forget()
         if classes().stand_ins(text):
             return b"".join(map(self.piece, self.cut(text)))
         raw, spaced = chunks(text)
-        return b"".join(self._chunks(self.raw, raw, "")) + b"".join(self._chunks(self.spaced, spaced, " "))
+        return b"".join(map(self.raw.__getitem__, raw)) + b"".join(map(self.spaced.__getitem__, spaced))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> TextEncoder:
+    """The encoder of a worker, which keeps what it remembers for its next tasks."""
+    return TextEncoder(path)
 
 
 def tail_of(pieces: list[str]) -> int:
@@ -247,7 +305,7 @@ def byte_bpe(docs: DataFrame, ranks: str | None = None, with_ids: bool = False)
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TextEncoder(ranks or default_ranks())
+        encoder = encoder_of(ranks or default_ranks())
         for b in batches:
             rows = []
             for text in b["text"].tolist():
@@ -292,7 +350,7 @@ def appended(state: DataFrame, more: DataFrame, ranks: str | None = None) -> Dat
 
 def _appender(path: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TextEncoder(path or default_ranks())
+        encoder = encoder_of(path or default_ranks())
         for b in batches:
             rows = [longer(encoder, bytes(i), t, n, bytes(x), m or "") for i, t, n, x, m in zip(b["ids"], b["tail"], b["tail_ids"], b["last"], b["more"].where(b["more"].notna(), None), strict=True)]
             out = pd.DataFrame(rows, columns=["ids", "tail", "tail_ids", "last"])
@@ -306,6 +364,7 @@ def longer(encoder: TextEncoder, ids: bytes, tail: str, tail_ids: int, last: byt
     """One row of a state with ``more`` text."""
     if not more:
         return ids, tail, tail_ids, last
+    encoder.forget()
     pieces = encoder.cut(tail + more)
     known = [-1, *np.frombuffer(last, "<u4").tolist()]
     parts, tables = [], []

@@ -51,6 +51,37 @@ def test_small_caches_change_nothing(library):
     assert all(encoder.ids(t) == library(t) for t in scraps(500, 3) + [t or "" for _, t in table_rows()[:20]])
 
 
+def test_short_pieces_ask_for_few_entries(library):
+    """Not every beginning of a word is encoded, nor a long piece again for each time it stands in a text; what is remembered serves the next task."""
+    whole, asked = (byte_bpe.Ranks(byte_bpe.ranks_of(byte_bpe.default_ranks()).rank) for _ in range(2))
+    rng = random.Random(9)
+    made = [("".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randrange(5, 14)))).encode() for _ in range(500)]
+    for p in made:
+        assert asked.ids(p) == whole.read(whole.extended([-1], p), p)
+    assert len(asked.follows) < 0.8 * len(whole.follows)
+    encoder, calls = byte_bpe.TextEncoder(byte_bpe.default_ranks()), []
+    make = encoder.pieces.make
+    encoder.pieces.make = lambda p: calls.append(p) or make(p)
+    text = " ".join(["né" * 50 + "-"] * 30)
+    assert encoder.ids(text) == library(text) and len(calls) == 3
+    assert byte_bpe.encoder_of(byte_bpe.default_ranks()) is byte_bpe.encoder_of(byte_bpe.default_ranks())
+
+
+@pytest.mark.parametrize("size", [*range(60, 69), 130])
+def test_pieces_about_as_long_as_short_ones(size, library):
+    rng = random.Random(size)
+    for letters in ("ab", "etaoinshr", "ñé中"):
+        for _ in range(20):
+            text = "".join(rng.choice(letters) for _ in range(size))
+            assert byte_bpe.TextEncoder(byte_bpe.default_ranks()).ids(text) == library(text)
+
+
+def test_words_with_a_mark(library):
+    encoder = byte_bpe.TextEncoder(byte_bpe.default_ranks())
+    texts = [f"{a}{w}{m}{b}" for a in ("", " ", "x ") for w in ("the", "don't", "a1", "é", "", "we") for m in ("", *",.;:!?'\"", "..", "'s") for b in ("", " ", " y", "\n")]
+    assert all(encoder.ids(t) == library(t) for t in texts)
+
+
 def test_tokens_that_no_merge_gives():
     """A token whose bytes encode to others ends nothing but a piece that it is."""
     ranks = byte_bpe.Ranks({bytes([b]): b for b in range(256)} | {b"ab": 256, b"xyz": 257, b"bc": 258, b"abc": 259})
