@@ -4,7 +4,8 @@ The responses of a cell, one for each id and combination of levels within ids,
 are one row. The design is a matrix of orthonormal columns, term after term,
 that travels with the tasks after a check of its size. A shuffle moves ids as
 wholes and, within each id, its combinations; shuffles are made in the tasks
-from a seed and their number, or are given as a matrix. Either the responses
+from a seed and their number, or are given as a matrix, which may draw an id more
+than once and others not at all. Either the responses
 move or, as usual, what the full model leaves of them. The statistics of a block
 of shuffles are one array in a row, so no row is made for a cell, an id and a
 shuffle; where only the largest value counts, a task hands on its largest.
@@ -13,7 +14,7 @@ shuffle; where only the largest value counts, a task hands on its largest.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations, product
 
 import numpy as np
@@ -44,6 +45,8 @@ class Design:
     strata: dict[str, np.ndarray]
     errors: dict[str, str]
     df: dict[str, int]
+    #: responses at each place of an id, if a draw puts other than one there; columns are orthonormal over responses
+    weights: np.ndarray | None = None
 
     @property
     def size(self) -> int:
@@ -60,6 +63,14 @@ class Design:
         return list(zip(ends[:-1], ends[1:], strict=True))
 
 
+def cleared(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of what ``basis`` leaves of ``x``."""
+    for _ in range(2):
+        x = x - basis @ (basis.T @ x)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    return u[:, s > 1e-8 * max(1.0, s.max(initial=0))]
+
+
 def _subsets(names: Sequence[str]) -> list[tuple[str, ...]]:
     return [t for n in range(1, len(names) + 1) for t in combinations(names, n)]
 
@@ -102,10 +113,7 @@ def design_of(cube: DimFrame, subjects: DataFrame | None, between: Sequence[str]
         x = np.ones((size, 1))
         for f in t:
             x = (x[:, :, None] * coded[f][:, None, :]).reshape(size, -1)
-        for _ in range(2):
-            x = x - basis @ (basis.T @ x)
-        u, s, _ = np.linalg.svd(x, full_matrices=False)
-        columns[":".join(t)] = u[:, s > 1e-8 * max(1.0, s.max(initial=0))]
+        columns[":".join(t)] = cleared(x, basis)
         basis = np.hstack((basis, columns[":".join(t)]))
     strata, errors, df = {}, {}, {t: c.shape[1] for t, c in columns.items()}
     for t in [(), *_subsets(within)]:
@@ -126,6 +134,8 @@ class Shuffles:
     Order p follows from the seed and p alone, so any task makes it.
     """
 
+    places: Design | None = None
+
     def __init__(self, design: Design, n: int, seed: int = 1):
         self.ids, self.combos, self.n, self.seed = len(design.ids), len(design.combos), n, seed
 
@@ -136,53 +146,102 @@ class Shuffles:
 
 
 class Given:
-    """Orders of observations given as a matrix, a row each."""
+    """Orders of observations given as a matrix, a row each; -1 leaves one out.
 
-    def __init__(self, design: Design, orders: np.ndarray):
-        self.orders, self.n = np.asarray(orders, np.int32), len(orders)
+    An order may draw observations more than once, if it draws the combinations
+    of an id equally often; it leaves out ids as wholes. ``places`` is the design
+    to whose places observations go, if that is not their own.
+    """
+
+    def __init__(self, design: Design, orders: np.ndarray, places: Design | None = None):
+        self.orders, self.n, self.places = np.asarray(orders, np.int32), len(orders), places
         if self.orders.nbytes > BROADCAST_BYTES:
             raise ValueError("these shuffles are more than may be broadcast; pass them in parts")
-        if self.orders.shape[1:] != (design.size,) or (np.sort(self.orders, 1) != np.arange(design.size)).any():
-            raise ValueError("every row must hold the place of each observation once")
+        to, combos = places or design, len(design.combos)
+        if self.orders.shape[1:] != (design.size,) or to.combos != design.combos or ((self.orders < -1) | (self.orders >= to.size)).any():
+            raise ValueError("every row must hold a place, or -1, for each observation")
+        for order in self.orders:
+            for x in (order < 0, np.bincount(order[order >= 0], minlength=to.size)):
+                if (np.diff(x.reshape(-1, combos).astype(int), axis=1) != 0).any():
+                    raise ValueError("every row must draw, or leave out, the combinations of an id equally often")
 
     def order(self, p: int) -> np.ndarray:
         return self.orders[p]
 
 
+def drawn(design: Design, held: np.ndarray) -> Design:
+    """The design of a draw that puts ``held`` responses on each place, as many on all places of an id; ids without any are left out.
+
+    A term keeps its degrees of freedom where the draw lacks some of its levels; those of the errors follow from the ids drawn.
+    """
+    if (held == 1).all():
+        return design
+    full, weights = held > 0, held.reshape(-1, len(design.combos))[:, 0]
+    root, columns = np.sqrt(held[full])[:, None], {}
+    basis = root / np.linalg.norm(root)
+    for t, c in design.columns.items():
+        new = cleared(c[full] * root, basis)
+        basis, columns[t] = np.hstack((basis, new)), new / root
+    ids = [i for i, w in zip(design.ids, weights, strict=True) if w]
+    errors = {e: design.df[e] - (len(design.ids) - len(ids)) * part.shape[1] for e, part in design.strata.items()}
+    return replace(design, ids=ids, columns=columns, df=design.df | errors, weights=weights[weights > 0])
+
+
 def residuals(y: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """What the mean and the model leave of each row of ``y``."""
     y = y - y.mean(1, keepdims=True)
     return y - (y @ basis) @ basis.T
 
 
-def moved(y: np.ndarray, order: np.ndarray, what: str) -> np.ndarray:
-    """Residuals take the order; of observations the design does, so that they go the other way."""
-    return y[:, order] if what == "residuals" else y[:, np.argsort(order)]
+def moved(y: np.ndarray, design: Design, order: np.ndarray, what: str, places: Design | None = None) -> tuple[np.ndarray, Design, np.ndarray | float]:
+    """(sums of the responses at each place, the design of these places, squares of what differs within a place) after a shuffle.
 
-
-def f_values(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | None = None, what: str = "residuals") -> np.ndarray:
+    Residuals take the order; of observations the design does, so that they go the other way.
+    """
+    kept = order >= 0
+    if what == "residuals":
+        return y[:, order[kept]], drawn(design, kept.astype(int)), 0.0
+    held = np.bincount(order[kept], minlength=(places or design).size)
+    to, now, counts = drawn(places or design, held), y[:, np.flatnonzero(kept)[np.argsort(order[kept], kind="stable")]], held[held > 0]
+    if (counts == 1).all():
+        return now, to, 0.0
+    sums = np.add.reduceat(now, np.cumsum(counts) - counts, axis=1)
+    return sums, to, ((now - np.repeat(sums / counts, counts, axis=1)) ** 2).sum(1)
+
+
+def centred(sums: np.ndarray, design: Design) -> np.ndarray:
+    """Sums of responses at the places of a design less what the mean of all makes of them."""
+    if design.weights is None:
+        return sums - sums.mean(1, keepdims=True)
+    held = np.repeat(design.weights, len(design.combos))
+    return sums - held * (sums.sum(1, keepdims=True) / max(1, held.sum()))
+
+
+def f_values(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | None = None, what: str = "residuals", places: Design | None = None) -> np.ndarray:
     """F of each term, row of ``y`` (cells by observations) and order (None: the observed one): terms by cells by orders.
 
     NaN where the error has no degrees of freedom or is nothing but rounding, or a value is missing.
+    What differs between the responses that a draw puts on one place counts in the innermost error term.
     """
-    ids, combos, basis, spans = len(design.ids), len(design.combos), design.basis, design.spans
-    every = np.hstack(list(design.strata.values()))
+    every, innermost = np.hstack(list(design.strata.values())), list(design.strata)[-1]
     ends = np.cumsum([0, *[s.shape[1] for s in design.strata.values()]]).tolist()
-    start = y if orders is None or what == "observations" else residuals(y, basis)
-    out = np.full((len(spans), len(y), 1 if orders is None else len(orders)), np.nan)
+    start = y if orders is None or what == "observations" else residuals(y, design.basis)
+    out = np.full((len(design.columns), len(y), 1 if orders is None else len(orders)), np.nan)
     whole = ((start - start.mean(1, keepdims=True)) ** 2).sum(1)
     for p in range(out.shape[2]):
-        now = start if orders is None else moved(start, orders[p], what)
-        now = now - now.mean(1, keepdims=True)
-        parts = (now @ basis) ** 2
-        ss = {t: parts[:, a:z].sum(1) for t, (a, z) in zip(design.columns, spans, strict=True)}
-        squares = ((now.reshape(-1, combos) @ every) ** 2).reshape(len(y), ids, -1).sum(1)
-        error = {e: squares[:, a:z].sum(1) - sum(ss[m] for m, o in design.errors.items() if o == e) for e, a, z in zip(design.strata, ends[:-1], ends[1:], strict=True)}
-        for k, t in enumerate(design.columns):
-            e = design.errors[t]
-            if design.df[t] and design.df[e] > 0:
+        now, to, within = (start, design, 0.0) if orders is None else moved(start, design, orders[p], what, places)
+        now = centred(now, to)
+        parts = (now @ to.basis) ** 2
+        ss = {t: parts[:, a:z].sum(1) for t, (a, z) in zip(to.columns, to.spans, strict=True)}
+        squares = ((now.reshape(-1, len(to.combos)) @ every) ** 2).reshape(len(y), len(to.ids), every.shape[1])
+        squares = squares.sum(1) if to.weights is None else (squares / to.weights[:, None]).sum(1)
+        error = {e: squares[:, a:z].sum(1) - sum(ss[m] for m, o in to.errors.items() if o == e) for e, a, z in zip(to.strata, ends[:-1], ends[1:], strict=True)}
+        error[innermost] = error[innermost] + within
+        for k, t in enumerate(to.columns):
+            e = to.errors[t]
+            if to.df[t] and to.df[e] > 0:
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    f = (ss[t] / design.df[t]) / (error[e] / design.df[e])
+                    f = (ss[t] / to.df[t]) / (error[e] / to.df[e])
                 out[k, :, p] = np.where(error[e] > ROUNDING * whole, f, np.nan)
     return out
 
@@ -195,14 +254,15 @@ def map_effects(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | No
     channels, or of their absolute value if there is a single channel.
     """
     cells, chans, size = y.shape
-    flat, basis = y.reshape(-1, size), design.basis
-    start = flat if orders is None or what == "observations" else residuals(flat, basis)
-    distinct = [np.unique(c.round(10), axis=0) for c in design.columns.values()]
-    out = np.full((len(distinct), cells, 1 if orders is None else len(orders)), np.nan)
+    flat = y.reshape(-1, size)
+    start = flat if orders is None or what == "observations" else residuals(flat, design.basis)
+    out, seen = np.full((len(design.columns), cells, 1 if orders is None else len(orders)), np.nan), None
     for p in range(out.shape[2]):
-        now = start if orders is None else moved(start, orders[p], what)
-        coefficients = (now - now.mean(1, keepdims=True)) @ basis
-        for k, ((a, z), rows) in enumerate(zip(design.spans, distinct, strict=True)):
+        now, to, _ = (start, design, 0.0) if orders is None else moved(start, design, orders[p], what)
+        if to is not seen:
+            seen, distinct = to, [np.unique(c.round(10), axis=0) for c in to.columns.values()]
+        coefficients = centred(now, to) @ to.basis
+        for k, ((a, z), rows) in enumerate(zip(to.spans, distinct, strict=True)):
             if z > a:
                 maps = (coefficients[:, a:z] @ rows.T).reshape(cells, chans, -1)
                 out[k, :, p] = (maps.std(1, ddof=1) if chans > 1 else np.abs(maps[:, 0])).mean(1)
@@ -281,10 +341,12 @@ def permuted_f(cube: DimFrame, design: Design, shuffles: Shuffles | Given, what:
     """F of every term and cell for all shuffles, in blocks; with ``by`` the largest of each combination, see ``by_blocks``."""
     if what not in ("residuals", "observations"):
         raise ValueError(f"residuals or observations are shuffled, not {what!r}")
+    if what == "residuals" and shuffles.places is not None:
+        raise ValueError("residuals stay with their own design")
     outside = cube.others(id_dim, *design.within)
 
     def statistic(rows: pd.DataFrame, first: int, last: int) -> np.ndarray:
-        return f_values(_filled(rows, design.size), design, [shuffles.order(p) for p in range(first, last)], what)
+        return f_values(_filled(rows, design.size), design, [shuffles.order(p) for p in range(first, last)], what, shuffles.places)
 
     return by_blocks(responses(cube, design, outside, id_dim), outside, list(design.columns), shuffles.n, design.size, statistic, by)
 

@@ -846,17 +846,22 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 2).alias("grp"), F.col("s_acctbal").cast("double").alias("bal"))
 
 
-def fixed_shuffles(design: pe.Design) -> pe.Given:
-    i, k = np.divmod(np.arange(design.size), 3)
-    n = len(design.ids)
+def fixed_shuffles(spark: SparkSession, design: pe.Design, what: str, between: list[str]) -> pe.Given:
+    """The shuffles q, by the numbers of ids as in SQL: where a factor and the number of ids have a common divisor, some are drawn repeatedly and others never."""
+    ids, n = np.array(design.ids, int), len(design.ids)
+    i, k = np.repeat(ids, 3), np.tile(np.arange(3), n)
     new = [(((i // 2 + (i % 2) * (n // 2)) * f + p) % n, (k * (1 + (i + p) % 2) + (i * i + p * i) // 2 + i // 3) % 3) for p, f in enumerate(_FACTORS)]
-    return pe.Given(design, np.array([i2 * 3 + k2 for i2, k2 in new]))
+    if what == "residuals":  # an id has nothing where there is no id of the number drawn
+        return pe.Given(design, np.array([np.where(np.isin(i2, ids), np.searchsorted(ids, i2) * 3 + k2, -1) for i2, k2 in new]))
+    numbers = spark.range(n).select("id", (F.col("id") % 2).alias("grp"), F.lit(FLAGS[0]).alias("flag"), F.lit(0.0).alias("value"))
+    places = pe.design_of(from_long(numbers, {"id": None, "flag": FLAGS}), numbers, between, ["flag"])
+    return pe.Given(design, np.array([i2 * 3 + k2 for i2, k2 in new]), places)
 
 
 def _shuffled(spark: SparkSession, d: str, what: str) -> DataFrame:
     m = cube_m(spark, d)
     design = pe.design_of(m, suppliers(spark, d), ["grp"], ["flag"])
-    return rounded(pe.each_shuffle(pe.permuted_f(m, design, fixed_shuffles(design), what), ["part", "modelterm"]), "stat")
+    return rounded(pe.each_shuffle(pe.permuted_f(m, design, fixed_shuffles(spark, design, what, ["grp"]), what), ["part", "modelterm"]), "stat")
 
 
 @query(f"with {_M_SQL}, {_Q_SQL}, {_RESIDUALS_SQL}, {_MOVED_SQL}, {_MEANS_SQL}, {_F_SQL} select part::int as part, modelterm, p::int as perm, round(stat, 6) as stat from f")
@@ -877,7 +882,7 @@ select part::int as part, modelterm, round(stat, 6) as stat, round((count(*) fil
 def anova_permuted_fixed(spark, d):
     """ANOVA of a mixed design, p corrected by the largest F of ten fixed shuffles."""
     m, s = cube_m(spark, d), suppliers(spark, d)
-    out = rs.anova_permuted(m, s, ["grp"], ["flag"], shuffles=fixed_shuffles(pe.design_of(m, s, ["grp"], ["flag"])))
+    out = rs.anova_permuted(m, s, ["grp"], ["flag"], shuffles=fixed_shuffles(spark, pe.design_of(m, s, ["grp"], ["flag"]), "residuals", ["grp"]))
     return rounded(out.select("part", "modelterm", "stat", "p_corr"), "stat", "p_corr")
 
 
@@ -890,7 +895,7 @@ union all select p, 'grp:flag', avg(s) from (select p, grp, k, stddev_samp(x) as
 def _maps(spark: SparkSession, d: str, between: list[str], what: str) -> DimFrame:
     m = cube_m(spark, d)
     design = pe.design_of(m, suppliers(spark, d) if between else None, between, ["flag"])
-    return pe.permuted_maps(m, design, fixed_shuffles(design), what, chan="part")
+    return pe.permuted_maps(m, design, fixed_shuffles(spark, design, what, between), what, chan="part")
 
 
 @query(f"""with {_M_SQL}, {_Q_SQL}, {_RESIDUALS_SQL}, y as (select p + 1 as p, part, q.i, q.k, q.i % 2 as grp, r.v from q join r on r.i = q.i2 and r.k = q.k2 union all select 0, part, i, k, i % 2, v from m), {_MEANS_SQL}, e as ({_MAPS_SQL}) select modelterm, p::int as perm, round(effect, 6) as effect from e""")

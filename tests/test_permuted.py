@@ -3,12 +3,14 @@
 import time
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dimframe.core import Dim, from_long
 from dimframe.operators import aggregate, anova, clusters, permutation, permuted, results
+from dimframe.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -148,6 +150,72 @@ def test_blocks_and_maxima(cube, subjects, monkeypatch, what):
         assert np.isclose(r["p_corr"], (1 + sum(m > r["stat"] for (ch, t, _), m in most.items() if (ch, t) == (r["chan"], r["modelterm"]))) / 12)
 
 
+def brute_draw(y, place, who, w, g):
+    """F of g, w and g:w for rows of a draw, by least squares; what differs within a place counts in the innermost error."""
+
+    def dummies(*v):
+        rows = list(zip(*v, strict=True))
+        return np.array([[float(r == k) for k in sorted(set(rows))] for r in rows])
+
+    def rss(*xs):
+        x = np.hstack((np.ones((len(y), 1)), *xs))
+        return ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+
+    steps = [[], [dummies(g)], [dummies(g), dummies(w)], [dummies(g, w)], [dummies(g, w), dummies(who)]]
+    none, a, b, c, left = (rss(*x) for x in steps)
+    n = len(set(who))
+    return {"g": (none - a) / 2 / ((c - left) / (n - 3)), "w": (a - b) / 2 / (left / (2 * (n - 3))), "g:w": (b - c) / 4 / (left / (2 * (n - 3)))}
+
+
+def test_draws(cube, subjects):
+    """Orders that draw some ids repeatedly and leave others out, against least squares over the rows drawn."""
+    c = aggregate.avg_dims(cube, "u", "time")
+    d = permuted.design_of(c, subjects, ["g"], ["w"])
+    to = np.array([0, 4, 2, 0, 7, 7, 7, 10, -1, 3, 8])
+    turned = [np.roll(range(3), k) for k in range(11)]
+    order = np.concatenate([np.full(3, -1) if t < 0 else t * 3 + r for t, r in zip(to, turned, strict=True)])
+    given, y = permuted.Given(d, order[None]), np.zeros((3, d.size))
+    for r in c.df.collect():
+        y[r["chan"], d.ids.index(r["id"]) * 3 + r["w"]] = r["value"]
+    kept = order >= 0
+    for what in ("residuals", "observations"):
+        rows, place = (permuted.residuals(y, d.basis)[:, order[kept]], np.flatnonzero(kept)) if what == "residuals" else (y[:, kept], order[kept])
+        got = {(r["chan"], r["modelterm"]): r["stat"] for r in permuted.each_shuffle(permuted.permuted_f(c, d, given, what), ["chan", "modelterm"]).collect()}
+        for k in range(3):
+            want = brute_draw(rows[k], place, place // 3, place % 3, place // 3 % 3)
+            assert all(np.isclose(got[k, t], f) for t, f in want.items()) and len(want) == 3
+    with pytest.raises(ValueError):
+        permuted.Given(d, np.where(np.arange(d.size) == 4, -1, np.arange(d.size))[None])  # a part of an id
+    with pytest.raises(ValueError):
+        permuted.Given(d, np.full((1, d.size), d.size))
+    with pytest.raises(ValueError):
+        permuted.permuted_f(c, d, permuted.Given(d, order[None], d), "residuals")
+
+
+@pytest.fixture(scope="module")
+def copies(tmp_path_factory):
+    """Copies of the smallest tables: three in a row, whose 30 suppliers share a divisor with some factors, and three with gaps between their keys."""
+    out = {}
+    for name, shift in (("row", 10), ("gaps", 1003)):
+        out[name] = str(tmp_path_factory.mktemp(name))
+        for t, k in (("supplier", "s_suppkey"), ("lineitem", "l_suppkey")):
+            more = "" if t == "supplier" else ", l_quantity + c.range * (l_linenumber % 4) as l_quantity"
+            duckdb.execute(f"copy (select * replace ({k} + {shift} * c.range as {k}{more}) from '/root/testdata/sf0.001/{t}.parquet', range(3) c) to '{out[name]}/{t}.parquet'")
+    return out
+
+
+@pytest.mark.parametrize("keys", ["row", "gaps"])
+@pytest.mark.parametrize("name", ["anova_observations"])
+def test_fixed_shuffles_of_more_suppliers(spark, copies, name, keys):
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        con.execute(f"create view {t} as select * from '{copies[keys]}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, copies[keys])
+    res = con.execute(catalog.ORACLES[name])
+    names = [x[0] for x in res.description]
+    assert sorted(map(repr, (tuple(r[c] for c in sorted(names)) for r in df.collect()))) == sorted(repr(tuple(v + 0.0 if isinstance(v, float) else v for _, v in sorted(zip(names, row, strict=True)))) for row in res.fetchall())
+
+
 def test_missing_responses(cube, subjects):
     c = aggregate.avg_dims(cube, "u")
     gone = c.but(c.df.where("not (chan = 1 and time = 0 and id = 4 and w = 2)"))
