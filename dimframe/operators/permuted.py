@@ -262,8 +262,10 @@ def map_effects(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | No
         if to is not seen:
             seen, distinct = to, [np.unique(c.round(10), axis=0) for c in to.columns.values()]
         coefficients = centred(now, to) @ to.basis
-        for k, ((a, z), rows) in enumerate(zip(to.spans, distinct, strict=True)):
-            if z > a:
+        for k, (t, (a, z), rows) in enumerate(zip(to.columns, to.spans, distinct, strict=True)):
+            if z == a and to.df[t]:  # the draw has no two of the term's levels
+                out[k, :, p] = 0.0 * now.sum(1).reshape(cells, chans).sum(1)
+            elif z > a:
                 maps = (coefficients[:, a:z] @ rows.T).reshape(cells, chans, -1)
                 out[k, :, p] = (maps.std(1, ddof=1) if chans > 1 else np.abs(maps[:, 0])).mean(1)
     return out
