@@ -246,7 +246,7 @@ def f_values(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | None
     return out
 
 
-def map_effects(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | None = None, what: str = "residuals") -> np.ndarray:
+def map_effects(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | None = None, what: str = "residuals", places: Design | None = None) -> np.ndarray:
     """Sizes of the maps of each term, for ``y`` of cells by channels by observations: terms by cells by orders.
 
     A term's maps are what its columns explain, at each distinct row of theirs;
@@ -258,7 +258,7 @@ def map_effects(y: np.ndarray, design: Design, orders: Sequence[np.ndarray] | No
     start = flat if orders is None or what == "observations" else residuals(flat, design.basis)
     out, seen = np.full((len(design.columns), cells, 1 if orders is None else len(orders)), np.nan), None
     for p in range(out.shape[2]):
-        now, to, _ = (start, design, 0.0) if orders is None else moved(start, design, orders[p], what)
+        now, to, _ = (start, design, 0.0) if orders is None else moved(start, design, orders[p], what, places)
         if to is not seen:
             seen, distinct = to, [np.unique(c.round(10), axis=0) for c in to.columns.values()]
         coefficients = centred(now, to) @ to.basis
@@ -362,6 +362,9 @@ def permuted_maps(cube: DimFrame, design: Design, shuffles: Shuffles | Given | N
     from .aggregate import gfp
     from .sequence import scaled
 
+    places = shuffles.places if shuffles else None
+    if what == "residuals" and places is not None:
+        raise ValueError("residuals stay with their own design")
     outside = cube.others(id_dim, chan, *design.within)
     if kind == "topography":
         cube = scaled(cube, [*outside, id_dim, *design.within])
@@ -381,7 +384,7 @@ def permuted_maps(cube: DimFrame, design: Design, shuffles: Shuffles | Given | N
         for k, (place, v) in enumerate(zip(rows["_k"], rows["_v"], strict=True)):
             y[k, 0 if single else [at[a] for a in rows["_a"].iloc[k]], place] = v
         orders = [shuffles.order(p - 1) for p in range(max(1, first), last)]
-        parts = [map_effects(y, design)] * (first == 0) + [map_effects(y, design, orders, what)] * bool(orders)
+        parts = [map_effects(y, design)] * (first == 0) + [map_effects(y, design, orders, what, places)] * bool(orders)
         return np.concatenate(parts, 2)
 
     blocks = by_blocks(cells, outside, list(design.columns), 1 + (shuffles.n if shuffles else 0), design.size * len(levels), statistic)

@@ -205,7 +205,7 @@ def copies(tmp_path_factory):
 
 
 @pytest.mark.parametrize("keys", ["row", "gaps"])
-@pytest.mark.parametrize("name", ["anova_observations", "anova_permuted_fixed", "anova_residuals", "tanova_mixed"])
+@pytest.mark.parametrize("name", ["anova_observations", "anova_permuted_fixed", "anova_residuals", "tanova_mixed", "tanova_within"])
 def test_fixed_shuffles_of_more_suppliers(spark, copies, name, keys):
     con = duckdb.connect()
     for t in ("supplier", "lineitem"):
